@@ -4,7 +4,8 @@ from wordmill.functions.text import (  # noqa: F401
     is_stop_word,
     raw_tokens,
     term_bucket,
-    term_frequencies,
+    run_lengths,
+    run_starts,
     title_of,
     tokenize,
     whitespace_word_count,

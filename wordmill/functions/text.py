@@ -72,25 +72,32 @@ def tokenize(text: Column | str, stop_words: bool = True) -> Column:
     return F.filter(toks, lambda t: ~is_stop_word(t))
 
 
-def term_frequencies(sorted_tokens: Column | str) -> Column:
-    """``array<struct<term, tf>>`` from an already sorted token-array column.
-
-    Equal tokens are adjacent after sorting, so each run start is found in one
-    pass and ``tf`` is the distance to the next run start.  Counting inside the
-    row means no shuffle is needed to get per-document term frequencies.  The
-    argument must be a plain column reference (materialise the sort first), so
-    the lambdas read it instead of re-sorting per element.
+def run_starts(sorted_tokens: str) -> Column:
+    """Indexes where a new run of equal tokens begins in a sorted token array.
+
+    ``sorted_tokens`` must name a column (not an expression): lambdas read it
+    per element, and an expression there would be re-evaluated each time.
     """
-    s = F.col(sorted_tokens) if isinstance(sorted_tokens, str) else sorted_tokens
-    starts = F.filter(
+    s = F.col(sorted_tokens)
+    return F.filter(
         F.transform(s, lambda x, i: F.when(i == 0, i).when(x != s[i - 1], i).otherwise(F.lit(-1))),
         lambda i: i >= 0,
     )
+
+
+def run_lengths(sorted_tokens: str, starts: str) -> Column:
+    """``array<struct<term, tf>>``: each run's token and its length.
+
+    Both arguments name columns: the sorted tokens and their ``run_starts``.
+    Together the two steps count terms inside the row in O(n), so per-document
+    term frequencies need no shuffle.
+    """
+    s, st = F.col(sorted_tokens), F.col(starts)
     return F.transform(
-        starts,
-        lambda st, j: F.struct(
-            s[st].alias("term"),
-            (F.coalesce(F.try_element_at(starts, j + 2), F.size(s)) - st).cast("long").alias("tf"),
+        st,
+        lambda p, j: F.struct(
+            s[p].alias("term"),
+            (F.coalesce(F.try_element_at(st, j + 2), F.size(s)) - p).cast("long").alias("tf"),
         ),
     )
 

@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import term_bucket, term_frequencies, tokenize
+from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize
 from wordmill.operators.joins import spread
 from wordmill.sources.corpus import corpus_stats, titles
 
@@ -37,7 +37,8 @@ def term_counts(corpus: DataFrame) -> DataFrame:
     shuffle-free transformation of the scan however large the corpus is.
     """
     sorted_toks = spread(corpus).select("doc_id", F.sort_array(tokenize("text")).alias("s"))
-    return sorted_toks.select("doc_id", F.inline(term_frequencies("s"))).select("term", "doc_id", "tf")
+    with_runs = sorted_toks.select("doc_id", "s", run_starts("s").alias("starts"))
+    return with_runs.select("doc_id", F.inline(run_lengths("s", "starts"))).select("term", "doc_id", "tf")
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -80,8 +81,13 @@ class Index:
     # Unfiltered term counts when the index is declared over a raw corpus
     # (not written); search then filters through ``terms`` instead.
     all_postings: DataFrame | None = None
+    # Document ids of a raw corpus, so N is a distinct count of ids alone
+    # rather than the full statistics row (which measures every text).
+    doc_ids: DataFrame | None = None
 
     def n_docs(self) -> int:
+        if self.doc_ids is not None:
+            return int(self.doc_ids.agg(F.countDistinct("doc_id")).first()[0])
         return int(self.corpus_stats.first()["n_docs"])
 
     def avg_dl(self) -> float:
@@ -98,7 +104,8 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
     counts = term_counts(corpus)
     terms = with_bucket(term_stats(counts, min_df), num_buckets)
     postings = counts.join(terms.select("term", "bucket"), "term") if min_df > 0 else with_bucket(counts, num_buckets)
-    return Index(postings, terms, titles(corpus), corpus_stats(corpus), num_buckets, min_df, all_postings=counts)
+    return Index(postings, terms, titles(corpus), corpus_stats(corpus), num_buckets, min_df,
+                 all_postings=counts, doc_ids=corpus.select("doc_id"))
 
 
 TABLES = ("postings", "terms", "titles", "corpus_stats")
