@@ -103,8 +103,10 @@ def run_lengths(sorted_tokens: str, starts: str) -> Column:
 
 
 def whitespace_word_count(text: Column | str) -> Column:
-    """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.size(F.filter(F.split(_text(text), PY_WHITESPACE), lambda w: w != F.lit(""))).cast("long")
+    """Number of whitespace-separated words (Python ``len(s.split())``): the
+    count of maximal non-whitespace runs, found without building an array."""
+    non_ws = "[^" + PY_WHITESPACE[1:-2] + "]+"
+    return F.regexp_count(_text(text), F.lit(non_ws)).cast("long")
 
 
 def term_bucket(term: Column | str, num_buckets: int = 124) -> Column:

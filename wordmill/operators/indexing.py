@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize
+from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize, whitespace_word_count
 from wordmill.operators.joins import spread
 from wordmill.sources.corpus import corpus_stats, titles
 
@@ -30,15 +30,24 @@ def doc_tokens(corpus: DataFrame, stop_words: bool = True) -> DataFrame:
     return spread(corpus).select("doc_id", tokenize("text", stop_words).alias("tokens"))
 
 
+def sorted_doc_tokens(corpus: DataFrame) -> DataFrame:
+    """``doc_id, s``: each document's kept tokens, sorted (equal tokens adjacent)."""
+    return spread(corpus).select("doc_id", F.sort_array(tokenize("text")).alias("s"))
+
+
+def counts_from_sorted(sorted_toks: DataFrame) -> DataFrame:
+    """``term, doc_id, tf`` from ``doc_id, s`` (see ``run_starts``/``run_lengths``)."""
+    with_runs = sorted_toks.select("doc_id", "s", run_starts("s").alias("starts"))
+    return with_runs.select("doc_id", F.inline(run_lengths("s", "starts"))).select("term", "doc_id", "tf")
+
+
 def term_counts(corpus: DataFrame) -> DataFrame:
     """``term, doc_id, tf`` for every distinct kept term of every document row.
 
     Counted inside each row (sort + run lengths), so this is a narrow,
     shuffle-free transformation of the scan however large the corpus is.
     """
-    sorted_toks = spread(corpus).select("doc_id", F.sort_array(tokenize("text")).alias("s"))
-    with_runs = sorted_toks.select("doc_id", "s", run_starts("s").alias("starts"))
-    return with_runs.select("doc_id", F.inline(run_lengths("s", "starts"))).select("term", "doc_id", "tf")
+    return counts_from_sorted(sorted_doc_tokens(corpus))
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -114,32 +123,37 @@ TABLES = ("postings", "terms", "titles", "corpus_stats")
 def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS) -> Index:
     """Build and write the index under ``path`` and return it read back.
 
-    The unfiltered term counts are persisted once (tokenizing is the costly
-    step) and feed both the term statistics and the postings.  ``terms`` is
-    written first; the postings join then reads it back, so the optimizer sees
-    its real on-disk size and only broadcasts it when that is small.  Postings
-    are rebalanced on ``bucket`` (AQE splits a hot bucket, coalesces small ones)
-    and sorted by ``term, doc_id`` so each file covers a narrow term range and
-    parquet min/max statistics prune row groups on lookup.
+    The corpus text is scanned and tokenized once: a per-document frame
+    (id, title, length, sorted tokens) is persisted and feeds the term counts,
+    the titles and the statistics.  ``terms`` is written first; the postings
+    join then reads it back, so the optimizer sees its real on-disk size and
+    only broadcasts it when that is small.  Postings are rebalanced on
+    ``bucket`` (AQE splits a hot bucket, coalesces small ones) and sorted by
+    ``term, doc_id`` so each file covers a narrow term range and parquet
+    min/max statistics prune row groups on lookup.
     """
     spark = corpus.sparkSession
-    counts = term_counts(corpus).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = spread(corpus).select(
+        "doc_id", "title", whitespace_word_count("text").alias("doc_len"),
+        F.sort_array(tokenize("text")).alias("s"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        counts = counts_from_sorted(docs.select("doc_id", "s"))
         terms = with_bucket(term_stats(counts, min_df), num_buckets)
         (terms.repartition("bucket").sortWithinPartitions("term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
         kept = spark.read.parquet(f"{path}/terms").select("term", "bucket")
-        if min_df > 0:
-            postings = counts.join(kept, "term")
-        else:
-            postings = with_bucket(counts, num_buckets)
+        postings = counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets)
         (postings.hint("rebalance", "bucket")
          .sortWithinPartitions("bucket", "term", "doc_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+        docs.groupBy("doc_id").agg(F.min("title").alias("title")).write.mode("overwrite").parquet(f"{path}/titles")
+        stats = docs.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_rows"),
+                         F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        (stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows", "total_len")
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats"))
     finally:
-        counts.unpersist()
-    titles(corpus).write.mode("overwrite").parquet(f"{path}/titles")
-    corpus_stats(corpus).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        docs.unpersist()
     spark.createDataFrame([(min_df, num_buckets)], "min_df long, num_buckets long").write.mode(
         "overwrite").parquet(f"{path}/settings")
     return read_index(spark, path)

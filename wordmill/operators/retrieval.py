@@ -22,6 +22,7 @@ from wordmill.functions.scoring import bm25_idf, bm25_term, pagerank_factor, tfi
 from wordmill.functions.text import term_bucket, tokenize
 from wordmill.operators.indexing import Index
 from wordmill.operators.joins import DEFAULT_BROADCAST_ROWS
+from wordmill.session import checkpoint_dir
 
 SCORE_DIGITS = 9  # scores are compared at this precision when ranking
 
@@ -60,6 +61,13 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
     return side.join(vocab, ["bucket", "term"]), small
 
 
+def query_buckets(qterms_or_tokens: DataFrame, num_buckets: int) -> list[int] | None:
+    """The buckets a query batch touches (at most ``num_buckets`` values), or
+    ``None`` when it touches them all and a filter would not prune anything."""
+    buckets = sorted(r[0] for r in qterms_or_tokens.select("bucket").distinct().collect())
+    return None if len(buckets) >= num_buckets else buckets
+
+
 def query_terms(queries: DataFrame, index: Index, query_col: str = "query",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``query_id, term, qtf, first_pos, bucket, df``: query tokens known to the index.
@@ -93,8 +101,14 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
         # the query terms already carry the df cut.
         hits = index.all_postings.select("term", "doc_id", "tf").join(side.drop("bucket"), "term")
     else:
-        # Stored index: joining on the partition column lets the scan prune buckets.
-        hits = index.postings.select("bucket", "term", "doc_id", "tf").join(side, ["bucket", "term"])
+        # Stored index: a static bucket list (bounded by the bucket count) prunes
+        # partition folders of the postings scan before the broadcast join.
+        postings = index.postings.select("bucket", "term", "doc_id", "tf")
+        if small:
+            buckets = query_buckets(qterms, index.num_buckets)
+            if buckets is not None:
+                postings = postings.where(F.col("bucket").isin(buckets))
+        hits = postings.join(side, ["bucket", "term"])
     tf = F.col("tf").cast("double")
     w = tf * F.col("idf_tfidf")
     if r.length_norm:
@@ -128,7 +142,7 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
     )
 
 
-def top_n(scored: DataFrame, n: int = 100) -> DataFrame:
+def top_n(scored: DataFrame, n: int = 100, materialize: bool = False) -> DataFrame:
     """Best ``n`` per query with a dense ``rank`` 1..n (stable tie order).
 
     ``row_number() <= n`` is planned as a WindowGroupLimit, which keeps only n
@@ -137,7 +151,13 @@ def top_n(scored: DataFrame, n: int = 100) -> DataFrame:
     """
     order = Window.partitionBy("query_id").orderBy(
         F.round("score", SCORE_DIGITS).desc(), F.col("first_pos").asc(), F.col("doc_id").asc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    if materialize:
+        # At most n rows per query: cut the lineage in the shared checkpoint
+        # folder so later joins (titles) do not recompute the scoring.
+        checkpoint_dir(best.sparkSession)
+        best = best.checkpoint(eager=True)
+    return best
 
 
 def attach_titles(results: DataFrame, titles: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -159,7 +179,7 @@ def search(queries: DataFrame, index: Index, pagerank: DataFrame | None = None,
     """``query_id, rank, doc_id, title, score`` (plus component scores), best first."""
     r = ranking or Ranking()
     scored = candidate_scores(queries, index, pagerank, r, query_col, doc_lengths)
-    best = top_n(scored, r.n)
+    best = top_n(scored, r.n, materialize=with_titles)
     if with_titles:
         best = attach_titles(best, index.titles)
     return best
