@@ -140,7 +140,7 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     try:
         counts = counts_from_sorted(docs.select("doc_id", "s"))
         terms = with_bucket(term_stats(counts, min_df), num_buckets)
-        (terms.repartition("bucket").sortWithinPartitions("term")
+        (terms.repartition("bucket").sortWithinPartitions("bucket", "term")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
         kept = spark.read.parquet(f"{path}/terms").select("term", "bucket")
         postings = counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets)
@@ -202,7 +202,7 @@ def append_to_index(path: str, new_corpus: DataFrame, out_path: str) -> Index:
              .groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")))
     postings = old.postings.select("term", "doc_id", "tf", "bucket").unionByName(
         new_counts.select("term", "doc_id", "tf", "bucket"))
-    (terms.select("term", "df", "term_total", "bucket").repartition("bucket").sortWithinPartitions("term")
+    (terms.select("term", "df", "term_total", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/terms"))
     (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/postings"))
