@@ -66,8 +66,13 @@ def html_anchor_pages(pages: DataFrame) -> DataFrame:
 
 
 def html_edges(pages: DataFrame) -> DataFrame:
-    """Distinct ``src, dst`` edges of HTML pages, flat (no nested round trip)."""
-    links = html_links(pages)
+    """Distinct ``src, dst`` edges of HTML pages, flat (no nested round trip).
+
+    Links are made distinct per page before the URL lookup, so a navigation
+    link repeated on every page costs one row per page, and a target URL
+    shared by a third of all pages is a skewed join key that AQE splits.
+    """
+    links = html_links(pages).distinct()
     known = pages.select(F.col("url").alias("target_url"), F.col("page_id").cast("long").alias("known_id"))
     return links.join(known, "target_url", "left").select(
         "src", F.coalesce("known_id", url_id(F.col("target_url"))).alias("dst")).distinct()

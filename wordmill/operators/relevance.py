@@ -12,12 +12,14 @@ token (at most two words) are checked by one multi-pattern scan instead.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import TOKEN_PATTERN, is_stop_word
 from wordmill.operators.indexing import term_counts
 from wordmill.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from wordmill.session import checkpoint_dir
 
 _WS = r"\t\n\x0B\f\r "
 INTERIOR = rf"(?s)^[^{_WS}]*[{_WS}](.*)[{_WS}][^{_WS}]*$"
@@ -38,7 +40,9 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     ``vocabulary`` (``term, df`` over all terms) is given it ranks anchors;
     otherwise document frequencies are computed for passage terms only.
     """
-    counts = term_counts(corpus).select("term", "doc_id")
+    # Document terms feed both the anchor statistics and the candidate join;
+    # keep them once instead of tokenizing the corpus twice.
+    counts = term_counts(corpus).select("term", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     inner = interior_terms(passages)
     small = inner.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
     wanted = inner.select("term").distinct()
@@ -63,7 +67,13 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     anchored = matched.select("query_id", "doc_id")
 
     anchorless = passages.join(inner.select("query_id").distinct(), "query_id", "left_anti")
-    return anchored.unionByName(_scan_short_passages(anchorless, texts, max_broadcast_rows)).distinct()
+    out = anchored.unionByName(_scan_short_passages(anchorless, texts, max_broadcast_rows)).distinct()
+    # The result is at most the verified candidates: materialise it in the
+    # shared checkpoint folder so the cached term table can be released.
+    checkpoint_dir(passages.sparkSession)
+    out = out.checkpoint(eager=True)
+    counts.unpersist()
+    return out
 
 
 def _scan_short_passages(short: DataFrame, texts: DataFrame, max_rows: int) -> DataFrame:
