@@ -4,7 +4,7 @@ Tables (all flat; postings are never materialised as per-term arrays except in
 ``posting_lists``):
 
 * ``postings``  ``term, doc_id, tf`` (+ ``bucket`` on disk)
-* ``terms``     ``term, df, term_total, bucket``
+* ``terms``     ``term, df, term_total, bucket`` (sorted by bucket, term)
 * ``titles``    ``doc_id, title``
 * ``corpus_stats`` one row ``n_docs, avg_dl``
 """
@@ -140,8 +140,11 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     try:
         counts = counts_from_sorted(docs.select("doc_id", "s"))
         terms = with_bucket(term_stats(counts, min_df), num_buckets)
-        (terms.repartition("bucket").sortWithinPartitions("bucket", "term")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
+        # The vocabulary is small next to the postings: one sorted run of files
+        # (bucket, term), whose row-group statistics serve bucket/term filters,
+        # instead of a folder per bucket.
+        (terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+         .write.mode("overwrite").parquet(f"{path}/terms"))
         kept = spark.read.parquet(f"{path}/terms").select("term", "bucket")
         postings = counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets)
         (postings.hint("rebalance", "bucket")
@@ -202,8 +205,8 @@ def append_to_index(path: str, new_corpus: DataFrame, out_path: str) -> Index:
              .groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")))
     postings = old.postings.select("term", "doc_id", "tf", "bucket").unionByName(
         new_counts.select("term", "doc_id", "tf", "bucket"))
-    (terms.select("term", "df", "term_total", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/terms"))
+    (terms.select("term", "df", "term_total", "bucket").repartitionByRange("bucket", "term")
+     .sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{out_path}/terms"))
     (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/postings"))
     all_titles = old.titles.unionByName(titles(new_corpus)).groupBy("doc_id").agg(F.min("title").alias("title"))

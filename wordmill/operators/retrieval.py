@@ -54,8 +54,14 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
     rows = qtok.limit(max_broadcast_rows + 1).count()
     small = rows <= max_broadcast_rows
     wanted = qtok.select("bucket", "term").distinct()
-    wanted = F.broadcast(wanted) if small else wanted
-    vocab = index.terms.join(wanted, ["bucket", "term"], "left_semi").select("bucket", "term", "df")
+    vocab = index.terms
+    if small:
+        wanted = F.broadcast(wanted)
+        if index.all_postings is None:
+            buckets = query_buckets(qtok, index.num_buckets)
+            if buckets is not None:
+                vocab = vocab.where(F.col("bucket").isin(buckets))
+    vocab = vocab.join(wanted, ["bucket", "term"], "left_semi").select("bucket", "term", "df")
     side = F.broadcast(qtok) if small else qtok
     # Each query token matches at most one vocabulary row, so the result keeps the bound.
     return side.join(vocab, ["bucket", "term"]), small

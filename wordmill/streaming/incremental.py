@@ -6,7 +6,7 @@ Each micro-batch ``e`` of new documents is indexed on its own and appended:
   partition overwrite, so a retried batch replaces its own folder and never
   duplicates rows; earlier batches are never rewritten;
 * ``docs/batch=e``: ``doc_id, title, doc_len`` of the batch;
-* ``terms/version=e/bucket=b``: the vocabulary after the batch, i.e. the
+* ``terms/version=e``: the vocabulary after the batch, i.e. the
   previous version's ``df``/``term_total`` plus the batch's (both additive).
 
 Readers take the highest vocabulary version ``v`` and only batches ``<= v``,
@@ -55,8 +55,8 @@ def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = N
             new_terms = prev.unionByName(new_terms).groupBy("term", "bucket").agg(
                 F.sum("df").alias("df"), F.sum("term_total").alias("term_total"))
         (new_terms.select("term", "df", "term_total", "bucket").withColumn("version", F.lit(batch_id))
-         .repartition("bucket").sortWithinPartitions("bucket", "term")
-         .write.mode("overwrite").partitionBy("version", "bucket").parquet(f"{root}/terms"))
+         .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+         .write.mode("overwrite").partitionBy("version").parquet(f"{root}/terms"))
         counts.unpersist()
     finally:
         docs.unpersist()
