@@ -40,16 +40,19 @@ def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterati
     outdeg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
     weighted = edges.join(outdeg, "src").select("src", "dst", (F.lit(1.0) / F.col("outdeg")).alias("w"), "outdeg")
     weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
-    n_edges = weighted.count()
+    degree = outdeg.agg(F.sum("outdeg").alias("edges"), F.max("outdeg").alias("top")).first()
+    n_edges, top = int(degree["edges"] or 0), int(degree["top"] or 0)
     # A source is hot when it alone holds more than a partition's fair share of
     # edges; there can be at most n such sources, so their ranks broadcast safely.
     threshold = hot_degree or max(math.ceil(n_edges / n), 10_000)
+    has_hot = top > threshold
     normal = weighted.where(F.col("outdeg") <= threshold).select("src", "dst", "w") \
         .repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    hot = weighted.where(F.col("outdeg") > threshold).select("src", "dst", "w") \
-        .repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
-    hot_ids = hot.select(F.col("src").alias("id")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    has_hot = hot_ids.count() > 0
+    hot = hot_ids = None
+    if has_hot:
+        hot = weighted.where(F.col("outdeg") > threshold).select("src", "dst", "w") \
+            .repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+        hot_ids = hot.select(F.col("src").alias("id")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
     verts = vertices.select(F.col("id").cast("long")).distinct().repartition(n, "id") \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -68,7 +71,9 @@ def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterati
             ranks = ranks.checkpoint(eager=True)
     total = ranks.agg(F.sum("rank")).first()[0] or 0.0
     factor = (n_vertices / total) if total else 1.0
-    result = ranks.select("id", (F.col("rank") * F.lit(factor)).alias("pagerank")).checkpoint(eager=True)
+    # The last round is checkpointed, so the rescale is a narrow projection of it.
+    result = ranks.select("id", (F.col("rank") * F.lit(factor)).alias("pagerank"))
     for df in (weighted, normal, hot, hot_ids, verts):
-        df.unpersist()
+        if df is not None:
+            df.unpersist()
     return result
