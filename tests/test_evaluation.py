@@ -79,3 +79,18 @@ def test_dense_rank_is_global(spark):
     want = [r["id"] for r in df.orderBy("k").collect()]
     assert got == want
     assert sorted(r["pos"] for r in ranked.collect()) == list(range(500))
+
+
+def test_successors_match_lead_with_a_hot_group(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from wordmill.operators.ordering import successors
+
+    # Group 0 holds most rows, so it spans several range partitions.
+    rows = [(0 if i % 4 else i % 7, i // 3, (i * 37) % 101) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, o long, v long")
+    got = sorted(tuple(r) for r in successors(df, "g", ["o", "v"], "v").select("g", "o", "v", "next").collect())
+    w = Window.partitionBy("g").orderBy("o", "v")
+    want = sorted(tuple(r) for r in df.select("g", "o", "v", F.lead("v").over(w).alias("next")).collect())
+    assert got == want

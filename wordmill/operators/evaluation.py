@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions.scoring import harmonic_or_zero, round3
+from wordmill.operators.ordering import dense_order_rank
 
 
 def judged_results(results: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -27,12 +28,28 @@ def judged_results(results: DataFrame, qrels: DataFrame) -> DataFrame:
         .select("query_id", "rank", "doc_id", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-def _counts(judged: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+def per_query_counts(results: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 30, 40),
+                     ap_k: int = 40, overlap_k: int = 40) -> DataFrame:
+    """One pass over judged results: per query ``n_k``/``h_k`` (results and hits
+    in the first k), ``ap_sum``/``ap_hits`` (average precision parts),
+    ``overlap`` and ``n_returned``.
+
+    The running hit count is a window over one query's ranked list, which the
+    search caps at ``n`` rows, so no window partition grows with the corpus.
+    """
+    running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    judged = judged_results(results, qrels).withColumn("hits_so_far", F.sum("hit").over(running))
     aggs = []
-    for k in ks:
+    for k in sorted(set(ks)):
         in_k = F.col("rank") <= k
         aggs += [F.sum(F.when(in_k, 1).otherwise(0)).alias(f"n_{k}"),
                  F.sum(F.when(in_k, F.col("hit")).otherwise(0)).alias(f"h_{k}")]
+    ap_hit = (F.col("rank") <= ap_k) & (F.col("hit") == 1)
+    aggs += [F.sum(F.when(ap_hit, F.col("hits_so_far") / F.col("rank"))).alias("ap_sum"),
+             F.sum(F.when(ap_hit, 1).otherwise(0)).alias("ap_hits"),
+             F.countDistinct(F.when((F.col("rank") <= overlap_k) & (F.col("hit") == 1), F.col("doc_id")))
+             .alias("overlap"),
+             F.count(F.lit(1)).alias("n_returned")]
     return judged.groupBy("query_id").agg(*aggs)
 
 
@@ -55,10 +72,16 @@ def f1_col(k: int) -> F.Column:
     return harmonic_or_zero(precision_col(k), recall_col(k))
 
 
-def _base(queries: DataFrame, results: DataFrame, qrels: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    judged = judged_results(results, qrels)
+def ap_col() -> F.Column:
+    return F.when(F.coalesce(F.col("ap_hits"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
+        round3(F.col("ap_sum") / F.col("ap_hits")))
+
+
+def _base(queries: DataFrame, results: DataFrame, qrels: DataFrame, ks: tuple[int, ...],
+          ap_k: int = 40, overlap_k: int = 40) -> DataFrame:
+    """Every query (from the query table), its counts, and its truth size."""
     return (queries.select("query_id")
-            .join(_counts(judged, ks), "query_id", "left")
+            .join(per_query_counts(results, qrels, ks, ap_k, overlap_k), "query_id", "left")
             .join(_truth_sizes(qrels), "query_id", "left"))
 
 
@@ -80,60 +103,29 @@ def results_quality(queries: DataFrame, results: DataFrame, qrels: DataFrame) ->
 
 
 def average_precision(queries: DataFrame, results: DataFrame, qrels: DataFrame, k: int = 40) -> DataFrame:
-    """Mean of precision at each hit in the first ``k`` (divisor: hits found; 0 if none).
-
-    The running hit count is a window over one query's results, which the
-    search caps at ``n`` rows, so no window partition grows with the corpus.
-    """
-    judged = judged_results(results, qrels).where(F.col("rank") <= k)
-    running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    at_hits = judged.withColumn("hits_so_far", F.sum("hit").over(running)).where(F.col("hit") == 1)
-    ap = at_hits.groupBy("query_id").agg(round3(F.avg(F.col("hits_so_far") / F.col("rank"))).alias("ap"))
-    return queries.select("query_id").join(ap, "query_id", "left").select(
-        "query_id", F.coalesce("ap", F.lit(0.0)).alias(f"average_precision_at_{k}"))
+    """Mean of precision at each hit in the first ``k`` (divisor: hits found; 0 if none)."""
+    base = _base(queries, results, qrels, (k,), ap_k=k)
+    return base.select("query_id", ap_col().alias(f"average_precision_at_{k}"))
 
 
 def overlap_at_k(queries: DataFrame, results: DataFrame, qrels: DataFrame, k: int = 40) -> DataFrame:
-    hits = judged_results(results, qrels).where((F.col("rank") <= k) & (F.col("hit") == 1))
-    ov = hits.groupBy("query_id").agg(F.countDistinct("doc_id").alias("ov"))
-    return queries.select("query_id").join(ov, "query_id", "left").select(
-        "query_id", F.coalesce("ov", F.lit(0)).cast("long").alias(f"overlap_at_{k}"))
+    base = _base(queries, results, qrels, (k,), overlap_k=k)
+    return base.select("query_id", F.coalesce("overlap", F.lit(0)).cast("long").alias(f"overlap_at_{k}"))
 
 
 def query_report(queries: DataFrame, results: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Per query: relevant and returned counts, P@5, F1@30, quality, AP@40, overlap@40."""
+    """Per query: relevant and returned counts, P@5, F1@30, quality, AP@40, overlap@40 (one pass)."""
     base = _base(queries, results, qrels, (5, 30, 40))
-    returned = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_returned"))
-    report = base.join(returned, "query_id", "left").select(
+    return base.select(
         "query_id",
         F.coalesce("n_relevant", F.lit(0)).cast("long").alias("n_relevant"),
         F.coalesce("n_returned", F.lit(0)).cast("long").alias("n_returned"),
         precision_col(5).alias("precision_at_5"),
         f1_col(30).alias("f1_at_30"),
         harmonic_or_zero(precision_col(5), f1_col(30)).alias("results_quality"),
+        ap_col().alias("average_precision_at_40"),
+        F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap_at_40"),
     )
-    ap = average_precision(queries, results, qrels, 40)
-    ov = overlap_at_k(queries, results, qrels, 40)
-    return report.join(ap, "query_id").join(ov, "query_id")
-
-
-def dense_order_rank(df: DataFrame, key: F.Column, name: str = "pos") -> DataFrame:
-    """Global 0-based position of each row in ``key`` order, without a single-task window.
-
-    Rows are range-partitioned by the key; each partition numbers its rows and
-    adds the counts of all earlier partitions (a table with one row per
-    partition, small enough to broadcast).
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_k", key).repartitionByRange(n, "_k").withColumn("_p", F.spark_partition_id())
-    local = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1)
-    sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    return local.join(F.broadcast(offsets.select("_p", "_off")), "_p").withColumn(
-        name, F.col("_i") + F.col("_off")).drop("_k", "_p", "_i", "_off")
 
 
 def train_val_split(queries: DataFrame, ratio: float = 0.7, seed: int = 42, key_col: str = "query") -> DataFrame:

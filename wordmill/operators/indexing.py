@@ -66,9 +66,19 @@ def min_df_filter(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(terms.select("term"), "term", "left_semi")
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """``term, postings array<struct<doc_id, tf>>`` sorted by doc_id (a view for export)."""
-    return postings.groupBy("term").agg(
+POSTING_BLOCK = 65536
+
+
+def posting_lists(postings: DataFrame, block_size: int = POSTING_BLOCK) -> DataFrame:
+    """``term, block, postings array<struct<doc_id, tf>>`` sorted by doc_id (a view for export).
+
+    A term's list is cut into blocks of doc ids ``[block·size, (block+1)·size)``,
+    so no array (and no task) holds more than ``block_size`` postings per
+    document id, even for a term found in a third of the corpus.  Blocks of a
+    term, concatenated in block order, are its full sorted list.
+    """
+    blocked = postings.withColumn("block", F.floor(F.col("doc_id") / F.lit(block_size)).cast("long"))
+    return blocked.groupBy("term", "block").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings")
     )
 

@@ -198,8 +198,9 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["min_df_filter"] = f"{base(md)} SELECT term, doc_id, tf FROM counts WHERE term IN (SELECT term FROM terms)"
     q["vocab_size"] = f"{base(md)} SELECT count(*) AS n_terms FROM terms"
     q["term_sample"] = f"{base(md)} SELECT term, df FROM terms ORDER BY term LIMIT 20"
-    q["posting_lists"] = (f"{base(md)} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' "
-                          "ORDER BY doc_id) AS postings FROM counts WHERE term IN (SELECT term FROM terms) GROUP BY term")
+    q["posting_lists"] = (f"{base(md)} SELECT term, CAST(floor(doc_id / 65536) AS BIGINT) AS block, "
+                          "count(*) AS n_postings, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings "
+                          "FROM counts WHERE term IN (SELECT term FROM terms) GROUP BY term, block")
     q["term_buckets"] = f"{base(md)} SELECT bucket, count(*) AS n_terms, sum(df) AS n_postings FROM terms GROUP BY bucket"
     q["index_roundtrip"] = (f"{base(md)} SELECT c.term, c.doc_id, c.tf, t.bucket FROM counts c "
                             "JOIN terms t USING (term)")

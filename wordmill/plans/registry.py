@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.text import is_stop_word, raw_tokens, term_bucket, tokenize
 from wordmill.operators import evaluation as ev
+from wordmill.operators.ordering import successors
 from wordmill.operators.indexing import (
+    POSTING_BLOCK,
     Index,
     append_to_index,
     build_index,
@@ -116,7 +118,8 @@ def q_posting_lists(spark, sf_dir):
     lists = posting_lists(idx.postings)
     as_text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"),
                                                                          p["tf"].cast("string"))), ",")
-    return lists.select("term", F.size("postings").cast("long").alias("df"), as_text.alias("postings"))
+    return lists.select("term", "block", F.size("postings").cast("long").alias("n_postings"),
+                        as_text.alias("postings"))
 
 
 def q_term_buckets(spark, sf_dir):
@@ -156,9 +159,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_qrels_explode(spark, sf_dir):
-    # Pack each query's judgements as a JSON object {query: [ids as strings]},
-    # then read them back through the relevance-set parser.
-    packed = qrels(spark, sf_dir).groupBy("query_id").agg(
+    # Pack judgements as JSON objects {query: [ids as strings]} (one object per
+    # query and block of doc ids, so no object grows with the corpus), then read
+    # them back through the relevance-set parser.
+    packed = qrels(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / F.lit(POSTING_BLOCK))) \
+        .groupBy("query_id", "block").agg(
         F.to_json(F.create_map(F.col("query_id").cast("string"),
                                F.array_sort(F.collect_list(F.col("doc_id").cast("string"))))).alias("json"))
     parsed = relevance_from_json_column("json", packed)
@@ -193,8 +198,8 @@ def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     self-loops; parts that are only ever last in an order are sinks.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    edges = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")) \
+    nxt = successors(li, "l_orderkey", ["l_linenumber", "l_partkey"], "l_partkey")
+    edges = nxt.select(F.col("l_partkey").alias("src"), F.col("next").alias("dst")) \
         .where(F.col("dst").isNotNull()).distinct()
     vertices = li.select(F.col("l_partkey").alias("id")).distinct()
     return edges, vertices
