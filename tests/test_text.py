@@ -43,3 +43,13 @@ def test_bucket_is_md5_prefix(spark):
 
     got = spark.range(1).select(term_bucket(F.lit("abc"), 124)).first()[0]
     assert got == int(hashlib.md5(b"abc").hexdigest()[:10], 16) % 124 == 44
+
+
+def test_java_pattern_equals_plain_pattern(spark):
+    from wordmill.functions.text import TOKEN_PATTERN, TOKEN_PATTERN_JAVA
+
+    texts = [t for t, _ in CASES] + ["it'-s a-'b x''y --abc-- a'b'c'd'e'f", "ab'", "abc'", "a-b-", "#1a @@bc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [r[0] for r in df.select(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN), 0)).collect()]
+    fast = [r[0] for r in df.select(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN_JAVA), 0)).collect()]
+    assert plain == fast

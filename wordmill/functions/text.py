@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 # 24 repeats of an optional apostrophe or hyphen followed by a word character.
 # "Word character" is Unicode letters, Unicode numbers and underscore.
 TOKEN_PATTERN = r"[#@\p{L}\p{N}_](?:['\-]?[\p{L}\p{N}_]){2,24}"
+# The same rule with possessive quantifiers for Java's regex engine: nothing
+# follows either quantifier, so giving up backtracking states cannot change
+# a match, and the engine does less work per character.
+TOKEN_PATTERN_JAVA = r"[#@\p{L}\p{N}_](?:['\-]?+[\p{L}\p{N}_]){2,24}+"
 
 # English stop words (public NLTK English list, 179 words, in its usual order).
 ENGLISH_STOP_WORDS = """
@@ -56,7 +60,7 @@ def _text(col: Column | str) -> Column:
 
 def raw_tokens(text: Column | str) -> Column:
     """All non-overlapping token matches of ``lower(text)``, stop words kept."""
-    return F.regexp_extract_all(F.lower(_text(text)), F.lit(TOKEN_PATTERN), 0)
+    return F.regexp_extract_all(F.lower(_text(text)), F.lit(TOKEN_PATTERN_JAVA), 0)
 
 
 def is_stop_word(term: Column) -> Column:

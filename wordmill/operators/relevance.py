@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import TOKEN_PATTERN, is_stop_word
+from wordmill.functions.text import TOKEN_PATTERN_JAVA, is_stop_word
 from wordmill.operators.indexing import term_counts
 from wordmill.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 from wordmill.session import checkpoint_dir
@@ -28,7 +28,7 @@ INTERIOR = rf"(?s)^[^{_WS}]*[{_WS}](.*)[{_WS}][^{_WS}]*$"
 def interior_terms(passages: DataFrame) -> DataFrame:
     """``query_id, term``: distinct non-stop tokens strictly inside each passage."""
     inner = F.regexp_extract(F.lower(F.coalesce(F.col("passage"), F.lit(""))), INTERIOR, 1)
-    toks = F.filter(F.regexp_extract_all(inner, F.lit(TOKEN_PATTERN), 0), lambda t: ~is_stop_word(t))
+    toks = F.filter(F.regexp_extract_all(inner, F.lit(TOKEN_PATTERN_JAVA), 0), lambda t: ~is_stop_word(t))
     return passages.select("query_id", F.explode(F.array_distinct(toks)).alias("term"))
 
 
