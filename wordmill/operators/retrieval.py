@@ -48,13 +48,15 @@ def query_tokens(queries: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 def _query_terms(queries: DataFrame, index: Index, query_col: str,
-                 max_broadcast_rows: int) -> tuple[DataFrame, bool]:
+                 max_broadcast_rows: int) -> tuple[DataFrame, bool, list[int] | None]:
+    """(query terms with df, whether they are small enough to broadcast, bucket list or None)."""
     qtok = query_tokens(queries, query_col).withColumn("bucket", term_bucket("term", index.num_buckets))
     # One small job proves the size of the query side before it is broadcast.
     rows = qtok.limit(max_broadcast_rows + 1).count()
     small = rows <= max_broadcast_rows
     wanted = qtok.select("bucket", "term").distinct()
     vocab = index.terms
+    buckets = None
     if small:
         wanted = F.broadcast(wanted)
         if index.all_postings is None:
@@ -64,7 +66,7 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
     vocab = vocab.join(wanted, ["bucket", "term"], "left_semi").select("bucket", "term", "df")
     side = F.broadcast(qtok) if small else qtok
     # Each query token matches at most one vocabulary row, so the result keeps the bound.
-    return side.join(vocab, ["bucket", "term"]), small
+    return side.join(vocab, ["bucket", "term"]), small, buckets
 
 
 def query_buckets(qterms_or_tokens: DataFrame, num_buckets: int) -> list[int] | None:
@@ -99,7 +101,7 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
     """``query_id, doc_id, first_pos, tfidf, bm25, pr, tfidf_boosted, score`` for every reached doc."""
     r = ranking or Ranking()
     n_docs = index.n_docs()
-    qterms, small = _query_terms(queries, index, query_col, max_broadcast_rows)
+    qterms, small, buckets = _query_terms(queries, index, query_col, max_broadcast_rows)
     qterms = term_weights(qterms, n_docs)
     side = F.broadcast(qterms) if small else qterms
     if index.all_postings is not None:
@@ -110,10 +112,8 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
         # Stored index: a static bucket list (bounded by the bucket count) prunes
         # partition folders of the postings scan before the broadcast join.
         postings = index.postings.select("bucket", "term", "doc_id", "tf")
-        if small:
-            buckets = query_buckets(qterms, index.num_buckets)
-            if buckets is not None:
-                postings = postings.where(F.col("bucket").isin(buckets))
+        if buckets is not None:
+            postings = postings.where(F.col("bucket").isin(buckets))
         hits = postings.join(side, ["bucket", "term"])
     tf = F.col("tf").cast("double")
     w = tf * F.col("idf_tfidf")

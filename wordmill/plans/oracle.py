@@ -198,6 +198,8 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["min_df_filter"] = f"{base(md)} SELECT term, doc_id, tf FROM counts WHERE term IN (SELECT term FROM terms)"
     q["vocab_size"] = f"{base(md)} SELECT count(*) AS n_terms FROM terms"
     q["term_sample"] = f"{base(md)} SELECT term, df FROM terms ORDER BY term LIMIT 20"
+    q["title_preview"] = (f"WITH {CORPUS} SELECT doc_id, min(title) AS title FROM corpus GROUP BY doc_id "
+                          "ORDER BY doc_id LIMIT 2")
     q["posting_lists"] = (f"{base(md)} SELECT term, CAST(floor(doc_id / 65536) AS BIGINT) AS block, "
                           "count(*) AS n_postings, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings "
                           "FROM counts WHERE term IN (SELECT term FROM terms) GROUP BY term, block")
@@ -212,6 +214,9 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["link_vertices"] = f"WITH {LINKS} SELECT id FROM vertices"
     q["pagerank"] = f"WITH {PARTS}, {pagerank_ctes('pr')} SELECT id, round(pagerank, 9) AS pagerank FROM pr"
     q["pagerank_links"] = f"WITH {LINKS}, {pagerank_ctes('pr')} SELECT id, round(pagerank, 9) AS pagerank FROM pr"
+    q["pagerank_preview"] = (f"WITH {LINKS}, {pagerank_ctes('pr')}, r AS (SELECT id, round(pagerank, 9) AS pagerank "
+                             "FROM pr) SELECT id, pagerank, (SELECT count(*) FROM r) AS n_ranked FROM r "
+                             "ORDER BY pagerank DESC, id LIMIT 5")
     q["query_terms"] = f"{base(md)}, {QTOK} SELECT query_id, term, qtf, first_pos, df FROM qterms"
     q["idf"] = (f"{base(md)}, {QTOK} SELECT query_id, term, df, round(idf_tfidf, 9) AS idf_tfidf, "
                 "round(idf_bm25, 9) AS idf_bm25 FROM qterms")

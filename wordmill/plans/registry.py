@@ -113,6 +113,11 @@ def q_term_sample(spark, sf_dir):
     return idx.terms.select("term", "df").orderBy("term").limit(20)
 
 
+def q_title_preview(spark, sf_dir):
+    """The first two titles by id (the reference prints two arbitrary ones)."""
+    return titles(corpus(spark, sf_dir)).orderBy("doc_id").limit(2)
+
+
 def q_posting_lists(spark, sf_dir):
     idx = _index(spark, sf_dir)
     lists = posting_lists(idx.postings)
@@ -210,6 +215,13 @@ def q_pagerank(spark, sf_dir):
     return pagerank(edges, vertices).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
+def q_pagerank_preview(spark, sf_dir):
+    """Five best-ranked pages of the link graph, and how many pages were ranked."""
+    ranks = pages_rank(spark, sf_dir).select("id", F.round("pagerank", 9).alias("pagerank"))
+    n = ranks.count()
+    return ranks.orderBy(F.col("pagerank").desc(), "id").limit(5).withColumn("n_ranked", F.lit(n).cast("long"))
+
+
 def q_pagerank_links(spark, sf_dir):
     return pages_rank(spark, sf_dir).select("id", F.round("pagerank", 9).alias("pagerank"))
 
@@ -342,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_df_filter": q_min_df_filter,
     "vocab_size": q_vocab_size,
     "term_sample": q_term_sample,
+    "title_preview": q_title_preview,
     "posting_lists": q_posting_lists,
     "term_buckets": q_term_buckets,
     "index_roundtrip": q_index_roundtrip,
@@ -352,6 +365,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "link_vertices": q_link_vertices,
     "pagerank": q_pagerank,
     "pagerank_links": q_pagerank_links,
+    "pagerank_preview": q_pagerank_preview,
     "query_terms": q_query_terms,
     "idf": q_idf,
     "score_tfidf": q_score_tfidf,
