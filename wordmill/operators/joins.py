@@ -27,8 +27,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A huge corpus arrives in thousands of splits and is left untouched; a
     single-row-group file would otherwise tokenize in one task.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD API (e.g. Spark Connect)
+        return df
+    return df.repartition(want) if have < want else df

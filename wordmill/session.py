@@ -35,7 +35,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set (a folder every executor can reach). Only a
     local-mode session without it gets a private temporary folder, for tests.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no driver-side context (e.g. Spark Connect)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
