@@ -89,3 +89,23 @@ def test_search_plan_is_jvm_only_and_limits_per_group(spark, scratch):
     plan = search(qdf, index)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_length_normalised_bm25(spark, scratch, stored):
+    import math
+
+    from wordmill.operators.retrieval import Ranking
+
+    c = _corpus(spark, TOY)
+    index = write_index(c, f"{scratch}/bm", min_df=0, num_buckets=8) if stored else build_index(c, min_df=0)
+    qdf = spark.createDataFrame([(0, "kiwi")], "query_id long, query string")
+    got = {r["doc_id"]: r["bm25"] for r in search(qdf, index, None, Ranking(length_norm=True)).collect()}
+    lens = {d: len(t.split()) for d, t in TOY}
+    avg = sum(lens.values()) / len(lens)
+    n, df = 8, 2
+    idf = math.log10((n - df + 0.5) / (df + 0.5))
+    want = {d: idf * 2.5 * 1 / (1.5 * (0.25 + 0.75 * lens[d] / avg) + 1) for d in (15, 16)}
+    assert set(got) == set(want)
+    for d in want:
+        assert got[d] == pytest.approx(want[d], abs=1e-12)

@@ -103,6 +103,8 @@ class Index:
     # Document ids of a raw corpus, so N is a distinct count of ids alone
     # rather than the full statistics row (which measures every text).
     doc_ids: DataFrame | None = None
+    # ``doc_id, doc_len`` (whitespace words), for length-normalised BM25.
+    doc_lengths: DataFrame | None = None
 
     def n_docs(self) -> int:
         if self.doc_ids is not None:
@@ -124,7 +126,8 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
     terms = with_bucket(term_stats(counts, min_df), num_buckets)
     postings = counts.join(terms.select("term", "bucket"), "term") if min_df > 0 else with_bucket(counts, num_buckets)
     return Index(postings, terms, titles(corpus), corpus_stats(corpus), num_buckets, min_df,
-                 all_postings=counts, doc_ids=corpus.select("doc_id"))
+                 all_postings=counts, doc_ids=corpus.select("doc_id"),
+                 doc_lengths=corpus.select("doc_id", whitespace_word_count("text").alias("doc_len")))
 
 
 TABLES = ("postings", "terms", "titles", "corpus_stats")
@@ -161,6 +164,7 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
          .sortWithinPartitions("bucket", "term", "doc_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
         docs.groupBy("doc_id").agg(F.min("title").alias("title")).write.mode("overwrite").parquet(f"{path}/titles")
+        docs.select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{path}/doc_lengths")
         stats = docs.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_rows"),
                          F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
         (stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows", "total_len")
@@ -182,9 +186,17 @@ def read_index(spark: SparkSession, path: str) -> Index:
         corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
         num_buckets=int(settings["num_buckets"]),
         min_df=int(settings["min_df"]),
+        doc_lengths=_optional(spark, f"{path}/doc_lengths"),
     )
 
 
+def _optional(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - table absent in indexes written without it
+        return None
+
+
 def posting_lookup(index: Index, term: str) -> DataFrame:
     """``term, doc_id, tf`` of one term, ordered by doc_id; empty for an unknown term.
 

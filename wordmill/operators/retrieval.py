@@ -118,8 +118,11 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
     tf = F.col("tf").cast("double")
     w = tf * F.col("idf_tfidf")
     if r.length_norm:
+        lengths = doc_lengths if doc_lengths is not None else index.doc_lengths
+        if lengths is None:
+            raise ValueError("length-normalised BM25 needs document lengths (doc_id, doc_len)")
         avg_dl = index.avg_dl()
-        hits = hits.join(doc_lengths, "doc_id", "left")
+        hits = hits.join(lengths.select("doc_id", "doc_len"), "doc_id", "left")
         length_factor = F.lit(1.0 - r.b) + F.lit(r.b) * F.coalesce(F.col("doc_len"), F.lit(avg_dl)) / F.lit(avg_dl)
     else:
         length_factor = 1.0  # the reference's B = 1 - b + b·1
