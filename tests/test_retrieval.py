@@ -109,3 +109,23 @@ def test_length_normalised_bm25(spark, scratch, stored):
     assert set(got) == set(want)
     for d in want:
         assert got[d] == pytest.approx(want[d], abs=1e-12)
+
+
+def test_rank_stored_in_postings_matches_rank_join(spark, scratch):
+    c = _corpus(spark, TOY)
+    pr = spark.createDataFrame(RANKS, "id long, pagerank double")
+    embedded = write_index(c, f"{scratch}/emb", min_df=0, num_buckets=8, pagerank=pr)
+    assert "pr" in embedded.postings.columns
+    queries = list(GOLDEN)
+    qdf = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    rows = search(qdf, embedded).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(queries[r["query_id"]], []).append(r)
+    for q in queries:
+        want = GOLDEN[q]
+        assert [r["doc_id"] for r in got.get(q, [])] == [g[0] for g in want], q
+        for r, (d, tb, bm, sc) in zip(got.get(q, []), want):
+            assert r["score"] == pytest.approx(sc, abs=1e-8)
+    plan = search(qdf, embedded, with_titles=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pagerank" not in plan

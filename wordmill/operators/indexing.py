@@ -35,10 +35,11 @@ def sorted_doc_tokens(corpus: DataFrame) -> DataFrame:
     return spread(corpus).select("doc_id", F.sort_array(tokenize("text")).alias("s"))
 
 
-def counts_from_sorted(sorted_toks: DataFrame) -> DataFrame:
-    """``term, doc_id, tf`` from ``doc_id, s`` (see ``run_starts``/``run_lengths``)."""
-    with_runs = sorted_toks.select("doc_id", "s", run_starts("s").alias("starts"))
-    return with_runs.select("doc_id", F.inline(run_lengths("s", "starts"))).select("term", "doc_id", "tf")
+def counts_from_sorted(sorted_toks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``term, doc_id, tf`` (+ ``carry`` columns) from ``doc_id, s`` (see ``run_starts``/``run_lengths``)."""
+    with_runs = sorted_toks.select("doc_id", *carry, "s", run_starts("s").alias("starts"))
+    return with_runs.select("doc_id", *carry, F.inline(run_lengths("s", "starts"))) \
+        .select("term", "doc_id", "tf", *carry)
 
 
 def term_counts(corpus: DataFrame) -> DataFrame:
@@ -133,7 +134,8 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
 TABLES = ("postings", "terms", "titles", "corpus_stats")
 
 
-def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS) -> Index:
+def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS,
+                pagerank: DataFrame | None = None) -> Index:
     """Build and write the index under ``path`` and return it read back.
 
     The corpus text is scanned and tokenized once: a per-document frame
@@ -144,14 +146,25 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     ``bucket`` (AQE splits a hot bucket, coalesces small ones) and sorted by
     ``term, doc_id`` so each file covers a narrow term range and parquet
     min/max statistics prune row groups on lookup.
+
+    With ``pagerank`` (``id, pagerank``), each posting also stores its
+    document's rank as ``pr`` (0.0 when unranked): search then reads the boost
+    from the postings it already scans instead of joining the rank table, at
+    the price of one shuffle of the document frame here.
     """
     spark = corpus.sparkSession
     docs = spread(corpus).select(
         "doc_id", "title", whitespace_word_count("text").alias("doc_len"),
         F.sort_array(tokenize("text")).alias("s"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    carry: tuple[str, ...] = ()
+    if pagerank is not None:
+        ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
+        docs = docs.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
+        carry = ("pr",)
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = counts_from_sorted(docs.select("doc_id", "s"))
+        counts = counts_from_sorted(docs.select("doc_id", *carry, "s"), carry)
         terms = with_bucket(term_stats(counts, min_df), num_buckets)
         # The vocabulary is small next to the postings: one sorted run of files
         # (bucket, term), whose row-group statistics serve bucket/term filters,

@@ -111,7 +111,8 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
     else:
         # Stored index: a static bucket list (bounded by the bucket count) prunes
         # partition folders of the postings scan before the broadcast join.
-        postings = index.postings.select("bucket", "term", "doc_id", "tf")
+        with_rank = "pr" in index.postings.columns and pagerank is None
+        postings = index.postings.select("bucket", "term", "doc_id", "tf", *(["pr"] if with_rank else []))
         if buckets is not None:
             postings = postings.where(F.col("bucket").isin(buckets))
         hits = postings.join(side, ["bucket", "term"])
@@ -126,18 +127,22 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
         length_factor = F.lit(1.0 - r.b) + F.lit(r.b) * F.coalesce(F.col("doc_len"), F.lit(avg_dl)) / F.lit(avg_dl)
     else:
         length_factor = 1.0  # the reference's B = 1 - b + b·1
+    stored_rank = "pr" in hits.columns
     per_hit = hits.select(
-        "query_id", "doc_id", "first_pos",
+        "query_id", "doc_id", "first_pos", *(["pr"] if stored_rank else []),
         (F.col("qtf") * w * F.col("idf_tfidf")).alias("dot"),
         (F.col("qtf") * w * w).alias("sq"),
         (F.col("qtf") * bm25_term(F.col("idf_bm25"), tf, r.k1, length_factor)).alias("bm"),
     )
     agg = per_hit.groupBy("query_id", "doc_id").agg(
         F.sum("dot").alias("dot"), F.sum("sq").alias("sq"), F.sum("bm").alias("bm25"),
-        F.min("first_pos").alias("first_pos"))
+        F.min("first_pos").alias("first_pos"), *([F.max("pr").alias("pr")] if stored_rank else []))
     tfidf = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("sq")), F.lit(0.0))
-    scored = agg.select("query_id", "doc_id", "first_pos", tfidf.alias("tfidf"), "bm25")
-    if pagerank is not None:
+    scored = agg.select("query_id", "doc_id", "first_pos", tfidf.alias("tfidf"), "bm25",
+                        *(["pr"] if stored_rank else []))
+    if stored_rank:
+        pass  # the rank came with the postings
+    elif pagerank is not None:
         pr = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
         scored = scored.join(pr, "doc_id", "left")
     else:
