@@ -32,3 +32,14 @@ def test_isolated_vertex_gets_reset_mass(spark):
     total = sum(raw.values())
     for k in raw:
         assert got[k] == pytest.approx(raw[k] * 3 / total, abs=1e-12)
+
+
+def test_hot_source_split_matches_plain_rounds(spark):
+    # One source with 12,000 out-edges is "hot" under the default threshold.
+    star = [(0, i) for i in range(1, 12001)] + [(i, 0) for i in range(1, 50)] + [(5, 7), (7, 5)]
+    e, v = _graph(spark, star)
+    default = {r["id"]: r["pagerank"] for r in pagerank(e, v).collect()}
+    plain = {r["id"]: r["pagerank"] for r in pagerank(e, v, hot_degree=10**9).collect()}
+    assert default.keys() == plain.keys()
+    for k in plain:
+        assert default[k] == pytest.approx(plain[k], rel=1e-12)

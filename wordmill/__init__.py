@@ -13,6 +13,6 @@ from wordmill.operators.indexing import (  # noqa: F401
     term_stats,
     write_index,
 )
-from wordmill.operators.linkgraph import html_edges, html_vertices, link_edges, link_vertices  # noqa: F401
+from wordmill.operators.linkgraph import html_edges, html_vertices, link_edges, link_graph, link_vertices  # noqa: F401
 from wordmill.operators.pagerank import pagerank  # noqa: F401
 from wordmill.operators.retrieval import Ranking, candidate_scores, query_terms, search, top_n  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +84,13 @@ def html_vertices(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame
     edges = html_edges(pages) if edges is None else edges
     return (pages.select(F.col("page_id").cast("long").alias("id"))
             .unionByName(edges.select(F.col("dst").alias("id"))).distinct())
+
+
+def link_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(edges, vertices)`` of HTML pages, with the edges extracted once.
+
+    The edges (two ids per row) are persisted, so the HTML is scanned and
+    matched a single time although both outputs read them.
+    """
+    edges = html_edges(pages).persist(StorageLevel.MEMORY_AND_DISK)
+    return edges, html_vertices(pages, edges)

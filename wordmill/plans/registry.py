@@ -31,7 +31,7 @@ from wordmill.operators.indexing import (
     term_stats,
     write_index,
 )
-from wordmill.operators.linkgraph import html_anchor_pages, html_edges, html_vertices, link_edges, link_vertices
+from wordmill.operators.linkgraph import html_anchor_pages, link_edges, link_graph, link_vertices
 from wordmill.operators.pagerank import pagerank
 from wordmill.operators.relevance import passage_qrels
 from wordmill.operators.retrieval import Ranking, candidate_scores, query_terms, search, term_weights, top_n
@@ -183,9 +183,10 @@ def pages_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def pages_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    edges = html_edges(pages)
-    return pagerank(edges, html_vertices(pages, edges))
+    edges, vertices = link_graph(table(spark, sf_dir, "pages"))
+    ranks = pagerank(edges, vertices)
+    edges.unpersist()
+    return ranks
 
 
 def q_link_edges(spark, sf_dir):
