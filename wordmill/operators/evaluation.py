@@ -142,3 +142,21 @@ def mean_quality(report: DataFrame, split: DataFrame) -> DataFrame:
     """``split, n_queries, mean_quality`` (rounded); an empty split has no row."""
     return report.join(split, "query_id").groupBy("split").agg(
         F.count(F.lit(1)).alias("n_queries"), round3(F.avg("results_quality")).alias("mean_quality"))
+
+
+def debug_query(queries: DataFrame, results: DataFrame, qrels: DataFrame,
+                seed: int = 42, key_col: str = "query", top: int = 10) -> DataFrame:
+    """The first query of the shuffled order (the one a split run inspects first):
+    its top ``top`` predicted ids, overlap@40, P@5, F1@30 and quality."""
+    order_key = F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.col(key_col), F.lit(""))))
+    first = dense_order_rank(queries.select("query_id", key_col), F.concat(order_key, F.format_string(
+        "%020d", F.col("query_id")))).where(F.col("pos") == 0).select("query_id")
+    report = query_report(first, results.join(first, "query_id", "left_semi"), qrels.join(first, "query_id",
+                                                                                         "left_semi"))
+    best = results.join(first, "query_id", "left_semi").where(F.col("rank") <= top)
+    ids = best.groupBy("query_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), " ")
+        .alias("top_ids"))
+    return report.join(ids, "query_id", "left").select(
+        "query_id", F.coalesce("top_ids", F.lit("")).alias("top_ids"), "overlap_at_40", "precision_at_5",
+        "f1_at_30", "results_quality")

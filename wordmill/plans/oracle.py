@@ -250,6 +250,13 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["overlap_at_40"] = f"{e} SELECT query_id, overlap_at_40 FROM report"
     q["query_report"] = (f"{e} SELECT query_id, n_relevant, n_returned, precision_at_5, f1_at_30, results_quality, "
                          "average_precision_at_40, overlap_at_40 FROM report")
+    q["debug_query"] = (f"{e}, first AS (SELECT item_id AS query_id FROM benchmark "
+                        "ORDER BY md5('42' || coalesce(text, '')), item_id LIMIT 1), "
+                        "tops AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS top_ids "
+                        "FROM results WHERE rank <= 10 GROUP BY query_id) "
+                        "SELECT f.query_id, coalesce(t.top_ids, '') AS top_ids, r.overlap_at_40, r.precision_at_5, "
+                        "r.f1_at_30, r.results_quality FROM first f JOIN report r USING (query_id) "
+                        "LEFT JOIN tops t USING (query_id)")
     q["train_val_split"] = f"WITH {SPLIT} SELECT query_id, split FROM split"
     q["mean_quality"] = (f"{e} SELECT split, count(*) AS n_queries, round_even(avg(results_quality), 3) "
                          "AS mean_quality FROM report JOIN split USING (query_id) GROUP BY split")

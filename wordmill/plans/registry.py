@@ -333,6 +333,10 @@ def q_query_report(spark, sf_dir):
     return ev.query_report(*_eval_inputs(spark, sf_dir))
 
 
+def q_debug_query(spark, sf_dir):
+    return ev.debug_query(*_eval_inputs(spark, sf_dir))
+
+
 def q_train_val_split(spark, sf_dir):
     return ev.train_val_split(benchmark_queries(spark, sf_dir))
 
@@ -383,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "average_precision": q_average_precision,
     "overlap_at_40": q_overlap_at_40,
     "query_report": q_query_report,
+    "debug_query": q_debug_query,
     "train_val_split": q_train_val_split,
     "mean_quality": q_mean_quality,
 }
