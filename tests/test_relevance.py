@@ -11,6 +11,9 @@ TEXTS = [
     (5, "Nothing here at all"),
     (6, "ΑΣ fox"),
     (7, None),
+    (2, "A quick brown fox jumps over the lazy dog"),  # repeated id, same text
+    (8, "quick quick brown lazy"),
+    (8, "fox jumps over the dog"),  # repeated id, anchors split over two rows
 ]
 PASSAGES = [
     (100, "quick brown fox jumps over the lazy dog"),
@@ -26,7 +29,7 @@ def test_passage_qrels_matches_brute_force(spark):
     corpus = spark.createDataFrame(TEXTS, "doc_id long, text string")
     passages = spark.createDataFrame(PASSAGES, "query_id long, passage string")
     got = sorted(tuple(r) for r in passage_qrels(passages, corpus).collect())
-    want = sorted((q, d) for q, p in PASSAGES for d, t in TEXTS if p in (t or ""))
+    want = sorted({(q, d) for q, p in PASSAGES for d, t in TEXTS if p in (t or "")})
     assert got == want
 
 

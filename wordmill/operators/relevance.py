@@ -8,6 +8,8 @@ sides).  So each passage picks its rarest such *interior* token as an anchor,
 candidates come from an equi-join of anchors with the documents' terms, and
 only candidates are checked with ``contains``.  Passages without an interior
 token (at most two words) are checked by one multi-pattern scan instead.
+Using the few rarest interior tokens together (all must occur) shrinks the
+candidate set further before any text is read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def interior_terms(passages: DataFrame) -> DataFrame:
 
 
 def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame | None = None,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, anchors: int = 3) -> DataFrame:
     """``query_id, doc_id`` for every document whose text contains the query's passage.
 
     ``passages``: ``query_id, passage``; ``corpus``: ``doc_id, text``.  When a
@@ -52,14 +54,22 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
         df = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         df = vocabulary.join(wanted, "term", "left_semi").select("term", "df")
-    # Rarest interior term per passage (a term absent from the corpus has df 0,
-    # which correctly yields no candidates).
+    # The ``anchors`` rarest interior terms per passage (a term absent from the
+    # corpus has df 0, which correctly yields no candidates).  A containing
+    # document has all of them, so candidates are documents matching every
+    # anchor of the passage: a conjunctive filter, far tighter than one term.
     ranked = inner.join(df, "term", "left").select(
         "query_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    anchors = ranked.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("a")).select(
-        "query_id", F.col("a.term").alias("term"))
-    anchors = bounded_broadcast(anchors, max_broadcast_rows)
-    candidates = counts.join(anchors, "term").select("query_id", "doc_id")
+    picked = ranked.groupBy("query_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, anchors).alias("a"))
+    chosen = picked.select("query_id", F.size("a").alias("n_anchors"), F.explode("a").alias("x")).select(
+        "query_id", "n_anchors", F.col("x.term").alias("term"))
+    chosen = bounded_broadcast(chosen, max_broadcast_rows)
+    # Distinct anchors per document (at most ``anchors`` terms), so repeated
+    # document ids cannot fake or hide a full match.
+    hits = counts.join(chosen, "term").groupBy("query_id", "doc_id").agg(
+        F.size(F.collect_set("term")).alias("n"), F.first("n_anchors").alias("n_anchors"))
+    candidates = hits.where(F.col("n") == F.col("n_anchors")).select("query_id", "doc_id")
     with_passage = candidates.join(passages.select("query_id", "passage"), "query_id")
     with_passage = bounded_broadcast(with_passage, max_broadcast_rows)
     texts = corpus.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

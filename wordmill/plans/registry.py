@@ -38,6 +38,7 @@ from wordmill.operators.retrieval import Ranking, candidate_scores, query_terms,
 from wordmill.plans.tables import benchmark_queries, corpus, default_min_df, table
 from wordmill.session import checkpoint_dir
 from wordmill.sources.corpus import (
+    corpus_from_documents,
     corpus_stats,
     doc_lengths,
     read_corpus,
@@ -145,10 +146,12 @@ def q_posting_lookup(spark, sf_dir):
 
 
 def q_index_append(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    first = docs.join(lang.where(F.col("lang") == "en"), "doc_id", "left_semi")
-    rest = docs.join(lang.where(F.col("lang") == "en"), "doc_id", "left_anti")
+    # Two arrivals: English documents first, then all others (the filter is
+    # pushed into the documents scan; together they are the whole table).
+    docs = table(spark, sf_dir, "documents")
+    is_en = F.coalesce(F.col("lang") == "en", F.lit(False))
+    first = corpus_from_documents(docs.where(is_en))
+    rest = corpus_from_documents(docs.where(~is_en))
     base = _scratch(spark, "append")
     write_index(first, f"{base}/a", min_df=0)
     idx = append_to_index(f"{base}/a", rest, f"{base}/ab")
