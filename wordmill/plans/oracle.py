@@ -49,7 +49,7 @@ COUNTS = (f"doc_toks AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM co
 
 
 def terms_cte(md: int) -> str:
-    return (f"terms AS (SELECT term, count(*) AS df, sum(tf) AS term_total, {bucket('term')} AS bucket "
+    return (f"terms AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total, {bucket('term')} AS bucket "
             f"FROM counts GROUP BY term HAVING count(*) > {md})")
 
 
@@ -194,7 +194,7 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
                      f"array_to_string({tokens('text')}, ' ') AS tokens FROM corpus")
     q["term_counts"] = f"{b0} SELECT term, doc_id, tf FROM counts"
     q["doc_freq"] = f"{b0} SELECT term, count(*) AS df FROM counts GROUP BY term"
-    q["term_stats"] = f"{b0} SELECT term, count(*) AS df, sum(tf) AS term_total FROM counts GROUP BY term"
+    q["term_stats"] = f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total FROM counts GROUP BY term"
     q["min_df_filter"] = f"{base(md)} SELECT term, doc_id, tf FROM counts WHERE term IN (SELECT term FROM terms)"
     q["vocab_size"] = f"{base(md)} SELECT count(*) AS n_terms FROM terms"
     q["term_sample"] = f"{base(md)} SELECT term, df FROM terms ORDER BY term LIMIT 20"
@@ -203,12 +203,12 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["posting_lists"] = (f"{base(md)} SELECT term, CAST(floor(doc_id / 65536) AS BIGINT) AS block, "
                           "count(*) AS n_postings, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings "
                           "FROM counts WHERE term IN (SELECT term FROM terms) GROUP BY term, block")
-    q["term_buckets"] = f"{base(md)} SELECT bucket, count(*) AS n_terms, sum(df) AS n_postings FROM terms GROUP BY bucket"
+    q["term_buckets"] = f"{base(md)} SELECT bucket, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings FROM terms GROUP BY bucket"
     q["index_roundtrip"] = (f"{base(md)} SELECT c.term, c.doc_id, c.tf, t.bucket FROM counts c "
                             "JOIN terms t USING (term)")
     q["posting_lookup"] = (f"{base(md)}, top AS (SELECT term FROM terms ORDER BY df DESC, term LIMIT 1) "
                            "SELECT term, doc_id, tf FROM counts WHERE term = (SELECT term FROM top)")
-    q["index_append"] = f"{b0} SELECT term, count(*) AS df, sum(tf) AS term_total FROM counts GROUP BY term"
+    q["index_append"] = f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total FROM counts GROUP BY term"
     q["qrels_explode"] = f"WITH {CORPUS}, {QRELS} SELECT query_id, doc_id FROM qrels"
     q["link_edges"] = f"WITH {LINKS} SELECT src, dst FROM edges"
     q["link_vertices"] = f"WITH {LINKS} SELECT id FROM vertices"

@@ -234,7 +234,7 @@ def q_pagerank_links(spark, sf_dir):
 
 def q_query_terms(spark, sf_dir):
     qt = query_terms(benchmark_queries(spark, sf_dir), _index(spark, sf_dir))
-    return qt.select("query_id", "term", "qtf", "first_pos", "df")
+    return qt.select("query_id", "term", "qtf", F.col("first_pos").cast("long").alias("first_pos"), "df")
 
 
 def q_idf(spark, sf_dir):
