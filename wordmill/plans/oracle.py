@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from wordmill.functions.text import PY_WHITESPACE, STOP_WORDS, TOKEN_PATTERN
 from wordmill.operators.linkgraph import HREF_PATTERN, ID_HEX_DIGITS
-from wordmill.operators.relevance import INTERIOR
 
 ROUND = 6
 

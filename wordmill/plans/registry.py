@@ -12,10 +12,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import is_stop_word, raw_tokens, term_bucket, tokenize
+from wordmill.functions.text import is_stop_word, raw_tokens, tokenize
 from wordmill.operators import evaluation as ev
 from wordmill.operators.ordering import successors
 from wordmill.operators.indexing import (
