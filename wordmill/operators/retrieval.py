@@ -51,29 +51,26 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
                  max_broadcast_rows: int) -> tuple[DataFrame, bool, list[int] | None]:
     """(query terms with df, whether they are small enough to broadcast, bucket list or None)."""
     qtok = query_tokens(queries, query_col).withColumn("bucket", term_bucket("term", index.num_buckets))
-    # One small job proves the size of the query side before it is broadcast.
-    rows = qtok.limit(max_broadcast_rows + 1).count()
-    small = rows <= max_broadcast_rows
+    # One small job over the query side proves its size before it is broadcast
+    # and lists the buckets it touches (at most ``num_buckets`` values).
+    stats = qtok.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("bucket").alias("buckets")).first()
+    small = int(stats["rows"]) <= max_broadcast_rows
     wanted = qtok.select("bucket", "term").distinct()
     vocab = index.terms
     buckets = None
     if small:
         wanted = F.broadcast(wanted)
-        if index.all_postings is None:
-            buckets = query_buckets(qtok, index.num_buckets)
-            if buckets is not None:
-                vocab = vocab.where(F.col("bucket").isin(buckets))
+        touched = sorted(stats["buckets"] or [])
+        if index.all_postings is None and len(touched) < index.num_buckets:
+            buckets = touched
+            vocab = vocab.where(F.col("bucket").isin(buckets))
     vocab = vocab.join(wanted, ["bucket", "term"], "left_semi").select("bucket", "term", "df")
     side = F.broadcast(qtok) if small else qtok
     # Each query token matches at most one vocabulary row, so the result keeps the bound.
     return side.join(vocab, ["bucket", "term"]), small, buckets
 
 
-def query_buckets(qterms_or_tokens: DataFrame, num_buckets: int) -> list[int] | None:
-    """The buckets a query batch touches (at most ``num_buckets`` values), or
-    ``None`` when it touches them all and a filter would not prune anything."""
-    buckets = sorted(r[0] for r in qterms_or_tokens.select("bucket").distinct().collect())
-    return None if len(buckets) >= num_buckets else buckets
+
 
 
 def query_terms(queries: DataFrame, index: Index, query_col: str = "query",
