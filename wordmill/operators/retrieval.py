@@ -70,9 +70,6 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
     return side.join(vocab, ["bucket", "term"]), small, buckets
 
 
-
-
-
 def query_terms(queries: DataFrame, index: Index, query_col: str = "query",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``query_id, term, qtf, first_pos, bucket, df``: query tokens known to the index.
@@ -137,13 +134,12 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
     tfidf = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("sq")), F.lit(0.0))
     scored = agg.select("query_id", "doc_id", "first_pos", tfidf.alias("tfidf"), "bm25",
                         *(["pr"] if stored_rank else []))
-    if stored_rank:
-        pass  # the rank came with the postings
-    elif pagerank is not None:
-        pr = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
-        scored = scored.join(pr, "doc_id", "left")
-    else:
-        scored = scored.withColumn("pr", F.lit(None).cast("double"))
+    if not stored_rank:
+        if pagerank is not None:
+            pr = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
+            scored = scored.join(pr, "doc_id", "left")
+        else:
+            scored = scored.withColumn("pr", F.lit(None).cast("double"))
     boosted = F.col("tfidf") * pagerank_factor(F.col("pr"), r.boost)
     return scored.select(
         "query_id", "doc_id", "first_pos", "tfidf", "bm25",
