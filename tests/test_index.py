@@ -97,3 +97,19 @@ def test_corpus_stats(spark):
     assert s["n_docs"] == 5 and s["n_rows"] == 5
     assert abs(s["avg_dl"] - (4 + 4 + 5 + 3 + 0) / 5) < 1e-12
     assert F is not None
+
+
+def test_reference_style_corpus(spark):
+    from wordmill.operators.linkgraph import link_edges, link_vertices
+    from wordmill.operators.pagerank import pagerank
+    from wordmill.sources.corpus import corpus_from_pages
+
+    pages = spark.createDataFrame(
+        [(1, "Alpha", "apple banana", [(2, "b")]), (2, "Beta", None, [(1, "a"), (3, "c")]), (3, None, "cherry", [])],
+        "id long, title string, text string, anchor_text array<struct<id:long,text:string>>")
+    c = corpus_from_pages(pages)
+    assert sorted(tuple(r) for r in c.collect()) == [(1, "Alpha", "apple banana"), (2, "Beta", ""), (3, "", "cherry")]
+    idx = build_index(c, min_df=0)
+    assert sorted(r["term"] for r in idx.terms.collect()) == ["apple", "banana", "cherry"]
+    ranks = pagerank(link_edges(pages), link_vertices(pages))
+    assert ranks.count() == 3

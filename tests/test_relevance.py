@@ -39,3 +39,11 @@ def test_relevance_json_whole_file(spark, scratch):
         json.dump({"query one": ["5", "7"], "query two": ["68076992"]}, f)
     got = sorted(tuple(r) for r in read_relevance_json(spark, path).collect())
     assert got == [("query one", 5), ("query one", 7), ("query two", 68076992)]
+
+
+def test_relevance_json_lines(spark, scratch):
+    path = f"{scratch}/q.jsonl"
+    with open(path, "w") as f:
+        f.write(json.dumps({"q1": ["1", "2"]}) + "\n" + json.dumps({"q1": ["3"], "q2": []}) + "\n")
+    got = sorted(tuple(r) for r in read_relevance_json(spark, path, whole_file=False).collect())
+    assert got == [("q1", 1), ("q1", 2), ("q1", 3)]
