@@ -21,3 +21,19 @@ def test_html_links_resolve_to_pages_or_url_ids(spark):
     targets = {d for s, d in edges if d not in (1, 2, 3)}
     assert len(targets) == 2  # http://b.example.com/q (twice, one id) and http://a.example.com/rel
     assert {1, 2, 3} | targets == ids
+
+
+def test_nested_form_per_row(spark):
+    from wordmill.operators.linkgraph import html_anchor_pages
+
+    pages = spark.createDataFrame([
+        (1, "http://a.example.com/p", '<a href="/q">q</a><a href="/q">again</a>'),
+        (1, "http://a.example.com/p", '<a href="/r">r</a>'),  # a copy sharing the id
+        (2, "http://a.example.com/q", "no links"),
+    ], "page_id long, url string, html string")
+    rows = sorted((r["id"], sorted(x["text"] for x in r["anchor_text"])) for r in html_anchor_pages(pages).collect())
+    assert rows == [(1, ["http://a.example.com/q", "http://a.example.com/q"]), (1, ["http://a.example.com/r"]),
+                    (2, [])]
+    known = {x["id"] for r in html_anchor_pages(pages).collect() for x in r["anchor_text"]
+             if x["text"].endswith("/q")}
+    assert known == {2}

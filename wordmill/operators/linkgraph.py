@@ -53,17 +53,24 @@ def html_anchor_pages(pages: DataFrame) -> DataFrame:
     """Pages as ``id, anchor_text array<struct<id, text>>``, the nested link form.
 
     A target that is the URL of a known page takes that page's id; any other
-    target gets the md5 id of its URL.
+    target gets the md5 id of its URL.  Links are regrouped per page *row*
+    (not per id), so each array holds one row's links even when many copies
+    of a page share an id; pages without links keep an empty array.
     """
-    links = html_links(pages)
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col("page_id").cast("long").alias("id"),
+                        "url", "html")
+    hrefs = rows.select(
+        "_row", "id", "url",
+        F.explode_outer(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(HREF_PATTERN), 1))
+        .alias("href"))
+    links = hrefs.select("_row", "id", F.when(F.col("href").isNotNull(), resolve_href(F.col("url"), F.col("href")))
+                         .alias("target_url"))
     known = pages.select(F.col("url").alias("target_url"), F.col("page_id").cast("long").alias("known_id"))
     resolved = links.join(known, "target_url", "left").select(
-        "src", F.struct(F.coalesce("known_id", url_id(F.col("target_url"))).alias("id"),
-                        F.col("target_url").alias("text")).alias("link"))
-    nested = resolved.groupBy("src").agg(F.collect_list("link").alias("anchor_text"))
-    base = pages.select(F.col("page_id").cast("long").alias("id"))
-    return base.join(nested.withColumnRenamed("src", "id"), "id", "left").select(
-        "id", F.coalesce("anchor_text", F.array().cast("array<struct<id:bigint,text:string>>")).alias("anchor_text"))
+        "_row", "id", F.when(F.col("target_url").isNotNull(), F.struct(
+            F.coalesce("known_id", url_id(F.col("target_url"))).alias("id"),
+            F.col("target_url").alias("text"))).alias("link"))
+    return resolved.groupBy("_row", "id").agg(F.collect_list("link").alias("anchor_text")).select("id", "anchor_text")
 
 
 def html_edges(pages: DataFrame) -> DataFrame:
