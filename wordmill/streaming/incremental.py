@@ -38,15 +38,14 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = NUM_BUCKETS) -> None:
     """Index one batch of ``doc_id, title, text`` into the streaming index at ``root``."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = with_bucket(term_counts(docs), num_buckets).persist(StorageLevel.MEMORY_AND_DISK)
         (counts.withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
          .sortWithinPartitions("bucket", "term", "doc_id")
-         .write.mode("overwrite").partitionBy("batch", "bucket").parquet(f"{root}/postings"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{root}/postings"))
         (docs.select("doc_id", "title", whitespace_word_count("text").alias("doc_len"))
-         .withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch").parquet(f"{root}/docs"))
+         .withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/docs"))
         new_terms = with_bucket(term_stats(counts), num_buckets)
         earlier = [v for v in _versions(spark, root) if v < batch_id]
         if earlier:
@@ -56,7 +55,7 @@ def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = N
                 F.sum("df").alias("df"), F.sum("term_total").alias("term_total"))
         (new_terms.select("term", "df", "term_total", "bucket").withColumn("version", F.lit(batch_id))
          .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
-         .write.mode("overwrite").partitionBy("version").parquet(f"{root}/terms"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{root}/terms"))
         counts.unpersist()
     finally:
         docs.unpersist()
