@@ -35,17 +35,21 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(r[0]) for r in rows)
 
 
+def _replace(df: DataFrame, *partition_cols: str):
+    """A writer that replaces only the partitions ``df`` contains (retry-safe)."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols)
+
+
 def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = NUM_BUCKETS) -> None:
     """Index one batch of ``doc_id, title, text`` into the streaming index at ``root``."""
     spark = docs.sparkSession
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = with_bucket(term_counts(docs), num_buckets).persist(StorageLevel.MEMORY_AND_DISK)
-        (counts.withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
-         .sortWithinPartitions("bucket", "term", "doc_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{root}/postings"))
-        (docs.select("doc_id", "title", whitespace_word_count("text").alias("doc_len"))
-         .withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/docs"))
+        _replace(counts.withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
+                 .sortWithinPartitions("bucket", "term", "doc_id"), "batch", "bucket").parquet(f"{root}/postings")
+        _replace(docs.select("doc_id", "title", whitespace_word_count("text").alias("doc_len"))
+                 .withColumn("batch", F.lit(batch_id)), "batch").parquet(f"{root}/docs")
         new_terms = with_bucket(term_stats(counts), num_buckets)
         earlier = [v for v in _versions(spark, root) if v < batch_id]
         if earlier:
@@ -53,9 +57,9 @@ def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = N
                 .select("term", "df", "term_total", "bucket")
             new_terms = prev.unionByName(new_terms).groupBy("term", "bucket").agg(
                 F.sum("df").alias("df"), F.sum("term_total").alias("term_total"))
-        (new_terms.select("term", "df", "term_total", "bucket").withColumn("version", F.lit(batch_id))
-         .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{root}/terms"))
+        _replace(new_terms.select("term", "df", "term_total", "bucket").withColumn("version", F.lit(batch_id))
+                 .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"),
+                 "version").parquet(f"{root}/terms")
         counts.unpersist()
     finally:
         docs.unpersist()
