@@ -6,6 +6,7 @@ Stages (seconds each, wall clock, one local session on ``local[$BENCH_CPUS]``):
 * ``index_build``  tokenize ``documents``, write postings (with ranks)/terms/titles/stats
 * ``search``       all ``benchmark`` items as one batch against the written index
 * ``search_single`` one ``benchmark`` item (the reference's per-request mode)
+* ``posting_lookup`` one term's postings from the written index
 * ``qrels``        passage-containment relevance of ``benchmark`` over ``documents``
 * ``evaluate``     per-query report (P@5, F1@30, quality, AP@40) and split means
 
@@ -25,7 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from wordmill.operators import evaluation as ev  # noqa: E402
-from wordmill.operators.indexing import read_index, write_index  # noqa: E402
+from wordmill.operators.indexing import posting_lookup, read_index, write_index  # noqa: E402
 from wordmill.operators.linkgraph import link_graph  # noqa: E402
 from wordmill.operators.pagerank import pagerank  # noqa: E402
 from wordmill.operators.relevance import passage_qrels  # noqa: E402
@@ -79,6 +80,13 @@ def main() -> None:
 
     timed("search_single", run_single)
 
+    def run_lookup():
+        # One term's postings by bucket + pushed term filter (most frequent kept term).
+        term = index.terms.orderBy(F.col("df").desc(), "term").select("term").first()["term"]
+        posting_lookup(index, term).collect()
+
+    timed("posting_lookup", run_lookup)
+
     def run_qrels():
         passages = table(spark, sf_dir, "benchmark").select(
             F.col("item_id").alias("query_id"), F.col("text").alias("passage"))

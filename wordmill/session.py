@@ -22,6 +22,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, a
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("WORDMILL_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
