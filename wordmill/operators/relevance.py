@@ -35,7 +35,7 @@ def interior_terms(passages: DataFrame) -> DataFrame:
 
 
 def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame | None = None,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, anchors: int = 3) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, anchors: int = 2) -> DataFrame:
     """``query_id, doc_id`` for every document whose text contains the query's passage.
 
     ``passages``: ``query_id, passage``; ``corpus``: ``doc_id, text``.  When a
