@@ -31,8 +31,9 @@ NOTES = {
     "search_one_query": "One short query: the static bucket IN-list (bounded by the bucket count) prunes the "
                         "postings scan to the query's bucket folders and filters the sorted vocabulary by "
                         "row-group statistics.",
-    "qrels_candidates": "Passage containment: rarest interior token per passage, an equi-join of anchors with "
-                        "document terms (broadcast after a counted bound), then contains() only on candidates.",
+    "qrels_candidates": "Passage containment: the two rarest interior tokens per passage, an equi-join of anchors "
+                        "with document terms (broadcast after a counted bound) and a per-document count, then "
+                        "contains() only on candidates.",
 }
 
 
