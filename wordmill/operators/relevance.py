@@ -4,12 +4,12 @@ query iff its text contains the passage verbatim.
 No cross join: if text T contains passage P, every token of P that lies
 strictly between P's first and last whitespace is also a token of T (the
 tokenizer restarts after whitespace, and whitespace bounds the token on both
-sides).  So each passage picks its rarest such *interior* token as an anchor,
-candidates come from an equi-join of anchors with the documents' terms, and
-only candidates are checked with ``contains``.  Passages without an interior
-token (at most two words) are checked by one multi-pattern scan instead.
-Using the few rarest interior tokens together (all must occur) shrinks the
-candidate set further before any text is read.
+sides).  So each passage picks its few rarest such *interior* tokens as
+anchors; candidates are the documents holding all of them (an equi-join of
+anchors with the documents' terms plus a per-document count), and only
+candidates are checked with ``contains``.  Passages without an interior token
+(at most two words, or only stop words inside) are checked by one
+multi-pattern scan instead.
 """
 
 from __future__ import annotations
