@@ -113,3 +113,12 @@ def test_reference_style_corpus(spark):
     assert sorted(r["term"] for r in idx.terms.collect()) == ["apple", "banana", "cherry"]
     ranks = pagerank(link_edges(pages), link_vertices(pages))
     assert ranks.count() == 3
+
+
+def test_write_without_keeping_the_token_frame(spark, scratch):
+    c = corpus(spark)
+    a = write_index(c, f"{scratch}/kept", min_df=0, num_buckets=8)
+    b = write_index(c, f"{scratch}/unkept", min_df=0, num_buckets=8, keep=None)
+    key = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf").collect())
+    assert key(a.postings) == key(b.postings)
+    assert a.corpus_stats.first()["n_docs"] == b.corpus_stats.first()["n_docs"]

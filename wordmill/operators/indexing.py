@@ -135,7 +135,8 @@ TABLES = ("postings", "terms", "titles", "corpus_stats")
 
 
 def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS,
-                pagerank: DataFrame | None = None) -> Index:
+                pagerank: DataFrame | None = None,
+                keep: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Index:
     """Build and write the index under ``path`` and return it read back.
 
     The corpus text is scanned and tokenized once: a per-document frame
@@ -147,6 +148,11 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     ``term, doc_id`` so each file covers a narrow term range and parquet
     min/max statistics prune row groups on lookup.
 
+    ``keep`` is how the per-document frame is kept between its uses (as
+    compressed columnar blocks, spilling to executor disks).  With ``None`` it
+    is not kept and the text is tokenized once per output instead, for a
+    corpus larger than the cluster's local disks.
+
     With ``pagerank`` (``id, pagerank``), each posting also stores its
     document's rank as ``pr`` (0.0 when unranked): search then reads the boost
     from the postings it already scans instead of joining the rank table, at
@@ -162,7 +168,8 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
         ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
         docs = docs.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
         carry = ("pr",)
-    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep is not None:
+        docs = docs.persist(keep)
     try:
         counts = counts_from_sorted(docs.select("doc_id", *carry, "s"), carry)
         terms = with_bucket(term_stats(counts, min_df), num_buckets)
@@ -183,7 +190,8 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
         (stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows", "total_len")
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats"))
     finally:
-        docs.unpersist()
+        if keep is not None:
+            docs.unpersist()
     spark.createDataFrame([(min_df, num_buckets)], "min_df long, num_buckets long").write.mode(
         "overwrite").parquet(f"{path}/settings")
     return read_index(spark, path)
