@@ -208,6 +208,8 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["posting_lookup"] = (f"{base(md)}, top AS (SELECT term FROM terms ORDER BY df DESC, term LIMIT 1) "
                            "SELECT term, doc_id, tf FROM counts WHERE term = (SELECT term FROM top)")
     q["index_append"] = f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total FROM counts GROUP BY term"
+    q["stream_index"] = (f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total "
+                         "FROM counts GROUP BY term")
     q["qrels_explode"] = f"WITH {CORPUS}, {QRELS} SELECT query_id, doc_id FROM qrels"
     q["link_edges"] = f"WITH {LINKS} SELECT src, dst FROM edges"
     q["link_vertices"] = f"WITH {LINKS} SELECT id FROM vertices"

@@ -37,6 +37,7 @@ from wordmill.operators.relevance import passage_qrels
 from wordmill.operators.retrieval import Ranking, candidate_scores, query_terms, search, term_weights, top_n
 from wordmill.plans.tables import benchmark_queries, corpus, default_min_df, table
 from wordmill.session import checkpoint_dir
+from wordmill.streaming.incremental import index_stream, read_stream_index
 from wordmill.sources.corpus import (
     corpus_from_documents,
     corpus_stats,
@@ -158,6 +159,19 @@ def q_index_append(spark, sf_dir):
     return idx.terms.select("term", "df", "term_total")
 
 
+def q_stream_index(spark, sf_dir):
+    """``documents`` arriving as a file stream, appended batch by batch to a
+    streaming index; returns its committed vocabulary (equal to ``term_stats``)."""
+    root = _scratch(spark, "stream")
+    schema = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    query = index_stream(stream, f"{root}/index", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return read_stream_index(spark, f"{root}/index").terms.select("term", "df", "term_total")
+
+
 # ---------------------------------------------------------------- relevance
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +382,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_roundtrip": q_index_roundtrip,
     "posting_lookup": q_posting_lookup,
     "index_append": q_index_append,
+    "stream_index": q_stream_index,
     "qrels_explode": q_qrels_explode,
     "link_edges": q_link_edges,
     "link_vertices": q_link_vertices,
