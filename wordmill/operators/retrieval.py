@@ -56,15 +56,30 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
     stats = qtok.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("bucket").alias("buckets")).first()
     small = int(stats["rows"]) <= max_broadcast_rows
     wanted = qtok.select("bucket", "term").distinct()
-    vocab = index.terms
     buckets = None
     if small:
         wanted = F.broadcast(wanted)
+    if index.all_postings is not None:
+        # Declared over a raw corpus: restrict the term counts to the query's
+        # terms *before* aggregating, so only their document frequencies are
+        # computed (and the bucket hash runs on those few terms, not per posting).
+        words = wanted.select("term")
+        counted = index.all_postings.join(words, "term", "left_semi").groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"))
+        if index.min_df > 0:
+            counted = counted.where(F.col("df") > index.min_df)
+        side = F.broadcast(qtok) if small else qtok
+        # Join on the term alone: a join on the bucket expression would make the
+        # optimizer infer a bucket filter (an md5) on every posting row.
+        return side.join(counted, "term"), small, None
+    else:
+        vocab = index.terms
         touched = sorted(stats["buckets"] or [])
-        if index.all_postings is None and len(touched) < index.num_buckets:
+        if small and len(touched) < index.num_buckets:
             buckets = touched
             vocab = vocab.where(F.col("bucket").isin(buckets))
-    vocab = vocab.join(wanted, ["bucket", "term"], "left_semi").select("bucket", "term", "df")
+        vocab = vocab.join(wanted, ["bucket", "term"], "left_semi")
+    vocab = vocab.select("bucket", "term", "df")
     side = F.broadcast(qtok) if small else qtok
     # Each query token matches at most one vocabulary row, so the result keeps the bound.
     return side.join(vocab, ["bucket", "term"]), small, buckets
