@@ -5,7 +5,7 @@ from __future__ import annotations
 from wordmill.llm import quality_rules as qr
 
 # Words and white space as in ``common``.
-_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 def quality_rules_sql(table: str = "documents", body: str = "") -> str:
