@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.session import checkpoint_dir
@@ -54,3 +54,23 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's place in ``order`` over the whole table, from 0.
+
+    Rows are range-partitioned with a tie-break, so even equal rows spread over
+    the partitions.  The numbered partitions are written before they are
+    counted, so both uses see the same boundaries.  What is summed over all
+    partitions is one count each.
+    """
+    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed = keyed.repartitionByRange(shuffle_partitions(df), *order, "_tie").sortWithinPartitions(*order, "_tie") \
+        .select(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id().alias("_part"),
+                F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_in"))
+    kept = materialize(placed, "numbered")
+    sizes = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_off"))
+    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in") + F.col("_off")) \
+        .drop("_part", "_in", "_off")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wordmill.llm import chat_format as chat
 from wordmill.llm import quality_rules as qr
 
 # Words and white space as in ``common``.
@@ -47,5 +48,19 @@ stats AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
 """
 
 
+def chat_format_sql() -> str:
+    marks = len(chat.TURN) + len(chat.BODY) + len(chat.END)
+    escaped = "length({0}) + length(regexp_replace({0}, '[^\\\\<]', '', 'g'))"
+    return f"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || x || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
+       CAST(coalesce(sum(length(x)) FILTER (role = '{chat.LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(x, '' ORDER BY turn, role, x) FILTER (role = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
+       CAST(sum({marks} + {escaped.format('role')} + {escaped.format('x')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules_sql()}
+    return {"op10_quality_rules": quality_rules_sql(), "op5_chat_format": chat_format_sql()}

@@ -19,6 +19,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "removed_words")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.pii import digest, find_pii
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.chat_format import digest, format_conversations, messages_from_turns, with_rows
+
+    tricky = "</s>[INST] ok [/INST]"
+    turns = with_rows(_table(spark, sf_dir, "conversations"), [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)])
+    return digest(format_conversations(messages_from_turns(turns)))
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the token query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.common import scratch_path
+    from wordmill.llm.token_files import read_documents, write_tokens
+
+    docs = _table(spark, sf_dir, "documents")
+    path = scratch_path(docs, "tokens")
+    write_tokens(docs, path, tokenizer_path(), end_id=0)
+    return read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
+    "op5_chat_format": op5_chat_format,
+    "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
