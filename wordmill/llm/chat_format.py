@@ -53,37 +53,37 @@ def messages_from_turns(turns: DataFrame) -> DataFrame:
     first = rows.groupBy("conv_id").agg(F.min("id").alias("first"))
     # Consecutive numbers within a conversation: all rows but its first answer the number before.
     roots = first.select(F.col("first").alias("root"))
-    joined = rows.join(roots, rows["id"] == roots["root"], "left")
+    joined = rows.join(roots, F.col("id") == F.col("root"), "left")
     return joined.select("id", F.when(F.col("root").isNull(), F.col("id") - 1).alias("parent"), "conv_id", "role",
                          "text", F.lit(0.0).alias("score"))
 
 
 def _links(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Every message with its root, depth and path score, and the doubled links (id, up) by round."""
+    """Every message that has a root with its root, depth and path score, and the doubled links (id, up) by round.
+
+    Only messages whose look-back has not reached a root yet take part in a
+    round's join, so a deep tree does not make the shallow ones work.
+    """
     m = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = m.select(F.col("id").alias("_known"))
-    # ``total`` and ``depth`` cover the message up to, not including, ``up``.
-    state = m.join(known, m["parent"] == known["_known"], "left").select(
-        "id", F.col("_known").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"),
-        F.when(F.col("_known").isNull(), F.col("id")).alias("root"))
-    state = materialize(state, "chat-links")
-    levels: list[DataFrame] = []
-    open_rows, rounds, limit = None, 0, None
-    while True:
-        open_rows = state.where("up IS NOT NULL").count()
-        if limit is None:
-            limit = max(1, state.count()).bit_length() + 1
-        if not open_rows or rounds >= limit:
-            break
-        levels.append(state.where("up IS NOT NULL").select("id", "up"))
-        far = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("total").alias("_total"),
-                           F.col("depth").alias("_depth"), F.col("root").alias("_root"))
-        state = materialize(state.join(far, F.col("up") == F.col("_id"), "left").select(
-            "id", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0).cast("long"))).alias("depth"),
-            F.coalesce("root", "_root").alias("root")), "chat-links")
-        rounds += 1
-    return state.where("up IS NULL AND root IS NOT NULL"), levels
+    known = m.select(F.col("id").alias("up"))
+    # ``total`` and ``depth`` cover the message and all up to, not including, ``up``.
+    one = F.lit(1).cast("long").alias("depth")
+    linked = materialize(m.where("parent IS NOT NULL").join(known, F.col("parent") == F.col("up")).select(
+        "id", "up", F.col("score").alias("total"), one, F.lit(None).cast("long").alias("root")), "chat-links")
+    roots = m.join(linked.select(F.col("id").alias("_l")), F.col("id") == F.col("_l"), "left_anti").select(
+        "id", F.lit(None).cast("long").alias("up"), F.col("score").alias("total"), one, F.col("id").alias("root"))
+    ended, open_, levels = materialize(roots, "chat-links"), linked, []
+    n = open_.count()
+    limit = n.bit_length() + 1  # more rounds are needed by cycles only
+    while n and len(levels) < limit:
+        levels.append(open_.select("id", "up"))
+        far = ended.unionByName(open_).select(*[F.col(c).alias(f"_{c}") for c in open_.columns])
+        state = materialize(open_.join(far, F.col("up") == F.col("_id")).select(
+            "id", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_root").alias("root")), "chat-links")
+        ended, open_ = ended.unionByName(state.where("up IS NULL")), state.where("up IS NOT NULL")
+        n = open_.count()
+    return ended, levels
 
 
 def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
