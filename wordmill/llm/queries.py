@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _crc_mod(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``: the fixed folds of the queries."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.lm_score import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), held_out=_crc_mod(10) == 0)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.common import scratch_path
     from wordmill.llm.token_files import read_documents, write_tokens
@@ -53,6 +65,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
+    "op7_lm_score": op7_lm_score,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
