@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from wordmill.llm import chat_format as chat
+from wordmill.llm import decontaminate as decon
+from wordmill.llm import mix_sources as mix
 from wordmill.llm import quality_rules as qr
 
 # Words and white space as in ``common``.
@@ -62,5 +64,51 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id"""
 
 
+def mix_sources_sql(table: str = "documents", body: str = "") -> str:
+    cte, last = [], "c0"
+    for k in range(mix.SWEEPS):
+        for m in ("source", "lang", "topic"):
+            new = f"c{len(cte) + 1}"
+            cte.append(f"""{new} AS (SELECT * REPLACE (least(CASE WHEN s > 0 THEN weight * t_{m} / s ELSE 0 END,
+    CAST(tokens AS DOUBLE)) AS weight) FROM (SELECT * EXCLUDE (s), sum(weight) OVER (PARTITION BY {m}) AS s FROM {last}))""")
+            last = new
+    goal = "power(sum(tokens) OVER (PARTITION BY {0}), " + str(mix.TEMPER) + ")"
+    goals = ", ".join(f"p_{m} / (SELECT sum(p) FROM (SELECT DISTINCT {m}, p_{m} AS p FROM powers)) * "
+                      f"{mix.FRACTION} * (SELECT sum(tokens) FROM cells) AS t_{m}" for m in ("source", "lang", "topic"))
+    powers = ", ".join(f"{goal.format(m)} AS p_{m}" for m in ("source", "lang", "topic"))
+    final = body or "SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, u < p AS kept FROM mixed"
+    return f"""
+WITH d AS (SELECT *, coalesce(text, '') AS t FROM {table}),
+m AS (SELECT * EXCLUDE (t), CASE WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(t, '[!#$%&*]{{2}}') THEN 'emphatic'
+             WHEN regexp_matches(t, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+             CAST(len({_WORDS.format('t')}) AS BIGINT) AS n_tokens,
+             CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{mix.SEED}'), 1, 13) AS BIGINT)
+                  AS DOUBLE) / {float(16 ** 13)!r} AS u FROM d),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM m GROUP BY ALL),
+powers AS (SELECT *, {powers} FROM cells),
+c0 AS (SELECT *, CAST(tokens AS DOUBLE) AS weight, CAST(0 AS DOUBLE) AS s, {goals} FROM powers),
+{", ".join(cte)},
+mixed AS (SELECT m.*, CASE WHEN tokens > 0 THEN least(weight / tokens, 1) ELSE 1 END AS p FROM m JOIN {last} c
+          ON m.source IS NOT DISTINCT FROM c.source AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic = c.topic)
+{final}"""
+
+
+def decontaminate_sql(table: str = "documents", body: str = "") -> str:
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    gram = lambda w: f"""SELECT DISTINCT id, array_to_string({w}[i:i + least(len({w}), 5) - 1], ' ') AS g, least(len({w}), 5) AS n
+        FROM {w}s, unnest(range(1, greatest(len({w}) - 4, 1) + 1)) AS r(i) WHERE len({w}) > 0"""
+    final = body or "SELECT doc_id, item_id, n_common, n_item FROM leaks"
+    return f"""
+WITH iws AS (SELECT item_id AS id, {_WORDS.format(lower.format("coalesce(text, '')"))} AS iw FROM benchmark),
+dws AS (SELECT doc_id AS id, {_WORDS.format(lower.format("coalesce(text, '')"))} AS dw FROM {table}),
+ig AS ({gram('iw')}), sizes AS (SELECT id, count(*) AS n_item FROM ig GROUP BY id),
+dg AS ({gram('dw')}),
+leaks AS (SELECT dg.id AS doc_id, ig.id AS item_id, count(*) AS n_common, n_item
+          FROM dg JOIN ig USING (g, n) JOIN sizes ON sizes.id = ig.id GROUP BY dg.id, ig.id, n_item
+          HAVING 100 * count(*) >= {decon.MIN_PCT} * n_item)
+{final}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules_sql(), "op5_chat_format": chat_format_sql()}
+    return {"op10_quality_rules": quality_rules_sql(), "op5_chat_format": chat_format_sql(),
+            "op3_decontaminate": decontaminate_sql(), "op6_mix_sources": mix_sources_sql()}

@@ -20,6 +20,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "removed_words")
 
 
+def _crc_mod(n: int) -> Column:
+    """crc32 of the id as text, modulo ``n``: the fixed folds of the queries."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.quality_classifier import learn, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs, _table(spark, sf_dir, "labels").where(_crc_mod(3) != 1))
+    return score(docs, model, carry={"held_out": _crc_mod(3) == 1})
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.decontaminate import find_contaminated
+
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.pii import digest, find_pii
 
@@ -41,9 +60,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _crc_mod(n: int) -> Column:
-    """crc32 of the id as text, modulo ``n``: the fixed folds of the queries."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.mix_sources import probabilities
+
+    mixed = probabilities(_table(spark, sf_dir, "documents"))
+    return mixed.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"),
+                        F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+                        F.round("probability", 6).alias("probability"), "kept")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +86,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
     "op5_chat_format": op5_chat_format,
+    "op6_mix_sources": op6_mix_sources,
     "op7_lm_score": op7_lm_score,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
