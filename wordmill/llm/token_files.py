@@ -23,8 +23,10 @@ an empty table gives an empty manifest.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from wordmill.llm.common import shuffle_partitions
 
 SEQUENCE = 2048        # ids in a sequence
 BATCH = 64             # sequences in a record batch
-CACHE = 300_000        # pieces whose ids a worker remembers
+CACHE = 600_000      # pieces whose ids a worker remembers
 GROUP = 256            # documents tokenised together
 
 
@@ -49,12 +51,21 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-class Encoder:
-    """Ids of whole texts, remembering those of space-separated pieces.
+# Marks cut off from the word before them, and words from the line break before them.
+_MARK = re.compile(r"[,.\n](?<=[^\W_][,.\n])")
+_LINE = re.compile(r"\n(?<=\S\n)(?=[^\W_])")
+
 
-    A single space between two other characters always starts a new piece in
-    byte-level pre-tokenisation, so a text's ids are those of its pieces in
-    turn.  Texts with white space next to a space are encoded as a whole.
+class Encoder:
+    """Ids of whole texts, remembering those of small pieces.
+
+    Byte-level pre-tokenisation always starts a new piece at a single space
+    before a character, at a comma, full stop or line break after a letter or
+    digit, and at a letter or digit after a single line break.  A text's ids
+    are those of its pieces in turn; pieces that begin without a space carry
+    a zero character.  New pieces are encoded many at a time as one text and
+    told apart by the bytes each id stands for.  Texts with other white space
+    after a space, or with a zero character, are encoded as a whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -62,42 +73,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [np.array(e.ids, self.dtype).tobytes() for k in range(0, len(texts), 4096)
-                for e in run(texts[k:k + 4096], add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces: Iterable[str], space: str) -> None:
-        new = [p for p in pieces if p not in known]
-        good = []
-        for p in new:
-            if (p or not space) and not p[:1].isspace() and not p[-1:].isspace():
-                good.append(p)
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # In a byte-level vocabulary every character of an entry stands for one byte.
+        self.n_bytes = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _spaced(self, some: list[str]) -> list[bytes]:
+        """The ids of each piece with a space before it."""
+        ids = self._whole(" " + " ".join(some))
+        ends = np.cumsum(self.n_bytes[ids])
+        sizes = np.cumsum([len(p.encode()) + 1 for p in some])
+        cuts = np.searchsorted(ends, sizes) + 1
+        if (ends[cuts - 1] != sizes).any():  # a special token's own string
+            return [self._whole(" " + p).tobytes() for p in some]
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        edges = [0, *(cuts * width).tolist()]
+        return [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > CACHE // 2:  # what was not used since the last time goes
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = pieces - known.keys()
+        seen = new & old.keys()
+        known.update(zip(seen, map(old.__getitem__, seen), strict=True))
+        plain = []
+        for p in new - seen:
+            if p[:1] == "\0":
+                known[p] = self._whole(p[1:]).tobytes()
+            elif not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None if not p or p[0].isspace() else self._whole(" " + p).tobytes()
             else:
-                known[p] = None  # beside more white space: not for itself
-        known.update(zip(good, self._encode([space + p for p in good]), strict=True))
+                plain.append(p)
+        for k in range(0, len(plain), 2048):
+            some = plain[k:k + 2048]
+            known.update(zip(some, self._spaced(some), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.first) + len(self.rest) > CACHE:
-            self.first.clear()
-            self.rest.clear()
-        parts = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in parts}, "")
-        self._learn(self.rest, set().union(*(p[1:] for p in parts)), " ")
-        out, get = [], self.rest.__getitem__
+        parts = [None if "\0" in t else ("\0" + _LINE.sub("\n \0", _MARK.sub(r" \0\g<0>", t))).split(" ")
+                 for t in texts]
+        self._learn(set().union(*filter(None, parts)))
+        out, get = [], self.known.__getitem__
         for t, p in zip(texts, parts, strict=True):
             try:
-                ids = self.first[p[0]] + b"".join(map(get, p[1:]))
-            except TypeError:
-                ids = self._encode([t])[0]
-            out.append(np.frombuffer(ids, self.dtype))
+                out.append(np.frombuffer(b"".join(map(get, p)), self.dtype))
+            except TypeError:  # no pieces, or one that is not for itself
+                out.append(self._whole(t))
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(tokenizer_path: str) -> Encoder:
+    """One per worker process: what it remembers serves all its tasks."""
+    return Encoder(tokenizer_path)
+
+
 class _Writer:
     """Cuts a stream of ids into sequences and writes them in batches."""
 
@@ -159,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         file = context.partitionId()
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
-        encode = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         end = np.array([end_id], encode.dtype)
         own = f".{context.taskAttemptId()}.part"
         names = [f"{root}/tokens-{file:06d}.arrow", f"{root}/docs-{file:06d}.arrow"]
