@@ -94,3 +94,14 @@ def answers(rows: pa.Table, kind: int, column: str) -> np.ndarray:
     own = sorted((r for r in rows.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
     parts = [wide(r[column], r["n"]) for r in own]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def totals_of(rows: list[dict], bits: int) -> list[tuple]:
+    """Answers ``(block, kind, bucket, n, totals)`` to the reports of one kind in one bucket."""
+    counts = np.concatenate([wide(r["counts"], r["n"]) for r in rows])
+    keys, at = np.unique(np.concatenate([reported_keys(r, bits) for r in rows]), return_inverse=True)
+    totals, out, edge = np.bincount(at, counts, len(keys)).astype(np.int64), [], 0
+    for r in rows:
+        out.append((r["block"], r["kind"], r["bucket"], r["n"], narrow(totals[at[edge:edge + r["n"]]])))
+        edge += r["n"]
+    return out

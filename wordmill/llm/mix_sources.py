@@ -61,9 +61,9 @@ def _targets(cells: DataFrame, margin: str, fraction: float, temper: float,
     else:
         share = F.pow("s", F.lit(temper))
     raw = sums.select(margin, "s", share.alias("r"))
-    whole = raw.agg(F.sum("s").alias("all_s"), F.sum("r").alias("all_r"))
-    scaled = F.when(F.col("all_r") > 0, F.col("r") / F.col("all_r") * F.col("all_s") * fraction).otherwise(0.0)
-    return raw.join(F.broadcast(whole)).select(margin, scaled.alias(f"target{margin}"))  # one row of totals
+    all_tokens, all_shares = raw.agg(F.sum("s"), F.sum("r")).first()
+    scaled = F.col("r") / F.lit(all_shares) * F.lit(all_tokens) * fraction if all_shares else F.lit(0.0)
+    return raw.select(margin, scaled.alias(f"target{margin}"))
 
 
 def fit_cells(measured: DataFrame, fraction: float = FRACTION, temper: float = TEMPER, sweeps: int = SWEEPS,

@@ -75,6 +75,12 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), held_out=_crc_mod(10) == 0)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.jaccard_join import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"), k=4, min_pct=85)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm.common import scratch_path
     from wordmill.llm.token_files import read_documents, write_tokens
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
     "op7_lm_score": op7_lm_score,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
