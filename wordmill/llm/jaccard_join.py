@@ -17,9 +17,11 @@ similarity reaches the threshold.  Equal sets are one class from the start.
 3. Classes under one entry are compared with one of them, the leader, and
    verified exactly; links join classes into components.  Only pairs that still
    lie in different components are of interest then: rounds with other leaders
-   follow while these are many, and last all of them are verified.  So a group
-   of thousands of near copies costs a few comparisons a member, and no link
-   between components is missed.
+   follow while they link many, and last all those pairs are verified.  So a
+   group of thousands of near copies costs a few comparisons a member, and no
+   link between components is missed.
+4. Before any verification, two exact bounds drop pairs that cannot link: the
+   shingles that come before the entry in either set, and parity bits.
 
 Nothing is capped or sampled; equal texts are never expanded into pairs.
 
@@ -47,10 +49,10 @@ from wordmill.llm.common import materialize
 from wordmill.llm.components import connected_components
 from wordmill.llm.shingles import mix, shingle_sets
 
-FREQUENT = 200         # classes that share a shingle of the rare class, at most
+FREQUENT = 2_000       # classes that share a shingle of the rare class, at most
 LARGE = 400            # shingles of a set whose frequent ones are combined
 STARS = 6              # rounds with one leader per entry, at most
-EASY = 4               # open pairs per index entry that are verified without another round
+WORTH = 1_000          # links of such a round for another to follow; with fewer, no dense group of more is left
 DROPPED_BYTES = 64 << 20
 _U = np.uint64
 SHINGLES = 1
@@ -82,26 +84,42 @@ def signatures(rows: DataFrame, text_col: str, k: int) -> DataFrame:
     return rows.mapInArrow(sign, StructType(list(rows.schema.fields)).add("_n", "long").add("_s", "long"))
 
 
-def _index_entries(s: np.ndarray, df: np.ndarray, pct: int) -> np.ndarray:
-    """The index entries of one set: its shingles' hashes ``s`` with document frequencies ``df``."""
+def _index_entries(s: np.ndarray, df: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of one set, and the shingles that come before each in the set's order.
+
+    ``s`` are the set's shingle hashes, ``df`` their document frequencies.  Two
+    sets that meet under the first entry they share have no earlier shingle in
+    common, which bounds what they can share at all.
+    """
     n = len(s)
     extended = min(n, n - needed(n, pct) + 2)
     order = np.lexsort((s, df))[:extended]
-    s, df = s[order], df[order]
-    shared = df > 1
-    s, df = s[shared], df[shared]
-    rare, often = s[df <= FREQUENT], s[df > FREQUENT]
-    entries = [rare]
+    s, df, place = s[order], df[order], np.arange(extended)
+    rare, often = np.flatnonzero((df > 1) & (df <= FREQUENT)), np.flatnonzero(df > FREQUENT)
+    entries, places = [s[rare]], [place[rare]]
     if n > LARGE:
-        entries.append(often)
+        entries.append(s[often])
+        places.append(place[often])
     if n * pct <= LARGE * 100 and len(often) > 1:
         i, j = np.triu_indices(len(often), 1)
-        entries.append(mix(often[i] * _U(0x9E3779B97F4A7C15) ^ often[j]))
-    return np.concatenate(entries)
+        entries.append(mix(s[often][i] * _U(0x9E3779B97F4A7C15) ^ s[often][j]))
+        places.append(place[often][j] - 1)  # the two shingles, and nothing else up to the second
+    return np.concatenate(entries), np.concatenate(places)
+
+
+def _parity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the shingles that fall on it.
+
+    A shingle that only one of two sets has changes one bit, so two sets differ
+    in at least as many shingles as their parities differ in bits.
+    """
+    bits = (np.bincount((s & _U(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)
+    low, high = np.packbits(bits).view(np.int64).tolist()
+    return low, high
 
 
 def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int) -> DataFrame:
-    """``node, n, doc, entries, shingles`` of every class that may have links."""
+    """``node, n, doc, b0, b1, posts, shingles`` of every class that may have links."""
     n_blocks, bits = bc.plan_blocks(docs, text_col)
     dealt = docs.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int").alias("_block"))
     # One row per class, dealt like the document that stands for it.
@@ -141,14 +159,17 @@ def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int)
             replies = listed.filter(pa.compute.equal(listed.column("kind"), SHINGLES))
             df, edge = bc.answers(replies, SHINGLES, "totals")[at], 0
             for (node, doc), s in zip(names, sets, strict=True):
-                own = _index_entries(s, df[edge:edge + len(s)], pct)
+                own, places = _index_entries(s, df[edge:edge + len(s)], pct)
                 edge += len(s)
                 if len(own):
-                    out.append((node, len(s), doc, own.view(np.int64), s.view(np.int64)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    posts = [{"entry": e, "place": p} for e, p in zip(own.view(np.int64).tolist(), places.tolist(),
+                                                                      strict=True)]
+                    out.append((node, len(s), doc, *_parity(s), posts, s.view(np.int64)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        post = pa.list_(pa.struct([("entry", pa.int64()), ("place", pa.int32())]))
+        kinds = [pa.int64()] * 5 + [post, pa.list_(pa.int64())]
         return pa.table([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)],
-                        names=["node", "n", "doc", "entries", "shingles"])
+                        names=["node", "n", "doc", "b0", "b1", "posts", "shingles"])
 
     texts = dealt.groupBy("_block")
     reports = texts.cogroup(chosen.groupBy("block")).applyInArrow(count, bc.REPORT)
@@ -156,7 +177,8 @@ def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int)
     none = F.lit(None).cast("long")
     listed = chosen.unionByName(answers.withColumns({"doc": none, "node": none}))
     return materialize(dealt.groupBy("_block").cogroup(listed.groupBy("block")).applyInArrow(
-        entries, "node long, n long, doc long, entries array<long>, shingles array<long>"), "index")
+        entries, "node long, n long, doc long, b0 long, b1 long, posts array<struct<entry:long,place:int>>, "
+                 "shingles array<long>"), "index")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -170,52 +192,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 def _components(index: DataFrame, pct: int) -> DataFrame | None:
     """``node, comp`` of every class that has a link, or None."""
-    posts = index.select("node", "n", "doc", F.explode("entries").alias("entry"))
+    side = ["node", "n", "place", "b0", "b1"]
+    posts = index.select("node", "n", "doc", "b0", "b1", F.inline("posts"))
     shared = posts.groupBy("entry").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("entry")
     posts = materialize(posts.join(shared, "entry"), "posts")
-    n_posts = posts.count()
-    if not n_posts:
+    if not posts.limit(1).count():
         return None
-    sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * pct
-    comps, tested, links, stars = None, None, None, 0
+    differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("b02"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("b12")))
+    both = F.col("n") + F.col("n2")
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"), F.floor((both - differ) / 2))
+    able = (F.col("comp") != F.col("comp2")) & (most * 100 >= (both - most) * pct)
+    open_ = posts.withColumn("comp", F.col("node"))
+    comps, tested, links, stars, worth = None, None, None, 0, True
     while True:
-        if comps is None:
-            open_ = posts.withColumn("comp", F.col("node"))
-        else:
-            at = comps.select(F.col("node").alias("x"), "comp")
-            now = posts.join(at, F.col("node") == F.col("x"), "left").select(
-                "entry", "node", "n", "doc", F.coalesce("comp", "node").alias("comp"))
-            # Pairs under an entry that lie in different components: all pairs less those within one.
-            sizes = now.groupBy("entry", "comp").agg(F.count(F.lit(1)).alias("c"))
-            by_entry = sizes.groupBy("entry").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-            mixed = materialize(by_entry.where("all * all > sq"), "mixed")
-            pairs_left = (mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("sq")) / 2)).first()[0]) or 0
-            if not pairs_left:
-                return comps
-            open_ = materialize(now.join(mixed.select("entry"), "entry"), "open")
-        last = comps is not None and (pairs_left <= EASY * n_posts or stars >= STARS)
-        if last:
-            other = open_.select("entry", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")])
-            found = open_.join(other, "entry").where((F.col("node") < F.col("node2"))
-                                                     & (F.col("comp") != F.col("comp2")) & sized)
-        else:
-            rank = F.struct(F.lit(0).alias("r"), "doc", "node", "n", "comp") if not stars else \
-                F.struct(F.xxhash64("node", F.lit(stars)).alias("r"), "doc", "node", "n", "comp")
-            leader = open_.groupBy("entry").agg(F.min(rank).alias("l")).select(
-                "entry", *[F.col(f"l.{c}").alias(f"{c}2") for c in ("node", "n", "comp")])
-            found = open_.join(leader, "entry").where((F.col("comp") != F.col("comp2")) & sized)
+        if worth and stars < STARS:  # every member of an entry with one of them
+            first = (F.lit(0) if not stars else F.xxhash64("node", F.lit(stars))).alias("r")
+            leader = open_.groupBy("entry").agg(F.min(F.struct(first, "doc", *side, "comp")).alias("l")).select(
+                "entry", *[F.col(f"l.{c}").alias(f"{c}2") for c in (*side, "comp")])
+            found = open_.join(leader, "entry").where(able)
+        else:  # all that could still join two components
+            other = open_.select("entry", *[F.col(c).alias(f"{c}2") for c in (*side, "comp")])
+            found = open_.join(other, "entry").where(able & (F.col("node") < F.col("node2")))
         pairs = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         results = materialize(_verified(pairs, index, pct), "verified")
-        new = results.where("linked").select("a", "b")
-        tested = results.select("a", "b") if tested is None else tested.unionByName(results.select("a", "b"))
+        n_linked = results.where("linked").count()
+        new, seen = results.where("linked").select("a", "b"), results.select("a", "b")
+        tested = seen if tested is None else tested.unionByName(seen)
         links = new if links is None else links.unionByName(new)
-        if new.limit(1).count() or comps is None:
+        if n_linked or comps is None:
             comps = connected_components(links)
-        if last:
+        if not worth or stars >= STARS:
             return comps
-        stars += 1
+        worth, stars = n_linked >= WORTH, stars + 1
+        at = comps.select(F.col("node").alias("x"), "comp")
+        now = posts.join(at, F.col("node") == F.col("x"), "left").select(
+            "entry", "doc", *side, F.coalesce("comp", "node").alias("comp"))
+        mixed = now.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+            .where("lo < hi").select("entry")
+        open_ = materialize(now.join(mixed, "entry"), "open")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
