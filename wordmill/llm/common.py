@@ -35,6 +35,15 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without_positions(items: Column, cut: Column) -> Column:
+    """The array ``items`` less the sorted positions ``cut``: the stretches between them, so in linear time."""
+    def stretch(k: Column) -> Column:
+        begin = F.coalesce(F.get(cut, k - 1) + 1, F.lit(0))
+        end = F.coalesce(F.get(cut, k), F.size(items))
+        return F.slice(items, begin + 1, end - begin)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), stretch))
+
+
 def scratch_path(df: DataFrame, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/wordmill-{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of, words
+from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of, without_positions, words
 
 MIN_WORDS = 50          # fewer words: rejected
 MAX_REPEAT_PCT = 50     # more than this share of words in repeated windows: rejected
@@ -184,16 +184,8 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_words = F.size(words(F.col("_text")))
     rows = rows.where(F.col("_removed").isNull() | (F.col("_removed") * 100 <= n_words * max_removed_pct))
 
-    def without(lines: Column, cut: Column) -> Column:
-        # The stretches between removed positions, each taken once: linear in the number of lines.
-        def stretch(k: Column) -> Column:
-            begin = F.coalesce(F.get(cut, k - 1) + 1, F.lit(0))
-            end = F.coalesce(F.get(cut, k), F.size(lines))
-            return F.slice(lines, begin + 1, end - begin)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), stretch))
-
     clean = F.when(F.col("_cut").isNull(), F.col(f"_row.{text_col}")).otherwise(
-        F.array_join(let(F.split("_text", "\n"), lambda x: without(x, F.col("_cut"))), "\n"))
+        F.array_join(let(F.split("_text", "\n"), lambda x: without_positions(x, F.col("_cut"))), "\n"))
     changed = {text_col: clean}
     if chars_col:
         changed[chars_col] = F.when(F.col("_cut").isNull(), F.col(f"_row.`{chars_col}`")).otherwise(
