@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmill.session import checkpoint_dir
@@ -61,6 +62,17 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if no path is set for them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns ``c0, c1, ...``: any names, also with dots, pass through Python that way."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordmill.llm.common import positional
 from wordmill.llm.shingles import pieces, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -136,6 +137,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
                 yield b.filter(pa.array(keep))
         return clean
 
+    plain = positional(docs)
     for block in item_blocks(items, item_id_col, item_text_col):
-        docs = docs.mapInArrow(without(block), docs.schema)
-    return docs
+        plain = plain.mapInArrow(without(block), plain.schema)
+    return plain.toDF(*docs.columns)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmill.llm.common import positional
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -149,11 +151,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = _automaton()
         for b in batches:
-            k = b.schema.get_field_index(text_col)
             new = [None if t is None else redacted(t, spans_of(t, anchors)) for t in b.column(k).to_pylist()]
             yield b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
 
-    return docs.mapInArrow(replace, docs.schema)
+    plain, k = positional(docs), docs.columns.index(text_col)
+    return plain.mapInArrow(replace, plain.schema).toDF(*docs.columns)
 
 
 def joined(spans: Column) -> Column:
