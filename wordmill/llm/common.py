@@ -68,6 +68,12 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package importable in the workers."""
+    importable(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def positional(df: DataFrame) -> DataFrame:
     """``df`` with columns ``c0, c1, ...``: any names, also with dots, pass through Python that way."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))])

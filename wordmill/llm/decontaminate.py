@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import positional
+from wordmill.llm.common import map_arrow, positional
 from wordmill.llm.shingles import pieces, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -117,7 +117,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                         [b.column("_id").take(pa.array(row)), known.ids.take(pa.array(item)), pa.array(common),
                          pa.array([len(known.sets[i]) for i in item])],
                         names=[id_col, item_id_col, "n_common", "n_item"])
-        return rows.mapInArrow(find, schema)
+        return map_arrow(rows, find, schema)
 
     found = [search(t) for t in item_blocks(items, item_id_col, item_text_col)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
@@ -139,5 +139,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text
 
     plain = positional(docs)
     for block in item_blocks(items, item_id_col, item_text_col):
-        plain = plain.mapInArrow(without(block), plain.schema)
+        plain = map_arrow(plain, without(block), plain.schema)
     return plain.toDF(*docs.columns)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wordmill.llm import block_counts as bc
-from wordmill.llm.common import materialize
+from wordmill.llm.common import map_arrow, materialize
 from wordmill.llm.components import connected_components
 from wordmill.llm.shingles import mix, shingle_sets
 
@@ -81,7 +81,7 @@ def signatures(rows: DataFrame, text_col: str, k: int) -> DataFrame:
                 [*b.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64())],
                 names=[*b.schema.names, "_n", "_s"])
 
-    return rows.mapInArrow(sign, StructType(list(rows.schema.fields)).add("_n", "long").add("_s", "long"))
+    return map_arrow(rows, sign, StructType(list(rows.schema.fields)).add("_n", "long").add("_s", "long"))
 
 
 def _index_entries(s: np.ndarray, df: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:

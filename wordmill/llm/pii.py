@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import positional
+from wordmill.llm.common import map_arrow, positional
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -143,7 +143,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.record_batch([b.column("_id"), pa.array(spans, kind)], names=["_id", "spans"])
 
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}"
-    return rows.mapInArrow(find, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(rows, find, schema).withColumnRenamed("_id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,7 +155,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield b.set_column(k, b.schema.field(k), pa.array(new, b.schema.field(k).type))
 
     plain, k = positional(docs), docs.columns.index(text_col)
-    return plain.mapInArrow(replace, plain.schema).toDF(*docs.columns)
+    return map_arrow(plain, replace, plain.schema).toDF(*docs.columns)
 
 
 def joined(spans: Column) -> Column:

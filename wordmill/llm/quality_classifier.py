@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmill.llm.common import map_arrow
 from wordmill.llm.shingles import mix, pieces, string_buffers, word_hashes
 
 SAMPLE = 6_000         # labelled documents to learn from, at most about
@@ -148,9 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = train(features, np.array(marks, np.int64))
         yield pa.record_batch([pa.array([model.tobytes()], pa.binary())], names=["model"])
 
-    counted = texts.select(F.xxhash64("_id", "_text").alias("_order"), "_label", "_text") \
-        .mapInArrow(count, "_order long, _label int, buckets binary, counts binary")
-    fitted = counted.repartition(1).sortWithinPartitions("_order", "_label").mapInArrow(fit, "model binary").first()
+    ordered = texts.select(F.xxhash64("_id", "_text").alias("_order"), "_label", "_text")
+    counted = map_arrow(ordered, count, "_order long, _label int, buckets binary, counts binary")
+    fitted = map_arrow(counted.repartition(1).sortWithinPartitions("_order", "_label"), fit, "model binary").first()
     return np.frombuffer(bytes(fitted["model"]), np.float32)
 
 
@@ -166,5 +167,5 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
                                   names=[id_col, "score", "predicted"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int"
-    scored = rows.mapInArrow(rate, schema)
+    scored = map_arrow(rows, rate, schema)
     return scored.select("*", *[c.alias(n) for n, c in (carry or {}).items()])

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import shuffle_partitions
+from wordmill.llm.common import map_arrow, shuffle_partitions
 
 SEQUENCE = 2048        # ids in a sequence
 BATCH = 64             # sequences in a record batch
@@ -223,7 +223,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         yield pa.record_batch([pa.array([file], pa.int32()), pa.array([n_docs], pa.int64()),
                                pa.array([at], pa.int64())], names=["file", "n_docs", "n_tokens"])
 
-    placed.mapInArrow(write, "file int, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
+    map_arrow(placed, write, "file int, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
     return read_manifest(spark, path)
 
 
@@ -298,4 +298,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                                                pa.array(sums, pa.int64())],
                                               names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(tasks, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
