@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordmill.llm.common import importable, materialize, scratch_path
+from wordmill.llm.common import materialize, prepare, scratch_path
 from wordmill.llm.decontaminate import remove_contaminated
 from wordmill.llm.jaccard_join import keep_one
 from wordmill.llm.mix_sources import mix
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each one's result written as Parquet and read again by the next."""
-    importable(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

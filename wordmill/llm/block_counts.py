@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import importable, shuffle_partitions
+from wordmill.llm.common import prepare, shuffle_partitions
 
 BLOCK_CHARS = 8_000_000
 _U = np.uint64
@@ -43,7 +43,7 @@ def wide(raw: bytes, n: int) -> np.ndarray:
 
 def plan_blocks(docs: DataFrame, text_col: str, block_chars: int = BLOCK_CHARS, least: int = 1) -> tuple[int, int]:
     """Number of blocks for this corpus and the bits that name a bucket."""
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(least, shuffle_partitions(docs), math.ceil(chars / block_chars))
     return blocks, min(16, max(1, (blocks - 1).bit_length()))

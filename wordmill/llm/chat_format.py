@@ -131,7 +131,8 @@ def _format(turns: Column) -> Column:
 def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``conv_id, path, rank, score, formatted, loss_spans``: one row per chosen path."""
     paths = reply_paths(messages, branches)
-    rows = paths.join(messages.select("id", "conv_id", "role", "text"), paths["node"] == F.col("id"))
+    told = messages.select("id", "conv_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    rows = paths.join(told, paths["node"] == F.col("id"))
     turns = rows.groupBy("path").agg(
         F.first("rank").alias("rank"), F.first("path_score").alias("score"),
         F.max(F.when(F.col("place") == F.col("n_turns") - 1, F.col("conv_id"))).alias("conv_id"),

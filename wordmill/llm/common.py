@@ -14,6 +14,7 @@ from wordmill.session import checkpoint_dir
 # A word is a run of characters other than space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,15 +63,22 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if no path is set for them."""
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for Python stages over texts.
+
+    Workers can import this package from where the driver has it, if no path is
+    set for them; and Arrow batches, whose default of 10,000 rows is meant for
+    numbers, hold 1,000 texts, unless the session has its own setting.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package importable in the workers."""
-    importable(df.sparkSession)
+    """``df.mapInArrow`` in a prepared session."""
+    prepare(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

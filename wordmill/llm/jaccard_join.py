@@ -84,7 +84,7 @@ def signatures(rows: DataFrame, text_col: str, k: int) -> DataFrame:
     return map_arrow(rows, sign, StructType(list(rows.schema.fields)).add("_n", "long").add("_s", "long"))
 
 
-def _index_entries(s: np.ndarray, df: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+def _index_entries(s: np.ndarray, df: np.ndarray, pct: int, frequent: int, large: int) -> tuple[np.ndarray, np.ndarray]:
     """The index entries of one set, and the shingles that come before each in the set's order.
 
     ``s`` are the set's shingle hashes, ``df`` their document frequencies.  Two
@@ -95,12 +95,12 @@ def _index_entries(s: np.ndarray, df: np.ndarray, pct: int) -> tuple[np.ndarray,
     extended = min(n, n - needed(n, pct) + 2)
     order = np.lexsort((s, df))[:extended]
     s, df, place = s[order], df[order], np.arange(extended)
-    rare, often = np.flatnonzero((df > 1) & (df <= FREQUENT)), np.flatnonzero(df > FREQUENT)
+    rare, often = np.flatnonzero((df > 1) & (df <= frequent)), np.flatnonzero(df > frequent)
     entries, places = [s[rare]], [place[rare]]
-    if n > LARGE:
+    if n > large:
         entries.append(s[often])
         places.append(place[often])
-    if n * pct <= LARGE * 100 and len(often) > 1:
+    if n * pct <= large * 100 and len(often) > 1:
         i, j = np.triu_indices(len(often), 1)
         entries.append(mix(s[often][i] * _U(0x9E3779B97F4A7C15) ^ s[often][j]))
         places.append(place[often][j] - 1)  # the two shingles, and nothing else up to the second
@@ -118,7 +118,8 @@ def _parity(s: np.ndarray) -> tuple[int, int]:
     return low, high
 
 
-def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int) -> DataFrame:
+def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int, frequent: int,
+           large: int) -> DataFrame:
     """``node, n, doc, b0, b1, posts, shingles`` of every class that may have links."""
     n_blocks, bits = bc.plan_blocks(docs, text_col)
     dealt = docs.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int").alias("_block"))
@@ -159,7 +160,7 @@ def _index(docs: DataFrame, classes: DataFrame, text_col: str, k: int, pct: int)
             replies = listed.filter(pa.compute.equal(listed.column("kind"), SHINGLES))
             df, edge = bc.answers(replies, SHINGLES, "totals")[at], 0
             for (node, doc), s in zip(names, sets, strict=True):
-                own, places = _index_entries(s, df[edge:edge + len(s)], pct)
+                own, places = _index_entries(s, df[edge:edge + len(s)], pct, frequent, large)
                 edge += len(s)
                 if len(own):
                     posts = [{"entry": e, "place": p} for e, p in zip(own.view(np.int64).tolist(), places.tolist(),
@@ -190,7 +191,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         "a", "b", (both * 100 >= (F.size("sa") + F.size("sb") - both) * pct).alias("linked"))
 
 
-def _components(index: DataFrame, pct: int) -> DataFrame | None:
+def _components(index: DataFrame, pct: int, more: int) -> DataFrame | None:
     """``node, comp`` of every class that has a link, or None."""
     side = ["node", "n", "place", "b0", "b1"]
     posts = index.select("node", "n", "doc", "b0", "b1", F.inline("posts"))
@@ -225,7 +226,7 @@ def _components(index: DataFrame, pct: int) -> DataFrame | None:
             comps = connected_components(links)
         if not worth or stars >= STARS:
             return comps
-        worth, stars = n_linked >= WORTH, stars + 1
+        worth, stars = n_linked >= more, stars + 1
         at = comps.select(F.col("node").alias("x"), "comp")
         now = posts.join(at, F.col("node") == F.col("x"), "left").select(
             "entry", "doc", *side, F.coalesce("comp", "node").alias("comp"))
@@ -234,15 +235,16 @@ def _components(index: DataFrame, pct: int) -> DataFrame | None:
         open_ = materialize(now.join(mixed, "entry"), "open")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    min_pct: int = 80) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_pct: int = 80,
+                    frequent: int = FREQUENT, large: int = LARGE, worth: int = WORTH) -> DataFrame:
     """``id, n_shingles, component_id`` of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     signed = materialize(signatures(rows, "_text", k).select("_id", "_n", "_s"), "signed")
     # Classes of equal sets, each with its first document.
     classes = materialize(signed.where("_n > 0 AND _id IS NOT NULL").groupBy(F.col("_s").alias("node")).agg(
         F.min("_id").alias("doc")), "classes")
-    comps = _components(_index(rows.where("_id IS NOT NULL"), classes, "_text", k, min_pct), min_pct)
+    index = _index(rows.where("_id IS NOT NULL"), classes, "_text", k, min_pct, frequent, large)
+    comps = _components(index, min_pct, worth)
     if comps is not None:
         known = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         firsts = known.groupBy("comp").agg(F.min("doc").alias("first"))

@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ordered = texts.select(F.xxhash64("_id", "_text").alias("_order"), "_label", "_text")
     counted = map_arrow(ordered, count, "_order long, _label int, buckets binary, counts binary")
     fitted = map_arrow(counted.repartition(1).sortWithinPartitions("_order", "_label"), fit, "model binary").first()
-    return np.frombuffer(bytes(fitted["model"]), np.float32)
+    return np.frombuffer(bytes(fitted["model"]), np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",

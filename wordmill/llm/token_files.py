@@ -38,7 +38,7 @@ from wordmill.llm.common import map_arrow, shuffle_partitions
 
 SEQUENCE = 2048        # ids in a sequence
 BATCH = 64             # sequences in a record batch
-CACHE = 600_000      # pieces whose ids a worker remembers
+CACHE = 400_000      # pieces whose ids a worker remembers
 GROUP = 256            # documents tokenised together
 
 
@@ -151,7 +151,7 @@ class _Writer:
         self.held += len(ids)
         self.ends.append(self.held - 1)
         if self.held >= BATCH * self.length:
-            self._write(self.held // self.length)
+            self._write(self.held // self.length // BATCH * BATCH)  # full batches only
 
     def _write(self, n: int) -> None:
         stream, size = np.concatenate(self.ids), n * self.length
