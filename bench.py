@@ -26,12 +26,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from wordmill.operators import evaluation as ev  # noqa: E402
-from wordmill.operators.indexing import posting_lookup, read_index, write_index  # noqa: E402
+from wordmill.operators.indexing import MIN_DF, posting_lookup, read_index, write_index  # noqa: E402
 from wordmill.operators.linkgraph import link_graph  # noqa: E402
 from wordmill.operators.pagerank import pagerank  # noqa: E402
 from wordmill.operators.relevance import passage_qrels  # noqa: E402
 from wordmill.operators.retrieval import search  # noqa: E402
-from wordmill.plans.tables import benchmark_queries, corpus, default_min_df, table  # noqa: E402
+from wordmill.plans.tables import benchmark_queries, corpus, table  # noqa: E402
 from wordmill.session import local_session  # noqa: E402
 
 
@@ -63,7 +63,7 @@ def main() -> None:
     timed("pagerank", rank)
     pr = spark.read.parquet(f"{out}/pagerank")
     # Ranks are stored with the postings, so search needs no rank-table join.
-    timed("index_build", lambda: write_index(docs, f"{out}/index", min_df=default_min_df(sf_dir), pagerank=pr))
+    timed("index_build", lambda: write_index(docs, f"{out}/index", min_df=MIN_DF, pagerank=pr))
 
     index = read_index(spark, f"{out}/index")
     queries = benchmark_queries(spark, sf_dir)

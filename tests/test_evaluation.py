@@ -3,7 +3,7 @@ import pytest
 from wordmill.operators import evaluation as ev
 
 R = range
-# (metric, true, pred, k, value) from the reference's inline asserts
+# Fixed values: (metric, true, pred, k, value), the published examples of these metrics.
 CASES = [
     ("precision", R(10), [1, 2, 3], 2, 1.0),
     ("recall", R(10), [10, 5, 3], 2, 0.1),

@@ -1,14 +1,15 @@
-from wordmill.operators.joins import bounded_broadcast, spread
+from wordmill.operators.joins import bounded_broadcast, frame_bytes, spread
 
 
 def _hinted(df):
     return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
 
 
-def test_bounded_broadcast_checks_the_count(spark):
+def test_bounded_broadcast_checks_the_bytes(spark):
     small = spark.range(10)
-    assert _hinted(bounded_broadcast(small, max_rows=10))
-    assert not _hinted(bounded_broadcast(small, max_rows=9))
+    assert frame_bytes(small) == 240
+    assert _hinted(bounded_broadcast(small, max_bytes=240))
+    assert not _hinted(bounded_broadcast(small, max_bytes=239))
 
 
 def test_spread_only_widens_narrow_inputs(spark):

@@ -19,11 +19,11 @@ def test_stream_append_equals_batch_build(spark, scratch):
     q = index_stream(stream, f"{scratch}/idx", f"{scratch}/ckpt", num_buckets=16) \
         .trigger(availableNow=True).start()
     q.awaitTermination(300)
-    idx = read_stream_index(spark, f"{scratch}/idx", num_buckets=16)
+    idx = read_stream_index(spark, f"{scratch}/idx")
     full = build_index(corpus_from_documents(docs), min_df=0, num_buckets=16)
     key = lambda df: sorted(tuple(r) for r in df.select("term", "df", "term_total").collect())
     assert key(idx.terms) == key(full.terms)
-    assert idx.n_docs() == docs.count()
+    assert idx.n_docs() == docs.count() and idx.num_buckets == 16
     queries = spark.read.parquet(f"{SF}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     a = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search(queries, idx, with_titles=False).collect())

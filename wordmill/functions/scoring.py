@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,25 @@ def pagerank_factor(pagerank: Column, weight: float = 0.1) -> Column:
     return F.lit(1.0) + F.lit(weight) * F.log10(F.coalesce(pagerank, F.lit(0.0)) + F.lit(1.0))
 
 
+# Three-place ties q / 2000 (odd q) that Python does not round to the even
+# neighbour, because the double nearest to the tie lies off it.
+OFF_TIES = [q for q in range(1, 2000, 2)
+            if round(q / 2000, 3) != float((Decimal(q) / 2000).quantize(Decimal("0.001"), ROUND_HALF_EVEN))]
+
+
 def round3(x: Column) -> Column:
-    """Round half-to-even at 3 places, as Python's ``round(x, 3)`` on metric values."""
-    return F.bround(x, 3)
+    """Python's ``round(x, 3)`` on metric values in [0, 1].
+
+    Half to even, but for the ties in ``OFF_TIES``: there the other neighbour
+    (both add up to twice the tie).
+    """
+    def rounded(v: Column) -> Column:
+        even, q = F.bround(v, 3), F.round(v * 2000)
+        off = (q / 2000 == v) & q.cast("int").isin(OFF_TIES)
+        return F.when(off, F.bround(q / 1000 - even, 3)).otherwise(even)
+
+    # Bound once, so that nested metrics do not multiply the expression.
+    return F.element_at(F.transform(F.array(x), rounded), 1)
 
 
 def harmonic_or_zero(a: Column, b: Column) -> Column:

@@ -120,6 +120,6 @@ def term_bucket(term: Column | str, num_buckets: int = 124) -> Column:
     return F.pmod(h, F.lit(num_buckets)).cast("int")
 
 
-def title_of(text: Column | str, width: int = 40) -> Column:
-    """Title derived from a text body: its first ``width`` characters."""
-    return F.substring(_text(text), 1, width)
+def title_of(text: Column | str) -> Column:
+    """Title derived from a text body: its first line."""
+    return F.substring_index(_text(text), "\n", 1)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize, whitespace_word_count
 from wordmill.operators.joins import spread
+from wordmill.session import stored
 from wordmill.sources.corpus import corpus_stats, titles
 
 NUM_BUCKETS = 124
@@ -63,8 +64,12 @@ def term_stats(postings: DataFrame, min_df: int = 0) -> DataFrame:
 
 
 def min_df_filter(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms kept in ``terms`` (left semi join on term)."""
-    return postings.join(terms.select("term"), "term", "left_semi")
+    """Postings of the terms kept in ``terms`` (left semi join on term).
+
+    The vocabulary is stored first, so that its real size decides the join and
+    a term in a third of the corpus is split by the skew join.
+    """
+    return postings.join(stored(terms.select("term"), "terms"), "term", "left_semi")
 
 
 POSTING_BLOCK = 65536
@@ -131,9 +136,6 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
                  doc_lengths=corpus.select("doc_id", whitespace_word_count("text").alias("doc_len")))
 
 
-TABLES = ("postings", "terms", "titles", "corpus_stats")
-
-
 def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS,
                 pagerank: DataFrame | None = None,
                 keep: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Index:
@@ -229,9 +231,12 @@ def posting_lookup(index: Index, term: str) -> DataFrame:
             .select("term", "doc_id", "tf").orderBy("doc_id"))
 
 
-def append_to_index(path: str, new_corpus: DataFrame, out_path: str) -> Index:
+def append_to_index(path: str, new_corpus: DataFrame, out_path: str, pagerank: DataFrame | None = None) -> Index:
     """Add documents to an index and write the result to ``out_path``.
 
+    Document lengths and the ranks stored in the postings are kept; new
+    documents get theirs from ``pagerank`` (0.0 without one).
+
     Postings are unioned; ``terms`` are re-aggregated from the old statistics
     plus the new batch's statistics (df and term_total are additive), so old
     postings are not rescanned.  Only exact for indexes built with
@@ -243,11 +248,21 @@ def append_to_index(path: str, new_corpus: DataFrame, out_path: str) -> Index:
         raise ValueError("append needs an index built with min_df=0")
     nb = old.num_buckets
     new_counts = with_bucket(term_counts(new_corpus), nb)
+    columns = ["term", "doc_id", "tf", "bucket"]
+    if "pr" in old.postings.columns:
+        columns.append("pr")
+        if pagerank is None:
+            new_counts = new_counts.withColumn("pr", F.lit(0.0))
+        else:
+            ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
+            new_counts = new_counts.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
     new_terms = with_bucket(term_stats(new_counts), nb)
     terms = (old.terms.unionByName(new_terms)
              .groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")))
-    postings = old.postings.select("term", "doc_id", "tf", "bucket").unionByName(
-        new_counts.select("term", "doc_id", "tf", "bucket"))
+    postings = old.postings.select(*columns).unionByName(new_counts.select(*columns))
+    if old.doc_lengths is not None:
+        old.doc_lengths.unionByName(new_corpus.select("doc_id", whitespace_word_count("text").alias("doc_len"))) \
+            .write.mode("overwrite").parquet(f"{out_path}/doc_lengths")
     (terms.select("term", "df", "term_total", "bucket").repartitionByRange("bucket", "term")
      .sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{out_path}/terms"))
     (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")

@@ -1,24 +1,33 @@
-"""Join helpers: broadcast only behind a checked row count."""
+"""Join helpers: broadcast only behind a checked size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sides up to this many rows are broadcast; larger sides take a shuffle join
-# (with AQE skew splitting).  Rows here are narrow (a few ids and a term).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Sides up to this many bytes are broadcast; larger sides take a shuffle join
+# (with AQE skew splitting).
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+def frame_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: a partial aggregate over the (narrow) side, so no rows move."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        else:
+            width = width + F.lit(8)
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
-    The count is one extra job over the (small) side, which proves the bound
-    instead of trusting an optimizer estimate.  ``max_rows + 1`` rows are
-    scanned at most.
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if its rows have at most ``max_bytes`` bytes, else ``df`` unchanged.
+
+    One extra job over the (narrow) side proves the bound instead of trusting
+    an optimizer estimate.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if frame_bytes(df) <= max_bytes else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 Both work on range-partitioned data: rows are sorted across partitions by
 the full ordering key, so a group holding a third of all rows is split over
 many partitions.  Work inside a partition is bounded by the partition size,
-and what crosses partition boundaries is a table with one row per partition.
+and what crosses partition boundaries is a table with one row per partition.  The
+numbered partitions are stored before they are used twice: range boundaries come
+from a sample, and two samples need not agree.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmill.session import stored
+
 
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -23,7 +27,7 @@ def successors(df: DataFrame, group: str, order: list[str], value: str, name: st
     without putting a whole group into one task.
     """
     keys = [group] + list(order)
-    keyed = df.repartitionByRange(_partitions(df), *keys).withColumn("_p", F.spark_partition_id())
+    keyed = stored(df.repartitionByRange(_partitions(df), *keys).withColumn("_p", F.spark_partition_id()), "ordered")
     local = keyed.withColumn(
         "_next", F.lead(value).over(Window.partitionBy("_p", group).orderBy(*order)))
     # First row (in key order) of every non-empty partition, and for each
@@ -45,8 +49,8 @@ def dense_order_rank(df: DataFrame, key: Column, name: str = "pos") -> DataFrame
     adds the counts of all earlier partitions (a table with one row per
     partition, small enough to broadcast).
     """
-    keyed = df.withColumn("_k", key).repartitionByRange(_partitions(df), "_k") \
-        .withColumn("_p", F.spark_partition_id())
+    keyed = stored(df.withColumn("_k", key).repartitionByRange(_partitions(df), "_k")
+                   .withColumn("_p", F.spark_partition_id()), "ordered")
     local = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1)
     sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn(

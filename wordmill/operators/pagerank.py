@@ -23,36 +23,43 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.session import checkpoint_dir
+from wordmill.session import checkpoint_dir, stored
 
 
 def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterations: int = 6,
              num_partitions: int | None = None, checkpoint_every: int = 3,
-             hot_degree: int | None = None) -> DataFrame:
-    """``id, pagerank`` for every vertex."""
+             hot_degree: int | None = None, hot_floor: int = 10_000) -> DataFrame:
+    """``id, pagerank`` for every vertex.
+
+    Sources with more than ``hot_degree`` edges are spread; without it, those
+    above a partition's fair share, but no source below ``hot_floor`` edges.
+    """
     spark = edges.sparkSession
     checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
-    outdeg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
-    weighted = edges.join(outdeg, "src").select("src", "dst", (F.lit(1.0) / F.col("outdeg")).alias("w"), "outdeg")
-    weighted = weighted.persist(StorageLevel.MEMORY_AND_DISK)
+    edges = stored(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct(), "edges")
+    outdeg = stored(edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg")), "degrees")
     degree = outdeg.agg(F.sum("outdeg").alias("edges"), F.max("outdeg").alias("top")).first()
     n_edges, top = int(degree["edges"] or 0), int(degree["top"] or 0)
     # A source is hot when it alone holds more than a partition's fair share of
     # edges; there can be at most n such sources, so their ranks broadcast safely.
-    threshold = hot_degree or max(math.ceil(n_edges / n), 10_000)
+    threshold = hot_degree or max(math.ceil(n_edges / n), hot_floor)
     has_hot = top > threshold
-    normal = weighted.where(F.col("outdeg") <= threshold).select("src", "dst", "w") \
-        .repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    weight = (F.lit(1.0) / F.col("outdeg")).alias("w")
     hot = hot_ids = None
+    rest = edges
     if has_hot:
-        hot = weighted.where(F.col("outdeg") > threshold).select("src", "dst", "w") \
+        # The hot sources (at most n) are split off before any shuffle on the source.
+        hot_degrees = F.broadcast(outdeg.where(F.col("outdeg") > threshold))
+        hot = edges.join(hot_degrees, "src").select("src", "dst", weight) \
             .repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
-        hot_ids = hot.select(F.col("src").alias("id")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        hot_ids = outdeg.where(F.col("outdeg") > threshold).select(F.col("src").alias("id"))
+        rest = edges.join(hot_degrees, "src", "left_anti")
+    normal = rest.join(outdeg.where(F.col("outdeg") <= threshold), "src").select("src", "dst", weight) \
+        .repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
 
     verts = vertices.select(F.col("id").cast("long")).distinct().repartition(n, "id") \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -73,7 +80,17 @@ def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterati
     factor = (n_vertices / total) if total else 1.0
     # The last round is checkpointed, so the rescale is a narrow projection of it.
     result = ranks.select("id", (F.col("rank") * F.lit(factor)).alias("pagerank"))
-    for df in (weighted, normal, hot, hot_ids, verts):
+    for df in (normal, hot, verts):
         if df is not None:
             df.unpersist()
     return result
+
+
+def write_ranks(ranks: DataFrame, path: str) -> DataFrame:
+    """Ranks (``id, pagerank``) written under ``path``, sorted by id for lookups, and read back."""
+    ranks.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+    return read_ranks(ranks.sparkSession, path)
+
+
+def read_ranks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, pagerank double").parquet(path)

@@ -8,19 +8,21 @@ sides).  So each passage picks its few rarest such *interior* tokens as
 anchors; candidates are the documents holding all of them (an equi-join of
 anchors with the documents' terms plus a per-document count), and only
 candidates are checked with ``contains``.  Passages without an interior token
-(at most two words, or only stop words inside) are checked by one
-multi-pattern scan instead.
+(at most two words, or only stop words inside) are taken in blocks of bounded
+size, and each block is checked by one multi-pattern scan instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import TOKEN_PATTERN_JAVA, is_stop_word
 from wordmill.operators.indexing import term_counts
-from wordmill.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from wordmill.operators.joins import DEFAULT_BROADCAST_BYTES, bounded_broadcast
 from wordmill.session import checkpoint_dir
 
 _WS = r"\t\n\x0B\f\r "
@@ -35,7 +37,7 @@ def interior_terms(passages: DataFrame) -> DataFrame:
 
 
 def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame | None = None,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, anchors: int = 2) -> DataFrame:
+                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, anchors: int = 2) -> DataFrame:
     """``query_id, doc_id`` for every document whose text contains the query's passage.
 
     ``passages``: ``query_id, passage``; ``corpus``: ``doc_id, text``.  When a
@@ -46,10 +48,8 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     # keep them once instead of tokenizing the corpus twice.
     counts = term_counts(corpus).select("term", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     inner = interior_terms(passages)
-    small = inner.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    wanted = inner.select("term").distinct()
-    if small:
-        inner, wanted = F.broadcast(inner), F.broadcast(wanted)
+    wanted = bounded_broadcast(inner.select("term").distinct(), max_broadcast_bytes)
+    inner = bounded_broadcast(inner, max_broadcast_bytes)
     if vocabulary is None:
         df = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
@@ -64,20 +64,20 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
         F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, anchors).alias("a"))
     chosen = picked.select("query_id", F.size("a").alias("n_anchors"), F.explode("a").alias("x")).select(
         "query_id", "n_anchors", F.col("x.term").alias("term"))
-    chosen = bounded_broadcast(chosen, max_broadcast_rows)
+    chosen = bounded_broadcast(chosen, max_broadcast_bytes)
     # Distinct anchors per document (at most ``anchors`` terms), so repeated
     # document ids cannot fake or hide a full match.
     hits = counts.join(chosen, "term").groupBy("query_id", "doc_id").agg(
         F.size(F.collect_set("term")).alias("n"), F.first("n_anchors").alias("n_anchors"))
     candidates = hits.where(F.col("n") == F.col("n_anchors")).select("query_id", "doc_id")
     with_passage = candidates.join(passages.select("query_id", "passage"), "query_id")
-    with_passage = bounded_broadcast(with_passage, max_broadcast_rows)
+    with_passage = bounded_broadcast(with_passage, max_broadcast_bytes)
     texts = corpus.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     matched = texts.join(with_passage, "doc_id").where(F.col("text").contains(F.col("passage")))
     anchored = matched.select("query_id", "doc_id")
 
     anchorless = passages.join(inner.select("query_id").distinct(), "query_id", "left_anti")
-    out = anchored.unionByName(_scan_short_passages(anchorless, texts, max_broadcast_rows)).distinct()
+    out = anchored.unionByName(_scan_short_passages(anchorless, texts)).distinct()
     # The result is at most the verified candidates: materialise it in the
     # shared checkpoint folder so the cached term table can be released.
     checkpoint_dir(passages.sparkSession)
@@ -86,20 +86,27 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     return out
 
 
-def _scan_short_passages(short: DataFrame, texts: DataFrame, max_rows: int) -> DataFrame:
-    """Containment for passages with no interior token, in one pass over the texts.
+BLOCK_CHARS = 16_000_000  # passage text that one scan carries
+
+
+def _scan_short_passages(short: DataFrame, texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Containment for passages with no interior token, one pass over the texts per block of passages.
 
-    The (few) short passages are shipped to every task as an Aho-Corasick
-    automaton, and each Arrow batch of texts is scanned once for all of them.
+    A block is shipped to every task as an Aho-Corasick automaton, and each
+    Arrow batch of texts is scanned once for all of its passages.
     """
-    spark = short.sparkSession
-    n = short.limit(max_rows + 1).count()
-    if n == 0:
-        return spark.createDataFrame([], "query_id long, doc_id long")
-    if n > max_rows:
-        raise ValueError(f"more than {max_rows} passages without an interior token")
-    pairs = [(int(r["query_id"]), r["passage"] or "") for r in short.select("query_id", "passage").collect()]
-    shared = spark.sparkContext.broadcast(pairs)
+    rows = short.select("query_id", F.coalesce("passage", F.lit("")).alias("passage"))
+    chars = rows.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
+    n = -(-chars // block_chars)
+    blocks = [_scan_block(rows.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(n)) == k), texts)
+              for k in range(n)]
+    empty = short.sparkSession.createDataFrame([], "query_id long, doc_id long")
+    return reduce(DataFrame.unionByName, blocks, empty)
+
+
+def _scan_block(block: DataFrame, texts: DataFrame) -> DataFrame:
+    pairs = [(int(r["query_id"]), r["passage"]) for r in block.collect()]  # at most ``block_chars`` of text
+    shared = block.sparkSession.sparkContext.broadcast(pairs)
 
     def scan(batches):
         import ahocorasick

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wordmill.functions.scoring import bm25_idf, bm25_term, pagerank_factor, tfidf_idf
 from wordmill.functions.text import term_bucket, tokenize
 from wordmill.operators.indexing import Index
-from wordmill.operators.joins import DEFAULT_BROADCAST_ROWS
+from wordmill.operators.joins import DEFAULT_BROADCAST_BYTES, bounded_broadcast
 from wordmill.session import checkpoint_dir
 
 SCORE_DIGITS = 9  # scores are compared at this precision when ranking
@@ -48,13 +48,13 @@ def query_tokens(queries: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 def _query_terms(queries: DataFrame, index: Index, query_col: str,
-                 max_broadcast_rows: int) -> tuple[DataFrame, bool, list[int] | None]:
+                 max_broadcast_bytes: int) -> tuple[DataFrame, bool, list[int] | None]:
     """(query terms with df, whether they are small enough to broadcast, bucket list or None)."""
     qtok = query_tokens(queries, query_col).withColumn("bucket", term_bucket("term", index.num_buckets))
     # One small job over the query side proves its size before it is broadcast
     # and lists the buckets it touches (at most ``num_buckets`` values).
-    stats = qtok.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("bucket").alias("buckets")).first()
-    small = int(stats["rows"]) <= max_broadcast_rows
+    stats = qtok.agg(F.sum(F.octet_length("term") + 48).alias("bytes"), F.collect_set("bucket").alias("buckets")).first()
+    small = int(stats["bytes"] or 0) <= max_broadcast_bytes
     wanted = qtok.select("bucket", "term").distinct()
     buckets = None
     if small:
@@ -86,14 +86,14 @@ def _query_terms(queries: DataFrame, index: Index, query_col: str,
 
 
 def query_terms(queries: DataFrame, index: Index, query_col: str = "query",
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``query_id, term, qtf, first_pos, bucket, df``: query tokens known to the index.
 
     Unknown terms drop out of the inner join.  The vocabulary is semi-joined
     with the query's terms first, so only their statistics are read (or, for
     an index declared over a raw corpus, only their postings are aggregated).
     """
-    return _query_terms(queries, index, query_col, max_broadcast_rows)[0]
+    return _query_terms(queries, index, query_col, max_broadcast_bytes)[0]
 
 
 def term_weights(qterms: DataFrame, n_docs: int) -> DataFrame:
@@ -106,11 +106,11 @@ def term_weights(qterms: DataFrame, n_docs: int) -> DataFrame:
 def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | None = None,
                      ranking: Ranking | None = None, query_col: str = "query",
                      doc_lengths: DataFrame | None = None,
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``query_id, doc_id, first_pos, tfidf, bm25, pr, tfidf_boosted, score`` for every reached doc."""
     r = ranking or Ranking()
     n_docs = index.n_docs()
-    qterms, small, buckets = _query_terms(queries, index, query_col, max_broadcast_rows)
+    qterms, small, buckets = _query_terms(queries, index, query_col, max_broadcast_bytes)
     qterms = term_weights(qterms, n_docs)
     side = F.broadcast(qterms) if small else qterms
     if index.all_postings is not None:
@@ -182,15 +182,13 @@ def top_n(scored: DataFrame, n: int = 100, materialize: bool = False) -> DataFra
     return best
 
 
-def attach_titles(results: DataFrame, titles: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def attach_titles(results: DataFrame, titles: DataFrame, max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Left join titles onto results (missing title → ``""``).
 
     Titles are first semi-joined with the result ids, so a title table as large
     as the corpus is only filtered, never shuffled whole.
     """
-    ids = results.select("doc_id").distinct()
-    n = ids.limit(max_broadcast_rows + 1).count()
-    ids = F.broadcast(ids) if n <= max_broadcast_rows else ids
+    ids = bounded_broadcast(results.select("doc_id").distinct(), max_broadcast_bytes)
     needed = titles.join(ids, "doc_id", "left_semi")
     return results.join(needed, "doc_id", "left").withColumn("title", F.coalesce(F.col("title"), F.lit("")))
 

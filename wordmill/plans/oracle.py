@@ -6,7 +6,9 @@ rules are rendered from the same fixed values the Spark side uses.
 
 from __future__ import annotations
 
+from wordmill.functions.scoring import OFF_TIES
 from wordmill.functions.text import PY_WHITESPACE, STOP_WORDS, TOKEN_PATTERN
+from wordmill.operators.indexing import MIN_DF
 from wordmill.operators.linkgraph import HREF_PATTERN, ID_HEX_DIGITS
 
 ROUND = 6
@@ -34,15 +36,19 @@ def word_count(expr: str) -> str:
             f"lambda w: w <> ''))")
 
 
-def bucket(expr: str, n: int = 124) -> str:
-    return f"CAST((('0x' || substr(md5({expr}), 1, 10))::BIGINT % {n}) AS INTEGER)"
+def round3(x: str) -> str:
+    """Python's ``round(x, 3)``: half to even, but for the listed ties."""
+    off = ", ".join(map(str, OFF_TIES))
+    q = f"round(({x}) * 2000)"
+    return (f"CASE WHEN {q} / 2000 = ({x}) AND CAST({q} AS BIGINT) IN ({off}) "
+            f"THEN round_even({q} / 1000 - round_even({x}, 3), 3) ELSE round_even({x}, 3) END")
 
 
-def min_df(sf: str) -> int:
-    return 0 if sf.rstrip("/").endswith("sf0.001") else 50
+def bucket(expr: str, n: int = 124) -> str:
+    return f"CAST((('0x' || substr(md5({expr}), 1, 10))::BIGINT % {n}) AS INTEGER)"
 
 
-CORPUS = "corpus AS (SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS title, coalesce(text, '') AS text FROM documents)"
+CORPUS = "corpus AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS text FROM documents)"
 COUNTS = (f"doc_toks AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM corpus), "
           "counts AS (SELECT term, doc_id, count(*) AS tf FROM doc_toks GROUP BY term, doc_id)")
 
@@ -159,18 +165,18 @@ def eval_with(md: int) -> str:
             "tsz AS (SELECT query_id, count(*) AS n_relevant FROM qrels GROUP BY query_id), "
             "m0 AS (SELECT b.item_id AS query_id, coalesce(t.n_relevant, 0) AS n_relevant, "
             "coalesce(c.n_returned, 0) AS n_returned, "
-            "CASE WHEN coalesce(c.n_5, 0) = 0 THEN 0.0 ELSE round_even(c.h_5 / c.n_5, 3) END AS p5, "
-            "CASE WHEN coalesce(c.n_30, 0) = 0 THEN 0.0 ELSE round_even(c.h_30 / c.n_30, 3) END AS p30, "
+            f"CASE WHEN coalesce(c.n_5, 0) = 0 THEN 0.0 ELSE {round3('c.h_5 / c.n_5')} END AS p5, "
+            f"CASE WHEN coalesce(c.n_30, 0) = 0 THEN 0.0 ELSE {round3('c.h_30 / c.n_30')} END AS p30, "
             "CASE WHEN coalesce(t.n_relevant, 0) = 0 THEN 1.0 "
-            "ELSE round_even(coalesce(c.h_30, 0) / t.n_relevant, 3) END AS r30 "
+            f"ELSE {round3('coalesce(c.h_30, 0) / t.n_relevant')} END AS r30 "
             "FROM benchmark b LEFT JOIN cnt c ON c.query_id = b.item_id LEFT JOIN tsz t ON t.query_id = b.item_id), "
             "m1 AS (SELECT *, CASE WHEN p30 = 0 OR r30 = 0 THEN 0.0 "
-            "ELSE round_even(2.0 / (1.0 / p30 + 1.0 / r30), 3) END AS f1_30 FROM m0), "
+            f"ELSE {round3('2.0 / (1.0 / p30 + 1.0 / r30)')} END AS f1_30 FROM m0), "
             "m2 AS (SELECT *, CASE WHEN p5 = 0 OR f1_30 = 0 THEN 0.0 "
-            "ELSE round_even(2.0 / (1.0 / p5 + 1.0 / f1_30), 3) END AS rq FROM m1), "
+            f"ELSE {round3('2.0 / (1.0 / p5 + 1.0 / f1_30)')} END AS rq FROM m1), "
             "aph AS (SELECT query_id, rank, hit, sum(hit) OVER (PARTITION BY query_id ORDER BY rank "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hs FROM judged WHERE rank <= 40), "
-            "ap AS (SELECT query_id, round_even(avg(hs / rank), 3) AS ap FROM aph WHERE hit = 1 GROUP BY query_id), "
+            f"ap AS (SELECT query_id, {round3('avg(hs / rank)')} AS ap FROM aph WHERE hit = 1 GROUP BY query_id), "
             "ov AS (SELECT query_id, count(DISTINCT doc_id) AS ov FROM judged WHERE rank <= 40 AND hit = 1 "
             "GROUP BY query_id), "
             "report AS (SELECT m2.query_id, n_relevant, n_returned, p5 AS precision_at_5, f1_30 AS f1_at_30, "
@@ -180,10 +186,10 @@ def eval_with(md: int) -> str:
 
 
 def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
-    md = min_df(sf)
+    md = MIN_DF
     b0 = f"WITH {CORPUS}, {COUNTS}"
     q = {}
-    q["corpus_scan"] = "SELECT doc_id, n_chars, substr(coalesce(text, ''), 1, 40) AS title FROM documents"
+    q["corpus_scan"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
     q["titles"] = f"WITH {CORPUS} SELECT doc_id, min(title) AS title FROM corpus GROUP BY doc_id"
     q["corpus_stats"] = (f"WITH {CORPUS} SELECT count(DISTINCT doc_id) AS n_docs, "
                          f"round(avg({word_count('text')}), {ROUND}) AS avg_dl FROM corpus")
@@ -223,14 +229,18 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
                 "round(idf_bm25, 9) AS idf_bm25 FROM qterms")
     s0 = f"{base(md)}, {QTOK}, {scores_ctes(False)}"
     s1 = f"{base(md)}, {QTOK}, {LINKS}, {pagerank_ctes('pr')}, {scores_ctes(True)}"
-    q["score_tfidf"] = f"{s0} SELECT query_id, doc_id, round(tfidf, {ROUND}) AS tfidf FROM scored"
-    q["score_bm25"] = f"{s0} SELECT query_id, doc_id, round(bm25, {ROUND}) AS bm25 FROM scored"
+    best = lambda by: (f"FROM scored QUALIFY row_number() OVER (PARTITION BY query_id "
+                       f"ORDER BY round({by}, 9) DESC, first_pos, doc_id) <= 100")
+    q["score_tfidf"] = f"{s0} SELECT query_id, doc_id, round(tfidf, {ROUND}) AS tfidf {best('tfidf')}"
+    q["score_bm25"] = f"{s0} SELECT query_id, doc_id, round(bm25, {ROUND}) AS bm25 {best('bm25')}"
     q["pagerank_boost"] = (f"{s1} SELECT query_id, doc_id, round(pr, 9) AS pr, "
-                           f"round(tfidf_boosted, {ROUND}) AS tfidf_boosted FROM scored")
-    q["score_combined"] = f"{s1} SELECT query_id, doc_id, round(score, {ROUND}) AS score FROM scored"
+                           f"round(tfidf_boosted, {ROUND}) AS tfidf_boosted {best('tfidf_boosted')}")
+    q["score_combined"] = f"{s1} SELECT query_id, doc_id, round(score, {ROUND}) AS score {best('score')}"
     q["top_n"] = (f"{s1}, {ranked_cte(10)} SELECT query_id, rank, doc_id, round(score, {ROUND}) AS score "
                   "FROM ranked")
     q["search"] = f"{search_with(md)} SELECT query_id, rank, doc_id, title, score FROM results"
+    q["search_stored"] = q["search_stored_ranks"] = q["search"]
+    q["pagerank_roundtrip"] = q["pagerank_links"]
     # Variants: the item text, only its stop words, and the empty string.
     sv = (f"{base(md)}, v AS (SELECT item_id, 'text' AS variant, {tokens('text')} AS tk FROM benchmark "
           f"UNION ALL SELECT item_id, 'stop_words', list_filter({raw_tokens('text')}, "
@@ -259,6 +269,6 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
                         "r.f1_at_30, r.results_quality FROM first f JOIN report r USING (query_id) "
                         "LEFT JOIN tops t USING (query_id)")
     q["train_val_split"] = f"WITH {SPLIT} SELECT query_id, split FROM split"
-    q["mean_quality"] = (f"{e} SELECT split, count(*) AS n_queries, round_even(avg(results_quality), 3) "
+    q["mean_quality"] = (f"{e} SELECT split, count(*) AS n_queries, {round3('avg(results_quality)')} "
                          "AS mean_quality FROM report JOIN split USING (query_id) GROUP BY split")
     return q

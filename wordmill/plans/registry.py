@@ -1,7 +1,7 @@
 """Registered queries: each takes ``(spark, sf_dir)`` and returns a DataFrame.
 
-Roles of the driver tables: ``documents`` is the corpus (title = first 40
-characters), ``benchmark`` the query set, ``pages`` the web-link graph and
+Roles of the driver tables: ``documents`` is the corpus (title = first
+line), ``benchmark`` the query set, ``pages`` the web-link graph and
 ``lineitem`` a cyclic part-succession graph for PageRank.  Relevance: a
 document is relevant to a benchmark item iff its text contains the item's text.
 Scores are emitted rounded to 6 places (ranking itself uses 9).
@@ -19,6 +19,7 @@ from wordmill.functions.text import is_stop_word, raw_tokens, tokenize
 from wordmill.operators import evaluation as ev
 from wordmill.operators.ordering import successors
 from wordmill.operators.indexing import (
+    MIN_DF,
     POSTING_BLOCK,
     Index,
     append_to_index,
@@ -32,10 +33,10 @@ from wordmill.operators.indexing import (
     write_index,
 )
 from wordmill.operators.linkgraph import html_anchor_pages, link_edges, link_graph, link_vertices
-from wordmill.operators.pagerank import pagerank
+from wordmill.operators.pagerank import pagerank, write_ranks
 from wordmill.operators.relevance import passage_qrels
 from wordmill.operators.retrieval import Ranking, candidate_scores, query_terms, search, term_weights, top_n
-from wordmill.plans.tables import benchmark_queries, corpus, default_min_df, table
+from wordmill.plans.tables import benchmark_queries, corpus, table
 from wordmill.session import checkpoint_dir
 from wordmill.streaming.incremental import index_stream, read_stream_index
 from wordmill.sources.corpus import (
@@ -51,7 +52,7 @@ SCORE_ROUND = 6
 
 
 def _index(spark: SparkSession, sf_dir: str) -> Index:
-    return build_index(corpus(spark, sf_dir), min_df=default_min_df(sf_dir))
+    return build_index(corpus(spark, sf_dir), min_df=MIN_DF)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -61,8 +62,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 # ---------------------------------------------------------------- corpus & text
 
 def q_corpus_scan(spark, sf_dir):
-    docs = read_corpus(spark, f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", "n_chars", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("title"))
+    return read_corpus(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def q_titles(spark, sf_dir):
@@ -102,7 +102,7 @@ def q_term_stats(spark, sf_dir):
 
 def q_min_df_filter(spark, sf_dir):
     counts = term_counts(corpus(spark, sf_dir))
-    return min_df_filter(counts, term_stats(counts, default_min_df(sf_dir)))
+    return min_df_filter(counts, term_stats(counts, MIN_DF))
 
 
 def q_vocab_size(spark, sf_dir):
@@ -135,12 +135,12 @@ def q_term_buckets(spark, sf_dir):
 
 
 def q_index_roundtrip(spark, sf_dir):
-    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=default_min_df(sf_dir))
+    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=MIN_DF)
     return idx.postings.select("term", "doc_id", "tf", "bucket")
 
 
 def q_posting_lookup(spark, sf_dir):
-    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=default_min_df(sf_dir))
+    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=MIN_DF)
     # The most frequent kept term (ties: smallest term) is looked up by bucket.
     top = idx.terms.orderBy(F.col("df").desc(), F.col("term")).select("term").first()
     return posting_lookup(idx, top["term"] if top else "")
@@ -263,22 +263,29 @@ def _scores(spark, sf_dir, with_rank=True):
     return candidate_scores(benchmark_queries(spark, sf_dir), _index(spark, sf_dir), pr)
 
 
+def _best(scored: DataFrame, by: str) -> DataFrame:
+    """The best 100 documents of each query by one score, as a search returns them."""
+    return top_n(scored.withColumn("score", F.col(by)), Ranking().n)
+
+
 def q_score_tfidf(spark, sf_dir):
-    return _scores(spark, sf_dir, False).select("query_id", "doc_id", F.round("tfidf", SCORE_ROUND).alias("tfidf"))
+    return _best(_scores(spark, sf_dir, False), "tfidf").select("query_id", "doc_id", F.round("tfidf", SCORE_ROUND).alias("tfidf"))
 
 
 def q_score_bm25(spark, sf_dir):
-    return _scores(spark, sf_dir, False).select("query_id", "doc_id", F.round("bm25", SCORE_ROUND).alias("bm25"))
+    return _best(_scores(spark, sf_dir, False), "bm25").select(
+        "query_id", "doc_id", F.round("bm25", SCORE_ROUND).alias("bm25"))
 
 
 def q_pagerank_boost(spark, sf_dir):
-    return _scores(spark, sf_dir).select(
+    return _best(_scores(spark, sf_dir), "tfidf_boosted").select(
         "query_id", "doc_id", F.round("pr", 9).alias("pr"),
         F.round("tfidf_boosted", SCORE_ROUND).alias("tfidf_boosted"))
 
 
 def q_score_combined(spark, sf_dir):
-    return _scores(spark, sf_dir).select("query_id", "doc_id", F.round("score", SCORE_ROUND).alias("score"))
+    return _best(_scores(spark, sf_dir), "score").select(
+        "query_id", "doc_id", F.round("score", SCORE_ROUND).alias("score"))
 
 
 def q_top_n(spark, sf_dir):
@@ -297,6 +304,30 @@ def q_search(spark, sf_dir):
     return results(spark, sf_dir)
 
 
+def _result_columns(res: DataFrame) -> DataFrame:
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title",
+                      F.round("score", SCORE_ROUND).alias("score"))
+
+
+def q_search_stored(spark, sf_dir):
+    """The same search over an index written and opened again, ranks joined from their own table."""
+    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=MIN_DF)
+    ranks = write_ranks(pages_rank(spark, sf_dir), _scratch(spark, "ranks"))
+    return _result_columns(search(benchmark_queries(spark, sf_dir), idx, ranks))
+
+
+def q_search_stored_ranks(spark, sf_dir):
+    """The same search over an index whose postings carry their document's rank."""
+    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=MIN_DF,
+                      pagerank=pages_rank(spark, sf_dir))
+    return _result_columns(search(benchmark_queries(spark, sf_dir), idx))
+
+
+def q_pagerank_roundtrip(spark, sf_dir):
+    ranks = write_ranks(pages_rank(spark, sf_dir), _scratch(spark, "ranks"))
+    return ranks.select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
 def q_search_empty(spark, sf_dir):
     """Rows returned for three variants of every benchmark item: its text, the
     stop words it contains (nothing left after stop-word removal), and nothing."""
@@ -397,6 +428,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_combined": q_score_combined,
     "top_n": q_top_n,
     "search": q_search,
+    "search_stored": q_search_stored,
+    "search_stored_ranks": q_search_stored_ranks,
+    "pagerank_roundtrip": q_pagerank_roundtrip,
     "search_empty": q_search_empty,
     "precision_at_k": q_precision_at_k,
     "recall_at_k": q_recall_at_k,

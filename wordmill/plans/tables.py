@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, title, text`` from ``documents`` (title = first 40 characters)."""
+    """``doc_id, title, text`` from ``documents`` (title = first line)."""
     return corpus_from_documents(table(spark, sf_dir, "documents"))
 
 
@@ -21,8 +21,3 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, query`` from ``benchmark``."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
-
-
-def default_min_df(sf_dir: str) -> int:
-    """50 (the reference cut), except 0 on the tiniest fixture where 50 leaves 6 terms."""
-    return 0 if sf_dir.rstrip("/").endswith("sf0.001") else 50

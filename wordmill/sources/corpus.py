@@ -17,11 +17,11 @@ def read_corpus(spark: SparkSession, *paths: str, glob: str = "*.parquet") -> Da
     return spark.read.option("pathGlobFilter", glob).parquet(*paths)
 
 
-def corpus_from_documents(documents: DataFrame, title_width: int = 40) -> DataFrame:
-    """Normalise the driver ``documents`` table to ``doc_id, title, text``."""
+def corpus_from_documents(documents: DataFrame) -> DataFrame:
+    """Normalise the driver ``documents`` table to ``doc_id, title, text`` (title: the text's first line)."""
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        title_of("text", title_width).alias("title"),
+        title_of("text").alias("title"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
 

@@ -61,6 +61,8 @@ def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = N
                  .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"),
                  "version").parquet(f"{root}/terms")
         counts.unpersist()
+        spark.createDataFrame([(num_buckets,)], "num_buckets long").coalesce(1).write.mode("overwrite").parquet(
+            f"{root}/settings")
     finally:
         docs.unpersist()
 
@@ -79,8 +81,8 @@ def index_stream(stream: DataFrame, root: str, checkpoint_location: str, num_buc
             .option("checkpointLocation", checkpoint_location))
 
 
-def read_stream_index(spark: SparkSession, root: str, num_buckets: int = NUM_BUCKETS) -> Index:
-    """The committed state of a streaming index as an ``Index``."""
+def read_stream_index(spark: SparkSession, root: str) -> Index:
+    """The committed state of a streaming index as an ``Index``, with the bucket count it was written with."""
     versions = _versions(spark, root)
     if not versions:
         raise ValueError(f"no committed batch under {root}")
@@ -93,4 +95,6 @@ def read_stream_index(spark: SparkSession, root: str, num_buckets: int = NUM_BUC
                      F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
     corpus_stats = stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"),
                                 "n_rows", "total_len")
-    return Index(postings, terms, titles, corpus_stats, num_buckets, min_df=0)
+    num_buckets = int(spark.read.parquet(f"{root}/settings").first()["num_buckets"])
+    return Index(postings, terms, titles, corpus_stats, num_buckets, min_df=0,
+                 doc_lengths=docs.select("doc_id", "doc_len"))
