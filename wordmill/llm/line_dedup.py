@@ -2,7 +2,8 @@
 
 A document is the sequence of its non-blank lines, normalised and hashed.  A
 gram is the shortest run of lines from a line on with ``GRAM_WORDS`` words, a
-window the shortest with ``MIN_WORDS``.  From every window the gram with the
+window the shortest with ``MIN_WORDS`` from a line on or up to a line.  From every
+window the gram with the
 smallest hash is selected; documents that share a run of ``MIN_WORDS`` words
 share its windows and so a selected gram, a guaranteed fingerprint.  Then
 
@@ -13,8 +14,8 @@ share its windows and so a selected gram, a guaranteed fingerprint.  Then
 4. the lines of every run of ``MIN_WORDS`` words or more that occurs at an
    earlier place are deleted from the later one.
 
-So the first place of a passage keeps it, and every later one loses each line
-that lies in a repeated window.  Each window is compared with one place only, so
+So the first place of a passage keeps it, and every later one loses it whole: a
+repeated run of ``MIN_WORDS`` words is the union of its windows.  Each window is compared with one place only, so
 a passage in a third of all documents costs one comparison for each of them.
 
 Defined results: null text is empty and has no lines; blank lines are neither
@@ -68,8 +69,10 @@ def _windows(h: Column, n: Column, g: Column, min_words: int) -> Column:
             i.alias("pos"), k.alias("len"), F.xxhash64(F.slice(h, i + 1, k)).alias("window"),
             m["hash"].alias("gram"), (-m["at"]).alias("gram_at")))
 
-    found = F.transform(_places(h), lambda i: let(_span(n, i, min_words), lambda k: F.when(k.isNotNull(), window(i, k))))
-    return F.filter(found, lambda w: w.isNotNull())
+    begin = F.transform(_places(h), lambda i: let(_span(n, i, min_words), lambda k: F.when(k.isNotNull(), window(i, k))))
+    end = let(F.reverse(n), lambda back: F.transform(_places(h), lambda i: let(
+        _span(back, F.size(back) - 1 - i, min_words), lambda k: F.when(k.isNotNull(), window(i - k + 1, k)))))
+    return F.array_distinct(F.filter(F.concat(begin, end), lambda w: w.isNotNull()))
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str, gram_words: int, min_words: int) -> DataFrame:
