@@ -1,7 +1,5 @@
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from wordmill.operators.indexing import (
     append_to_index,
     build_index,
@@ -13,6 +11,7 @@ from wordmill.operators.indexing import (
     term_stats,
     write_index,
 )
+from wordmill.sources.corpus import corpus_from_tokens
 
 DOCS = [
     (1, "T1", "apple banana apple cherry"),
@@ -70,18 +69,50 @@ def test_write_read_roundtrip_and_lookup(spark, scratch):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,date)" in plan
 
 
+def rows_of(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def same_index(a, b):
+    assert rows_of(a.terms, "term", "df", "term_total", "bucket") == rows_of(b.terms, "term", "df", "term_total", "bucket")
+    assert rows_of(a.postings, "term", "doc_id", "tf", "bucket") == rows_of(b.postings, "term", "doc_id", "tf", "bucket")
+    assert rows_of(a.titles, "doc_id", "title") == rows_of(b.titles, "doc_id", "title")
+    assert rows_of(a.doc_lengths, "doc_id", "doc_len") == rows_of(b.doc_lengths, "doc_id", "doc_len")
+    assert a.corpus_stats.first().asDict() == b.corpus_stats.first().asDict()
+
+
 def test_append_equals_full_build(spark, scratch):
-    a = corpus(spark, DOCS[:2])
-    b = corpus(spark, DOCS[2:])
-    write_index(a, f"{scratch}/a", min_df=0, num_buckets=8)
-    both = append_to_index(f"{scratch}/a", b, f"{scratch}/ab")
-    full = write_index(corpus(spark), f"{scratch}/full", min_df=0, num_buckets=8)
-    key = lambda df: sorted(tuple(r) for r in df.select("term", "df", "term_total").collect())
-    assert key(both.terms) == key(full.terms)
-    pk = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf").collect())
-    assert pk(both.postings) == pk(full.postings)
-    s1, s2 = both.corpus_stats.first(), full.corpus_stats.first()
-    assert s1["n_docs"] == s2["n_docs"] == 5 and abs(s1["avg_dl"] - s2["avg_dl"]) < 1e-12
+    """Parts, and parts merged beyond a number of them, hold what one build does."""
+    write_index(corpus(spark, DOCS[:2]), f"{scratch}/0", min_df=0, num_buckets=8)
+    files = sorted(spark.read.parquet(f"{scratch}/0/postings").inputFiles())
+    arrivals = [DOCS[2:3], DOCS[3:] + DOCS[:1]]  # document 1 comes a second time
+    for k, rows in enumerate(arrivals, 1):
+        parts = append_to_index(f"{scratch}/{k - 1}", corpus(spark, rows), f"{scratch}/{k}")
+    assert set(files) <= set(parts.postings.inputFiles())
+    full = write_index(corpus(spark, DOCS + DOCS[:1]), f"{scratch}/full", min_df=0, num_buckets=8)
+    same_index(parts, full)
+    same_index(read_index(spark, f"{scratch}/2"), full)
+    merged = append_to_index(f"{scratch}/1", corpus(spark, arrivals[1]), f"{scratch}/merged", max_parts=2)
+    same_index(merged, full)
+    assert not set(files) & set(merged.postings.inputFiles())
+    assert read_index(spark, f"{scratch}/1").n_docs() == 3
+
+
+def test_index_from_tokens(spark, scratch):
+    rows = [(1, ["b", "a", "b", None]), (2, None), (3, [])]
+    tokens = corpus_from_tokens(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    idx = write_index(tokens, f"{scratch}/a", min_df=0, num_buckets=8)
+    assert rows_of(idx.postings, "term", "doc_id", "tf") == [("a", 1, 1), ("b", 1, 2)]
+    assert rows_of(build_index(tokens, min_df=0).postings, "term", "doc_id", "tf") == [("a", 1, 1), ("b", 1, 2)]
+    more = corpus_from_tokens(spark.createDataFrame([(4, ["The", "b"])], "doc_id long, tokens array<string>"))
+    both = append_to_index(f"{scratch}/a", more, f"{scratch}/b")
+    assert rows_of(both.terms, "term", "df", "term_total") == [("The", 1, 1), ("a", 1, 1), ("b", 2, 3)]
+    assert both.corpus_stats.first().asDict() == {"n_docs": 4, "avg_dl": 5 / 4, "n_rows": 4, "total_len": 5}
+
+
+def test_posting_blocks_are_cut_by_id(spark):
+    lists = posting_lists(term_counts(corpus(spark)), block_size=2).where("term = 'cherry'").orderBy("block").collect()
+    assert [(r["block"], [p["doc_id"] for p in r["postings"]]) for r in lists] == [(0, [1]), (1, [2, 3])]
 
 
 def test_append_refuses_cut_index(spark, scratch):
@@ -96,7 +127,6 @@ def test_corpus_stats(spark):
     s = build_index(corpus(spark), min_df=0).corpus_stats.first()
     assert s["n_docs"] == 5 and s["n_rows"] == 5
     assert abs(s["avg_dl"] - (4 + 4 + 5 + 3 + 0) / 5) < 1e-12
-    assert F is not None
 
 
 def test_reference_style_corpus(spark):

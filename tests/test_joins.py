@@ -12,8 +12,9 @@ def test_bounded_broadcast_checks_the_bytes(spark):
     assert not _hinted(bounded_broadcast(small, max_bytes=239))
 
 
-def test_spread_only_widens_narrow_inputs(spark):
-    one = spark.range(100).coalesce(1)
+def test_spread_only_deals_out_a_single_file(spark, scratch):
+    spark.range(100).coalesce(1).write.parquet(f"{scratch}/one")
+    spark.range(100).repartition(3).write.parquet(f"{scratch}/three")
+    one, three = spark.read.parquet(f"{scratch}/one"), spark.read.parquet(f"{scratch}/three")
     assert spread(one, 4).rdd.getNumPartitions() == 4
-    wide = spark.range(100).repartition(6)
-    assert spread(wide, 4).rdd.getNumPartitions() == 6
+    assert spread(three, 4) is three

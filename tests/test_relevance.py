@@ -12,6 +12,7 @@ TEXTS = [
     (6, "ΑΣ fox"),
     (7, None),
     (2, "A quick brown fox jumps over the lazy dog"),  # repeated id, same text
+    (9, "one 😀 xy"),
     (8, "quick quick brown lazy"),
     (8, "fox jumps over the dog"),  # repeated id, anchors split over two rows
 ]
@@ -21,6 +22,10 @@ PASSAGES = [
     (102, "fox"),                 # single word
     (103, "over the lazy"),       # interior token is a stop word only
     (104, "not in any document at all"),
+    (106, ""),                    # in every text
+    (107, " "),
+    (108, "😀 x"),
+    (109, None),                  # as empty
     (105, "uick brown fox jumps over the lazy do"),  # cut words at both edges
 ]
 
@@ -28,9 +33,10 @@ PASSAGES = [
 def test_passage_qrels_matches_brute_force(spark):
     corpus = spark.createDataFrame(TEXTS, "doc_id long, text string")
     passages = spark.createDataFrame(PASSAGES, "query_id long, passage string")
-    got = sorted(tuple(r) for r in passage_qrels(passages, corpus).collect())
-    want = sorted({(q, d) for q, p in PASSAGES for d, t in TEXTS if p in (t or "")})
-    assert got == want
+    want = sorted({(q, d) for q, p in PASSAGES for d, t in TEXTS if (p or "") in (t or "")})
+    for most in (1 << 20, 0):  # with sides broadcast, and with none
+        found = passage_qrels(passages, corpus, max_broadcast_bytes=most)
+        assert sorted(tuple(r) for r in found.collect()) == want
 
 
 def test_relevance_json_whole_file(spark, scratch):

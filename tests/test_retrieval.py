@@ -1,7 +1,7 @@
 import pytest
 
 from wordmill.operators.indexing import build_index, write_index
-from wordmill.operators.retrieval import search
+from wordmill.operators.retrieval import candidate_scores, search, top_n
 
 TOY = [
     (10, "Apple banana apple cherry"),
@@ -86,9 +86,10 @@ def test_search_plan_is_jvm_only_and_limits_per_group(spark, scratch):
     c = _corpus(spark, TOY)
     index = write_index(c, f"{scratch}/plan", min_df=0, num_buckets=8)
     qdf = spark.createDataFrame([(0, "apple banana")], "query_id long, query string")
-    plan = search(qdf, index)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    plan = top_n(candidate_scores(qdf, index))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert "EvalPython" not in plan and "MapInPandas" not in plan
 
 
 @pytest.mark.parametrize("stored", [False, True])

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from wordmill.operators.indexing import build_index
 from wordmill.operators.retrieval import search
 from wordmill.sources.corpus import corpus_from_documents
-from wordmill.streaming.incremental import index_stream, read_stream_index
+from wordmill.streaming.incremental import append_batch, index_stream, read_stream_index
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,16 +16,44 @@ def test_stream_append_equals_batch_build(spark, scratch):
         docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).coalesce(1) \
             .write.mode("append").parquet(src)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = index_stream(stream, f"{scratch}/idx", f"{scratch}/ckpt", num_buckets=16) \
+    q = index_stream(stream, f"{scratch}/idx", f"{scratch}/ckpt", num_buckets=16, merge_every=2) \
         .trigger(availableNow=True).start()
     q.awaitTermination(300)
     idx = read_stream_index(spark, f"{scratch}/idx")
     full = build_index(corpus_from_documents(docs), min_df=0, num_buckets=16)
     key = lambda df: sorted(tuple(r) for r in df.select("term", "df", "term_total").collect())
     assert key(idx.terms) == key(full.terms)
+    held = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf", "bucket").collect())
+    assert held(idx.postings) == held(full.postings)
+    named = lambda df: sorted(tuple(r) for r in df.select("doc_id", "title").collect())
+    assert named(idx.titles) == named(full.titles)
+    assert abs(idx.avg_dl() - full.avg_dl()) < 1e-9
     assert idx.n_docs() == docs.count() and idx.num_buckets == 16
     queries = spark.read.parquet(f"{SF}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     a = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search(queries, idx, with_titles=False).collect())
     b = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search(queries, full, with_titles=False).collect())
     assert a == b and len(a) > 0
+
+
+def test_batches_count_once_committed_and_may_be_retried(spark, scratch):
+    def batch(*rows):
+        return spark.createDataFrame(rows, "doc_id long, title string, text string")
+
+    def terms():
+        return {r["term"]: (r["df"], r["term_total"]) for r in read_stream_index(spark, scratch).terms.collect()}
+
+    append_batch(batch(), scratch, 0, 8, merge_every=2)
+    assert terms() == {} and read_stream_index(spark, scratch).n_docs() == 0
+    append_batch(batch((1, "a", "apple apple")), scratch, 1, 8, merge_every=2)
+    # A batch that failed before its commit: its tables are there, but not seen.
+    lost = batch((2, "b", "apple pear"))
+    append_batch(lost, scratch, 2, 8, merge_every=2)
+    spark.createDataFrame([], "n_rows long, total_len long, num_buckets int, vocabulary int").write.mode(
+        "overwrite").parquet(f"{scratch}/commits/batch=2")
+    assert terms() == {"apple": (1, 2)}
+    append_batch(lost, scratch, 2, 8, merge_every=2)
+    append_batch(batch((3, "c", None)), scratch, 3, 8, merge_every=2)
+    assert terms() == {"apple": (2, 3), "pear": (1, 1)}
+    idx = read_stream_index(spark, scratch)
+    assert idx.n_docs() == 3 and idx.postings.count() == 3 and idx.avg_dl() == 4 / 3

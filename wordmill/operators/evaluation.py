@@ -144,19 +144,40 @@ def mean_quality(report: DataFrame, split: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_queries"), round3(F.avg("results_quality")).alias("mean_quality"))
 
 
+def _ids(entries: F.Column, most: int) -> F.Column:
+    """The ids of the first ``most`` entries (place, id), space-joined."""
+    return F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(entries)), 1, most),
+                                    lambda x: x["doc_id"].cast("string")), " ")
+
+
+def report_details(queries: DataFrame, results: DataFrame, qrels: DataFrame, top: int = 10,
+                   k: int = 40) -> DataFrame:
+    """``query_id, truth_sample, top_ids, overlap_ids`` of every query, at most ``top`` ids each.
+
+    The smallest relevant ids, the best predicted ones, and the relevant ones
+    among the first ``k`` results, best first.
+    """
+    entry = F.struct("rank", "doc_id")
+    shown = judged_results(results, qrels).where(F.col("rank") <= k).groupBy("query_id").agg(
+        _ids(entry, top).alias("top_ids"), _ids(F.when(F.col("hit") == 1, entry), top).alias("overlap_ids"))
+    by_id = Window.partitionBy("query_id").orderBy("doc_id")
+    truth = qrels.select("query_id", "doc_id").distinct().withColumn("rank", F.row_number().over(by_id)) \
+        .where(F.col("rank") <= top).groupBy("query_id").agg(_ids(entry, top).alias("truth_sample"))
+    base = queries.select("query_id").join(shown, "query_id", "left").join(truth, "query_id", "left")
+    return base.select("query_id", *[F.coalesce(c, F.lit("")).alias(c)
+                                     for c in ("truth_sample", "top_ids", "overlap_ids")])
+
+
 def debug_query(queries: DataFrame, results: DataFrame, qrels: DataFrame,
                 seed: int = 42, key_col: str = "query", top: int = 10) -> DataFrame:
     """The first query of the shuffled order (the one a split run inspects first):
-    its top ``top`` predicted ids, overlap@40, P@5, F1@30 and quality."""
+    its details (see ``report_details``), overlap@40, P@5, F1@30 and quality."""
     order_key = F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.col(key_col), F.lit(""))))
     first = dense_order_rank(queries.select("query_id", key_col), F.concat(order_key, F.format_string(
         "%020d", F.col("query_id")))).where(F.col("pos") == 0).select("query_id")
-    report = query_report(first, results.join(first, "query_id", "left_semi"), qrels.join(first, "query_id",
-                                                                                         "left_semi"))
-    best = results.join(first, "query_id", "left_semi").where(F.col("rank") <= top)
-    ids = best.groupBy("query_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), " ")
-        .alias("top_ids"))
-    return report.join(ids, "query_id", "left").select(
-        "query_id", F.coalesce("top_ids", F.lit("")).alias("top_ids"), "overlap_at_40", "precision_at_5",
-        "f1_at_30", "results_quality")
+    own_results = results.join(first, "query_id", "left_semi")
+    own_qrels = qrels.join(first, "query_id", "left_semi")
+    report = query_report(first, own_results, own_qrels)
+    return report.join(report_details(first, own_results, own_qrels, top), "query_id").select(
+        "query_id", "truth_sample", "top_ids", "overlap_ids", "overlap_at_40", "precision_at_5", "f1_at_30",
+        "results_quality")

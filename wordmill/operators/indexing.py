@@ -6,24 +6,32 @@ Tables (all flat; postings are never materialised as per-term arrays except in
 * ``postings``  ``term, doc_id, tf`` (+ ``bucket`` on disk)
 * ``terms``     ``term, df, term_total, bucket`` (sorted by bucket, term)
 * ``titles``    ``doc_id, title``
-* ``corpus_stats`` one row ``n_docs, avg_dl``
+* ``doc_lengths`` ``doc_id, doc_len``
+* ``corpus_stats`` one row ``n_docs, avg_dl, n_rows, total_len``
+
+A corpus is ``doc_id, title, text``, or ``doc_id, title, tokens`` if it is
+tokenized already (``sources.corpus.corpus_from_tokens``).  An index that was
+appended to consists of parts, one per append, each with these tables; nothing
+that an earlier part holds is read or written again to add documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize, whitespace_word_count
+from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize
 from wordmill.operators.joins import spread
 from wordmill.session import stored
-from wordmill.sources.corpus import corpus_stats, titles
+from wordmill.sources.corpus import corpus_stats, doc_len, doc_lengths, titles
 
 NUM_BUCKETS = 124
 MIN_DF = 50
+MAX_PARTS = 16  # parts of an index before an append merges them
 
 
 def doc_tokens(corpus: DataFrame, stop_words: bool = True) -> DataFrame:
@@ -33,7 +41,11 @@ def doc_tokens(corpus: DataFrame, stop_words: bool = True) -> DataFrame:
 
 def sorted_doc_tokens(corpus: DataFrame) -> DataFrame:
     """``doc_id, s``: each document's kept tokens, sorted (equal tokens adjacent)."""
-    return spread(corpus).select("doc_id", F.sort_array(tokenize("text")).alias("s"))
+    return spread(corpus).select("doc_id", _sorted_tokens(corpus).alias("s"))
+
+
+def _sorted_tokens(corpus: DataFrame) -> Column:
+    return F.sort_array(F.col("tokens") if "tokens" in corpus.columns else tokenize("text"))
 
 
 def counts_from_sorted(sorted_toks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -132,8 +144,7 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
     terms = with_bucket(term_stats(counts, min_df), num_buckets)
     postings = counts.join(terms.select("term", "bucket"), "term") if min_df > 0 else with_bucket(counts, num_buckets)
     return Index(postings, terms, titles(corpus), corpus_stats(corpus), num_buckets, min_df,
-                 all_postings=counts, doc_ids=corpus.select("doc_id"),
-                 doc_lengths=corpus.select("doc_id", whitespace_word_count("text").alias("doc_len")))
+                 all_postings=counts, doc_ids=corpus.select("doc_id"), doc_lengths=doc_lengths(corpus))
 
 
 def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS,
@@ -161,65 +172,91 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     the price of one shuffle of the document frame here.
     """
     spark = corpus.sparkSession
-    docs = spread(corpus).select(
-        "doc_id", "title", whitespace_word_count("text").alias("doc_len"),
-        F.sort_array(tokenize("text")).alias("s"),
-    )
-    carry: tuple[str, ...] = ()
+    _write_part(corpus, path, min_df, num_buckets, pagerank, pagerank is not None, keep)
+    _write_settings(spark, path, min_df, num_buckets, [])
+    return read_index(spark, path)
+
+
+def _write_part(corpus: DataFrame, path: str, min_df: int, num_buckets: int, pagerank: DataFrame | None,
+                with_rank: bool, keep: StorageLevel | None) -> None:
+    """The tables of one part, from its own documents alone."""
+    spark = corpus.sparkSession
+    docs = spread(corpus).select("doc_id", "title", doc_len(corpus).alias("doc_len"), _sorted_tokens(corpus).alias("s"))
+    carry = ("pr",) if with_rank else ()
     if pagerank is not None:
         ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
         docs = docs.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
-        carry = ("pr",)
+    elif with_rank:
+        docs = docs.withColumn("pr", F.lit(0.0))
     if keep is not None:
         docs = docs.persist(keep)
     try:
         counts = counts_from_sorted(docs.select("doc_id", *carry, "s"), carry)
-        terms = with_bucket(term_stats(counts, min_df), num_buckets)
-        # The vocabulary is small next to the postings: one sorted run of files
-        # (bucket, term), whose row-group statistics serve bucket/term filters,
-        # instead of a folder per bucket.
-        (terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
-         .write.mode("overwrite").parquet(f"{path}/terms"))
+        _write_terms(with_bucket(term_stats(counts, min_df), num_buckets), path)
         kept = spark.read.parquet(f"{path}/terms").select("term", "bucket")
-        postings = counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets)
-        (postings.hint("rebalance", "bucket")
-         .sortWithinPartitions("bucket", "term", "doc_id")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-        docs.groupBy("doc_id").agg(F.min("title").alias("title")).write.mode("overwrite").parquet(f"{path}/titles")
+        _write_postings(counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets), path)
+        titles(docs).write.mode("overwrite").parquet(f"{path}/titles")
         docs.select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{path}/doc_lengths")
         stats = docs.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_rows"),
                          F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        (stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows", "total_len")
-         .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats"))
+        _write_stats(stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows",
+                                  "total_len"), path)
     finally:
         if keep is not None:
             docs.unpersist()
-    spark.createDataFrame([(min_df, num_buckets)], "min_df long, num_buckets long").write.mode(
-        "overwrite").parquet(f"{path}/settings")
-    return read_index(spark, path)
+
+
+def _write_terms(terms: DataFrame, path: str) -> None:
+    # The vocabulary is small next to the postings: one sorted run of files
+    # (bucket, term), whose row-group statistics serve bucket/term filters,
+    # instead of a folder per bucket.
+    (terms.select("term", "df", "term_total", "bucket").repartitionByRange("bucket", "term")
+     .sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{path}/terms"))
+
+
+def _write_postings(postings: DataFrame, path: str) -> None:
+    (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+
+
+def _write_stats(stats: DataFrame, path: str) -> None:
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")  # one row
+
+
+def _write_settings(spark: SparkSession, path: str, min_df: int, num_buckets: int, earlier: list[str]) -> None:
+    """Written last: without its settings an index does not open."""
+    spark.createDataFrame([(min_df, num_buckets, earlier)], "min_df long, num_buckets long, earlier array<string>") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open an index written by ``write_index``."""
+    """Open an index, with all its parts.
+
+    Vocabulary rows of several parts are summed as they are read.  Filters and
+    semi-joins on the term and its bucket reach the scan of every part.
+    """
     settings = spark.read.parquet(f"{path}/settings").first()
+    parts = [*settings["earlier"], path]
+
+    def table(name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/{name}") for p in parts])
+
+    terms, named = table("terms"), table("titles")
+    if len(parts) > 1:
+        terms = terms.groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")) \
+            .select("term", "df", "term_total", "bucket")
+        named = titles(named)
     return Index(
-        postings=spark.read.parquet(f"{path}/postings"),
-        terms=spark.read.parquet(f"{path}/terms"),
-        titles=spark.read.parquet(f"{path}/titles"),
+        postings=table("postings"),
+        terms=terms,
+        titles=named,
         corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
         num_buckets=int(settings["num_buckets"]),
         min_df=int(settings["min_df"]),
-        doc_lengths=_optional(spark, f"{path}/doc_lengths"),
+        doc_lengths=table("doc_lengths"),
     )
 
 
-def _optional(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - table absent in indexes written without it
-        return None
-
-
 def posting_lookup(index: Index, term: str) -> DataFrame:
     """``term, doc_id, tf`` of one term, ordered by doc_id; empty for an unknown term.
 
@@ -231,54 +268,49 @@ def posting_lookup(index: Index, term: str) -> DataFrame:
             .select("term", "doc_id", "tf").orderBy("doc_id"))
 
 
-def append_to_index(path: str, new_corpus: DataFrame, out_path: str, pagerank: DataFrame | None = None) -> Index:
-    """Add documents to an index and write the result to ``out_path``.
+def append_to_index(path: str, new_corpus: DataFrame, out_path: str, pagerank: DataFrame | None = None,
+                    max_parts: int = MAX_PARTS) -> Index:
+    """The index at ``path`` and new documents, as an index at ``out_path``.
 
-    Document lengths and the ranks stored in the postings are kept; new
-    documents get theirs from ``pagerank`` (0.0 without one).
+    Only the new documents are read and written: they become a part of their
+    own under ``out_path``, which names the earlier parts (so those must stay
+    where they are).  Document frequencies, totals and lengths are additive;
+    of the earlier parts just the ids are read, to count distinct documents.
+    The index at ``path`` stays as it is and opens as before.  Beyond
+    ``max_parts`` parts they are merged into one.
 
-    Postings are unioned; ``terms`` are re-aggregated from the old statistics
-    plus the new batch's statistics (df and term_total are additive), so old
-    postings are not rescanned.  Only exact for indexes built with
+    Ranks stored in the postings stay; new documents get theirs from
+    ``pagerank`` (0.0 without one).  Only exact for indexes built with
     ``min_df=0``: a cut index has dropped postings a later batch could revive.
     """
     spark = new_corpus.sparkSession
     old = read_index(spark, path)
     if old.min_df > 0:
         raise ValueError("append needs an index built with min_df=0")
-    nb = old.num_buckets
-    new_counts = with_bucket(term_counts(new_corpus), nb)
-    columns = ["term", "doc_id", "tf", "bucket"]
-    if "pr" in old.postings.columns:
-        columns.append("pr")
-        if pagerank is None:
-            new_counts = new_counts.withColumn("pr", F.lit(0.0))
-        else:
-            ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
-            new_counts = new_counts.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
-    new_terms = with_bucket(term_stats(new_counts), nb)
-    terms = (old.terms.unionByName(new_terms)
-             .groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")))
-    postings = old.postings.select(*columns).unionByName(new_counts.select(*columns))
-    if old.doc_lengths is not None:
-        old.doc_lengths.unionByName(new_corpus.select("doc_id", whitespace_word_count("text").alias("doc_len"))) \
-            .write.mode("overwrite").parquet(f"{out_path}/doc_lengths")
-    (terms.select("term", "df", "term_total", "bucket").repartitionByRange("bucket", "term")
-     .sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{out_path}/terms"))
-    (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/postings"))
-    all_titles = old.titles.unionByName(titles(new_corpus)).groupBy("doc_id").agg(F.min("title").alias("title"))
-    all_titles.write.mode("overwrite").parquet(f"{out_path}/titles")
-    # Row counts and total lengths are additive; distinct ids are recounted on titles.
-    both = old.corpus_stats.select("n_rows", "total_len").unionByName(
-        corpus_stats(new_corpus).select("n_rows", "total_len")).agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("total_len").alias("total_len")).first()
-    n_docs = spark.read.parquet(f"{out_path}/titles").count()
-    n_rows, total_len = int(both["n_rows"]), int(both["total_len"] or 0)
-    spark.createDataFrame(
-        [(n_docs, total_len / n_rows if n_rows else None, n_rows, total_len)],
-        "n_docs long, avg_dl double, n_rows long, total_len long",
-    ).coalesce(1).write.mode("overwrite").parquet(f"{out_path}/corpus_stats")
-    spark.createDataFrame([(0, nb)], "min_df long, num_buckets long").write.mode("overwrite").parquet(
-        f"{out_path}/settings")
+    with_rank = "pr" in old.postings.columns
+    earlier = [*spark.read.parquet(f"{path}/settings").first()["earlier"], path]
+    full = len(earlier) >= max_parts
+    part = f"{out_path}/part" if full else out_path
+    _write_part(new_corpus, part, 0, old.num_buckets, pagerank if with_rank else None, with_rank,
+                StorageLevel.MEMORY_AND_DISK)
+    before, own = old.corpus_stats.first(), spark.read.parquet(f"{part}/corpus_stats").first()
+    known = spark.read.parquet(f"{part}/titles").select("doc_id")
+    n_new = known.join(old.titles.select("doc_id"), "doc_id", "left_anti").count()
+    n_rows, total_len = before["n_rows"] + own["n_rows"], before["total_len"] + own["total_len"]
+    stats = spark.createDataFrame([(before["n_docs"] + n_new, total_len / n_rows if n_rows else None, n_rows, total_len)],
+                                  "n_docs long, avg_dl double, n_rows long, total_len long")
+    _write_stats(stats, part)
+    _write_settings(spark, part, 0, old.num_buckets, earlier)
+    return merge_index(spark, part, out_path) if full else read_index(spark, part)
+
+
+def merge_index(spark: SparkSession, path: str, out_path: str) -> Index:
+    """An index of several parts written again as one of a single part."""
+    old = read_index(spark, path)
+    _write_terms(old.terms, out_path)
+    _write_postings(old.postings, out_path)
+    old.titles.write.mode("overwrite").parquet(f"{out_path}/titles")
+    old.doc_lengths.write.mode("overwrite").parquet(f"{out_path}/doc_lengths")
+    _write_stats(old.corpus_stats, out_path)
+    _write_settings(spark, out_path, old.min_df, old.num_buckets, [])
     return read_index(spark, out_path)

@@ -30,15 +30,13 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -
     return F.broadcast(df) if frame_bytes(df) <= max_bytes else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that arrives in fewer partitions than the cluster has cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A corpus that lies in a single file, dealt evenly over the cores.
 
-    A huge corpus arrives in thousands of splits and is left untouched; a
-    single-row-group file would otherwise tokenize in one task.
+    A file of one row group would else be one task.  A corpus of several files
+    arrives in splits of its own and stays as it is, so what is shuffled here is
+    never more than one file; listing the files runs no job.
     """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD API (e.g. Spark Connect)
+    if len(df.inputFiles()) != 1:
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)

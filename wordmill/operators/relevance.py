@@ -8,22 +8,20 @@ sides).  So each passage picks its few rarest such *interior* tokens as
 anchors; candidates are the documents holding all of them (an equi-join of
 anchors with the documents' terms plus a per-document count), and only
 candidates are checked with ``contains``.  Passages without an interior token
-(at most two words, or only stop words inside) are taken in blocks of bounded
-size, and each block is checked by one multi-pattern scan instead.
+(at most two words, or only stop words inside) find their candidates by an
+equi-join on their first ``RUN`` characters, which a containing text has as a run.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import TOKEN_PATTERN_JAVA, is_stop_word
 from wordmill.operators.indexing import term_counts
 from wordmill.operators.joins import DEFAULT_BROADCAST_BYTES, bounded_broadcast
-from wordmill.session import checkpoint_dir
+from wordmill.session import stored
 
 _WS = r"\t\n\x0B\f\r "
 INTERIOR = rf"(?s)^[^{_WS}]*[{_WS}](.*)[{_WS}][^{_WS}]*$"
@@ -44,14 +42,15 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     ``vocabulary`` (``term, df`` over all terms) is given it ranks anchors;
     otherwise document frequencies are computed for passage terms only.
     """
-    # Document terms feed both the anchor statistics and the candidate join;
-    # keep them once instead of tokenizing the corpus twice.
-    counts = term_counts(corpus).select("term", "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # The passages' terms in the documents feed both the anchor statistics and the
+    # candidate join; keep these few once instead of tokenizing the corpus twice.
     inner = interior_terms(passages)
     wanted = bounded_broadcast(inner.select("term").distinct(), max_broadcast_bytes)
+    counts = term_counts(corpus).select("term", "doc_id").join(wanted, "term", "left_semi") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     inner = bounded_broadcast(inner, max_broadcast_bytes)
     if vocabulary is None:
-        df = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     else:
         df = vocabulary.join(wanted, "term", "left_semi").select("term", "df")
     # The ``anchors`` rarest interior terms per passage (a term absent from the
@@ -70,67 +69,45 @@ def passage_qrels(passages: DataFrame, corpus: DataFrame, vocabulary: DataFrame
     hits = counts.join(chosen, "term").groupBy("query_id", "doc_id").agg(
         F.size(F.collect_set("term")).alias("n"), F.first("n_anchors").alias("n_anchors"))
     candidates = hits.where(F.col("n") == F.col("n_anchors")).select("query_id", "doc_id")
-    with_passage = candidates.join(passages.select("query_id", "passage"), "query_id")
-    with_passage = bounded_broadcast(with_passage, max_broadcast_bytes)
     texts = corpus.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    matched = texts.join(with_passage, "doc_id").where(F.col("text").contains(F.col("passage")))
-    anchored = matched.select("query_id", "doc_id")
-
     anchorless = passages.join(inner.select("query_id").distinct(), "query_id", "left_anti")
-    out = anchored.unionByName(_scan_short_passages(anchorless, texts)).distinct()
-    # The result is at most the verified candidates: materialise it in the
-    # shared checkpoint folder so the cached term table can be released.
-    checkpoint_dir(passages.sparkSession)
-    out = out.checkpoint(eager=True)
+    short = _short_candidates(anchorless, texts, max_broadcast_bytes)
+    candidates = stored(candidates if short is None else candidates.unionByName(short), "candidates").distinct()
     counts.unpersist()
-    return out
+    # Texts are filtered by the candidates' ids before any passage is attached to them.
+    ids = bounded_broadcast(candidates.select("doc_id").distinct(), max_broadcast_bytes)
+    pairs = texts.join(ids, "doc_id", "left_semi").join(candidates, "doc_id")
+    matched = pairs.join(passages.select("query_id", F.coalesce("passage", F.lit("")).alias("passage")), "query_id") \
+        .where(F.col("text").contains(F.col("passage")))
+    return stored(matched.select("query_id", "doc_id").distinct(), "qrels")
+
+
+RUN = 8  # characters of a short passage that a text must have for the two to be compared
 
 
-BLOCK_CHARS = 16_000_000  # passage text that one scan carries
+def _runs(chars: Column, width: int) -> Column:
+    """All runs of ``width`` characters."""
+    if not width:
+        return F.array(F.lit(""))
+    none = F.array().cast("array<string>")
+    return F.when(F.size(chars) >= width, F.transform(
+        F.sequence(F.lit(1), F.size(chars) - width + 1),
+        lambda i: F.array_join(F.slice(chars, i, F.lit(width)), ""))).otherwise(none)
 
 
-def _scan_short_passages(short: DataFrame, texts: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Containment for passages with no interior token, one pass over the texts per block of passages.
+def _short_candidates(short: DataFrame, texts: DataFrame, max_broadcast_bytes: int) -> DataFrame | None:
+    """``query_id, doc_id`` of the texts that hold the first ``RUN`` characters of a passage; None without passages.
 
-    A block is shipped to every task as an Aho-Corasick automaton, and each
-    Arrow batch of texts is scanned once for all of its passages.
+    Runs leave a text one by one, with nothing but its id, and meet the (checked)
+    broadcast of the passages' runs in the same stage.
     """
-    rows = short.select("query_id", F.coalesce("passage", F.lit("")).alias("passage"))
-    chars = rows.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
-    n = -(-chars // block_chars)
-    blocks = [_scan_block(rows.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(n)) == k), texts)
-              for k in range(n)]
-    empty = short.sparkSession.createDataFrame([], "query_id long, doc_id long")
-    return reduce(DataFrame.unionByName, blocks, empty)
-
-
-def _scan_block(block: DataFrame, texts: DataFrame) -> DataFrame:
-    pairs = [(int(r["query_id"]), r["passage"]) for r in block.collect()]  # at most ``block_chars`` of text
-    shared = block.sparkSession.sparkContext.broadcast(pairs)
-
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
-        for qid, p in shared.value:
-            by_text.setdefault(p, []).append(qid)
-        empty = by_text.pop("", [])
-        for p, qids in by_text.items():
-            auto.add_word(p, qids)
-        if by_text:
-            auto.make_automaton()
-        for pdf in batches:
-            out_q, out_d = [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                found = set(empty)
-                if by_text:
-                    for _, qids in auto.iter(text):
-                        found.update(qids)
-                out_q.extend(found)
-                out_d.extend([doc_id] * len(found))
-            yield pd.DataFrame({"query_id": pd.Series(out_q, dtype="int64"),
-                                "doc_id": pd.Series(out_d, dtype="int64")})
-
-    return texts.mapInPandas(scan, "query_id long, doc_id long")
+    first = F.substring(F.coalesce("passage", F.lit("")), 1, RUN)
+    wanted = stored(short.select("query_id", first.alias("run")), "short")
+    widths = sorted(r[0] for r in wanted.select(F.length("run")).distinct().collect())  # at most RUN + 1 values
+    if not widths:
+        return None
+    # The characters are split once per text: an array of one, so the lambda gets them computed.
+    runs = F.flatten(F.transform(F.array(F.split("text", "")), lambda c: F.array_distinct(
+        F.flatten(F.array(*[_runs(c, w) for w in widths])))))
+    return texts.select("doc_id", F.explode(runs).alias("run")).join(
+        bounded_broadcast(wanted, max_broadcast_bytes), "run").select("query_id", "doc_id")

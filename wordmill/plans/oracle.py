@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from wordmill.functions.scoring import OFF_TIES
 from wordmill.functions.text import PY_WHITESPACE, STOP_WORDS, TOKEN_PATTERN
-from wordmill.operators.indexing import MIN_DF
+from wordmill.operators.indexing import MIN_DF, NUM_BUCKETS
 from wordmill.operators.linkgraph import HREF_PATTERN, ID_HEX_DIGITS
 
 ROUND = 6
@@ -213,11 +213,14 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
                             "JOIN terms t USING (term)")
     q["posting_lookup"] = (f"{base(md)}, top AS (SELECT term FROM terms ORDER BY df DESC, term LIMIT 1) "
                            "SELECT term, doc_id, tf FROM counts WHERE term = (SELECT term FROM top)")
-    q["index_append"] = f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total FROM counts GROUP BY term"
-    q["stream_index"] = (f"{b0} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS term_total "
-                         "FROM counts GROUP BY term")
+    q["index_append"] = q["stream_index"] = (
+        f"{base(0)} SELECT c.term, c.doc_id, c.tf, t.df, t.term_total, d.title, (SELECT n FROM nd) AS n_docs, "
+        f"CAST({NUM_BUCKETS} AS BIGINT) AS num_buckets FROM counts c JOIN terms t USING (term) "
+        "JOIN (SELECT doc_id, min(title) AS title FROM corpus GROUP BY doc_id) d USING (doc_id)")
     q["qrels_explode"] = f"WITH {CORPUS}, {QRELS} SELECT query_id, doc_id FROM qrels"
+    q["qrels_files"] = q["qrels_explode"]
     q["link_edges"] = f"WITH {LINKS} SELECT src, dst FROM edges"
+    q["link_edges_files"] = q["link_edges"]
     q["link_vertices"] = f"WITH {LINKS} SELECT id FROM vertices"
     q["pagerank"] = f"WITH {PARTS}, {pagerank_ctes('pr')} SELECT id, round(pagerank, 9) AS pagerank FROM pr"
     q["pagerank_links"] = f"WITH {LINKS}, {pagerank_ctes('pr')} SELECT id, round(pagerank, 9) AS pagerank FROM pr"
@@ -261,13 +264,25 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["overlap_at_40"] = f"{e} SELECT query_id, overlap_at_40 FROM report"
     q["query_report"] = (f"{e} SELECT query_id, n_relevant, n_returned, precision_at_5, f1_at_30, results_quality, "
                          "average_precision_at_40, overlap_at_40 FROM report")
-    q["debug_query"] = (f"{e}, first AS (SELECT item_id AS query_id FROM benchmark "
-                        "ORDER BY md5('42' || coalesce(text, '')), item_id LIMIT 1), "
-                        "tops AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS top_ids "
-                        "FROM results WHERE rank <= 10 GROUP BY query_id) "
-                        "SELECT f.query_id, coalesce(t.top_ids, '') AS top_ids, r.overlap_at_40, r.precision_at_5, "
-                        "r.f1_at_30, r.results_quality FROM first f JOIN report r USING (query_id) "
-                        "LEFT JOIN tops t USING (query_id)")
+    details = (
+        "truth AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS ids FROM "
+        "(SELECT * FROM qrels QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 10) "
+        "GROUP BY query_id), "
+        "tops AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS ids "
+        "FROM results WHERE rank <= 10 GROUP BY query_id), "
+        "both_ AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS ids FROM "
+        "(SELECT * FROM judged WHERE rank <= 40 AND hit = 1 "
+        "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10) GROUP BY query_id), "
+        "details AS (SELECT b.item_id AS query_id, coalesce(truth.ids, '') AS truth_sample, "
+        "coalesce(tops.ids, '') AS top_ids, coalesce(both_.ids, '') AS overlap_ids FROM benchmark b "
+        "LEFT JOIN truth ON truth.query_id = b.item_id LEFT JOIN tops ON tops.query_id = b.item_id "
+        "LEFT JOIN both_ ON both_.query_id = b.item_id)")
+    q["report_details"] = f"{e}, {details} SELECT query_id, truth_sample, top_ids, overlap_ids FROM details"
+    q["debug_query"] = (f"{e}, {details}, first AS (SELECT item_id AS query_id FROM benchmark "
+                        "ORDER BY md5('42' || coalesce(text, '')), item_id LIMIT 1) "
+                        "SELECT query_id, d.truth_sample, d.top_ids, d.overlap_ids, r.overlap_at_40, "
+                        "r.precision_at_5, r.f1_at_30, r.results_quality "
+                        "FROM first JOIN report r USING (query_id) JOIN details d USING (query_id)")
     q["train_val_split"] = f"WITH {SPLIT} SELECT query_id, split FROM split"
     q["mean_quality"] = (f"{e} SELECT split, count(*) AS n_queries, {round3('avg(results_quality)')} "
                          "AS mean_quality FROM report JOIN split USING (query_id) GROUP BY split")

@@ -44,6 +44,7 @@ from wordmill.sources.corpus import (
     corpus_stats,
     doc_lengths,
     read_corpus,
+    read_relevance_json,
     relevance_from_json_column,
     titles,
 )
@@ -62,7 +63,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 # ---------------------------------------------------------------- corpus & text
 
 def q_corpus_scan(spark, sf_dir):
-    return read_corpus(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    return read_corpus(spark, f"{sf_dir}/doc*.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def q_titles(spark, sf_dir):
@@ -121,8 +122,7 @@ def q_title_preview(spark, sf_dir):
 
 
 def q_posting_lists(spark, sf_dir):
-    idx = _index(spark, sf_dir)
-    lists = posting_lists(idx.postings)
+    lists = posting_lists(q_min_df_filter(spark, sf_dir))
     as_text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"),
                                                                          p["tf"].cast("string"))), ",")
     return lists.select("term", "block", F.size("postings").cast("long").alias("n_postings"),
@@ -155,13 +155,19 @@ def q_index_append(spark, sf_dir):
     rest = corpus_from_documents(docs.where(~is_en))
     base = _scratch(spark, "append")
     write_index(first, f"{base}/a", min_df=0)
-    idx = append_to_index(f"{base}/a", rest, f"{base}/ab")
-    return idx.terms.select("term", "df", "term_total")
+    return _contents(append_to_index(f"{base}/a", rest, f"{base}/ab"))
+
+
+def _contents(idx: Index) -> DataFrame:
+    """Every posting with its term's statistics, its document's title, and the number of documents."""
+    return idx.postings.join(idx.terms.select("term", "df", "term_total"), "term").join(idx.titles, "doc_id").select(
+        "term", "doc_id", "tf", "df", "term_total", "title", F.lit(idx.n_docs()).cast("long").alias("n_docs"),
+        F.lit(idx.num_buckets).cast("long").alias("num_buckets"))
 
 
 def q_stream_index(spark, sf_dir):
     """``documents`` arriving as a file stream, appended batch by batch to a
-    streaming index; returns its committed vocabulary (equal to ``term_stats``)."""
+    streaming index; returns its committed contents."""
     root = _scratch(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
@@ -169,7 +175,7 @@ def q_stream_index(spark, sf_dir):
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return read_stream_index(spark, f"{root}/index").terms.select("term", "df", "term_total")
+    return _contents(read_stream_index(spark, f"{root}/index"))
 
 
 # ---------------------------------------------------------------- relevance
@@ -180,18 +186,28 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_qrels(passages, corpus(spark, sf_dir))
 
 
-def q_qrels_explode(spark, sf_dir):
-    # Pack judgements as JSON objects {query: [ids as strings]} (one object per
-    # query and block of doc ids, so no object grows with the corpus), then read
-    # them back through the relevance-set parser.
-    packed = qrels(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / F.lit(POSTING_BLOCK))) \
+def _packed_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements as JSON objects {query: [ids as strings]}, one per query and block
+    of doc ids, so no object grows with the corpus."""
+    return qrels(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / F.lit(POSTING_BLOCK))) \
         .groupBy("query_id", "block").agg(
         F.to_json(F.create_map(F.col("query_id").cast("string"),
                                F.array_sort(F.collect_list(F.col("doc_id").cast("string"))))).alias("json"))
-    parsed = relevance_from_json_column("json", packed)
+
+
+def q_qrels_explode(spark, sf_dir):
+    parsed = relevance_from_json_column("json", _packed_qrels(spark, sf_dir))
     return parsed.select(F.col("query").cast("long").alias("query_id"), "doc_id")
 
 
+def q_qrels_files(spark, sf_dir):
+    """The judgements written as JSON Lines files and read as a relevance set."""
+    path = _scratch(spark, "qrels")
+    _packed_qrels(spark, sf_dir).select("json").write.text(path)
+    read = read_relevance_json(spark, path, whole_file=False)
+    return read.select(F.col("query").cast("long").alias("query_id"), "doc_id")
+
+
 # ---------------------------------------------------------------- link graph
 
 def pages_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -210,6 +226,13 @@ def q_link_edges(spark, sf_dir):
     return pages_graph(spark, sf_dir)[0]
 
 
+def q_link_edges_files(spark, sf_dir):
+    """Edges of nested links (``id, anchor_text``) read from the Parquet files of a folder."""
+    path = _scratch(spark, "links")
+    html_anchor_pages(table(spark, sf_dir, "pages")).write.parquet(path)
+    return link_edges(read_corpus(spark, f"{path}*").select("id", "anchor_text"))
+
+
 def q_link_vertices(spark, sf_dir):
     return pages_graph(spark, sf_dir)[1]
 
@@ -294,14 +317,8 @@ def q_top_n(spark, sf_dir):
                        F.round("score", SCORE_ROUND).alias("score"))
 
 
-def results(spark: SparkSession, sf_dir: str, ranking: Ranking | None = None) -> DataFrame:
-    res = search(benchmark_queries(spark, sf_dir), _index(spark, sf_dir), pages_rank(spark, sf_dir), ranking)
-    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title",
-                      F.round("score", SCORE_ROUND).alias("score"))
-
-
 def q_search(spark, sf_dir):
-    return results(spark, sf_dir)
+    return _result_columns(search(benchmark_queries(spark, sf_dir), _index(spark, sf_dir), pages_rank(spark, sf_dir)))
 
 
 def _result_columns(res: DataFrame) -> DataFrame:
@@ -350,7 +367,7 @@ def q_search_empty(spark, sf_dir):
 # ---------------------------------------------------------------- evaluation
 
 def _eval_inputs(spark, sf_dir):
-    return benchmark_queries(spark, sf_dir), results(spark, sf_dir), qrels(spark, sf_dir)
+    return benchmark_queries(spark, sf_dir), q_search_stored_ranks(spark, sf_dir), qrels(spark, sf_dir)
 
 
 def q_precision_at_k(spark, sf_dir):
@@ -381,6 +398,10 @@ def q_query_report(spark, sf_dir):
     return ev.query_report(*_eval_inputs(spark, sf_dir))
 
 
+def q_report_details(spark, sf_dir):
+    return ev.report_details(*_eval_inputs(spark, sf_dir))
+
+
 def q_debug_query(spark, sf_dir):
     return ev.debug_query(*_eval_inputs(spark, sf_dir))
 
@@ -390,9 +411,8 @@ def q_train_val_split(spark, sf_dir):
 
 
 def q_mean_quality(spark, sf_dir):
-    queries = benchmark_queries(spark, sf_dir)
-    report = ev.query_report(queries, results(spark, sf_dir), qrels(spark, sf_dir))
-    return ev.mean_quality(report, ev.train_val_split(queries))
+    queries, found, truth = _eval_inputs(spark, sf_dir)
+    return ev.mean_quality(ev.query_report(queries, found, truth), ev.train_val_split(queries))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -415,7 +435,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_append": q_index_append,
     "stream_index": q_stream_index,
     "qrels_explode": q_qrels_explode,
+    "qrels_files": q_qrels_files,
     "link_edges": q_link_edges,
+    "link_edges_files": q_link_edges_files,
     "link_vertices": q_link_vertices,
     "pagerank": q_pagerank,
     "pagerank_links": q_pagerank_links,
@@ -439,6 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "average_precision": q_average_precision,
     "overlap_at_40": q_overlap_at_40,
     "query_report": q_query_report,
+    "report_details": q_report_details,
     "debug_query": q_debug_query,
     "train_val_split": q_train_val_split,
     "mean_quality": q_mean_quality,

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no driver-side context (e.g. Spark Connect)
+    except PySparkAttributeError:  # a remote session: the server's own setting
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import title_of, whitespace_word_count
@@ -35,14 +35,29 @@ def corpus_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def corpus_from_tokens(tokens: DataFrame) -> DataFrame:
+    """A corpus that is tokenized already: ``doc_id, tokens`` (and ``title``, if there is one).
+
+    Tokens are taken as they are, without stop words or lower case; null tokens drop out.
+    """
+    title = F.coalesce("title", F.lit("")) if "title" in tokens.columns else F.lit("")
+    kept = F.array_compact(F.coalesce("tokens", F.array().cast("array<string>")))
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), title.alias("title"), kept.alias("tokens"))
+
+
+def doc_len(corpus: DataFrame) -> Column:
+    """Length of each row: its tokens, or the whitespace words of its text."""
+    return F.size("tokens").cast("long") if "tokens" in corpus.columns else whitespace_word_count("text")
+
+
 def titles(corpus: DataFrame) -> DataFrame:
     """``doc_id, title``: one title per id (the smallest, so duplicates resolve deterministically)."""
     return corpus.groupBy("doc_id").agg(F.min("title").alias("title"))
 
 
 def doc_lengths(corpus: DataFrame) -> DataFrame:
-    """``doc_id, doc_len``: whitespace word count of each text row."""
-    return corpus.select("doc_id", whitespace_word_count("text").alias("doc_len"))
+    """``doc_id, doc_len``: the length of each row."""
+    return corpus.select("doc_id", doc_len(corpus).alias("doc_len"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -55,7 +70,7 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
     stats = corpus.agg(
         F.countDistinct("doc_id").alias("n_docs"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(whitespace_word_count("text")).alias("total_len"),
+        F.sum(doc_len(corpus)).alias("total_len"),
     )
     return stats.select(
         "n_docs",

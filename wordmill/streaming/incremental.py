@@ -1,17 +1,20 @@
 """Incremental indexing with Structured Streaming (documents arrive over time).
 
-Each micro-batch ``e`` of new documents is indexed on its own and appended:
-
-* ``postings/batch=e/bucket=b``: the batch's postings, written with dynamic
-  partition overwrite, so a retried batch replaces its own folder and never
-  duplicates rows; earlier batches are never rewritten;
-* ``docs/batch=e``: ``doc_id, title, doc_len`` of the batch;
-* ``terms/version=e``: the vocabulary after the batch, i.e. the
-  previous version's ``df``/``term_total`` plus the batch's (both additive).
-
-Readers take the highest vocabulary version ``v`` and only batches ``<= v``,
-so a batch that failed halfway is invisible until it is retried.  The index
-has no df cut (``min_df=0``), which is what makes appends exact.
+Each micro-batch ``e`` of new documents is indexed on its own and added:
+
+* ``postings/batch=e/bucket=b``, ``docs/batch=e`` (``doc_id, title, doc_len``)
+  and ``terms/batch=e`` hold the batch alone, written with dynamic partition
+  overwrite, so a retried batch replaces its own folders and never duplicates
+  rows; earlier batches are neither read nor rewritten;
+* every ``merge_every`` batches, ``vocabulary/version=e`` sums the vocabulary up
+  to ``e`` from the last such version and the batches since;
+* ``commits/batch=e``, written last: one row with the batch's row count, length,
+  bucket count, and the vocabulary version in force.
+
+Readers take the last commit, the batches up to it, and its vocabulary version
+with the terms of the batches since, so a batch that failed halfway is invisible
+until it is retried.  The index has no df cut (``min_df=0``), which is what
+makes appends exact.
 """
 
 from __future__ import annotations
@@ -22,17 +25,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from wordmill.functions.text import whitespace_word_count
 from wordmill.operators.indexing import NUM_BUCKETS, Index, term_counts, term_stats, with_bucket
-from wordmill.sources.corpus import corpus_from_documents
+from wordmill.sources.corpus import corpus_from_documents, doc_len
 
+MERGE_EVERY = 20
+POSTINGS = "term string, doc_id long, tf long, batch int, bucket int"
+DOCS = "doc_id long, title string, doc_len long, batch int"
+TERMS = "term string, df long, term_total long, bucket int, batch int"
+COMMIT = "n_rows long, total_len long, num_buckets int, vocabulary int, batch int"
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+
+def _commits(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """One row per committed batch (those before ``before``), or None."""
     try:
-        rows = spark.read.parquet(f"{root}/terms").select("version").distinct().collect()
-    except AnalysisException:
-        return []
-    return sorted(int(r[0]) for r in rows)
+        found = spark.read.schema(COMMIT).parquet(f"{root}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    found = found if before is None else found.where(F.col("batch") < before)
+    return found if found.limit(1).count() else None
 
 
 def _replace(df: DataFrame, *partition_cols: str):
@@ -40,42 +52,58 @@ def _replace(df: DataFrame, *partition_cols: str):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols)
 
 
-def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = NUM_BUCKETS) -> None:
-    """Index one batch of ``doc_id, title, text`` into the streaming index at ``root``."""
+def _vocabulary(spark: SparkSession, root: str, version: int, last: int) -> DataFrame:
+    """``term, df, term_total, bucket`` of the batches up to ``last``: a version, if any (else -1), and those since."""
+    columns = ["term", "df", "term_total", "bucket"]
+    terms = spark.read.schema(TERMS).parquet(f"{root}/terms").where((F.col("batch") > version) & (F.col("batch") <= last)) \
+        .select(*columns)
+    if version >= 0:
+        terms = terms.unionByName(spark.read.parquet(f"{root}/vocabulary").where(F.col("version") == version)
+                                  .select(*columns))
+    return terms.groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")) \
+        .select(*columns)
+
+
+def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = NUM_BUCKETS,
+                 merge_every: int = MERGE_EVERY) -> None:
+    """Index one batch of ``doc_id, title, text`` (or ``tokens``) into the streaming index at ``root``."""
     spark = docs.sparkSession
+    earlier = _commits(spark, root, batch_id)
+    last = earlier.orderBy(F.col("batch").desc()).first() if earlier is not None else None
+    version = last["vocabulary"] if last else -1
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = with_bucket(term_counts(docs), num_buckets).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = with_bucket(term_counts(docs), num_buckets).persist(StorageLevel.MEMORY_AND_DISK)
         _replace(counts.withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
                  .sortWithinPartitions("bucket", "term", "doc_id"), "batch", "bucket").parquet(f"{root}/postings")
-        _replace(docs.select("doc_id", "title", whitespace_word_count("text").alias("doc_len"))
-                 .withColumn("batch", F.lit(batch_id)), "batch").parquet(f"{root}/docs")
-        new_terms = with_bucket(term_stats(counts), num_buckets)
-        earlier = [v for v in _versions(spark, root) if v < batch_id]
-        if earlier:
-            prev = spark.read.parquet(f"{root}/terms").where(F.col("version") == earlier[-1]) \
-                .select("term", "df", "term_total", "bucket")
-            new_terms = prev.unionByName(new_terms).groupBy("term", "bucket").agg(
-                F.sum("df").alias("df"), F.sum("term_total").alias("term_total"))
-        _replace(new_terms.select("term", "df", "term_total", "bucket").withColumn("version", F.lit(batch_id))
-                 .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"),
-                 "version").parquet(f"{root}/terms")
-        counts.unpersist()
-        spark.createDataFrame([(num_buckets,)], "num_buckets long").coalesce(1).write.mode("overwrite").parquet(
-            f"{root}/settings")
+        lengths = docs.select("doc_id", "title", doc_len(docs).alias("doc_len"))
+        _replace(lengths.withColumn("batch", F.lit(batch_id)), "batch").parquet(f"{root}/docs")
+        terms = with_bucket(term_stats(counts), num_buckets).select("term", "df", "term_total", "bucket")
+        _replace(terms.withColumn("batch", F.lit(batch_id)).repartitionByRange("bucket", "term")
+                 .sortWithinPartitions("bucket", "term"), "batch").parquet(f"{root}/terms")
+        if batch_id - version >= merge_every:
+            merged = _vocabulary(spark, root, version, batch_id).withColumn("version", F.lit(batch_id))
+            version = batch_id
+            _replace(merged.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"),
+                     "version").parquet(f"{root}/vocabulary")
+        own = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        commit = own.select("n_rows", "total_len", F.lit(num_buckets).alias("num_buckets"),
+                            F.lit(version).alias("vocabulary"), F.lit(batch_id).alias("batch"))
+        _replace(commit.coalesce(1), "batch").parquet(f"{root}/commits")
     finally:
+        counts.unpersist()
         docs.unpersist()
 
 
 def index_stream(stream: DataFrame, root: str, checkpoint_location: str, num_buckets: int = NUM_BUCKETS,
-                 to_corpus=corpus_from_documents) -> DataStreamWriter:
+                 to_corpus=corpus_from_documents, merge_every: int = MERGE_EVERY) -> DataStreamWriter:
     """A stream writer that appends every micro-batch of ``stream`` to the index at ``root``.
 
-    ``to_corpus`` maps the stream's rows to ``doc_id, title, text``.  The
-    caller picks the trigger and starts it.
+    ``to_corpus`` maps the stream's rows to ``doc_id, title, text`` (or
+    ``tokens``).  The caller picks the trigger and starts it.
     """
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        append_batch(to_corpus(batch), root, int(batch_id), num_buckets)
+        append_batch(to_corpus(batch), root, int(batch_id), num_buckets, merge_every)
 
     return (stream.writeStream.foreachBatch(per_batch)
             .option("checkpointLocation", checkpoint_location))
@@ -83,18 +111,18 @@ def index_stream(stream: DataFrame, root: str, checkpoint_location: str, num_buc
 
 def read_stream_index(spark: SparkSession, root: str) -> Index:
     """The committed state of a streaming index as an ``Index``, with the bucket count it was written with."""
-    versions = _versions(spark, root)
-    if not versions:
+    commits = _commits(spark, root)
+    if commits is None:
         raise ValueError(f"no committed batch under {root}")
-    v = versions[-1]
-    terms = spark.read.parquet(f"{root}/terms").where(F.col("version") == v).drop("version")
-    postings = spark.read.parquet(f"{root}/postings").where(F.col("batch") <= v).drop("batch")
-    docs = spark.read.parquet(f"{root}/docs").where(F.col("batch") <= v)
-    titles = docs.groupBy("doc_id").agg(F.min("title").alias("title"))
-    stats = docs.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_rows"),
-                     F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-    corpus_stats = stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"),
-                                "n_rows", "total_len")
-    num_buckets = int(spark.read.parquet(f"{root}/settings").first()["num_buckets"])
-    return Index(postings, terms, titles, corpus_stats, num_buckets, min_df=0,
-                 doc_lengths=docs.select("doc_id", "doc_len"))
+    last = commits.orderBy(F.col("batch").desc()).first()
+    v = last["batch"]
+    postings = spark.read.schema(POSTINGS).parquet(f"{root}/postings").where(F.col("batch") <= v).drop("batch")
+    docs = spark.read.schema(DOCS).parquet(f"{root}/docs").where(F.col("batch") <= v)
+    sums = commits.agg(F.sum("n_rows").alias("n"), F.sum("total_len").alias("t")).first()
+    # Rows and lengths come from the commits; ids may repeat across batches, so distinct ones are counted when asked for.
+    stats = docs.agg(F.countDistinct("doc_id").alias("n_docs")).select(
+        "n_docs", F.lit(sums["t"] / sums["n"] if sums["n"] else None).cast("double").alias("avg_dl"),
+        F.lit(sums["n"]).alias("n_rows"), F.lit(sums["t"]).alias("total_len"))
+    return Index(postings, _vocabulary(spark, root, last["vocabulary"], v), docs.groupBy("doc_id").agg(
+        F.min("title").alias("title")), stats, int(last["num_buckets"]), min_df=0,
+        doc_lengths=docs.select("doc_id", "doc_len"))
