@@ -184,7 +184,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_words = F.size(words(F.col("_text")))
     rows = rows.where(F.col("_removed").isNull() | (F.col("_removed") * 100 <= n_words * max_removed_pct))
 
-    clean = F.when(F.col("_cut").isNull(), F.col(f"_row.{text_col}")).otherwise(
+    clean = F.when(F.col("_cut").isNull(), F.col(f"_row.`{text_col}`")).otherwise(
         F.array_join(let(F.split("_text", "\n"), lambda x: without_positions(x, F.col("_cut"))), "\n"))
     changed = {text_col: clean}
     if chars_col:
