@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -169,3 +170,37 @@ def test_mixing_reaches_targets(make):
     sums = {r[0]: r[1] for r in got}
     assert abs(sums["big"] * 50 - 401 * 50 * 0.2) < 1 and abs(sums["small"] / 101 * 100 * 50 - 401 * 50 * 0.2) < 1
     assert sums[None] == 0.0  # no share wanted
+
+
+def test_line_dedup_within_lines(make):
+    """A passage that begins and ends within lines goes whole, also where the lines break elsewhere."""
+    w = [f"w{k}" for k in range(59)]
+    inline, broken = " ".join(w), "\n".join([" ".join(w[:9]), " ".join(w[9:30]), " ".join(w[30:])])
+    rows = [(1, f"a b {inline} c d"), (2, f"x y {broken.upper()} z\nend"), (3, f"p {' '.join(w[:49])} q"),
+            (4, f"{inline} after"), (5, f"r\n{' '.join(w[5:])}\ns"), (None, f"{inline}\n")]
+    # 6 and 7 share 52 words that the first document with their gram lacks.
+    rows += [(6, " ".join(["g1", "g2", *w[:45], *[f"v{k}" for k in range(7)], "h"])),
+             (7, " ".join(["i1", *w[:45], *[f"v{k}" for k in range(7)], "j"]))]
+    got = {r.doc_id: (r.spans, r.removed_words, r.removed_lines) for r in line_dedup.line_report(make(rows)).collect()}
+    assert got == {1: ("", 0, 0), 2: ("2:61", 59, 0), 3: ("", 0, 0), 4: ("0:59", 59, 0), 5: ("1:55", 54, 0),
+                   6: ("", 0, 0), 7: ("1:53", 52, 0), None: ("0:59", 59, 0)}
+    out = {r.doc_id: r.text for r in line_dedup.drop_repeated_runs(make(rows)).collect()}
+    assert out == {1: rows[0][1], 2: "x y z\nend", 3: rows[2][1], 4: "after", 5: "r\ns", 6: rows[6][1], 7: "i1 j", None: ""}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Exactly the words of all runs of 50 words that occur at an earlier place go."""
+    sf = "/root/testdata/sf0.01"
+    seen, want = set(), {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for d, t in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        w, gone = [x for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x], set()
+        for i in range(len(w) - 49):
+            run = tuple(w[i:i + 50])
+            if run in seen:
+                gone |= set(range(i, i + 50))
+            seen.add(run)
+        want[d] = gone
+    rows = line_dedup.line_report(docs).collect()
+    assert {r.doc_id: {i for x in r.spans.split(",") if x for i in range(*map(int, x.split(":")))} for r in rows} == want
+    assert all(r.removed_words == len(want[r.doc_id]) for r in rows) and sum(map(len, want.values())) > 0

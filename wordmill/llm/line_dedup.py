@@ -1,29 +1,34 @@
-"""Line dedup by winnowing over line hashes (DataFrame functions only).
-
-A document is the sequence of its non-blank lines, normalised and hashed.  A
-gram is the shortest run of lines from a line on with ``GRAM_WORDS`` words, a
-window the shortest with ``MIN_WORDS`` from a line on or up to a line.  From every
-window the gram with the
-smallest hash is selected; documents that share a run of ``MIN_WORDS`` words
-share its windows and so a selected gram, a guaranteed fingerprint.  Then
-
-1. fingerprints that occur in one place only drop out, with their windows,
-2. the positions of the others are joined: each window with the first place
-   (by document id, then position) that holds the same lines,
-3. a match is extended both ways along its diagonal, as far as the lines agree,
-4. the lines of every run of ``MIN_WORDS`` words or more that occurs at an
-   earlier place are deleted from the later one.
+"""Dedup of repeated runs of words and of lines by winnowing (DataFrame functions only).
+
+A text is the sequence of its words in lower case.  In every run of
+``MIN_WORDS`` words at least one gram of ``PICK_WORDS`` is picked, by the hashes
+of the run's words alone, so places that share such a run share a pick.  Then
+
+1. picks that occur in one place only drop out,
+2. of the picks with equal surroundings (all runs of ``MIN_WORDS`` words that may
+   have picked them) the first place by document id, then position, stays and
+   every later one is marked with its surroundings,
+3. the first places whose gram also has other surroundings are compared run by
+   run: every later place of an equal run of ``MIN_WORDS`` words is marked,
+4. the marked words, wherever they begin or end within a line, are deleted.
 
 So the first place of a passage keeps it, and every later one loses it whole: a
-repeated run of ``MIN_WORDS`` words is the union of its windows.  Each window is compared with one place only, so
-a passage in a third of all documents costs one comparison for each of them.
+repeated run is the union of its runs of ``MIN_WORDS`` words.  Each place is
+compared with one place only, so a passage in a third of all documents costs one
+comparison for each of them.
+
+The report also names the repeated runs of whole equal lines, by the same method
+over line hashes: a gram is the shortest run of lines from a line on with
+``GRAM_WORDS`` words, a window the shortest with ``MIN_WORDS`` from a line on or
+up to a line; each window is joined with the first place that holds its lines,
+and the match extended both ways as far as the lines agree.
 
 Defined results: null text is empty and has no lines; blank lines are neither
-counted nor deleted; texts with fewer than ``MIN_WORDS`` words lose nothing;
-null ids sort after all others; rows that repeat an id and its text are one
-document and fare alike; a run that repeats within a document counts as a later
-place of it; other columns pass through ``drop_repeated_runs`` untouched; empty
-tables give empty results.
+counted nor deleted, and a line that loses all its words goes with its line feed;
+texts with fewer than ``MIN_WORDS`` words lose nothing; null ids sort after all
+others; rows that repeat an id and its text are one document and fare alike; a
+run that repeats within a document counts as a later place of it; other columns
+pass through ``drop_repeated_runs`` untouched; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of, without_positions, words
+from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of, words
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
+PICK_WORDS = 13
+PICK_BELOW = -2 ** 63 + 2 ** 60  # one word in 16
 
 
 def _non_blank(text: Column) -> Column:
@@ -97,14 +104,10 @@ def repeated_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prints = each.groupBy("gram", "_id", "_key", "gram_at").agg(F.lit(1).alias("one"))
     shared = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     placed = materialize(each.join(shared, "gram").select("_id", "_key", "pos", "window"), "windows")
-    # Null ids sort last: a leading flag decides.
-    place = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("_id"), F.col("_key").alias("_key"),
-                     F.col("pos").alias("pos"))
-    firsts = placed.groupBy("window").agg(F.min(place).alias("f"))
-    later = placed.join(firsts, "window").where(
-        ~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_key") == F.col("f._key")) & (F.col("pos") == F.col("f.pos"))))
+    firsts = placed.groupBy("window").agg(F.min(_place("pos")).alias("f"))
+    later = placed.join(firsts, "window").where(~_is_at("f", "pos"))
     diagonals = later.select("_id", "_key", F.col("f._id").alias("_aid"), F.col("f._key").alias("_akey"),
-                             (F.col("pos") - F.col("f.pos")).alias("shift")).distinct()
+                             (F.col("pos") - F.col("f.at")).alias("shift")).distinct()
     own = seqs.groupBy("_id", "_key").agg(F.first(F.struct("h", "n")).alias("s"))
     held = materialize(own, "lines")
     first = held.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), F.col("s.h").alias("ah"))
@@ -126,43 +129,177 @@ def repeated_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
+def _word_hashes(text: Column) -> Column:
+    return F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
+
+
+def _picks(h: Column, gram_words: int, min_words: int) -> Column:
+    """The grams picked in the runs of ``min_words`` words: places, hashes, and surroundings.
+
+    A gram is picked if its first word hashes below ``PICK_BELOW``; a run with no
+    such gram picks the one whose first word hashes smallest, the leftmost of equals.
+    The surroundings ``[start, end)`` hold every run that may have picked the gram.
+    """
+    reach = min_words - gram_words + 1
+    places = F.sequence(F.lit(0), F.size(h) - gram_words)
+    below = F.filter(places, lambda i: F.get(h, i) < PICK_BELOW)
+
+    def bare(below: Column) -> Column:
+        # The runs between two neighbours (or the ends) that are further apart than a run reaches.
+        edges = F.concat(F.array(F.lit(-1)), below, F.array(F.size(h) - gram_words + 1))
+        starts = let(edges, lambda e: F.flatten(F.transform(
+            F.filter(_places(e), lambda k: F.get(e, k + 1) - F.get(e, k) > reach),
+            lambda k: F.sequence(F.get(e, k) + 1, F.get(e, k + 1) - reach))))
+        return F.transform(starts, lambda i: let(F.slice(h, i + 1, reach), lambda x: (
+            i + F.array_position(x, F.array_min(x)) - 1).cast("int")))
+
+    def pick(p: Column) -> Column:
+        start, end = F.greatest(p - (reach - 1), F.lit(0)), F.least(p + min_words, F.size(h))
+        return F.struct(p.alias("at"), start.alias("start"), end.alias("end"),
+                        F.xxhash64(F.slice(h, p + 1, gram_words)).alias("gram"),
+                        F.xxhash64(p - start, F.slice(h, start + 1, end - start)).alias("around"))
+
+    picked = let(below, lambda x: F.array_distinct(F.concat(x, bare(x))))
+    return F.when(F.size(h) >= min_words, F.transform(picked, pick))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")) \
+        .withColumn("_key", F.xxhash64("_text"))
+
+
+def _place(at: str) -> Column:
+    # Null ids sort last: a leading flag decides.
+    return F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("_id"), F.col("_key").alias("_key"),
+                    F.col(at).alias("at"))
+
+
+def _is_at(place: str, at: str) -> Column:
+    return F.col("_id").eqNullSafe(F.col(f"{place}._id")) & (F.col("_key") == F.col(f"{place}._key")) \
+        & (F.col(at) == F.col(f"{place}.at"))
+
+
+def shared_picks(docs: DataFrame, id_col: str, text_col: str, gram_words: int, min_words: int) -> DataFrame:
+    """The picked grams that occur in two places or more: ``_id, _key, at, start, end, gram, around, n, first``.
+
+    ``first`` is the first place with the same surroundings, ``n`` the number of different surroundings of the gram.
+    """
+    rows = _keyed(docs, id_col, text_col).select("_id", "_key", _word_hashes(F.col("_text")).alias("_h"))
+    each = materialize(rows.select("_id", "_key", F.inline(
+        let(F.col("_h"), lambda h: _picks(h, gram_words, min_words)))), "picks")
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    each = materialize(each.join(often, "gram", "left_semi"), "picks")
+    arounds = materialize(each.groupBy("gram", "around").agg(
+        F.min(_place("at")).alias("first"), F.max(_place("at")).alias("last")), "arounds")
+    # Rows that repeat an id and its text are one place.
+    grams = arounds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"),
+                                        F.max(F.col("first") != F.col("last")).alias("again")).where("n > 1 OR again")
+    firsts = arounds.join(grams, "gram").select("gram", "around", "first", "n")
+    return materialize(each.join(firsts, ["gram", "around"]), "shared")
+
+
+def repeated_words(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """``_id, _key, spans``: the [start, end) word runs of each document that occur at an earlier place."""
+    # Later places with the same surroundings repeat all of them: two runs of ``min_words`` words cover them.
+    whole = shared.where(~_is_at("first", "at")).select(
+        "_id", "_key", F.explode(F.array(F.col("start"), F.col("end") - min_words)).alias("start"))
+    # First places whose surroundings differ are compared run by run.
+    differ = shared.where("n > 1").where(_is_at("first", "at")).groupBy("_id", "_key").agg(F.collect_set(
+        F.struct("start", (F.col("end") - min_words).alias("last"))).alias("within"))
+    rows = _keyed(docs, id_col, text_col).alias("d").join(differ.alias("w"), _same("d", "w")).select(
+        "d._id", "d._key", "within", _word_hashes(F.col("_text")).alias("_h"))
+    starts = F.array_distinct(F.flatten(F.transform("within", lambda x: F.sequence(x["start"], x["last"]))))
+    runs = let(F.col("_h"), lambda h: F.transform(starts, lambda i: F.struct(
+        i.alias("start"), F.xxhash64(F.slice(h, i + 1, min_words)).alias("run"))))
+    each = materialize(rows.select("_id", "_key", F.inline(runs)), "runs")
+    firsts = each.groupBy("run").agg(F.min(_place("start")).alias("first"), F.max(_place("start")).alias("last")) \
+        .where("first != last").select("run", "first")
+    single = each.join(firsts, "run").where(~_is_at("first", "start")).select("_id", "_key", "start")
+
+    def spans(s: Column) -> Column:
+        begin = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) + min_words < x, F.lit(True)))
+        end = F.filter(s, lambda x, i: F.coalesce(x + min_words < F.get(s, i + 1), F.lit(True)))
+        return F.zip_with(begin, end, lambda b, e: F.struct(b.alias("start"), (e + min_words).alias("end")))
+
+    return whole.unionByName(single).groupBy("_id", "_key").agg(F.collect_set("start").alias("s")).select(
+        "_id", "_key", let(F.sort_array("s"), spans).alias("spans"))
+
+
 def _lines_of(runs: Column) -> Column:
     """The line numbers in any of the runs, in order."""
     return F.sort_array(F.array_distinct(F.flatten(
         F.transform(runs, lambda r: F.sequence(r["start"], r["end"] - 1)))))
 
 
+def _pairs(runs: Column) -> Column:
+    """``start:end`` of each run, joined by commas."""
+    return F.coalesce(F.array_join(F.transform(runs, lambda r: F.concat_ws(
+        ":", r["start"].cast("string"), r["end"].cast("string"))), ","), F.lit(""))
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS,
                 min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, n_lines, n_words, removed_lines, removed_words, runs`` of every document."""
-    seqs = materialize(sequences(docs, id_col, text_col, gram_words, min_words), "sequences")
-    out = seqs.alias("s").join(repeated_runs(seqs, min_words).alias("r"), _same("s", "r"), "left")
-    gone = F.coalesce(_lines_of(F.col("runs")), F.array().cast("array<int>"))
-    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    """``id, n_lines, n_words, removed_lines, removed_words, runs, spans`` of every document.
+
+    ``spans`` are the word runs that go and ``removed_words`` their words; ``runs``
+    and ``removed_lines`` are what of them are repeated runs of whole equal lines.
+    """
+    shared = shared_picks(docs, id_col, text_col, min(PICK_WORDS, min_words), min_words)
+    spans = repeated_words(docs, shared, id_col, text_col, min_words)
+    # A repeated run of lines is one of words, so only documents with a shared pick can have any.
+    held = shared.select("_id", "_key").distinct()
+    rows = docs.select(F.struct(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).alias("_row"),
+                       F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_key"))
+    some = rows.alias("d").join(held.alias("r"), _same("d", "r"), "left_semi").select("_row.*")
+    seqs = materialize(sequences(some, "_id", "_text", gram_words, min_words), "sequences")
+    runs = repeated_runs(seqs, min_words).select("_id", "_key", "runs", F.lit(None).alias("spans"))
+    gone = runs.unionByName(spans.select("_id", "_key", F.lit(None).alias("runs"), "spans")) \
+        .groupBy("_id", "_key").agg(F.first("runs", True).alias("runs"), F.first("spans", True).alias("spans"))
+    text = F.col("_text")
+    counts = _keyed(docs, id_col, text_col).select(
+        "_id", "_key", F.size(_non_blank(text)).cast("long").alias("n_lines"),
+        F.size(words(text)).cast("long").alias("n_words"))
+    out = counts.alias("s").join(gone.alias("r"), _same("s", "r"), "left")
+    lines = F.coalesce(_lines_of(F.col("runs")), F.array().cast("array<int>"))
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select(
-        F.col("s._id").alias(id_col), F.size("n").cast("long").alias("n_lines"), add(F.col("n")).alias("n_words"),
-        F.size(gone).cast("long").alias("removed_lines"),
-        let(gone, lambda g: add(F.transform(g, lambda i: F.get(F.col("n"), i)))).alias("removed_words"),
-        F.coalesce(F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["start"].cast("string"),
-                                                                          r["end"].cast("string"))), ","),
-                   F.lit("")).alias("runs"))
+        F.col("s._id").alias(id_col), "n_lines", "n_words", F.size(lines).cast("long").alias("removed_lines"),
+        F.coalesce(cut, F.lit(0).cast("long")).alias("removed_words"), _pairs(F.col("runs")).alias("runs"),
+        _pairs(F.col("spans")).alias("spans"))
+
+
+def _without_words(text: Column, spans: Column) -> Column:
+    """``text`` less the word runs ``spans``; a line that loses all its words goes with its line feed."""
+    blank = lambda t: F.regexp_extract(t, f"^({SPACE})?", 0)
+
+    def rest(t: Column, k: Column) -> Column:
+        # Each word has the white space before it; the word after a run takes the run's, unless it begins a line.
+        begin, end = F.coalesce(F.get(spans, k - 1)["end"], F.lit(0)), F.coalesce(F.get(spans, k)["start"], F.size(t))
+        run = F.get(spans, k - 1)["start"]
+        head, before = F.get(t, begin), blank(F.get(t, run))
+        after = F.when(run == 0, F.concat(before, F.regexp_replace(blank(head), "^[\\x20\\x09\\x0B-\\x0D]*(\n|$)", ""))) \
+            .when(blank(head).contains("\n"), blank(head)).otherwise(before)
+        first = F.when(k == 0, head).otherwise(F.concat(after, F.regexp_replace(head, f"^({SPACE})?", "")))
+        return F.when(begin < end, F.concat(F.array(first), F.slice(t, begin + 2, end - begin - 1))) \
+            .otherwise(F.array().cast("array<string>"))
+
+    tail = F.substring(text, F.length(F.rtrim(text, F.lit(" \t\n\x0b\x0c\r"))) + 1, F.length(text))
+    ends = F.element_at(spans, -1)["end"]
+    found = F.regexp_extract_all(text, F.lit(f"({SPACE})?{NOT_SPACE}+"), F.lit(0))
+    return let(found, lambda t: F.concat(
+        F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda k: rest(t, k))), ""),
+        F.when((ends == F.size(t)) & (F.get(spans, F.lit(0))["start"] == 0) & (F.size(spans) == 1), F.lit(""))
+        .otherwise(tail)))
 
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, in their own columns, without the repeated runs."""
-    seqs = materialize(sequences(docs, id_col, text_col, gram_words, min_words), "sequences")
-    cut = repeated_runs(seqs, min_words).select("_id", "_key", _lines_of(F.col("runs")).alias("_cut"))
+    """The documents, in their own columns, without the words of repeated runs."""
+    shared = shared_picks(docs, id_col, text_col, min(PICK_WORDS, min_words), min_words)
+    spans = repeated_words(docs, shared, id_col, text_col, min_words)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text")) \
         .withColumn("_key", F.xxhash64("_text"))
-
-    def clean(lines: Column, cut: Column) -> Column:
-        # Line numbers count non-blank lines; ``full`` has their places among all.
-        full = F.filter(_places(lines), lambda i: F.get(lines, i).rlike(NOT_SPACE))
-        return let(full, lambda f: F.array_join(
-            without_positions(lines, F.transform(cut, lambda i: F.get(f, i))), "\n"))
-
-    text = F.when(F.col("_cut").isNull(), F.col(f"_row.`{text_col}`")).otherwise(
-        let(F.split("_text", "\n"), lambda x: clean(x, F.col("_cut"))))
-    out = rows.alias("d").join(cut.alias("r"), _same("d", "r"), "left")
+    out = rows.alias("d").join(spans.alias("r"), _same("d", "r"), "left")
+    text = F.when(F.col("spans").isNull(), F.col(f"_row.`{text_col}`")).otherwise(
+        _without_words(F.col("_text"), F.col("spans")))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
