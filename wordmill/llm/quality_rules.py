@@ -15,6 +15,8 @@ Defined results
   so no content is lost altogether.  Rows that repeat id, host and text share
   one verdict and all stay.
 * A line on the limit is removed (the limits are inclusive).
+* The share of a host's documents counts only up to ``MAX_LINE_DOCS``: the limit
+  of a large host does not grow with it.
 * Empty tables give empty results; other columns, whatever their names, pass
   through untouched.
 """
@@ -30,6 +32,7 @@ MIN_WORDS = 50          # fewer words: rejected
 MAX_REPEAT_PCT = 50     # more than this share of words in repeated windows: rejected
 MIN_LINE_DOCS = 5       # a boilerplate line is in at least so many distinct documents of its host
 MIN_LINE_PCT = 5        # ... and in at least this share of them
+MAX_LINE_DOCS = 50      # ... but in so many it is boilerplate whatever the share
 MAX_REMOVED_PCT = 50    # more than this share of words in removed lines: depleted
 
 
@@ -110,7 +113,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
         .withColumn("_key", F.xxhash64("_text"))
 
 
-def boilerplate_lines(keyed: DataFrame, min_docs: int, min_pct: int) -> DataFrame:
+def boilerplate_lines(keyed: DataFrame, min_docs: int, min_pct: int, max_docs: int) -> DataFrame:
     """``_host, _line, _first``: lines above the limits of their host and the document that keeps them.
 
     Counting is two partial aggregations: first per (host, line, text), which
@@ -123,15 +126,17 @@ def boilerplate_lines(keyed: DataFrame, min_docs: int, min_pct: int) -> DataFram
         .groupBy("_host").agg(F.count(F.lit(1)).alias("_host_docs"))
     often = per_line.where(F.col("_docs") >= min_docs).alias("l").join(
         hosts.alias("h"), F.col("l._host").eqNullSafe(F.col("h._host")))
-    return often.where(F.col("_docs") * 100 >= F.col("_host_docs") * min_pct) \
+    share = F.least(F.col("_host_docs") * min_pct, F.lit(max_docs * 100))
+    return often.where(F.col("_docs") * 100 >= share) \
         .select(F.col("l._host").alias("_host"), "_line", "_first")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  min_docs: int = MIN_LINE_DOCS, min_pct: int = MIN_LINE_PCT) -> DataFrame:
+                  min_docs: int = MIN_LINE_DOCS, min_pct: int = MIN_LINE_PCT,
+                  max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """``_id, _host, _key, _pos, _n``: every line occurrence that the limits remove."""
     keyed = _keyed(docs, id_col, text_col, host_col).drop("_row")
-    limits = materialize(boilerplate_lines(keyed, min_docs, min_pct), "lines")
+    limits = materialize(boilerplate_lines(keyed, min_docs, min_pct, max_docs), "lines")
     lines = _lines(keyed)
     hit = lines.alias("l").join(limits.alias("b"), (F.col("l._line") == F.col("b._line"))
                                 & F.col("l._host").eqNullSafe(F.col("b._host")))
@@ -152,9 +157,9 @@ def _match(left: str, right: str) -> Column:
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                    min_docs: int = MIN_LINE_DOCS, min_pct: int = MIN_LINE_PCT,
-                   max_removed_pct: int = MAX_REMOVED_PCT) -> DataFrame:
+                   max_removed_pct: int = MAX_REMOVED_PCT, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """One row per document: id, in-row figures, words in removed lines, and the verdict ``kept``."""
-    gone = removed_lines(docs, id_col, text_col, host_col, min_docs, min_pct)
+    gone = removed_lines(docs, id_col, text_col, host_col, min_docs, min_pct, max_docs)
     removed = gone.groupBy("_id", "_host", "_key", "_pos").agg(F.first("_n").alias("_n")) \
         .groupBy("_id", "_host", "_key").agg(F.sum("_n").alias("_removed"))
     keyed = _keyed(docs, id_col, text_col, host_col)
@@ -167,13 +172,13 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                         chars_col: str | None = None, min_docs: int = MIN_LINE_DOCS, min_pct: int = MIN_LINE_PCT,
-                        max_removed_pct: int = MAX_REMOVED_PCT) -> DataFrame:
+                        max_removed_pct: int = MAX_REMOVED_PCT, max_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """The documents that pass, in their own columns, without the removed lines.
 
     ``chars_col``, if given, is set to the length of the new text.  Texts that
     lose no line stay byte for byte as they were.
     """
-    gone = removed_lines(docs, id_col, text_col, host_col, min_docs, min_pct)
+    gone = removed_lines(docs, id_col, text_col, host_col, min_docs, min_pct, max_docs)
     # A document's own removed positions: never more than it has lines.
     cut = gone.groupBy("_id", "_host", "_key", "_pos").agg(F.first("_n").alias("_n")) \
         .groupBy("_id", "_host", "_key").agg(F.sum("_n").alias("_removed"),
