@@ -109,6 +109,56 @@ leaks AS (SELECT dg.id AS doc_id, ig.id AS item_id, count(*) AS n_common, n_item
 {final}"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a short ASCII string, bit by bit."""
+    shift = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: {shift})"
+    codes = f"list_transform(string_split({text}, ''), lambda a: CAST(ascii(a) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def merkle_manifest_sql() -> str:
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+    head = " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, start: str) -> str:
+        return f"""{name} AS ({start} UNION ALL
+    SELECT g, lev + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8)
+    FROM {name} WHERE n > 1 GROUP BY g, lev, pos // 8)"""
+
+    def flanks(tree: str, rows: str) -> str:
+        # A node's place at a level is its leaf's over 8^level; a run's nodes share the place over 8.
+        return f"""SELECT r.id, t.lev, coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos < r.pos // 8 ** t.lev), '') AS l,
+           coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos > r.pos // 8 ** t.lev), '') AS rt
+    FROM {rows} r JOIN {tree} t ON t.g = r.g AND t.n > 1 AND t.pos // 8 = r.pos // CAST(8 ** (t.lev + 1) AS BIGINT)
+    GROUP BY r.id, t.lev""".replace("r.pos // 8 ** t.lev", "r.pos // CAST(8 ** t.lev AS BIGINT)")
+
+    return f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256({head} || {part.format('text')}) AS leaf,
+    sha256({head} || CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {part.format(low)}
+           ELSE {part.format('text')} END) AS seen FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY g) AS n FROM hashed),
+{tree("t1", "SELECT g, 0 AS lev, pos, leaf AS node, n FROM leaves")},
+subroots AS (SELECT g AS id, '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, node, count(*) OVER () AS n FROM t1 WHERE n = 1),
+{tree("t2", "SELECT g, 0 AS lev, pos, node, n FROM subroots")},
+p1 AS ({flanks("t1", "leaves")}),
+p2 AS ({flanks("t2", "subroots")}),
+way AS (SELECT id, lev, l, rt FROM p1 UNION ALL
+        SELECT v.id, 1000 + lev, l, rt FROM leaves v JOIN p2 ON p2.id = v.g),
+steps AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lev) AS k FROM way),
+up AS (SELECT id, CAST(0 AS BIGINT) AS k, seen AS node FROM leaves UNION ALL
+       SELECT u.id, s.k, sha256(s.l || u.node || s.rt) FROM up u JOIN steps s ON s.id = u.id AND s.k = u.k + 1),
+folded AS (SELECT id, arg_max(node, k) AS root FROM up GROUP BY id),
+proofs AS (SELECT id, string_agg(l || rt, '' ORDER BY k) AS p FROM steps GROUP BY id)
+SELECT doc_id, leaf, s.node AS subroot, r.node AS root, sha256(coalesce(p, '')) AS proof_sha256,
+       f.root AS folded_root, f.root = r.node AS verified
+FROM leaves v JOIN subroots s ON s.id = v.g JOIN folded f ON f.id = v.id LEFT JOIN proofs ON proofs.id = v.id,
+     (SELECT node FROM t2 WHERE n = 1) r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op10_quality_rules": quality_rules_sql(), "op5_chat_format": chat_format_sql(),
-            "op3_decontaminate": decontaminate_sql(), "op6_mix_sources": mix_sources_sql()}
+            "op3_decontaminate": decontaminate_sql(), "op6_mix_sources": mix_sources_sql(),
+            "op13_merkle_manifest": merkle_manifest_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import prepare
+from wordmill.llm.common import lower_ascii, prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm import merkle_manifest as mm
+
+    docs = _table(spark, sf_dir, "documents")
+    low = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 0, lower_ascii(F.col("text"))) \
+        .otherwise(F.col("text"))
+    seen = mm.leaf_hash([low if f == "text" else F.col(f) for f in mm.FIELDS])
+    rows = mm.verified(mm.manifest(docs, carry={"seen": seen}), "seen")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(mm.siblings(F.col("proof")).cast("binary"), 256)
+                       .alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -111,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
