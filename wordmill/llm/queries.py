@@ -100,6 +100,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.periodic_runs import find_runs, runs_digest, with_periodic_tail
+
+    return runs_digest(find_runs(with_periodic_tail(_table(spark, sf_dir, "documents"))))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm import merkle_manifest as mm
 
@@ -123,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
