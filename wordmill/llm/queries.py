@@ -106,6 +106,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_digest(find_runs(with_periodic_tail(_table(spark, sf_dir, "documents"))))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordmill.llm.html_extract import extract, learn_weights
+
+    pages = _table(spark, sf_dir, "pages")
+    return extract(pages, learn_weights(pages))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordmill.llm import merkle_manifest as mm
 
@@ -130,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_html_extract": op12_html_extract,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
