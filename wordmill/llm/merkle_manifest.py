@@ -88,9 +88,10 @@ def _segments(i: Column) -> Column:
     return F.filter(F.array(*pairs), lambda s: s.isNotNull())
 
 
-def climb(nodes: DataFrame) -> DataFrame:
-    """``_g, _pos, _load, _proof, _top`` of ``_g, _pos, _size, _node, _load``: every node's way up its group's tree.
+def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node's way up its group's tree, and the trees' tops (``_g, _top``), read without the ways.
 
+    Nodes are ``_g, _pos, _size, _node, _load``, ways ``_g, _pos, _load, _proof, _top``.
     ``_pos`` counts a group's nodes from 0, ``_size`` is their number.  Each call
     divides the nodes by 8^4, so the recursion is a few calls deep.
     """
@@ -99,7 +100,7 @@ def climb(nodes: DataFrame) -> DataFrame:
                          F.coalesce(*[f"l{j}" for j in range(LEVELS, -1, -1)]).cast("string").alias("_node"),
                          F.lit(0).alias("_load"))
     if (tops.agg(F.max("_size")).first()[0] or 0) > 1:
-        above = climb(tops).select("_g", F.col("_pos").alias("_block"), F.col("_proof").alias("_up"), "_top")
+        above = climb(tops)[0].select("_g", F.col("_pos").alias("_block"), F.col("_proof").alias("_up"), "_top")
         above = materialize(above, "above")
     else:
         above = tops.select("_g", F.col("_pos").alias("_block"), F.array().cast(PROOF).alias("_up"),
@@ -107,8 +108,9 @@ def climb(nodes: DataFrame) -> DataFrame:
     each = F.transform(F.col("_rows"), lambda load, i: F.struct(
         (F.col("_block") * BLOCK + i).alias("_pos"), load.alias("_load"), _segments(i).alias("_own")))
     rows = blocks.select("_g", "_block", F.inline(each))
-    return rows.join(above, ["_g", "_block"]) \
+    ways = rows.join(above, ["_g", "_block"]) \
         .select("_g", "_pos", "_load", F.concat("_own", "_up").alias("_proof"), "_top")
+    return ways, above.where(F.col("_block") == 0).select("_g", "_top")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -133,11 +135,10 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", f
                          F.struct(F.col(f"`{group_col}`").alias("group"),
                                   *[c.alias(f"x{k}") for k, c in enumerate(extra.values())]).alias("_more"))
     placed = _numbered(materialize(leaves, "leaves"))
-    rows = climb(placed.select("_g", "_pos", "_size", "_node",
+    rows, subroots = climb(placed.select("_g", "_pos", "_size", "_node",
                                F.struct("_id", F.col("_node").alias("leaf"), "_more").alias("_load")))
-    roots = materialize(rows.where(F.col("_pos") == 0).select("_g", F.col("_top").alias("subroot")), "subroots")
-    upper = _numbered(roots.select(F.lit("").alias("_g"), F.col("_g").alias("_id"), F.col("subroot").alias("_node")))
-    upper = climb(upper.select("_g", "_pos", "_size", "_node", F.struct("_id").alias("_load")))
+    upper = _numbered(subroots.select(F.lit("").alias("_g"), F.col("_g").alias("_id"), F.col("_top").alias("_node")))
+    upper, _ = climb(upper.select("_g", "_pos", "_size", "_node", F.struct("_id").alias("_load")))
     upper = materialize(upper.select(F.col("_load._id").alias("_g"), F.col("_proof").alias("_last"),
                                      F.col("_top").alias("root")), "roots")
     return rows.join(upper, "_g").select(
