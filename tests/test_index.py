@@ -4,6 +4,8 @@ from wordmill.operators.indexing import (
     append_to_index,
     build_index,
     doc_freq,
+    drop_versions,
+    merge_index,
     posting_lists,
     posting_lookup,
     read_index,
@@ -84,7 +86,7 @@ def same_index(a, b):
 def test_append_equals_full_build(spark, scratch):
     """Parts, and parts merged beyond a number of them, hold what one build does."""
     write_index(corpus(spark, DOCS[:2]), f"{scratch}/0", min_df=0, num_buckets=8)
-    files = sorted(spark.read.parquet(f"{scratch}/0/postings").inputFiles())
+    files = sorted(read_index(spark, f"{scratch}/0").postings.inputFiles())
     arrivals = [DOCS[2:3], DOCS[3:] + DOCS[:1]]  # document 1 comes a second time
     for k, rows in enumerate(arrivals, 1):
         parts = append_to_index(f"{scratch}/{k - 1}", corpus(spark, rows), f"{scratch}/{k}")
@@ -110,19 +112,114 @@ def test_index_from_tokens(spark, scratch):
     assert both.corpus_stats.first().asDict() == {"n_docs": 4, "avg_dl": 5 / 4, "n_rows": 4, "total_len": 5}
 
 
-def test_posting_blocks_are_cut_by_id(spark):
-    lists = posting_lists(term_counts(corpus(spark)), block_size=2).where("term = 'cherry'").orderBy("block").collect()
-    assert [(r["block"], [p["doc_id"] for p in r["postings"]]) for r in lists] == [(0, [1]), (1, [2, 3])]
+def test_posting_blocks_are_cut_by_count(spark):
+    """Sparse ids, a hot term over all partitions, and terms at the block size."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5_000).select(F.explode(F.array(
+        F.lit("hot"), F.when(F.col("id") < 500, F.lit("sparse")), F.when(F.col("id") < 64, F.lit("full")),
+        F.when(F.col("id") < 65, F.lit("over")))).alias("term"), (F.col("id") * 1_000_000_007).alias("doc_id"),
+        (F.col("id") % 7 + 1).alias("tf")).where("term is not null")
+    lists = {(r.term, r.block): [tuple(p) for p in r.postings] for r in posting_lists(rows, block_size=64).collect()}
+    want = {}
+    for term, n in (("hot", 5_000), ("sparse", 500), ("full", 64), ("over", 65)):
+        for k in range(0, n, 64):
+            want[term, k // 64] = [(i * 1_000_000_007, i % 7 + 1) for i in range(k, min(k + 64, n))]
+    assert lists == want
+
+
+def test_rank_within_repeats_and_small_groups(spark):
+    from wordmill.operators.ordering import rank_within
+
+    rows = [("a" if k % 3 else f"g{k}", k // 4) for k in range(3_000)]
+    got = rank_within(spark.createDataFrame(rows, "g string, x long"), ["g"], ["x"], "r").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.r, r.x))
+    for g, pairs in by.items():
+        assert [x for _, x in sorted(pairs)] == sorted(x for k, x in rows if k == g)
+        assert sorted(r for r, _ in pairs) == list(range(len(pairs)))
+
+
+def cut_corpora():
+    """Two batches: terms over the cut in one, in the other, in both together only, and in neither."""
+    first = [(k, f"t{k}", " ".join(["every"] + ["early"] * (k < 4) + ["pair"] * (k < 2) + [f"own{k}"])) for k in range(6)]
+    more = [(k, f"t{k}", " ".join(["every"] + ["late"] * (k < 10) + ["pair"] * (k < 8) + [f"own{k}"])) for k in range(6, 12)]
+    return first, more
+
+
+def rare_of(index):
+    return rows_of(index.rare_terms, "term", "df", "term_total", "bucket"), \
+        rows_of(index.rare_postings, "term", "doc_id", "tf", "bucket")
+
+
+def test_append_to_cut_index_equals_full_build(spark, scratch):
+    first, more = cut_corpora()
+    last = [(20 + k, "z", "own1 own1 own7 pair new") for k in range(4)]
+    write_index(corpus(spark, first), f"{scratch}/i", min_df=3, num_buckets=8, block_size=2)
+    for rows, so_far in ((more, first + more), (last, first + more + last)):
+        grown = append_to_index(f"{scratch}/i", corpus(spark, rows), f"{scratch}/i")
+        full = write_index(corpus(spark, so_far), f"{scratch}/full", min_df=3, num_buckets=8, block_size=2)
+        same_index(grown, full)
+        assert rare_of(grown) == rare_of(full)
+    assert {"pair", "own1", "own7", "new", "every", "early", "late"} == {t for t, *_ in rows_of(grown.terms, "term")}
+    merged = merge_index(spark, f"{scratch}/i", f"{scratch}/m")
+    same_index(merged, full)
+    assert rare_of(merged) == rare_of(full) and rows_of(merged.blocks, *full.blocks.columns) == rows_of(
+        full.blocks, *full.blocks.columns)
 
 
-def test_append_refuses_cut_index(spark, scratch):
+def test_append_needs_the_rare_terms(spark, scratch):
     import pytest
 
-    write_index(corpus(spark, DOCS[:2]), f"{scratch}/cut", min_df=1, num_buckets=8)
+    write_index(corpus(spark, DOCS[:2]), f"{scratch}/cut", min_df=1, num_buckets=8, keep_rare=False)
     with pytest.raises(ValueError):
         append_to_index(f"{scratch}/cut", corpus(spark, DOCS[2:]), f"{scratch}/out")
 
 
+def test_failed_rebuild_leaves_the_index(spark, scratch, monkeypatch):
+    """Whichever write fails, in a build, an append or a merge, readers find the old index; then it can be repeated."""
+    import pytest
+    from pyspark.sql import DataFrameWriter
+
+    path, first, more = f"{scratch}/i", *cut_corpora()
+    write_index(corpus(spark, first), path, min_df=3, num_buckets=1)
+    written = DataFrameWriter.parquet
+    works = {"build": lambda: write_index(corpus(spark, more), path, min_df=3, num_buckets=1),
+             "append": lambda: append_to_index(path, corpus(spark, more), path),
+             "merge": lambda: merge_index(spark, path, path)}
+    for name, work in works.items():
+        before = read_index(spark, path)
+        terms, postings = rows_of(before.terms, "term", "df"), rows_of(before.postings, "term", "doc_id", "tf")
+        for k in range(30):
+            left = [k]
+
+            def failing(self, target, *a, left=left, **kw):
+                if target.startswith(path):
+                    left[0] -= 1
+                    if left[0] < 0:
+                        raise OSError("no more writes")
+                return written(self, target, *a, **kw)
+            monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+            try:
+                work()
+                break
+            except OSError:
+                monkeypatch.setattr(DataFrameWriter, "parquet", written)
+                now = read_index(spark, path)
+                assert rows_of(now.terms, "term", "df") == terms, (name, k)
+                assert rows_of(now.postings, "term", "doc_id", "tf") == postings
+        monkeypatch.setattr(DataFrameWriter, "parquet", written)
+        assert k >= 6
+    # In the end: the second build, appended to and merged.
+    full = write_index(corpus(spark, more + more), f"{scratch}/full", min_df=3, num_buckets=1)
+    same_index(read_index(spark, path), full)
+    assert drop_versions(spark, path) and not drop_versions(spark, path)
+    same_index(read_index(spark, path), full)
+    with pytest.raises(ValueError):
+        read_index(spark, f"{scratch}/nothing")
+
+
 def test_corpus_stats(spark):
     s = build_index(corpus(spark), min_df=0).corpus_stats.first()
     assert s["n_docs"] == 5 and s["n_rows"] == 5

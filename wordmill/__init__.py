@@ -5,6 +5,8 @@ from wordmill.operators.indexing import (  # noqa: F401
     append_to_index,
     build_index,
     doc_freq,
+    drop_versions,
+    merge_index,
     min_df_filter,
     posting_lists,
     posting_lookup,

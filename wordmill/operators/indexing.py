@@ -3,29 +3,42 @@
 Tables (all flat; postings are never materialised as per-term arrays except in
 ``posting_lists``):
 
-* ``postings``  ``term, doc_id, tf`` (+ ``bucket`` on disk)
-* ``terms``     ``term, df, term_total, bucket`` (sorted by bucket, term)
+* ``postings``  ``term, doc_id, tf, block`` (+ ``tier, bucket`` on disk)
+* ``vocabulary`` ``term, df, term_total, bucket`` (+ ``tier``; sorted by bucket, term)
+* ``blocks``    ``bucket, term, block`` with the count and the largest tf and rank of the block
 * ``titles``    ``doc_id, title``
 * ``doc_lengths`` ``doc_id, doc_len``
 * ``corpus_stats`` one row ``n_docs, avg_dl, n_rows, total_len``
 
+Terms above the df cut are the tier ``main``, which searches read.  Those under it
+wait in the tier ``rare``; an append that lifts a term over the cut copies what
+waited into its own main tier, so a cut index grows exactly like one built anew.
+
 A corpus is ``doc_id, title, text``, or ``doc_id, title, tokens`` if it is
 tokenized already (``sources.corpus.corpus_from_tokens``).  An index that was
 appended to consists of parts, one per append, each with these tables; nothing
-that an earlier part holds is read or written again to add documents.
+that an earlier part holds is written again to add documents.
+
+Every build writes a folder of its own below the index path and, when all its
+tables are there, one row in ``commits`` that names it (with the earlier parts).
+Readers open what the newest row names, so a build that fails leaves the index
+as it was.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.functions.text import run_lengths, run_starts, term_bucket, tokenize
 from wordmill.operators.joins import spread
+from wordmill.operators.ordering import rank_within
 from wordmill.session import stored
 from wordmill.sources.corpus import corpus_stats, doc_len, doc_lengths, titles
 
@@ -87,16 +100,30 @@ def min_df_filter(postings: DataFrame, terms: DataFrame) -> DataFrame:
 POSTING_BLOCK = 65536
 
 
+def posting_blocks(postings: DataFrame, frequent: DataFrame, block_size: int = POSTING_BLOCK) -> DataFrame:
+    """``postings`` with ``block``: a posting's rank in its term's list over ``block_size``.
+
+    ``frequent`` (``term``) names the terms with more than ``block_size`` postings.
+    Only those are ranked; every other term is one block, without a shuffle.
+    """
+    frequent = stored(frequent.select("term"), "frequent")
+    if frequent.isEmpty():
+        return postings.withColumn("block", F.lit(0).cast("long"))
+    rare = postings.join(frequent, "term", "left_anti").withColumn("block", F.lit(0).cast("long"))
+    ranked = rank_within(postings.join(frequent, "term", "left_semi"), ["term"], ["doc_id"], "block")
+    return rare.unionByName(ranked.withColumn("block", F.expr(f"block div {int(block_size)}")))
+
+
 def posting_lists(postings: DataFrame, block_size: int = POSTING_BLOCK) -> DataFrame:
     """``term, block, postings array<struct<doc_id, tf>>`` sorted by doc_id (a view for export).
 
-    A term's list is cut into blocks of doc ids ``[block·size, (block+1)·size)``,
-    so no array (and no task) holds more than ``block_size`` postings per
-    document id, even for a term found in a third of the corpus.  Blocks of a
-    term, concatenated in block order, are its full sorted list.
+    A term's list is cut by count: every block but its last holds exactly
+    ``block_size`` postings, however its ids are spaced, so no array (and no task)
+    holds more, even for a term found in a third of the corpus.  Blocks of a term,
+    concatenated in block order, are its full sorted list.
     """
-    blocked = postings.withColumn("block", F.floor(F.col("doc_id") / F.lit(block_size)).cast("long"))
-    return blocked.groupBy("term", "block").agg(
+    frequent = doc_freq(postings).where(F.col("df") > block_size)
+    return posting_blocks(postings, frequent, block_size).groupBy("term", "block").agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings")
     )
 
@@ -123,6 +150,10 @@ class Index:
     doc_ids: DataFrame | None = None
     # ``doc_id, doc_len`` (whitespace words), for length-normalised BM25.
     doc_lengths: DataFrame | None = None
+    # Of a stored index: its posting blocks, and the tier under the df cut.
+    blocks: DataFrame | None = None
+    rare_terms: DataFrame | None = None
+    rare_postings: DataFrame | None = None
 
     def n_docs(self) -> int:
         if self.doc_ids is not None:
@@ -147,20 +178,28 @@ def build_index(corpus: DataFrame, min_df: int = MIN_DF, num_buckets: int = NUM_
                  all_postings=counts, doc_ids=corpus.select("doc_id"), doc_lengths=doc_lengths(corpus))
 
 
+COMMIT = ("version long, part string, earlier array<string>, min_df long, num_buckets long, block_size long, "
+          "rare boolean, ranks boolean")
+TERM_COLUMNS = ["term", "df", "term_total", "bucket"]
+
+
 def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets: int = NUM_BUCKETS,
-                pagerank: DataFrame | None = None,
-                keep: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Index:
+                pagerank: DataFrame | None = None, keep: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
+                block_size: int = POSTING_BLOCK, keep_rare: bool = True) -> Index:
     """Build and write the index under ``path`` and return it read back.
 
     The corpus text is scanned and tokenized once: a per-document frame
     (id, title, length, sorted tokens) is persisted and feeds the term counts,
-    the titles and the statistics.  ``terms`` is written first; the postings
+    the titles and the statistics.  The vocabulary is written first; the postings
     join then reads it back, so the optimizer sees its real on-disk size and
     only broadcasts it when that is small.  Postings are rebalanced on
     ``bucket`` (AQE splits a hot bucket, coalesces small ones) and sorted by
     ``term, doc_id`` so each file covers a narrow term range and parquet
     min/max statistics prune row groups on lookup.
 
+    An index that is already at ``path`` is replaced when the new one is whole;
+    its folder stays until ``drop_versions``.
+
     ``keep`` is how the per-document frame is kept between its uses (as
     compressed columnar blocks, spilling to executor disks).  With ``None`` it
     is not kept and the text is tokenized once per output instead, for a
@@ -170,93 +209,228 @@ def write_index(corpus: DataFrame, path: str, min_df: int = MIN_DF, num_buckets:
     document's rank as ``pr`` (0.0 when unranked): search then reads the boost
     from the postings it already scans instead of joining the rank table, at
     the price of one shuffle of the document frame here.
+
+    ``block_size`` postings of a term make a block (``posting_blocks``).  Without
+    ``keep_rare`` terms under the cut are dropped; such an index cannot be appended to.
     """
     spark = corpus.sparkSession
-    _write_part(corpus, path, min_df, num_buckets, pagerank, pagerank is not None, keep)
-    _write_settings(spark, path, min_df, num_buckets, [])
+    last = _last_commit(spark, path)
+    new = Row(version=last["version"] + 1 if last else 0, part=f"part-{uuid.uuid4().hex}", earlier=[], min_df=min_df,
+              num_buckets=num_buckets, block_size=block_size, rare=keep_rare and min_df > 0, ranks=pagerank is not None)
+    _write_part(corpus, f"{path}/{new.part}", new, pagerank, keep)
+    return _commit(spark, path, new)
+
+
+def _last_commit(spark: SparkSession, path: str) -> Row | None:
+    """The newest row of ``commits``, or None where there is no index."""
+    try:
+        return spark.read.schema(COMMIT).parquet(f"{path}/commits").orderBy(F.desc("version"), F.desc("part")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _commit(spark: SparkSession, path: str, new: Row) -> Index:
+    """Adds the row that makes a written part the index: one new file, which readers see whole or not at all."""
+    spark.createDataFrame([new], COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return read_index(spark, path)
 
 
-def _write_part(corpus: DataFrame, path: str, min_df: int, num_buckets: int, pagerank: DataFrame | None,
-                with_rank: bool, keep: StorageLevel | None) -> None:
-    """The tables of one part, from its own documents alone."""
-    spark = corpus.sparkSession
+def _write_part(corpus: DataFrame, part: str, new: Row, pagerank: DataFrame | None, keep: StorageLevel | None,
+                old: Index | None = None) -> None:
+    """The tables of one part; ``old`` is the index it adds to."""
     docs = spread(corpus).select("doc_id", "title", doc_len(corpus).alias("doc_len"), _sorted_tokens(corpus).alias("s"))
-    carry = ("pr",) if with_rank else ()
+    carry = ("pr",) if new.ranks else ()
     if pagerank is not None:
         ranks = pagerank.select(F.col("id").alias("doc_id"), F.col("pagerank").alias("pr"))
         docs = docs.join(ranks, "doc_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
-    elif with_rank:
+    elif new.ranks:
         docs = docs.withColumn("pr", F.lit(0.0))
     if keep is not None:
         docs = docs.persist(keep)
     try:
         counts = counts_from_sorted(docs.select("doc_id", *carry, "s"), carry)
-        _write_terms(with_bucket(term_stats(counts, min_df), num_buckets), path)
-        kept = spark.read.parquet(f"{path}/terms").select("term", "bucket")
-        _write_postings(counts.join(kept, "term") if min_df > 0 else with_bucket(counts, num_buckets), path)
-        titles(docs).write.mode("overwrite").parquet(f"{path}/titles")
-        docs.select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{path}/doc_lengths")
+        stats = with_bucket(term_stats(counts), new.num_buckets)
+        waiting = None
+        if old is None or new.min_df == 0:
+            tiered = stats.withColumn("tier", _tier(F.col("df"), new.min_df))
+        else:
+            tiered, waiting = _promote(stats, old, new)
+        _write_vocabulary(tiered if new.rare else tiered.where("tier = 'main'"), part)
+        rows = counts.join(_vocabulary(docs.sparkSession, part).select("term", "bucket", "tier"), "term")
+        if waiting is not None:
+            rows = rows.unionByName(waiting.select("term", "doc_id", "tf", *carry, "bucket", F.lit("main").alias("tier")))
+        _write_postings(rows, part, new.block_size)
+        titles(docs).write.parquet(f"{part}/titles")
+        docs.select("doc_id", "doc_len").write.parquet(f"{part}/doc_lengths")
         stats = docs.agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_rows"),
                          F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        _write_stats(stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows",
-                                  "total_len"), path)
+        stats = stats.select("n_docs", (F.col("total_len") / F.col("n_rows")).alias("avg_dl"), "n_rows", "total_len")
+        _write_stats(stats if old is None else _added_stats(stats, part, old), part)
     finally:
         if keep is not None:
             docs.unpersist()
 
 
-def _write_terms(terms: DataFrame, path: str) -> None:
+def _tier(df: Column, min_df: int) -> Column:
+    return F.when(df > min_df, F.lit("main")).otherwise(F.lit("rare"))
+
+
+def _promote(stats: DataFrame, old: Index, new: Row) -> tuple[DataFrame, DataFrame]:
+    """A batch's vocabulary by tier, and the waiting postings of the terms that it lifts over the cut.
+
+    Only the batch's own terms can cross, so the old vocabulary is read for those.
+    A lifted term's row also counts its waiting postings, which move with it.
+    """
+    own = stored(stats, "batch-terms")
+    names = own.select("bucket", "term")
+    known = old.terms.join(names, ["bucket", "term"], "left_semi").select("bucket", "term", F.lit(True).alias("known"))
+    rare = old.rare_terms.join(names, ["bucket", "term"], "left_semi") \
+        .select("bucket", "term", F.col("df").alias("waiting"), F.col("term_total").alias("waiting_total"))
+    both = own.join(known, ["bucket", "term"], "left").join(rare, ["bucket", "term"], "left")
+    total = F.col("df") + F.coalesce("waiting", F.lit(0))
+    lifted = F.col("known").isNull() & (total > new.min_df)
+    both = stored(both.withColumn("lifted", lifted & F.col("waiting").isNotNull()).select(
+        "term", F.when(lifted, total).otherwise(F.col("df")).alias("df"),
+        F.when(lifted, F.col("term_total") + F.coalesce("waiting_total", F.lit(0))).otherwise(F.col("term_total"))
+        .alias("term_total"),
+        "bucket", F.when(F.col("known") | (total > new.min_df), F.lit("main")).otherwise(F.lit("rare")).alias("tier"),
+        "lifted"), "tiered")
+    up = both.where("lifted").select("bucket", "term")
+    buckets = [r["bucket"] for r in up.select("bucket").distinct().collect()]  # at most num_buckets
+    waiting = old.rare_postings.where(F.col("bucket").isin(buckets)).join(up, ["bucket", "term"], "left_semi")
+    return both.drop("lifted"), waiting
+
+
+def _write_vocabulary(terms: DataFrame, part: str) -> None:
     # The vocabulary is small next to the postings: one sorted run of files
     # (bucket, term), whose row-group statistics serve bucket/term filters,
     # instead of a folder per bucket.
-    (terms.select("term", "df", "term_total", "bucket").repartitionByRange("bucket", "term")
-     .sortWithinPartitions("bucket", "term").write.mode("overwrite").parquet(f"{path}/terms"))
+    (terms.select(*TERM_COLUMNS, "tier").repartitionByRange("tier", "bucket", "term")
+     .sortWithinPartitions("tier", "bucket", "term").write.partitionBy("tier").parquet(f"{part}/vocabulary"))
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table whose folder may be missing because it has no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+VOCABULARY = "term string, df long, term_total long, bucket int"
+
+
+def _vocabulary(spark: SparkSession, part: str) -> DataFrame:
+    return _read(spark, f"{part}/vocabulary", f"{VOCABULARY}, tier string")
+
 
+def _write_postings(rows: DataFrame, part: str, block_size: int) -> None:
+    """The postings (with ``bucket`` and ``tier``) of a part in blocks, and the table of its blocks."""
+    spark = rows.sparkSession
+    frequent = _vocabulary(spark, part).where((F.col("tier") == "main") & (F.col("df") > block_size))
+    rows = posting_blocks(rows, frequent, block_size)
+    # Equal ids are one shuffle: a tier and a bucket stay together, a hot bucket is split by AQE.
+    (rows.hint("rebalance", "tier", "bucket").sortWithinPartitions("tier", "bucket", "term", "doc_id")
+     .write.partitionBy("tier", "bucket").parquet(f"{part}/postings"))
+    ranks = "pr" in rows.columns
+    schema = _posting_schema(rows.schema["doc_id"].dataType.simpleString(), ranks)
+    main = _read(spark, f"{part}/postings/tier=main", schema)
+    per_block = main.groupBy("bucket", "term", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
+        F.max("tf").alias("max_tf"), (F.max("pr") if ranks else F.lit(0.0)).alias("max_pr"))
+    per_block.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block") \
+        .write.parquet(f"{part}/blocks")
 
-def _write_postings(postings: DataFrame, path: str) -> None:
-    (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
 
+def _posting_schema(id_type: str, ranks: bool) -> str:
+    return f"term string, doc_id {id_type}, tf long, {'pr double, ' if ranks else ''}block long, bucket int"
 
-def _write_stats(stats: DataFrame, path: str) -> None:
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus_stats")  # one row
 
+def _write_stats(stats: DataFrame, part: str) -> None:
+    stats.coalesce(1).write.parquet(f"{part}/corpus_stats")  # one row
 
-def _write_settings(spark: SparkSession, path: str, min_df: int, num_buckets: int, earlier: list[str]) -> None:
-    """Written last: without its settings an index does not open."""
-    spark.createDataFrame([(min_df, num_buckets, earlier)], "min_df long, num_buckets long, earlier array<string>") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+def _added_stats(own: DataFrame, part: str, old: Index) -> DataFrame:
+    """The statistics of the whole index: sums, and the ids of the new documents that the old ones lack."""
+    spark = own.sparkSession
+    before, own = old.corpus_stats.first(), own.first()
+    ids = spark.read.parquet(f"{part}/titles").select("doc_id")
+    n_new = ids.join(old.titles.select("doc_id"), "doc_id", "left_anti").count()
+    n_rows, total_len = before["n_rows"] + own["n_rows"], before["total_len"] + own["total_len"]
+    return spark.createDataFrame([(before["n_docs"] + n_new, total_len / n_rows if n_rows else None, n_rows, total_len)],
+                                 "n_docs long, avg_dl double, n_rows long, total_len long")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open an index, with all its parts.
+    """Open the index that the newest commit under ``path`` names, with all its parts.
 
     Vocabulary rows of several parts are summed as they are read.  Filters and
     semi-joins on the term and its bucket reach the scan of every part.
     """
-    settings = spark.read.parquet(f"{path}/settings").first()
-    parts = [*settings["earlier"], path]
-
-    def table(name: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/{name}") for p in parts])
-
-    terms, named = table("terms"), table("titles")
-    if len(parts) > 1:
-        terms = terms.groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")) \
-            .select("term", "df", "term_total", "bucket")
-        named = titles(named)
+    commit = _last_commit(spark, path)
+    if commit is None:
+        raise ValueError(f"no index under {path}")
+    parts = [*commit["earlier"], f"{path}/{commit['part']}"]
+    id_type = spark.read.parquet(f"{parts[-1]}/titles").schema["doc_id"].dataType.simpleString()
+    postings_schema = _posting_schema(id_type, commit["ranks"])
+
+    def table(name: str, schema: str | None = None) -> DataFrame:
+        read = [spark.read.parquet(f"{p}/{name}") if schema is None else _read(spark, f"{p}/{name}", schema)
+                for p in parts]
+        if name.startswith(("postings", "blocks")):  # blocks are numbered by part
+            read = [t.withColumn("part", F.lit(k)) for k, t in enumerate(read)]
+        return reduce(DataFrame.unionByName, read)
+
+    def vocabulary(tier: str) -> DataFrame:
+        terms = table(f"vocabulary/tier={tier}", VOCABULARY)
+        return terms if len(parts) == 1 else terms.groupBy("term", "bucket").agg(
+            F.sum("df").alias("df"), F.sum("term_total").alias("term_total")).select(*TERM_COLUMNS)
+
+    terms, named = vocabulary("main"), table("titles")
+    rare_terms = rare_postings = None
+    if commit["min_df"] == 0 or commit["rare"]:
+        rare_terms, rare_postings = vocabulary("rare"), table("postings/tier=rare", postings_schema).drop("part")
+        if len(parts) > 1:
+            # What an append lifted stays in the earlier part's rare tier; it counts there no more.
+            rare_terms = rare_terms.join(terms, ["bucket", "term"], "left_anti").select(*TERM_COLUMNS)
+            rare_postings = rare_postings.join(terms, ["bucket", "term"], "left_anti")
+        named = titles(named) if len(parts) > 1 else named
     return Index(
-        postings=table("postings"),
+        postings=table("postings/tier=main", postings_schema),
         terms=terms,
         titles=named,
-        corpus_stats=spark.read.parquet(f"{path}/corpus_stats"),
-        num_buckets=int(settings["num_buckets"]),
-        min_df=int(settings["min_df"]),
+        corpus_stats=spark.read.parquet(f"{parts[-1]}/corpus_stats"),
+        num_buckets=int(commit["num_buckets"]),
+        min_df=int(commit["min_df"]),
         doc_lengths=table("doc_lengths"),
+        blocks=table("blocks"),
+        rare_terms=rare_terms,
+        rare_postings=rare_postings,
     )
 
 
+def drop_versions(spark: SparkSession, path: str) -> list[str]:
+    """Deletes the folders below ``path`` that its newest commit does not name, and returns their names.
+
+    Those are earlier versions and failed builds.  Not while a build or a reader of
+    an earlier version is at work, nor where another index names them as its parts.
+    """
+    commit = _last_commit(spark, path)
+    used = {p.rstrip("/").rsplit("/", 1)[-1] for p in [*commit["earlier"], commit["part"]]} if commit else set()
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in files.listStatus(root)
+            if f.getPath().getName().startswith("part-") and f.getPath().getName() not in used]
+    for folder in gone:
+        files.delete(folder, True)
+    return sorted(f.getName() for f in gone)
+
+
 def posting_lookup(index: Index, term: str) -> DataFrame:
     """``term, doc_id, tf`` of one term, ordered by doc_id; empty for an unknown term.
 
@@ -270,47 +444,49 @@ def posting_lookup(index: Index, term: str) -> DataFrame:
 
 def append_to_index(path: str, new_corpus: DataFrame, out_path: str, pagerank: DataFrame | None = None,
                     max_parts: int = MAX_PARTS) -> Index:
-    """The index at ``path`` and new documents, as an index at ``out_path``.
+    """The index at ``path`` and new documents, as an index at ``out_path`` (which may be ``path``).
 
     Only the new documents are read and written: they become a part of their
     own under ``out_path``, which names the earlier parts (so those must stay
     where they are).  Document frequencies, totals and lengths are additive;
-    of the earlier parts just the ids are read, to count distinct documents.
-    The index at ``path`` stays as it is and opens as before.  Beyond
-    ``max_parts`` parts they are merged into one.
+    of the earlier parts the ids are read, to count distinct documents, and under
+    a df cut the vocabulary and the waiting postings of the terms that the new
+    documents lift over it.  The index at ``path`` stays as it is until the last
+    row is written.  Beyond ``max_parts`` parts they are merged into one.
 
     Ranks stored in the postings stay; new documents get theirs from
-    ``pagerank`` (0.0 without one).  Only exact for indexes built with
-    ``min_df=0``: a cut index has dropped postings a later batch could revive.
+    ``pagerank`` (0.0 without one).  A cut index needs the terms under its cut
+    (``write_index(..., keep_rare=True)``, the default).
     """
     spark = new_corpus.sparkSession
-    old = read_index(spark, path)
-    if old.min_df > 0:
-        raise ValueError("append needs an index built with min_df=0")
-    with_rank = "pr" in old.postings.columns
-    earlier = [*spark.read.parquet(f"{path}/settings").first()["earlier"], path]
-    full = len(earlier) >= max_parts
-    part = f"{out_path}/part" if full else out_path
-    _write_part(new_corpus, part, 0, old.num_buckets, pagerank if with_rank else None, with_rank,
-                StorageLevel.MEMORY_AND_DISK)
-    before, own = old.corpus_stats.first(), spark.read.parquet(f"{part}/corpus_stats").first()
-    known = spark.read.parquet(f"{part}/titles").select("doc_id")
-    n_new = known.join(old.titles.select("doc_id"), "doc_id", "left_anti").count()
-    n_rows, total_len = before["n_rows"] + own["n_rows"], before["total_len"] + own["total_len"]
-    stats = spark.createDataFrame([(before["n_docs"] + n_new, total_len / n_rows if n_rows else None, n_rows, total_len)],
-                                  "n_docs long, avg_dl double, n_rows long, total_len long")
-    _write_stats(stats, part)
-    _write_settings(spark, part, 0, old.num_buckets, earlier)
-    return merge_index(spark, part, out_path) if full else read_index(spark, part)
+    old, commit = read_index(spark, path), _last_commit(spark, path)
+    if commit["min_df"] > 0 and not commit["rare"]:
+        raise ValueError("append to a cut index needs its rare terms (keep_rare)")
+    there = commit if out_path == path else _last_commit(spark, out_path)
+    earlier = [*commit["earlier"], f"{path}/{commit['part']}"]
+    new = Row(**commit.asDict() | {"version": there["version"] + 1 if there else 0, "earlier": earlier,
+                                   "part": f"part-{uuid.uuid4().hex}"})
+    _write_part(new_corpus, f"{out_path}/{new.part}", new, pagerank if new.ranks else None,
+                StorageLevel.MEMORY_AND_DISK, old)
+    index = _commit(spark, out_path, new)
+    return merge_index(spark, out_path, out_path) if len(earlier) >= max_parts else index
 
 
 def merge_index(spark: SparkSession, path: str, out_path: str) -> Index:
     """An index of several parts written again as one of a single part."""
-    old = read_index(spark, path)
-    _write_terms(old.terms, out_path)
-    _write_postings(old.postings, out_path)
-    old.titles.write.mode("overwrite").parquet(f"{out_path}/titles")
-    old.doc_lengths.write.mode("overwrite").parquet(f"{out_path}/doc_lengths")
-    _write_stats(old.corpus_stats, out_path)
-    _write_settings(spark, out_path, old.min_df, old.num_buckets, [])
-    return read_index(spark, out_path)
+    old, commit = read_index(spark, path), _last_commit(spark, path)
+    there = commit if out_path == path else _last_commit(spark, out_path)
+    new = Row(**commit.asDict() | {"version": there["version"] + 1 if there else 0, "earlier": [],
+                                   "part": f"part-{uuid.uuid4().hex}"})
+    part = f"{out_path}/{new.part}"
+    terms, postings = old.terms.withColumn("tier", F.lit("main")), old.postings.drop("block", "part") \
+        .withColumn("tier", F.lit("main"))
+    if old.rare_terms is not None:
+        terms = terms.unionByName(old.rare_terms.withColumn("tier", F.lit("rare")))
+        postings = postings.unionByName(old.rare_postings.drop("block").withColumn("tier", F.lit("rare")))
+    _write_vocabulary(terms, part)
+    _write_postings(postings, part, new.block_size)
+    old.titles.write.parquet(f"{part}/titles")
+    old.doc_lengths.write.parquet(f"{part}/doc_lengths")
+    _write_stats(old.corpus_stats, part)
+    return _commit(spark, out_path, new)

@@ -108,10 +108,21 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
                      doc_lengths: DataFrame | None = None,
                      max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``query_id, doc_id, first_pos, tfidf, bm25, pr, tfidf_boosted, score`` for every reached doc."""
-    r = ranking or Ranking()
-    n_docs = index.n_docs()
+    weighted = weighted_terms(queries, index, query_col, max_broadcast_bytes)
+    return _scores(index, weighted, pagerank, ranking or Ranking(), doc_lengths)
+
+
+def weighted_terms(queries: DataFrame, index: Index, query_col: str = "query",
+                   max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool, list[int] | None]:
+    """(query terms with df and weights, whether they are small enough to broadcast, bucket list or None)."""
     qterms, small, buckets = _query_terms(queries, index, query_col, max_broadcast_bytes)
-    qterms = term_weights(qterms, n_docs)
+    return term_weights(qterms, index.n_docs()), small, buckets
+
+
+def _scores(index: Index, weighted: tuple[DataFrame, bool, list[int] | None], pagerank: DataFrame | None, r: Ranking,
+            doc_lengths: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """``candidate_scores`` of weighted query terms; with ``among`` (``query_id, doc_id``), of those pairs alone."""
+    qterms, small, buckets = weighted
     side = F.broadcast(qterms) if small else qterms
     if index.all_postings is not None:
         # Declared over a raw corpus: match the unfiltered counts on term alone;
@@ -124,7 +135,12 @@ def candidate_scores(queries: DataFrame, index: Index, pagerank: DataFrame | Non
         postings = index.postings.select("bucket", "term", "doc_id", "tf", *(["pr"] if with_rank else []))
         if buckets is not None:
             postings = postings.where(F.col("bucket").isin(buckets))
+        if among is not None:
+            # Postings of other documents go where they are read, before any pair is made of them.
+            postings = postings.join(bounded_broadcast(among.select("doc_id").distinct()), "doc_id", "left_semi")
         hits = postings.join(side, ["bucket", "term"])
+    if among is not None:
+        hits = hits.join(bounded_broadcast(among), ["query_id", "doc_id"], "left_semi")
     tf = F.col("tf").cast("double")
     w = tf * F.col("idf_tfidf")
     if r.length_norm:
@@ -195,10 +211,20 @@ def attach_titles(results: DataFrame, titles: DataFrame, max_broadcast_bytes: in
 
 def search(queries: DataFrame, index: Index, pagerank: DataFrame | None = None,
            ranking: Ranking | None = None, query_col: str = "query", with_titles: bool = True,
-           doc_lengths: DataFrame | None = None) -> DataFrame:
-    """``query_id, rank, doc_id, title, score`` (plus component scores), best first."""
+           doc_lengths: DataFrame | None = None, prune: bool = False) -> DataFrame:
+    """``query_id, rank, doc_id, title, score`` (plus component scores), best first.
+
+    With ``prune`` (a stored index), documents that upper bounds keep out of the best
+    ``n`` are never scored (``operators.pruning``): the same rows, for queries that
+    reach a large part of a large index.
+    """
     r = ranking or Ranking()
-    scored = candidate_scores(queries, index, pagerank, r, query_col, doc_lengths)
+    if prune:
+        from wordmill.operators.pruning import pruned_scores
+
+        scored = pruned_scores(queries, index, pagerank, r, query_col, doc_lengths)
+    else:
+        scored = candidate_scores(queries, index, pagerank, r, query_col, doc_lengths)
     best = top_n(scored, r.n, materialize=with_titles)
     if with_titles:
         best = attach_titles(best, index.titles)

@@ -205,18 +205,21 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["term_sample"] = f"{base(md)} SELECT term, df FROM terms ORDER BY term LIMIT 20"
     q["title_preview"] = (f"WITH {CORPUS} SELECT doc_id, min(title) AS title FROM corpus GROUP BY doc_id "
                           "ORDER BY doc_id LIMIT 2")
-    q["posting_lists"] = (f"{base(md)} SELECT term, CAST(floor(doc_id / 65536) AS BIGINT) AS block, "
+    q["posting_lists"] = (f"{base(md)} SELECT term, block, "
                           "count(*) AS n_postings, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings "
-                          "FROM counts WHERE term IN (SELECT term FROM terms) GROUP BY term, block")
+                          "FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 65536 AS block "
+                          "FROM counts) WHERE term IN (SELECT term FROM terms) GROUP BY term, block")
     q["term_buckets"] = f"{base(md)} SELECT bucket, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings FROM terms GROUP BY bucket"
     q["index_roundtrip"] = (f"{base(md)} SELECT c.term, c.doc_id, c.tf, t.bucket FROM counts c "
                             "JOIN terms t USING (term)")
     q["posting_lookup"] = (f"{base(md)}, top AS (SELECT term FROM terms ORDER BY df DESC, term LIMIT 1) "
                            "SELECT term, doc_id, tf FROM counts WHERE term = (SELECT term FROM top)")
-    q["index_append"] = q["stream_index"] = (
-        f"{base(0)} SELECT c.term, c.doc_id, c.tf, t.df, t.term_total, d.title, (SELECT n FROM nd) AS n_docs, "
+    contents = (
+        "SELECT c.term, c.doc_id, c.tf, t.df, t.term_total, d.title, (SELECT n FROM nd) AS n_docs, "
         f"CAST({NUM_BUCKETS} AS BIGINT) AS num_buckets FROM counts c JOIN terms t USING (term) "
         "JOIN (SELECT doc_id, min(title) AS title FROM corpus GROUP BY doc_id) d USING (doc_id)")
+    q["index_append"] = q["stream_index"] = f"{base(0)} {contents}"
+    q["index_append_cut"] = f"{base(md)} {contents}"
     q["qrels_explode"] = f"WITH {CORPUS}, {QRELS} SELECT query_id, doc_id FROM qrels"
     q["qrels_files"] = q["qrels_explode"]
     q["link_edges"] = f"WITH {LINKS} SELECT src, dst FROM edges"
@@ -242,7 +245,7 @@ def oracle_sql(sf: str = "/root/testdata/sf0.01") -> dict[str, str]:
     q["top_n"] = (f"{s1}, {ranked_cte(10)} SELECT query_id, rank, doc_id, round(score, {ROUND}) AS score "
                   "FROM ranked")
     q["search"] = f"{search_with(md)} SELECT query_id, rank, doc_id, title, score FROM results"
-    q["search_stored"] = q["search_stored_ranks"] = q["search"]
+    q["search_stored"] = q["search_stored_ranks"] = q["search_pruned"] = q["search"]
     q["pagerank_roundtrip"] = q["pagerank_links"]
     # Variants: the item text, only its stop words, and the empty string.
     sv = (f"{base(md)}, v AS (SELECT item_id, 'text' AS variant, {tokens('text')} AS tk FROM benchmark "

@@ -147,6 +147,15 @@ def q_posting_lookup(spark, sf_dir):
 
 
 def q_index_append(spark, sf_dir):
+    return _appended(spark, sf_dir, 0)
+
+
+def q_index_append_cut(spark, sf_dir):
+    """The same over the reference's df cut: terms that only both arrivals together lift over it are found."""
+    return _appended(spark, sf_dir, MIN_DF)
+
+
+def _appended(spark, sf_dir, min_df):
     # Two arrivals: English documents first, then all others (the filter is
     # pushed into the documents scan; together they are the whole table).
     docs = table(spark, sf_dir, "documents")
@@ -154,7 +163,7 @@ def q_index_append(spark, sf_dir):
     first = corpus_from_documents(docs.where(is_en))
     rest = corpus_from_documents(docs.where(~is_en))
     base = _scratch(spark, "append")
-    write_index(first, f"{base}/a", min_df=0)
+    write_index(first, f"{base}/a", min_df=min_df)
     return _contents(append_to_index(f"{base}/a", rest, f"{base}/ab"))
 
 
@@ -340,6 +349,13 @@ def q_search_stored_ranks(spark, sf_dir):
     return _result_columns(search(benchmark_queries(spark, sf_dir), idx))
 
 
+def q_search_pruned(spark, sf_dir):
+    """The same search without scoring what upper bounds keep out of the best 100."""
+    idx = write_index(corpus(spark, sf_dir), _scratch(spark, "index"), min_df=MIN_DF,
+                      pagerank=pages_rank(spark, sf_dir), block_size=1024)
+    return _result_columns(search(benchmark_queries(spark, sf_dir), idx, prune=True))
+
+
 def q_pagerank_roundtrip(spark, sf_dir):
     ranks = write_ranks(pages_rank(spark, sf_dir), _scratch(spark, "ranks"))
     return ranks.select("id", F.round("pagerank", 9).alias("pagerank"))
@@ -433,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_roundtrip": q_index_roundtrip,
     "posting_lookup": q_posting_lookup,
     "index_append": q_index_append,
+    "index_append_cut": q_index_append_cut,
     "stream_index": q_stream_index,
     "qrels_explode": q_qrels_explode,
     "qrels_files": q_qrels_files,
@@ -452,6 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search": q_search,
     "search_stored": q_search_stored,
     "search_stored_ranks": q_search_stored_ranks,
+    "search_pruned": q_search_pruned,
     "pagerank_roundtrip": q_pagerank_roundtrip,
     "search_empty": q_search_empty,
     "precision_at_k": q_precision_at_k,
