@@ -229,4 +229,4 @@ def test_pipeline(spark, texts):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {k.split("_")[0] for k in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {k.split("_")[0] for k in entry.queries()}

@@ -115,6 +115,53 @@ def test_decontamination(make, spark):
     assert sum(t.num_rows for t in blocks) == 4 and len(blocks) > 1
 
 
+def test_pii_long_numbers(make):
+    """Numbers beyond Python's limit for int(), before dots and alone."""
+    from wordmill.llm.pii import digest, find_pii
+    rows = [(1, "0" * 5000 + ".1.1.1"), (2, "9" * 5000 + ".1.1.1"), (3, "1.2.3." + "0" * 4999 + "255"), (4, "7" * 100_000)]
+    got = {r.doc_id: (r.n_ip, r.n_card, r.n_spans) for r in digest(find_pii(make(rows))).collect()}
+    assert got == {1: (1, 0, 1), 2: (0, 0, 0), 3: (1, 0, 1), 4: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("IBAN: DE89 3704 0044 0532 0130 00 is ours", "DE89 3704 0044 0532 0130 00"),
+    ("my iban GB82WEST12345698765432.", "GB82WEST12345698765432"),
+    ("IBAN number: gb82-west-1234-5698-7654-32 or so", "gb82-west-1234-5698-7654-32"),
+    ("IBAN: DE89 3704 0044 0532 0130 01 is wrong", None), ("account number: 12345678", "12345678"),
+    ("acct no. 12345678", "12345678"), ("PassWord: abc12345", "abc12345"), ("API_Key='x9x9x9x9'", "x9x9x9x9"),
+    ("the account is closed today", None), ("İ token = abc12345", "abc12345"),
+    ("see https://example.org/a?b=1.", "https://example.org/a?b=1"), ("HTTP://a.b:80", "HTTP://a.b:80"), ("http://:80/", None),
+    ("http://?x", None)])
+def test_pii_accounts_and_urls(text, want):
+    spans = [text[s:e] for k, s, e in pii.spans_of(text, pii._automaton()) if k in ("account", "url")]
+    assert spans == ([want] if want else [])
+
+
+def test_pii_query_equals_plain_expressions(spark):
+    """Counts and digest of the registered query, over whole texts, by the contract's expressions."""
+    from wordmill.llm import queries
+    forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+             "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def valid(kind, x):
+        digits = [int(c) for c in x if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "phone":
+            return 9 <= len(digits) <= 15
+        doubled = [d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))]
+        return kind == "email" or 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        spans = [(m.start(), n, f"{kind}:{m.start()}:{m.end()}", kind) for n, (kind, form) in enumerate(forms.items())
+                 for m in re.finditer(form, r.text or "") if valid(kind, m[0])]
+        text = ",".join(x for _, _, x, _ in sorted(spans))
+        want[r.doc_id] = (*(sum(k == kind for *_, k in spans) for kind in forms), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: tuple(r)[1:6] for r in queries.op4_pii(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and sum(sum(v[:4]) for v in want.values()) > 10
+
+
 def test_pii_redaction(make):
     text = "mail a.b@c.org, 10.0.0.1 or 300.1.1.1; card 4111 1111 1111 1111 call +49 (30) 1234-567 token = \"ab12cd34\""
     rows = {r.doc_id: r.text for r in pii.redact(make([(1, text), (2, None), (3, "é@é.de @ + 1.2.3")])).collect()}
@@ -212,3 +259,50 @@ def test_quality_rules_of_a_hot_host(make):
     rows = [(k, f"{prose(60, k)}{ending(k)}") for k in range(1200)]
     got = {r.doc_id: r.removed_words for r in quality_rules.quality_report(make(rows)).collect()}
     assert got == {k: 4 if 0 < k < 55 else 0 for k in range(1200)}  # 45 of 1,200 are under the limit
+
+
+def test_block_counts_with_many_buckets():
+    """Keys come back whole from buckets named by few and by many bits, and sums are those of the keys."""
+    import numpy as np
+
+    from wordmill.llm import block_counts as bc
+    r = np.random.default_rng(1)
+    pool = r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    for bits in (1, 9, 16, 18, 30):
+        for short in (True, False):
+            rows, want = [], {}
+            for block in range(6):
+                keys, _ = bc.distinct_keys(r.choice(pool, 150), short)
+                counts = r.integers(1, 9, len(keys))
+                mine = bc.report(block, 1, keys, counts, bits, short)
+                rows += [dict(zip(bc.REPORT_ARROW.names, x, strict=True)) for x in mine]
+                for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+                    want.setdefault(k, []).append((block, c))
+            totals = {}
+            for b in {x["bucket"] for x in rows}:
+                for block, _, _, n, raw in bc.totals_of([x for x in rows if x["bucket"] == b], bits):
+                    totals.setdefault(block, []).append((b, bc.wide(raw, n).tolist()))
+            for block, parts in totals.items():
+                got = [t for _, x in sorted(parts) for t in x]
+                assert got == [sum(c for _, c in want[k]) for k in sorted(want) if block in dict(want[k])]
+
+
+def test_lm_scores_do_not_depend_on_the_session(make):
+    """Equal scores whatever the number of shuffle partitions and blocks."""
+    docs = make([(k, prose(30 + k % 50, k % 40)) for k in range(300)] + ROWS)
+    spark = docs.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in (8, 16, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = lm_score.score_documents(docs, held_out=docs["doc_id"] % 7 == 0, block_chars=20_000 * n).collect()
+            seen.append(sorted((tuple(r) for r in got), key=str))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_jaccard_refuses_half(make):
+    with pytest.raises(ValueError):
+        jaccard_join.link_components(make(ROWS), min_pct=50)

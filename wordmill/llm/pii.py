@@ -10,7 +10,9 @@ follows the anchors, not the patterns:
 * ``card``     digit: digits with single spaces or hyphens, 12 to 19 of them, Luhn sum
 * ``phone``    plus sign: 9 to 15 digits with common separators
 * ``url``      scheme: up to white space, without closing punctuation
-* ``account``  cue (token, password, iban ...), a separator, then an identifier with a digit
+* ``account``  cue (token, password, account ...) in any case, a word such as "number" if any, a
+  separator, then an identifier with a digit; after "iban" an account number, also in groups,
+  of the right length whose check sum (mod 97) holds
 
 Spans of one kind never overlap and are found from left to right; positions are
 code points, end exclusive.
@@ -36,7 +38,7 @@ KINDS = (*BASE_KINDS, "url", "account")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-CUES = ("api_key", "apikey", "api-key", "token", "secret", "password", "passwd", "account", "acct", "iban", "ssn",
+CUES = ("api_key", "apikey", "api-key", "token", "secret", "password", "passwd", "account", "acct", "ssn",
         "passport", "username", "login")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -46,7 +48,11 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>]+")
-_ACCOUNT = re.compile(r"[\"']?\s{0,3}(?:[:=#]|is)\s{0,3}[\"']?([A-Za-z0-9_-]{6,})")
+_HOST = re.compile(r"(?:[^/?#@]*@)?(?:[\w-]+(?:\.[\w-]+)*|\[[0-9A-Fa-f:.]+\])\.?(?::[0-9]{1,5})?(?:[/?#]|$)")
+_NUMBER = r"(?:number|num\.?|no\.?|nr\.?|id|code)"
+_ACCOUNT = re.compile(rf"[\"']?(?:\s{{0,3}}{_NUMBER})?\s{{0,3}}(?:[:=#]|is\b)\s{{0,3}}[\"']?([A-Za-z0-9_-]{{6,}})"
+                      rf"|\s{{1,3}}{_NUMBER}\s{{1,3}}([A-Za-z0-9_-]{{6,}})", re.I)
+_IBAN = re.compile(rf"(?:\s{{0,3}}{_NUMBER})?\s{{0,3}}(?:[:=#]|is\b)?\s{{0,3}}[\"']?([A-Z]{{2}}[0-9]{{2}}(?:[ -]?[A-Z0-9]){{11,30}})", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -57,6 +63,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_length(candidate: str) -> int:
+    """Characters of ``candidate`` up to the end of the longest account number whose check sum holds, or 0."""
+    compact = [k for k, c in enumerate(candidate) if c.isalnum()]
+    for n in range(len(compact), 14, -1):
+        # A number does not end within a run of letters and digits.
+        end = compact[n - 1] + 1
+        if end < len(candidate) and candidate[end].isalnum():
+            continue
+        code = "".join(candidate[k] for k in compact[:n]).upper()
+        if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+    return 0
+
+
+def _folded(text: str) -> str:
+    """Lower case, every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _automaton():
     import ahocorasick
 
@@ -65,10 +91,9 @@ def _automaton():
         a.add_word(c, (c, 1))
     for c in "0123456789":
         a.add_word(c, ("0", 1))
-    for kind, names in (("url", SCHEMES), ("account", CUES)):
+    for kind, names in (("url", SCHEMES), ("account", CUES), ("iban", ("iban",))):
         for name in names:
-            for form in {name, name.upper(), name.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(name, (kind, len(name)))
     a.make_automaton()
     return a
 
@@ -81,7 +106,7 @@ def spans_of(text: str, anchors) -> list[tuple[str, int, int]]:
     def add(kind: str, start: int, end: int) -> None:
         found.append((start, KINDS.index(kind), kind, end))
 
-    for last, (what, size) in anchors.iter(text):
+    for last, (what, size) in anchors.iter(_folded(text)):
         at = last - size + 1
         if what == "0":
             if at >= past["card"]:
@@ -93,7 +118,8 @@ def spans_of(text: str, anchors) -> list[tuple[str, int, int]]:
             if at >= past["ip"]:
                 m = _IP.match(text, at)
                 past["ip"] = (m or _DIGITS.match(text, at)).end()
-                if m and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if m and all(len(p) <= 3 and int(p or "0") <= 255
+                         for p in (x.lstrip("0") for x in m[0].split("."))):
                     add("ip", at, m.end())
         elif what == "@":
             begin = at
@@ -110,12 +136,18 @@ def spans_of(text: str, anchors) -> list[tuple[str, int, int]]:
         elif what == "url":
             if at >= past["url"] and (m := _URL.match(text, last + 1)):
                 end = last + 1 + len(m[0].rstrip(".,;:!?)]}"))
-                if end > last + 1:
+                if end > last + 1 and (text[last] == ":" or _HOST.match(text[last + 1:end])):
                     past["url"] = end
                     add("url", at, end)
-        elif at >= past["account"] and (m := _ACCOUNT.match(text, last + 1)) and any(c in "0123456789" for c in m[1]):
-            past["account"] = m.end(1)
-            add("account", m.start(1), m.end(1))
+        elif what == "iban":
+            if at >= past["account"] and (m := _IBAN.match(text, last + 1)) and (n := iban_length(m[1])):
+                past["account"] = m.start(1) + n
+                add("account", m.start(1), m.start(1) + n)
+        elif at >= past["account"] and (m := _ACCOUNT.match(text, last + 1)):
+            k = 1 if m[1] else 2
+            if any(c in "0123456789" for c in m[k]):
+                past["account"] = m.end(k)
+                add("account", m.start(k), m.end(k))
     found.sort()
     return [(kind, start, end) for start, _, kind, end in found]
 
@@ -169,4 +201,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(id_col, *map(of, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"),
-                        joined(F.col("spans")).alias("spans"))
+                        joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
