@@ -42,11 +42,16 @@ def wide(raw: bytes, n: int) -> np.ndarray:
 
 
 def plan_blocks(docs: DataFrame, text_col: str, block_chars: int = BLOCK_CHARS, least: int = 1) -> tuple[int, int]:
-    """Number of blocks for this corpus and the bits that name a bucket."""
+    """Number of blocks for this corpus and the bits that name a bucket.
+
+    There are about as many buckets as blocks, so a bucket gets about as many keys
+    as a block has, at every size; a block reports a row for each bucket in which it
+    has keys, so at most one per key.
+    """
     prepare(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(least, shuffle_partitions(docs), math.ceil(chars / block_chars))
-    return blocks, min(16, max(1, (blocks - 1).bit_length()))
+    return blocks, max(1, (blocks - 1).bit_length())
 
 
 def report(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, short: bool) -> list[tuple]:
@@ -54,26 +59,26 @@ def report(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: in
     if short:
         keys = keys >> _U(16)
     shift = _U((48 if short else 64) - bits)
-    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << shift)
+    buckets, edges = np.unique(keys >> shift, return_index=True)
     edges = np.append(edges, len(keys))
     rows = []
-    for b in range(1 << bits):
-        own = keys[edges[b]:edges[b + 1]]
-        if not len(own):
-            continue
-        if short:
+    for b, start, stop in zip(buckets.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = keys[start:stop]
+        if short and bits >= 16:  # the bucket and the low 32 bits are the whole key
+            prefixes, low = b"", own.astype("<u4").tobytes()
+        elif short:
             upper = ((own & ((_U(1) << shift) - _U(1))) >> _U(32)).astype(np.int64)
             prefixes, low = narrow(np.bincount(upper, minlength=1 << (16 - bits))), own.astype("<u4").tobytes()
         else:
             prefixes, low = b"", own.astype("<u8").tobytes()
-        rows.append((block, kind, b, len(own), prefixes, low, narrow(counts[edges[b]:edges[b + 1]])))
+        rows.append((block, kind, b, len(own), prefixes, low, narrow(counts[start:stop])))
     return rows
 
 
 def reported_keys(row: dict, bits: int) -> np.ndarray:
     """The keys of a row, less the bucket's own bits where they are short."""
     if not row["prefixes"]:
-        return np.frombuffer(row["low"], "<u8")
+        return np.frombuffer(row["low"], f"<u{len(row['low']) // row['n']}").astype(_U)
     upper = wide(row["prefixes"], 1 << (16 - bits))
     return (np.repeat(np.arange(len(upper), dtype=_U), upper) << _U(32)) | np.frombuffer(row["low"], "<u4").astype(_U)
 

@@ -3,9 +3,11 @@
 The model mixes three maximum-likelihood estimates, of the word after its
 predecessor, of the word alone, and the uniform one.  The mixture weights depend
 on how often the predecessor was seen (buckets of doubling frequency) and are
-learned by expectation-maximisation on held-out counts: a tenth of the blocks of
-training documents is deleted from the counts, and the weights are those that
-make this tenth likeliest.  Scores then use the counts of all training documents.
+learned by expectation-maximisation on held-out counts: a tenth of the training
+documents, chosen by a hash of id and text, is deleted from the counts, and the
+weights are those that make this tenth likeliest.  Scores then use the counts of all
+training documents.  All sums over documents are of whole numbers, so scores do not
+depend on how the documents are dealt.
 
 Counting uses ``block_counts``: word and word-pair counts of the whole corpus,
 grown with it, nothing pruned.  For the weights, what reaches the driver is one
@@ -34,7 +36,8 @@ _U = np.uint64
 END, BEGIN = splitmix(np.array([1 << 40, 2 << 40], dtype=_U))
 WORD, PAIR = 1, 2
 SHORT = {WORD: False, PAIR: True}
-DELETED = 10           # one block in so many is held out for the weights
+DELETED = 10           # one document in so many is held out for the weights
+UNIT = 2.0 ** 30       # probabilities are added up in whole multiples of its inverse
 ADD = 0.1              # the base score's additive constant
 MAX_BUCKET = 48
 LEVELS = 96            # half-octaves of probability that the histogram tells apart
@@ -110,9 +113,13 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"),
                        F.coalesce(held_out, F.lit(False)).alias("_held"))
-    # Texts that repeat under one id go to one block; the id alone would do for unique ids.
-    block = F.pmod(F.xxhash64("_id", F.xxhash64("_text")), F.lit(n_blocks)).cast("int")
-    dealt = rows.withColumn("_block", block)
+    # Deleted documents have the first blocks to themselves.  Rows that repeat an id and a text share a block.
+    n_deleted = -(-n_blocks // DELETED)
+    n_blocks += n_deleted
+    deleted = F.pmod(F.xxhash64("_id", F.xxhash64("_text"), F.lit("deleted")), F.lit(DELETED)) == 0
+    place = F.xxhash64("_id", F.xxhash64("_text"))
+    dealt = rows.withColumn("_block", F.when(deleted, F.pmod(place, F.lit(n_deleted))).otherwise(
+        n_deleted + F.pmod(place, F.lit(n_blocks - n_deleted))).cast("int"))
 
     def count(key: tuple, t: pa.Table) -> pa.Table:
         number = key[0].as_py()
@@ -131,31 +138,26 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
                 continue
             counts = np.concatenate([bc.wide(r["counts"], r["n"]) for r in own])
             keys, at = np.unique(np.concatenate([bc.reported_keys(r, bits) for r in own]), return_inverse=True)
-            deleted = np.repeat([r["block"] % DELETED == 0 for r in own], [r["n"] for r in own])
+            gone = np.repeat([r["block"] < n_deleted for r in own], [r["n"] for r in own])
             totals = np.bincount(at, counts, len(keys)).astype(np.int64)
-            kept = np.bincount(at, np.where(deleted, 0, counts), len(keys)).astype(np.int64)
+            kept = np.bincount(at, np.where(gone, 0, counts), len(keys)).astype(np.int64)
             edge = 0
             for r in own:
                 mine = at[edge:edge + r["n"]]
                 edge += r["n"]
                 out.append((r["block"], kind, r["bucket"], r["n"], bc.narrow(totals[mine]),
-                            bc.narrow(kept[mine]) if r["block"] % DELETED == 0 else b""))
-            if kind == WORD:  # block -1: number and sum of the known tokens, all and kept
-                sums = np.array([(totals > 0).sum(), totals.sum(), (kept > 0).sum(), kept.sum()])
-                out.append((-1, WORD, r["bucket"], 4, sums.astype("<u8").tobytes(), b""))
-                end = int(np.searchsorted(keys, END))
-                if end < len(keys) and keys[end] == END:
-                    both = np.array([totals[end], kept[end]])
-                    out.append((-2, WORD, r["bucket"], 2, both.astype("<u8").tobytes(), b""))
+                            bc.narrow(kept[mine]) if r["block"] < n_deleted else b""))
+            if kind == WORD:  # block -1: number and sum of the known tokens, and of ends, all and kept
+                end = keys == END
+                sums = [(totals > 0).sum(), totals.sum(), (kept > 0).sum(), kept.sum(), totals[end].sum(), kept[end].sum()]
+                out.append((-1, WORD, r["bucket"], len(sums), ",".join(map(str, sums)).encode(), b""))
         return bc.table_of(out, ANSWER_ARROW)
 
     reports = dealt.groupBy("_block").applyInArrow(count, bc.REPORT)
     found = materialize(reports.groupBy("bucket").applyInArrow(add_up, ANSWER), "lm-counts")
-    # One row per bucket: sums over all tokens.
-    sums = [(r["block"], np.frombuffer(bytes(r["totals"]), "<u8").astype(np.int64))
-            for r in found.where("block < 0").select("block", "totals").collect()]
-    known, total, known_kept, total_kept = map(int, sum((x for b, x in sums if b == -1), np.zeros(4, np.int64)))
-    texts, texts_kept = map(int, sum((x for b, x in sums if b == -2), np.zeros(2, np.int64)))
+    parts = F.split(F.col("totals").cast("string"), ",")
+    sums = found.where("block < 0").agg(*[F.coalesce(F.sum(parts[k].cast("long")), F.lit(0)) for k in range(6)]).first()
+    known, total, known_kept, total_kept, texts, texts_kept = map(int, sums)
     replies = found.where("block >= 0")
 
     def tell(key: tuple, t: pa.Table, reply: pa.Table) -> pa.Table:
@@ -165,15 +167,16 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         learned = ~t.column("_held").to_numpy()[tokens.doc]
         code = ((_bucket(context) * LEVELS + _level(pair)) * LEVELS + _level(word))[learned]
         cells, at = np.unique(code, return_inverse=True)
-        return pa.table([pa.array(cells), pa.array(np.bincount(at, minlength=len(cells)).astype(np.float64)),
-                         pa.array(np.bincount(at, pair[learned], len(cells))),
-                         pa.array(np.bincount(at, word[learned], len(cells)))], names=["cell", "n", "pair", "word"])
-
-    held = dealt.where(F.col("_block") % DELETED == 0).groupBy("_block").cogroup(
-        replies.where(F.col("block") % DELETED == 0).groupBy("block"))
-    cells = held.applyInArrow(tell, "cell long, n double, pair double, word double") \
-        .groupBy("cell").agg(F.sum("n"), F.sum("pair"), F.sum("word")).collect()
-    table = np.array([(r[0] // LEVELS ** 2, *r[1:]) for r in cells], np.float64).reshape(-1, 4)
+        whole = lambda p: pa.array(np.bincount(at, np.rint(p[learned] * UNIT), len(cells)).astype(np.int64))
+        return pa.table([pa.array(cells), pa.array(np.bincount(at, minlength=len(cells)).astype(np.int64)), whole(pair),
+                         whole(word)], names=["cell", "n", "pair", "word"])
+
+    held = dealt.where(F.col("_block") < n_deleted).groupBy("_block").cogroup(
+        replies.where(F.col("block") < n_deleted).groupBy("block"))
+    cells = held.applyInArrow(tell, "cell long, n long, pair long, word long") \
+        .groupBy("cell").agg(*[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("n", "pair", "word")]).orderBy("cell").collect()
+    table = np.array([(r[0] // LEVELS ** 2, r[1], float(r[2]) / UNIT, float(r[3]) / UNIT) for r in cells],
+                     np.float64).reshape(-1, 4)
     weights = learn_weights(table, 1 / (known_kept + 1))
 
     def score(key: tuple, t: pa.Table, reply: pa.Table) -> pa.Table:
