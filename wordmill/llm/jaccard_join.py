@@ -237,7 +237,12 @@ def _components(index: DataFrame, pct: int, more: int) -> DataFrame | None:
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_pct: int = 80,
                     frequent: int = FREQUENT, large: int = LARGE, worth: int = WORTH) -> DataFrame:
-    """``id, n_shingles, component_id`` of every document."""
+    """``id, n_shingles, component_id`` of every document; ids are whole numbers.
+
+    ``min_pct`` is over 50: a pair that one shared shingle links may have no combination in common.
+    """
+    if not 50 < min_pct <= 100:
+        raise ValueError("token combinations find all links for a similarity over 50 %")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     signed = materialize(signatures(rows, "_text", k).select("_id", "_n", "_s"), "signed")
     # Classes of equal sets, each with its first document.

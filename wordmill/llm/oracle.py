@@ -35,7 +35,7 @@ hosts AS (SELECT source, count(DISTINCT t) AS n FROM docs GROUP BY source),
 often AS (SELECT l.source, norm, min(doc_id) AS first_doc
           FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
           GROUP BY l.source, norm, h.n
-          HAVING count(DISTINCT t) >= {qr.MIN_LINE_DOCS} AND 100 * count(DISTINCT t) >= {qr.MIN_LINE_PCT} * h.n),
+          HAVING count(DISTINCT t) >= {qr.MIN_LINE_DOCS} AND 100 * count(DISTINCT t) >= least({qr.MIN_LINE_PCT} * h.n, 100 * {qr.MAX_LINE_DOCS})),
 cut AS (SELECT l.doc_id, l.pos, l.n FROM lines l JOIN often o
         ON l.norm = o.norm AND l.source IS NOT DISTINCT FROM o.source WHERE l.doc_id <> o.first_doc),
 removed AS (SELECT doc_id, sum(n) AS removed_words FROM cut GROUP BY doc_id),
