@@ -30,12 +30,53 @@ def url_id(url: Column) -> Column:
     return F.conv(F.substring(F.md5(url), 1, ID_HEX_DIGITS), 16, 10).cast("long")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path less its ``.`` and ``..`` segments, folded from left to right; ``..`` stops at the root."""
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))) \
+            .otherwise(F.concat(kept, F.array(s)))
+
+    # A dot segment at the end leaves the slash before it.
+    whole = F.regexp_replace(path, r"/\.{1,2}$", "$0/")
+    folded = F.aggregate(F.slice(F.split(whole, "/"), 2, F.length(whole) + 1), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
+
+
+def canonical_url(url: Column) -> Column:
+    """The URL that names a page: no fragment, no dot segments in its path."""
+    plain = F.regexp_replace(url, r"(?s)#.*", "")
+    origin = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)", 1)
+    rest = F.substring(plain, F.length(origin) + 1, F.length(plain))
+    path = F.regexp_extract(rest, r"^([^?]*)", 1)
+    return F.when(origin == "", plain).otherwise(
+        F.concat(origin, _without_dots(path), F.substring(rest, F.length(path) + 1, F.length(rest))))
+
+
+def decode_references(href: Column) -> Column:
+    """Character references that an attribute of a URL holds, decoded once."""
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        href = F.replace(href, F.lit(name), F.lit(character))
+    return href
+
+
+def known_pages(pages: DataFrame) -> DataFrame:
+    """``target_url, known_id``: one page (the smallest id) per URL, however often it was crawled."""
+    return pages.where(F.col("url").isNotNull()).groupBy(canonical_url(F.col("url")).alias("target_url")).agg(
+        F.min(F.col("page_id").cast("long")).alias("known_id"))
+
+
 def resolve_href(base_url: Column, href: Column) -> Column:
-    """Absolute URL of ``href`` relative to the page at ``base_url``."""
+    """Absolute canonical URL of ``href``, as it stands in the markup, relative to the page at ``base_url``."""
+    return canonical_url(_absolute(base_url, F.regexp_replace(decode_references(href), r"(?s)#.*", "")))
+
+
+def _absolute(base_url: Column, href: Column) -> Column:
     origin = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     directory = F.regexp_replace(F.regexp_replace(base_url, r"[?#].*$", ""), r"[^/]*$", "")
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+    return (F.when(href == "", base_url)
+            .when(href.startswith("?"), F.concat(F.regexp_replace(base_url, r"(?s)[?#].*", ""), href))
+            .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(scheme, href))
             .when(href.startswith("/"), F.concat(origin, href))
             .otherwise(F.concat(directory, href)))
@@ -65,7 +106,7 @@ def html_anchor_pages(pages: DataFrame) -> DataFrame:
         .alias("href"))
     links = hrefs.select("_row", "id", F.when(F.col("href").isNotNull(), resolve_href(F.col("url"), F.col("href")))
                          .alias("target_url"))
-    known = pages.select(F.col("url").alias("target_url"), F.col("page_id").cast("long").alias("known_id"))
+    known = known_pages(pages)
     resolved = links.join(known, "target_url", "left").select(
         "_row", "id", F.when(F.col("target_url").isNotNull(), F.struct(
             F.coalesce("known_id", url_id(F.col("target_url"))).alias("id"),
@@ -81,7 +122,7 @@ def html_edges(pages: DataFrame) -> DataFrame:
     shared by a third of all pages is a skewed join key that AQE splits.
     """
     links = html_links(pages).distinct()
-    known = pages.select(F.col("url").alias("target_url"), F.col("page_id").cast("long").alias("known_id"))
+    known = known_pages(pages)
     return links.join(known, "target_url", "left").select(
         "src", F.coalesce("known_id", url_id(F.col("target_url"))).alias("dst")).distinct()
 

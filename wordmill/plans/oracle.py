@@ -85,11 +85,34 @@ def url_id(expr: str) -> str:
     return f"('0x' || substr(md5({expr}), 1, {ID_HEX_DIGITS}))::BIGINT"
 
 
+def _canonical(url: str) -> str:
+    """No fragment; dot segments of the path taken out one after the other."""
+    plain = f"split_part({url}, '#', 1)"
+    origin = f"regexp_extract({plain}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')"
+    path = f"split_part(substr({plain}, length({origin}) + 1), '?', 1)"
+    parts = f"string_split(regexp_replace({path}, '(/[.][.]?)$', '\\1/'), '/')[2:]"
+    kept = (f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({parts}, lambda s: [s])), lambda a, x: "
+            "CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, x) END)")
+    query = f"substr({plain}, length({origin}) + length({path}) + 1)"
+    return (f"CASE WHEN {origin} = '' THEN {plain} WHEN contains({path}, '/.') "
+            f"THEN {origin} || '/' || array_to_string({kept}, '/') || {query} ELSE {plain} END")
+
+
+def _decoded(href: str) -> str:
+    for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        href = f"replace({href}, '{name}', '{character}')"
+    return href
+
+
 LINKS = (f"hrefs AS (SELECT page_id AS src, url, unnest(regexp_extract_all(coalesce(html, ''), {_q(HREF_PATTERN)}, 1)) "
-         "AS href FROM pages), "
-         f"links AS (SELECT src, {_resolve('url', 'href')} AS target_url FROM hrefs), "
+         "AS raw FROM pages), "
+         f"parted AS (SELECT src, url, split_part({_decoded('raw')}, '#', 1) AS href FROM hrefs), "
+         "resolved AS (SELECT src, CASE WHEN href = '' THEN url WHEN href LIKE '?%' THEN "
+         f"regexp_extract(url, '^[^?#]*') || href ELSE {_resolve('url', 'href')} END AS u FROM parted), "
+         f"links AS (SELECT src, {_canonical('u')} AS target_url FROM resolved), "
+         f"known AS (SELECT {_canonical('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY ALL), "
          "edges AS (SELECT DISTINCT l.src, coalesce(p.page_id, " + url_id("l.target_url") + ") AS dst "
-         "FROM links l LEFT JOIN pages p ON p.url = l.target_url), "
+         "FROM links l LEFT JOIN known p ON p.url = l.target_url), "
          "vertices AS (SELECT page_id AS id FROM pages UNION SELECT dst FROM edges)")
 
 PARTS = ("li AS (SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey "
