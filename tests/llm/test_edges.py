@@ -306,3 +306,51 @@ def test_lm_scores_do_not_depend_on_the_session(make):
 def test_jaccard_refuses_half(make):
     with pytest.raises(ValueError):
         jaccard_join.link_components(make(ROWS), min_pct=50)
+
+
+def test_lm_score_equals_plain(make):
+    """Weights by expectation-maximisation over single tokens, and scores, in plain Python on a small table."""
+    import collections
+    import math
+
+    from pyspark.sql import functions as F
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS[:6 + k % 40]) for _ in range(20 + k % 30)) for k in range(200)] + ["", "new words only"]
+    docs = make(list(enumerate(texts)))
+    tenth = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("deleted")), F.lit(10)) == 0
+    deleted = {x.doc_id for x in docs.where(tenth).collect()}
+    held = {k for k in range(len(texts)) if k % 9 == 0 or k >= 200}
+    tokens = [[None, *t.split(), "</>"] for t in texts]
+
+    def counts(ids):
+        one, two = collections.Counter(), collections.Counter()
+        for k in ids:
+            one.update(tokens[k])   # the begin mark is counted as a context
+            two.update(zip(tokens[k], tokens[k][1:], strict=False))
+        return one, two, sum(c for w, c in one.items() if w), len(one) - 1
+
+    def estimates(k, model):
+        one, two, total, known = model
+        for a, b in zip(tokens[k], tokens[k][1:], strict=False):
+            yield one[a], (two[a, b] / max(one[a], 1), one[b] / total, 1 / (known + 1))
+
+    learned = set(range(len(texts))) - held
+    kept = counts(learned - deleted)
+    bucket = lambda c: 0 if not c else 1 + int(math.log2(c))
+    seen = [(bucket(c), p) for k in sorted(learned & deleted) for c, p in estimates(k, kept)]
+    weights = {b: [1 / 3] * 3 for b in range(60)}
+    for _ in range(lm_score.STEPS):
+        got = {b: [lm_score.PRIOR] * 3 for b in weights}
+        for b, p in seen:
+            share = [w * x for w, x in zip(weights[b], p, strict=True)]
+            for j in range(3):
+                got[b][j] += share[j] / sum(share)
+        weights = {b: [x / sum(v) for x in v] for b, v in got.items()}
+    full = counts(learned)
+    want = [sum(math.log10(sum(w * x for w, x in zip(weights[bucket(c)], p, strict=True))) for c, p in estimates(k, full))
+            for k in range(len(texts))]
+    rows = lm_score.score_documents(docs, held_out=docs["doc_id"].isin(sorted(held))).collect()
+    assert len(deleted & learned) > 8 and len(rows) == len(want)
+    # The operator's histogram tells probabilities apart by half-octaves, so weights agree to a per cent or so.
+    for x in rows:
+        assert math.isclose(x.score, want[x.doc_id], rel_tol=0.01), (x.doc_id, x.score, want[x.doc_id])
