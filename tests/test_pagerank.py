@@ -43,3 +43,15 @@ def test_hot_source_split_matches_plain_rounds(spark):
     assert default.keys() == plain.keys()
     for k in plain:
         assert default[k] == pytest.approx(plain[k], rel=1e-12)
+
+
+def test_many_hot_sources_are_not_broadcast(spark, monkeypatch):
+    """A low ``hot_degree`` makes every source hot: beyond the bound they are joined by shuffle, with equal ranks."""
+    from wordmill.operators import pagerank as module
+
+    edges = spark.createDataFrame([(a, (a * k + 1) % 40) for a in range(40) for k in range(1, 5)], "src long, dst long")
+    vertices = edges.selectExpr("src AS id").union(edges.selectExpr("dst AS id")).distinct()
+    want = {r.id: r.pagerank for r in module.pagerank(edges, vertices).collect()}
+    monkeypatch.setattr(module, "DEFAULT_BROADCAST_BYTES", 100)
+    got = {r.id: r.pagerank for r in module.pagerank(edges, vertices, hot_degree=1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

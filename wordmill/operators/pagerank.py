@@ -26,6 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordmill.operators.joins import DEFAULT_BROADCAST_BYTES
 from wordmill.session import checkpoint_dir, stored
 
 
@@ -45,15 +46,18 @@ def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterati
     degree = outdeg.agg(F.sum("outdeg").alias("edges"), F.max("outdeg").alias("top")).first()
     n_edges, top = int(degree["edges"] or 0), int(degree["top"] or 0)
     # A source is hot when it alone holds more than a partition's fair share of
-    # edges; there can be at most n such sources, so their ranks broadcast safely.
+    # edges; there can be at most n such sources.  A caller's ``hot_degree`` bounds
+    # nothing, so their number is counted before anything of them is broadcast.
     threshold = hot_degree or max(math.ceil(n_edges / n), hot_floor)
     has_hot = top > threshold
     weight = (F.lit(1.0) / F.col("outdeg")).alias("w")
     hot = hot_ids = None
     rest = edges
     if has_hot:
-        # The hot sources (at most n) are split off before any shuffle on the source.
-        hot_degrees = F.broadcast(outdeg.where(F.col("outdeg") > threshold))
+        # The hot sources are split off before any shuffle on the source.
+        hot_degrees = outdeg.where(F.col("outdeg") > threshold)
+        few = hot_degrees.count() * 24 <= DEFAULT_BROADCAST_BYTES  # an id, a degree or rank, and overhead
+        hot_degrees = F.broadcast(hot_degrees) if few else hot_degrees
         hot = edges.join(hot_degrees, "src").select("src", "dst", weight) \
             .repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
         hot_ids = outdeg.where(F.col("outdeg") > threshold).select(F.col("src").alias("id"))
@@ -68,7 +72,8 @@ def pagerank(edges: DataFrame, vertices: DataFrame, reset: float = 0.15, iterati
     for i in range(1, iterations + 1):
         contrib = normal.join(ranks, normal.src == ranks.id).select("dst", (F.col("rank") * F.col("w")).alias("c"))
         if has_hot:
-            hot_ranks = F.broadcast(ranks.join(hot_ids, "id", "left_semi"))
+            hot_ranks = ranks.join(hot_ids, "id", "left_semi")
+            hot_ranks = F.broadcast(hot_ranks) if few else hot_ranks
             contrib = contrib.unionByName(
                 hot.join(hot_ranks, hot.src == hot_ranks.id).select("dst", (F.col("rank") * F.col("w")).alias("c")))
         sums = contrib.groupBy("dst").agg(F.sum("c").alias("s"))
