@@ -1,10 +1,15 @@
 """Search scores against matrix products over a small generated corpus, in memory and from a stored index."""
 
+import math
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from wordmill.functions.scoring import order_free_sum
 from wordmill.operators.indexing import append_to_index, build_index, write_index
-from wordmill.operators.retrieval import search
+from wordmill.operators.retrieval import candidate_scores, search
 
 RNG = np.random.default_rng(8)
 VOCABULARY = np.array([f"term{k:02d}" for k in range(40)])
@@ -63,3 +68,31 @@ def test_scores(spark, scratch, frames, min_df, form):
     want = _expected(min_df)
     assert got.keys() == want.keys() and len(got) > 100
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("form", ["raw", "stored"])
+def test_scores_do_not_depend_on_partitions(spark, scratch, frames, form):
+    """The same bits for any partitioning of the postings and of the shuffles."""
+    docs, queries, ranks = frames
+    index = build_index(docs, min_df=0) if form == "raw" else write_index(docs, f"{scratch}/i", min_df=0)
+    column = "all_postings" if form == "raw" else "postings"
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            dealt = replace(index, **{column: getattr(index, column).orderBy(F.rand(parts)).repartition(parts)})
+            rows = candidate_scores(queries, dealt, ranks).select("query_id", "doc_id", "tfidf", "bm25", "score").collect()
+            seen.append({(r.query_id, r.doc_id): (r.tfidf.hex(), r.bm25.hex(), r.score.hex()) for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 100
+
+
+def test_order_free_sum(spark):
+    values = [(k % 3, float(x)) for k, x in enumerate(RNG.normal(0, 1e4, 3000))] + [(0, None), (4, None), (5, -0.25), (5, 0.25)]
+    df = spark.createDataFrame(values, "k int, x double")
+    sums = [{r.k: r.s for r in df.orderBy(F.rand(seed)).repartition(seed).groupBy("k").agg(
+        order_free_sum(F.col("x")).alias("s")).collect()} for seed in (2, 9)]
+    assert sums[0] == sums[1] and sums[0][4] is None and sums[0][5] == 0.0
+    for k in range(3):
+        assert abs(sums[0][k] - math.fsum(x for j, x in values if j == k and x is not None)) < 1e-9

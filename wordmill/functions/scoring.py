@@ -24,6 +24,21 @@ def bm25_term(idf: Column, tf: Column, k1: float = 1.5, length_factor: Column |
     return idf * F.lit(k1 + 1.0) * tf / (F.lit(k1) * lf + tf)
 
 
+# Binary places kept of a summand: 3e-14, and no overflow below half a million summands a group.
+SUM_BITS = 44
+
+
+def order_free_sum(x: Column) -> Column:
+    """Sum of doubles that is the same in any order, so also for any partitioning.
+
+    Each summand is split at the binary point, and both halves are summed as whole
+    numbers, exactly; only the summand's bits below ``SUM_BITS`` are rounded away.
+    """
+    whole = F.floor(x)
+    part = F.rint((x - whole) * F.lit(2.0 ** SUM_BITS)).cast("long")
+    return F.sum(whole).cast("double") + F.sum(part).cast("double") / F.lit(2.0 ** SUM_BITS)
+
+
 def pagerank_factor(pagerank: Column, weight: float = 0.1) -> Column:
     """TF-IDF boost ``1 + weight * log10(pr + 1)``; missing rank counts as 0."""
     return F.lit(1.0) + F.lit(weight) * F.log10(F.coalesce(pagerank, F.lit(0.0)) + F.lit(1.0))

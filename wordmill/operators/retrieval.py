@@ -7,8 +7,11 @@ index vocabulary, their postings are read, and every reached document gets
     bm25  = Σ b·(k1+1)·tf / (k1·B + tf),  b = log10((N-df+.5)/(df+.5)),  B = 1
     score = w_tfidf · tfidf · (1 + boost·log10(pr+1)) + w_bm25 · bm25
 
-summed over query-token occurrences.  Ties order by the first query position
-that reached the document, then doc_id.  At most ``n`` results per query.
+summed over query-token occurrences.  The sums are of fixed-point numbers, so a
+score has the same bits however the postings are partitioned.  Scores that agree
+to ``SCORE_DIGITS`` places tie (documents equal by the formula may differ in the
+last bit of the cosine's division); ties order by the first query position that
+reached the document, then doc_id.  At most ``n`` results per query.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmill.functions.scoring import bm25_idf, bm25_term, pagerank_factor, tfidf_idf
+from wordmill.functions.scoring import bm25_idf, bm25_term, order_free_sum, pagerank_factor, tfidf_idf
 from wordmill.functions.text import term_bucket, tokenize
 from wordmill.operators.indexing import Index
 from wordmill.operators.joins import DEFAULT_BROADCAST_BYTES, bounded_broadcast
@@ -160,7 +163,8 @@ def _scores(index: Index, weighted: tuple[DataFrame, bool, list[int] | None], pa
         (F.col("qtf") * bm25_term(F.col("idf_bm25"), tf, r.k1, length_factor)).alias("bm"),
     )
     agg = per_hit.groupBy("query_id", "doc_id").agg(
-        F.sum("dot").alias("dot"), F.sum("sq").alias("sq"), F.sum("bm").alias("bm25"),
+        order_free_sum(F.col("dot")).alias("dot"), order_free_sum(F.col("sq")).alias("sq"),
+        order_free_sum(F.col("bm")).alias("bm25"),
         F.min("first_pos").alias("first_pos"), *([F.max("pr").alias("pr")] if stored_rank else []))
     tfidf = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("sq")), F.lit(0.0))
     scored = agg.select("query_id", "doc_id", "first_pos", tfidf.alias("tfidf"), "bm25",
