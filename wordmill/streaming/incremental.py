@@ -1,42 +1,53 @@
 """Incremental indexing with Structured Streaming (documents arrive over time).
 
-Each micro-batch ``e`` of new documents is indexed on its own and added:
-
-* ``postings/batch=e/bucket=b``, ``docs/batch=e`` (``doc_id, title, doc_len``)
-  and ``terms/batch=e`` hold the batch alone, written with dynamic partition
-  overwrite, so a retried batch replaces its own folders and never duplicates
-  rows; earlier batches are neither read nor rewritten;
-* every ``merge_every`` batches, ``vocabulary/version=e`` sums the vocabulary up
-  to ``e`` from the last such version and the batches since;
-* ``commits/batch=e``, written last: one row with the batch's row count, length,
-  bucket count, and the vocabulary version in force.
-
-Readers take the last commit, the batches up to it, and its vocabulary version
-with the terms of the batches since, so a batch that failed halfway is invisible
-until it is retried.  The index has no df cut (``min_df=0``), which is what
-makes appends exact.
+The index is a set of *segments*, and a commit names the live ones.  Each
+micro-batch ``e`` of new documents is indexed on its own:
+
+* ``postings/segment=s/bucket=b``, ``docs/segment=s`` (``doc_id, title, doc_len``)
+  and ``terms/segment=s`` hold one segment.  Every attempt of a batch writes a
+  segment of a new name, so no file that a reader may hold is ever replaced;
+* segments have a level.  A batch is of level 0; when the last ``merge_every`` live
+  segments are of one level, they are merged into one of the next (again and again,
+  so a posting is rewritten once a level).  After ``n`` batches fewer than
+  ``merge_every`` segments of each of about ``log(n)`` levels are live;
+* ``commits/batch=e``, written last: one row with the rows and length of the whole
+  index, its bucket count, and the live segments in order.
+
+Readers open what the newest commit names, so a batch or a merge that failed halfway is
+invisible.  After a commit, commits but the newest ``KEEP_COMMITS`` are deleted, with
+the segments that none of those names: what a reader opened stays readable for
+``KEEP_COMMITS - 1`` more batches.  The index has no df cut (``min_df=0``), which
+is what makes appends exact.  One writer at a time.
+
+Defined results: a batch that is retried, also after its commit, counts once; an empty
+batch adds an empty segment; ids that come again in a later batch are further rows of
+their document, as in a batch build.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from wordmill.operators.indexing import NUM_BUCKETS, Index, term_counts, term_stats, with_bucket
 from wordmill.sources.corpus import corpus_from_documents, doc_len
 
-MERGE_EVERY = 20
-POSTINGS = "term string, doc_id long, tf long, batch int, bucket int"
-DOCS = "doc_id long, title string, doc_len long, batch int"
-TERMS = "term string, df long, term_total long, bucket int, batch int"
-COMMIT = "n_rows long, total_len long, num_buckets int, vocabulary int, batch int"
+MERGE_EVERY = 10
+KEEP_COMMITS = 3
+TABLES = ("postings", "docs", "terms")
+POSTINGS = "term string, doc_id long, tf long, segment string, bucket int"
+DOCS = "doc_id long, title string, doc_len long, segment string"
+TERMS = "term string, df long, term_total long, bucket int, segment string"
+COMMIT = "n_rows long, total_len long, num_buckets int, live array<string>, batch int"
 
 
-def _commits(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """One row per committed batch (those before ``before``), or None."""
+def _last_commit(spark: SparkSession, root: str, before: int | None = None) -> Row | None:
+    """The newest commit (before batch ``before``), or None."""
     try:
         found = spark.read.schema(COMMIT).parquet(f"{root}/commits")
     except AnalysisException as missing:
@@ -44,7 +55,7 @@ def _commits(spark: SparkSession, root: str, before: int | None = None) -> DataF
             raise
         return None
     found = found if before is None else found.where(F.col("batch") < before)
-    return found if found.limit(1).count() else None
+    return found.orderBy(F.col("batch").desc()).first()
 
 
 def _replace(df: DataFrame, *partition_cols: str):
@@ -52,47 +63,101 @@ def _replace(df: DataFrame, *partition_cols: str):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols)
 
 
-def _vocabulary(spark: SparkSession, root: str, version: int, last: int) -> DataFrame:
-    """``term, df, term_total, bucket`` of the batches up to ``last``: a version, if any (else -1), and those since."""
-    columns = ["term", "df", "term_total", "bucket"]
-    terms = spark.read.schema(TERMS).parquet(f"{root}/terms").where((F.col("batch") > version) & (F.col("batch") <= last)) \
-        .select(*columns)
-    if version >= 0:
-        terms = terms.unionByName(spark.read.parquet(f"{root}/vocabulary").where(F.col("version") == version)
-                                  .select(*columns))
+def _read(spark: SparkSession, root: str, table: str, schema: str, live: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{root}/{table}").where(F.col("segment").isin(live))
+
+
+def _sum_terms(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term", "bucket").agg(F.sum("df").alias("df"), F.sum("term_total").alias("term_total")) \
-        .select(*columns)
+        .select("term", "df", "term_total", "bucket")
+
+
+def _write_segment(root: str, level: int, batch_id: int, postings: DataFrame, docs: DataFrame, terms: DataFrame) -> str:
+    """Writes the three tables of a segment and returns its name, which begins with its level."""
+    name = f"{level}-{batch_id}-{uuid.uuid4().hex[:12]}"
+    segment = F.lit(name)
+    _replace(postings.withColumn("segment", segment).hint("rebalance", "bucket")
+             .sortWithinPartitions("bucket", "term", "doc_id"), "segment", "bucket").parquet(f"{root}/postings")
+    _replace(docs.withColumn("segment", segment), "segment").parquet(f"{root}/docs")
+    _replace(terms.withColumn("segment", segment).repartitionByRange("bucket", "term")
+             .sortWithinPartitions("bucket", "term"), "segment").parquet(f"{root}/terms")
+    return name
+
+
+def level_of(segment: str) -> int:
+    return int(segment.split("-", 1)[0])
+
+
+def compact(spark: SparkSession, root: str, live: list[str], batch_id: int, merge_every: int = MERGE_EVERY) -> list[str]:
+    """The live segments after merging: no ``merge_every`` last ones of one level are left.
+
+    Only writes new segments; it takes effect with the commit that names them.
+    """
+    live = list(live)
+    while len(live) >= merge_every and len({level_of(s) for s in live[-merge_every:]}) == 1:
+        tail = live[-merge_every:]
+        postings = _read(spark, root, "postings", POSTINGS, tail).select("term", "doc_id", "tf", "bucket")
+        docs = _read(spark, root, "docs", DOCS, tail).drop("segment")
+        # Sizes the files by the bytes they hold, not by the segments they come from.
+        docs = docs.hint("rebalance")
+        terms = _sum_terms(_read(spark, root, "terms", TERMS, tail))
+        live[-merge_every:] = [_write_segment(root, level_of(tail[0]) + 1, batch_id, postings, docs, terms)]
+    return live
+
+
+def clean(spark: SparkSession, root: str, keep_commits: int = KEEP_COMMITS) -> list[str]:
+    """Deletes commits but the newest ``keep_commits`` and the segments these do not name; returns those segments."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path
+    files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(table: str, key: str) -> list[str]:
+        path = folder(f"{root}/{table}")
+        found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return [n.split("=", 1)[1] for n in found if n.startswith(f"{key}=")]
+
+    # Commits go first: a failure in between leaves segments without a commit, never the reverse.
+    old = sorted((int(b) for b in names("commits", "batch")), reverse=True)[keep_commits:]
+    for b in old:
+        files.delete(folder(f"{root}/commits/batch={b}"), True)
+    kept = spark.read.schema(COMMIT).parquet(f"{root}/commits").select("live").collect()  # at most keep_commits rows
+    used = {s for row in kept for s in row["live"]}
+    gone = {s for table in TABLES for s in names(table, "segment") if s not in used}
+    for table in TABLES:
+        for s in gone:
+            files.delete(folder(f"{root}/{table}/segment={s}"), True)
+    return sorted(gone)
 
 
 def append_batch(docs: DataFrame, root: str, batch_id: int, num_buckets: int = NUM_BUCKETS,
-                 merge_every: int = MERGE_EVERY) -> None:
-    """Index one batch of ``doc_id, title, text`` (or ``tokens``) into the streaming index at ``root``."""
+                 merge_every: int = MERGE_EVERY, keep_commits: int = KEEP_COMMITS) -> None:
+    """Index one batch of ``doc_id, title, text`` (or ``tokens``) into the streaming index at ``root``.
+
+    ``keep_commits`` is at least 2: a batch may be retried after its commit, and then
+    builds on the one before.
+    """
+    if merge_every < 2 or keep_commits < 2:
+        raise ValueError("merge_every and keep_commits must be 2 or more")
     spark = docs.sparkSession
-    earlier = _commits(spark, root, batch_id)
-    last = earlier.orderBy(F.col("batch").desc()).first() if earlier is not None else None
-    version = last["vocabulary"] if last else -1
+    last = _last_commit(spark, root, batch_id)
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     counts = with_bucket(term_counts(docs), num_buckets).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _replace(counts.withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
-                 .sortWithinPartitions("bucket", "term", "doc_id"), "batch", "bucket").parquet(f"{root}/postings")
         lengths = docs.select("doc_id", "title", doc_len(docs).alias("doc_len"))
-        _replace(lengths.withColumn("batch", F.lit(batch_id)), "batch").parquet(f"{root}/docs")
         terms = with_bucket(term_stats(counts), num_buckets).select("term", "df", "term_total", "bucket")
-        _replace(terms.withColumn("batch", F.lit(batch_id)).repartitionByRange("bucket", "term")
-                 .sortWithinPartitions("bucket", "term"), "batch").parquet(f"{root}/terms")
-        if batch_id - version >= merge_every:
-            merged = _vocabulary(spark, root, version, batch_id).withColumn("version", F.lit(batch_id))
-            version = batch_id
-            _replace(merged.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"),
-                     "version").parquet(f"{root}/vocabulary")
-        own = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
-        commit = own.select("n_rows", "total_len", F.lit(num_buckets).alias("num_buckets"),
-                            F.lit(version).alias("vocabulary"), F.lit(batch_id).alias("batch"))
+        own = _write_segment(root, 0, batch_id, counts, lengths, terms)
+        live = compact(spark, root, [*(last["live"] if last else []), own], batch_id, merge_every)
+        sums = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
+        commit = sums.select(
+            (F.col("n_rows") + F.lit(last["n_rows"] if last else 0)).alias("n_rows"),
+            (F.col("total_len") + F.lit(last["total_len"] if last else 0)).alias("total_len"),
+            F.lit(num_buckets).alias("num_buckets"), F.array(*[F.lit(s) for s in live]).alias("live"),
+            F.lit(batch_id).alias("batch"))
         _replace(commit.coalesce(1), "batch").parquet(f"{root}/commits")
     finally:
         counts.unpersist()
         docs.unpersist()
+    clean(spark, root, keep_commits)
 
 
 def index_stream(stream: DataFrame, root: str, checkpoint_location: str, num_buckets: int = NUM_BUCKETS,
@@ -111,18 +176,17 @@ def index_stream(stream: DataFrame, root: str, checkpoint_location: str, num_buc
 
 def read_stream_index(spark: SparkSession, root: str) -> Index:
     """The committed state of a streaming index as an ``Index``, with the bucket count it was written with."""
-    commits = _commits(spark, root)
-    if commits is None:
+    last = _last_commit(spark, root)
+    if last is None:
         raise ValueError(f"no committed batch under {root}")
-    last = commits.orderBy(F.col("batch").desc()).first()
-    v = last["batch"]
-    postings = spark.read.schema(POSTINGS).parquet(f"{root}/postings").where(F.col("batch") <= v).drop("batch")
-    docs = spark.read.schema(DOCS).parquet(f"{root}/docs").where(F.col("batch") <= v)
-    sums = commits.agg(F.sum("n_rows").alias("n"), F.sum("total_len").alias("t")).first()
-    # Rows and lengths come from the commits; ids may repeat across batches, so distinct ones are counted when asked for.
+    live = last["live"]
+    postings = _read(spark, root, "postings", POSTINGS, live).drop("segment")
+    docs = _read(spark, root, "docs", DOCS, live)
+    n, total = last["n_rows"], last["total_len"]
+    # Rows and lengths come from the commit; ids may repeat across batches, so distinct ones are counted when asked for.
     stats = docs.agg(F.countDistinct("doc_id").alias("n_docs")).select(
-        "n_docs", F.lit(sums["t"] / sums["n"] if sums["n"] else None).cast("double").alias("avg_dl"),
-        F.lit(sums["n"]).alias("n_rows"), F.lit(sums["t"]).alias("total_len"))
-    return Index(postings, _vocabulary(spark, root, last["vocabulary"], v), docs.groupBy("doc_id").agg(
+        "n_docs", F.lit(total / n if n else None).cast("double").alias("avg_dl"),
+        F.lit(n).alias("n_rows"), F.lit(total).alias("total_len"))
+    return Index(postings, _sum_terms(_read(spark, root, "terms", TERMS, live)), docs.groupBy("doc_id").agg(
         F.min("title").alias("title")), stats, int(last["num_buckets"]), min_df=0,
         doc_lengths=docs.select("doc_id", "doc_len"))
