@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from wordmill.llm import chat_format, decontaminate, jaccard_join, line_dedup, lm_score, mix_sources, pii
 from wordmill.llm import quality_classifier, quality_rules, token_files
@@ -219,6 +220,38 @@ def test_mixing_reaches_targets(make):
     assert sums[None] == 0.0  # no share wanted
 
 
+def test_mixing_margins_of_documents(spark):
+    """Every source, language and topic gets its target, and no target is above what its value has."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mix_sources.margins(docs).collect()
+    total = sum(r.tokens for r in rows if r.margin == "lang")
+    assert total == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect())
+    for margin in ("source", "lang", "topic"):
+        mine = [r for r in rows if r.margin == margin]
+        assert all(abs(r.error) <= 0.01 and abs(r.weight - r.target) <= 0.01 * r.target for r in mine)
+        assert abs(sum(r.target for r in mine) - 0.8 * total) < 1e-6 * total
+        most = [r for r in mine if r.target > 0.9499 * r.tokens]
+        rest = [r for r in mine if r not in most]
+        assert all(r.target <= 0.95 * r.tokens * (1 + 1e-12) for r in mine) and rest
+        levels = [r.target / r.tokens ** 0.7 for r in rest]  # one level for all that are not at their most
+        assert max(levels) / min(levels) - 1 < 1e-9
+        assert all(r.tokens ** 0.7 * levels[0] >= r.target * (1 - 1e-9) for r in most)
+
+
+def test_mixing_that_cannot_meet_its_targets(make):
+    """A value that is asked for more than it has gives 95 %, the others the rest; what cannot be met together is shown."""
+    rows = [(k, prose(50, k), "big") for k in range(300)] + [(1000 + k, prose(50, k), "small") for k in range(100)]
+    got = {r.value: (r.target, r.error) for r in mix_sources.margins(
+        make(rows), fraction=0.5, targets={"source": {"big": 1, "small": 1}}).collect() if r.margin == "source"}
+    assert abs(got["small"][0] - 4750) < 1e-6 and abs(got["big"][0] - 5250) < 1e-6
+    assert all(abs(e) <= mix_sources.TOLERANCE for _, e in got.values())
+    # All of language "a" is in "big" and the other way round, but their targets differ.
+    both = make(rows).withColumn("lang", F.when(F.col("source") == "big", "a").otherwise("b"))
+    got = mix_sources.margins(both, fraction=0.5, max_sweeps=5, targets={
+        "source": {"big": 3, "small": 1}, "lang": {"a": 1, "b": 1}}).collect()
+    assert max(abs(r.error) for r in got) > 0.1 and all(r.weight <= r.tokens + 1e-6 for r in got)
+
+
 def test_line_dedup_within_lines(make):
     """A passage that begins and ends within lines goes whole, also where the lines break elsewhere."""
     w = [f"w{k}" for k in range(59)]

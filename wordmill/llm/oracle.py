@@ -65,30 +65,43 @@ FROM c GROUP BY conv_id"""
 
 
 def mix_sources_sql(table: str = "documents", body: str = "") -> str:
-    cte, last = [], "c0"
-    for k in range(mix.SWEEPS):
-        for m in ("source", "lang", "topic"):
-            new = f"c{len(cte) + 1}"
-            cte.append(f"""{new} AS (SELECT * REPLACE (least(CASE WHEN s > 0 THEN weight * t_{m} / s ELSE 0 END,
-    CAST(tokens AS DOUBLE)) AS weight) FROM (SELECT * EXCLUDE (s), sum(weight) OVER (PARTITION BY {m}) AS s FROM {last}))""")
-            last = new
-    goal = "power(sum(tokens) OVER (PARTITION BY {0}), " + str(mix.TEMPER) + ")"
-    goals = ", ".join(f"p_{m} / (SELECT sum(p) FROM (SELECT DISTINCT {m}, p_{m} AS p FROM powers)) * "
-                      f"{mix.FRACTION} * (SELECT sum(tokens) FROM cells) AS t_{m}" for m in ("source", "lang", "topic"))
-    powers = ", ".join(f"{goal.format(m)} AS p_{m}" for m in ("source", "lang", "topic"))
+    names = ("source", "lang", "topic")
+    # A target is the value's share times one level, or its most.  In order of most per share, the level is what the
+    # values before leave, over the shares from the value on, for the first value that it does not take to its most.
+    goals = ", ".join(f"""s_{m} AS (SELECT {m}, sum(tokens) AS s, {mix.MAX_RATE} * sum(tokens) AS most,
+    power(sum(tokens), {mix.TEMPER}) AS r FROM cells GROUP BY {m}),
+o_{m} AS (SELECT *, most / r AS ratio, ({mix.FRACTION} * (SELECT sum(tokens) FROM cells)
+    - coalesce(sum(most) OVER (ORDER BY most / r, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(r) OVER (ORDER BY most / r, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s_{m} WHERE r > 0),
+t_{m} AS (SELECT {m}, least(r * coalesce((SELECT min_by(level, ratio) FROM o_{m} WHERE level <= ratio), 'infinity'::DOUBLE), most) AS t_{m}
+    FROM o_{m} UNION ALL SELECT {m}, 0 FROM s_{m} WHERE NOT r > 0)""" for m in names)
+    sweep = "f"
+    for m in names:
+        step = f"CASE WHEN t_{m} > a AND b > 0 THEN (t_{m} - a) / b ELSE t_{m} / (a + b) END"
+        sweep = f"""(SELECT * EXCLUDE (a, b) REPLACE (u * CASE WHEN a + b > 0 AND t_{m} > 0 THEN
+    least(greatest({step}, least({1 / mix.STEP}, t_{m} / (a + b))), greatest({mix.STEP}, t_{m} / (a + b))) ELSE 0 END AS u)
+    FROM (SELECT *, sum(CASE WHEN u >= tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {m}) AS a,
+                 sum(CASE WHEN u >= tokens THEN 0 ELSE u END) OVER (PARTITION BY {m}) AS b FROM {sweep}))"""
+    misses = ", ".join(f"CASE WHEN t_{m} > 0 THEN abs(sum(least(u, tokens)) OVER (PARTITION BY {m}) - t_{m}) / t_{m} ELSE 0 END"
+                       for m in names)
     final = body or "SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, u < p AS kept FROM mixed"
     return f"""
-WITH d AS (SELECT *, coalesce(text, '') AS t FROM {table}),
+WITH RECURSIVE d AS (SELECT *, coalesce(text, '') AS t FROM {table}),
 m AS (SELECT * EXCLUDE (t), CASE WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(t, '[!#$%&*]{{2}}') THEN 'emphatic'
              WHEN regexp_matches(t, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
              CAST(len({_WORDS.format('t')}) AS BIGINT) AS n_tokens,
              CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{mix.SEED}'), 1, 13) AS BIGINT)
                   AS DOUBLE) / {float(16 ** 13)!r} AS u FROM d),
 cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM m GROUP BY ALL),
-powers AS (SELECT *, {powers} FROM cells),
-c0 AS (SELECT *, CAST(tokens AS DOUBLE) AS weight, CAST(0 AS DOUBLE) AS s, {goals} FROM powers),
-{", ".join(cte)},
-mixed AS (SELECT m.*, CASE WHEN tokens > 0 THEN least(weight / tokens, 1) ELSE 1 END AS p FROM m JOIN {last} c
+{goals},
+f AS (SELECT cells.*, t_source, t_lang, t_topic, CAST(tokens AS DOUBLE) AS u, 0 AS k, CAST(1 AS DOUBLE) AS miss FROM cells
+      JOIN t_source x ON x.source IS NOT DISTINCT FROM cells.source JOIN t_lang y ON y.lang IS NOT DISTINCT FROM cells.lang
+      JOIN t_topic USING (topic)
+      UNION ALL SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, u, k + 1, max(miss) OVER ()
+      FROM (SELECT * REPLACE (greatest({misses}) AS miss)
+            FROM {sweep.replace('FROM f)', f'FROM f WHERE miss > {mix.TOLERANCE} AND k < {mix.MAX_SWEEPS})')})),
+fit AS (SELECT *, least(u, tokens) AS weight FROM f WHERE k = (SELECT max(k) FROM f)),
+mixed AS (SELECT m.*, CASE WHEN tokens > 0 THEN least(weight / tokens, 1) ELSE 1 END AS p FROM m JOIN fit c
           ON m.source IS NOT DISTINCT FROM c.source AND m.lang IS NOT DISTINCT FROM c.lang AND m.topic = c.topic)
 {final}"""
 
