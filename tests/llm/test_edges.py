@@ -268,21 +268,46 @@ def test_line_dedup_within_lines(make):
     assert out == {1: rows[0][1], 2: "x y z\nend", 3: rows[2][1], 4: "after", 5: "r\ns", 6: rows[6][1], 7: "i1 j", None: ""}
 
 
-def test_line_dedup_equals_brute_force(spark):
-    """Exactly the words of all runs of 50 words that occur at an earlier place go."""
-    sf = "/root/testdata/sf0.01"
+def repeated_places(texts, least=50):
+    """Per document, in order, the words of all runs of ``least`` words that occur at an earlier place."""
     seen, want = set(), {}
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for d, t in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+    for d, t in texts:
         w, gone = [x for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x], set()
-        for i in range(len(w) - 49):
-            run = tuple(w[i:i + 50])
+        for i in range(len(w) - least + 1):
+            run = tuple(w[i:i + least])
             if run in seen:
-                gone |= set(range(i, i + 50))
+                gone |= set(range(i, i + least))
             seen.add(run)
         want[d] = gone
+    return want
+
+
+def span_words(rows):
+    return {r.doc_id: {i for x in r.spans.split(",") if x for i in range(*map(int, x.split(":")))} for r in rows}
+
+
+@pytest.mark.parametrize("least", [1, 12, 50])
+def test_line_dedup_of_few_words(make, least):
+    """Texts of one, two or a few words, whether such words cut or not, and near copies with long equal parts."""
+    r = random.Random(least)
+    rows = [(k, " ".join(r.choice(WORDS[:k % 4 + 1]) for _ in range(r.randint(0, 150)))) for k in range(40)]
+    rows += [(100 + k, f"{w} " * 120) for k, w in enumerate(WORDS[:30])] + [(200, None), (201, ""), (202, LONG)]
+    base = prose(200, 77).split()
+    for k in range(40):
+        copy = list(base)
+        for _ in range(r.randint(0, 5)):
+            copy[r.randrange(len(copy))] = f"x{r.randint(0, 3)}"
+        rows.append((300 + k, " ".join(copy[r.randint(0, 40):])))
+    got = line_dedup.line_report(make(rows), min_words=least).collect()
+    assert span_words(got) == repeated_places([(d, t or "") for d, t in rows], least)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Exactly the words of all runs of 50 words that occur at an earlier place go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = repeated_places(sorted((r.doc_id, r.text or "") for r in docs.collect()))
     rows = line_dedup.line_report(docs).collect()
-    assert {r.doc_id: {i for x in r.spans.split(",") if x for i in range(*map(int, x.split(":")))} for r in rows} == want
+    assert span_words(rows) == want
     assert all(r.removed_words == len(want[r.doc_id]) for r in rows) and sum(map(len, want.values())) > 0
 
 

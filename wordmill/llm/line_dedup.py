@@ -1,21 +1,24 @@
-"""Dedup of repeated runs of words and of lines by winnowing (DataFrame functions only).
+"""Dedup of repeated runs of words and of lines by winnowing over the hashes of units.
 
-A text is the sequence of its words in lower case.  In every run of
-``MIN_WORDS`` words at least one gram of ``PICK_WORDS`` is picked, by the hashes
-of the run's words alone, so places that share such a run share a pick.  Then
+Lines break anywhere, so a text's words in lower case are cut into units at
+content-defined places (a word's hash decides), long lines and short ones alike.
+Then
 
-1. picks that occur in one place only drop out,
-2. of the picks with equal surroundings (all runs of ``MIN_WORDS`` words that may
-   have picked them) the first place by document id, then position, stays and
-   every later one is marked with its surroundings,
-3. the first places whose gram also has other surroundings are compared run by
-   run: every later place of an equal run of ``MIN_WORDS`` words is marked,
-4. the marked words, wherever they begin or end within a line, are deleted.
+1. every run of ``MIN_WORDS`` words selects the smallest hash of the units within
+   it (a run with none a gram of words), so places that share a run share a
+   fingerprint; those in one place only drop out,
+2. places of one fingerprint are joined and the match extended both ways: to all
+   runs that select it, then (where others differ) to parts of ``STEPS[0]`` runs,
+   then to single runs, that is word by word into the bounding units,
+3. of equal places the first by document id, then position, stays; every later
+   one is deleted, wherever its words begin or end within a line.
 
 So the first place of a passage keeps it, and every later one loses it whole: a
 repeated run is the union of its runs of ``MIN_WORDS`` words.  Each place is
 compared with one place only, so a passage in a third of all documents costs one
-comparison for each of them.
+comparison for each of them.  Fingerprints and extension are numpy over Arrow
+batches: with DataFrame functions alone, which interpret lambdas word by word,
+both took twice the CPU limit (README).
 
 The report also names the repeated runs of whole equal lines, by the same method
 over line hashes: a gram is the shortest run of lines from a line on with
@@ -33,15 +36,23 @@ pass through ``drop_repeated_runs`` untouched; empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of, words
+from wordmill.llm.common import NOT_SPACE, SPACE, let, map_arrow, materialize, text_of, words
+from wordmill.llm.shingles import _STEP, mix, pieces, splitmix, word_hashes
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
-PICK_WORDS = 13
-PICK_BELOW = -2 ** 63 + 2 ** 60  # one word in 16
+CUT_BELOW = np.uint64(2 ** 61)  # one word in 8 cuts
+BARE_WORDS = 13
+STEPS = (8, 1)
 
 
 def _non_blank(text: Column) -> Column:
@@ -129,38 +140,112 @@ def repeated_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
+_INVERSE = np.uint64(pow(int(_STEP), -1, 2 ** 64))
 
 
-def _picks(h: Column, gram_words: int, min_words: int) -> Column:
-    """The grams picked in the runs of ``min_words`` words: places, hashes, and surroundings.
+@lru_cache(maxsize=8)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
 
-    A gram is picked if its first word hashes below ``PICK_BELOW``; a run with no
-    such gram picks the one whose first word hashes smallest, the leftmost of equals.
-    The surroundings ``[start, end)`` hold every run that may have picked the gram.
-    """
-    reach = min_words - gram_words + 1
-    places = F.sequence(F.lit(0), F.size(h) - gram_words)
-    below = F.filter(places, lambda i: F.get(h, i) < PICK_BELOW)
 
-    def bare(below: Column) -> Column:
-        # The runs between two neighbours (or the ends) that are further apart than a run reaches.
-        edges = F.concat(F.array(F.lit(-1)), below, F.array(F.size(h) - gram_words + 1))
-        starts = let(edges, lambda e: F.flatten(F.transform(
-            F.filter(_places(e), lambda k: F.get(e, k + 1) - F.get(e, k) > reach),
-            lambda k: F.sequence(F.get(e, k) + 1, F.get(e, k + 1) - reach))))
-        return F.transform(starts, lambda i: let(F.slice(h, i + 1, reach), lambda x: (
-            i + F.array_position(x, F.array_min(x)) - 1).cast("int")))
+class _Stretches:
+    """Hashes of any stretches of a sequence of word hashes, from its prefix sums times powers of an odd number."""
+
+    def __init__(self, h: np.ndarray):
+        n = 1 << int(len(h)).bit_length()
+        self.back = _powers(_INVERSE, n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_STEP, n)[:len(h)])])
+
+    def of(self, begin: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        found = mix((self.sums[end] - self.sums[begin]) * self.back[begin])
+        more = (end - begin).astype(np.int64) * 4096 + salt
+        return mix(found ^ splitmix(more.astype(np.uint64))).view(np.int64)
+
 
-    def pick(p: Column) -> Column:
-        start, end = F.greatest(p - (reach - 1), F.lit(0)), F.least(p + min_words, F.size(h))
-        return F.struct(p.alias("at"), start.alias("start"), end.alias("end"),
-                        F.xxhash64(F.slice(h, p + 1, gram_words)).alias("gram"),
-                        F.xxhash64(p - start, F.slice(h, start + 1, end - start)).alias("around"))
+def _smallest(u: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Place of the smallest of ``u[begin:end]``, the leftmost of equals, by minima over stretches of 1, 2, 4, ..."""
+    level = np.frexp((end - begin).astype(float))[1] - 1
+    table, out = np.arange(len(u)), np.empty(len(begin), np.int64)
+    for j in range(int(level.max(initial=0)) + 1):
+        if j:
+            left, right = table[:-(1 << (j - 1))], table[1 << (j - 1):]
+            table = np.where(u[right] < u[left], right, left)
+        at = np.flatnonzero(level == j)
+        left, right = table[begin[at]], table[end[at] - (1 << j)]
+        out[at] = np.where(u[right] < u[left], right, left)
+    return out
 
-    picked = let(below, lambda x: F.array_distinct(F.concat(x, bare(x))))
-    return F.when(F.size(h) >= min_words, F.transform(picked, pick))
+
+def _picks(h: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """The fingerprints ``text, at, lo, hi, gram, around`` of texts: runs that start in [lo, hi] select the gram at ``at``.
+
+    A unit goes from one cut word up to and with the next.  A run selects the
+    smallest unit hash within it, or, if it holds no whole unit, the gram of
+    ``BARE_WORDS`` that begins with its smallest word hash; the leftmost of
+    equals.  So every run has a row, and which gram it selects follows from its
+    own words.  ``around`` hashes the words of all runs of a row.
+    """
+    count = np.maximum(np.diff(off) - min_words + 1, 0)
+    text = np.repeat(np.arange(len(count)), count)
+    runs = off[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    size = min(BARE_WORDS, min_words)
+    hashes, cut = _Stretches(h), h < CUT_BELOW
+    before, cuts = np.concatenate([[0], np.cumsum(cut)]), np.flatnonzero(cut)
+    first, last = before[runs], before[runs + min_words] - 1
+    at, end = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+    whole = last > first
+    if whole.any():
+        units = hashes.of(cuts[:-1], cuts[1:] + 1)
+        k = _smallest(units, first[whole], last[whole])
+        at[whole], end[whole] = cuts[k], cuts[k + 1] + 1
+    bare = np.flatnonzero(~whole)
+    for k in range(0, len(bare), 50_000):
+        some = bare[k:k + 50_000]
+        near = h[runs[some][:, None] + np.arange(min_words - size + 1)]
+        at[some] = runs[some] + near.argmin(axis=1)
+        end[some] = at[some] + size
+    new = np.ones(len(runs) + 1, bool)
+    new[1:-1] = (at[1:] != at[:-1]) | (end[1:] != end[:-1]) | (text[1:] != text[:-1])
+    a, b = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+    at, lo, hi, base = at[a], runs[a], runs[b], off[text[a]]
+    return (text[a], at - base, lo - base, hi - base, hashes.of(at, end[a]),
+            hashes.of(lo, hi + min_words, at - lo))
+
+
+def _parts(h: np.ndarray, off: np.ndarray, text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray,
+           step: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Rows of ``_picks`` in parts of at most ``step`` runs, aligned to their gram.
+
+    A part's own gram is made of the words that all its runs have in common, be
+    the part cut short or not.
+    """
+    number = (lo - at) // step
+    count = (hi - at) // step - number + 1
+    row = np.repeat(np.arange(len(at)), count)
+    q = number[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hashes, base, begin = _Stretches(h), off[text[row]], at[row] + q * step
+    lo, hi = np.maximum(lo[row], begin), np.minimum(hi[row], begin + step - 1)
+    return (text[row], at[row], lo, hi, hashes.of(base + begin + step - 1, base + begin + min_words, q & 1023),
+            hashes.of(base + lo, base + hi + min_words, lo - begin))
+
+
+def _prints(df: DataFrame, f: Callable) -> DataFrame:
+    """``_id, _key, at, lo, hi, gram, around`` by ``f(hashes, offsets, further column)`` over rows ``_id, _key, _text``."""
+    schema = StructType([df.schema["_id"], df.schema["_key"], *[StructField(c, IntegerType()) for c in ("at", "lo", "hi")],
+                         StructField("gram", LongType()), StructField("around", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, some in pieces(batch.column(2)):
+                rest = batch.column(3).slice(k, len(some)) if batch.num_columns > 3 else None
+                text, at, lo, hi, gram, around = f(*word_hashes(some), rest)
+                row = pa.array(text + k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row),
+                     *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)], pa.array(gram), pa.array(around)],
+                    names=schema.names)
+
+    return map_arrow(df, run, schema)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,49 +264,66 @@ def _is_at(place: str, at: str) -> Column:
         & (F.col(at) == F.col(f"{place}.at"))
 
 
-def shared_picks(docs: DataFrame, id_col: str, text_col: str, gram_words: int, min_words: int) -> DataFrame:
-    """The picked grams that occur in two places or more: ``_id, _key, at, start, end, gram, around, n, first``.
+def shared_picks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """The fingerprints that occur in two places or more: ``_id, _key, at, lo, hi, gram, around``."""
+    rows = _keyed(docs, id_col, text_col).select("_id", "_key", F.lower("_text").alias("_text"))
+    each = materialize(_prints(rows, lambda h, off, _: _picks(h, off, min_words)), "picks")
+    # Stored before the join, so that a hot gram's rows can be split there.
+    often = materialize(each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
+    return materialize(each.join(often, "gram", "left_semi"), "shared")
 
-    ``first`` is the first place with the same surroundings, ``n`` the number of different surroundings of the gram.
+
+def _matched(each: DataFrame) -> DataFrame:
+    """The rows that share their gram, with what is known of them.
+
+    ``_twice``: the same surroundings are in two places or more; ``_first``: this
+    place is their first; ``_open``: the gram has other surroundings, too.
     """
-    rows = _keyed(docs, id_col, text_col).select("_id", "_key", _word_hashes(F.col("_text")).alias("_h"))
-    each = materialize(rows.select("_id", "_key", F.inline(
-        let(F.col("_h"), lambda h: _picks(h, gram_words, min_words)))), "picks")
-    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    each = materialize(each.join(often, "gram", "left_semi"), "picks")
     arounds = materialize(each.groupBy("gram", "around").agg(
-        F.min(_place("at")).alias("first"), F.max(_place("at")).alias("last")), "arounds")
+        F.min(_place("lo")).alias("first"), F.max(_place("lo")).alias("last")), "arounds")
     # Rows that repeat an id and its text are one place.
-    grams = arounds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"),
-                                        F.max(F.col("first") != F.col("last")).alias("again")).where("n > 1 OR again")
-    firsts = arounds.join(grams, "gram").select("gram", "around", "first", "n")
-    return materialize(each.join(firsts, ["gram", "around"]), "shared")
+    grams = materialize(arounds.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("first") != F.col("last")).alias("again")).where("n > 1 OR again"), "grams")
+    firsts = arounds.join(grams, "gram").select("gram", "around", "first", (F.col("first") != F.col("last")).alias("_twice"),
+                                                (F.col("n") > 1).alias("_open"))
+    return materialize(each.join(materialize(firsts, "firsts"), ["gram", "around"]).select(
+        "_id", "_key", "at", "lo", "hi", "_twice", "_open", _is_at("first", "lo").alias("_first")), "matched")
+
+
+def _extended(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, step: int, min_words: int) -> DataFrame:
+    """The rows ``open_`` in parts of at most ``step`` runs."""
+    some = open_.groupBy("_id", "_key").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("_w"))
+    rows = _keyed(docs, id_col, text_col).alias("d").join(some.alias("w"), _same("d", "w")).select(
+        "d._id", "d._key", F.lower("_text").alias("_text"), "_w")
+
+    def parts(h: np.ndarray, off: np.ndarray, w: pa.Array) -> tuple[np.ndarray, ...]:
+        text = np.repeat(np.arange(len(w)), w.value_lengths().to_numpy(zero_copy_only=False))
+        at, lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in w.flatten().flatten())
+        return _parts(h, off, text, at, lo, hi, step, min_words)
+
+    return materialize(_prints(rows, parts), "parts")
+
+
+def matches(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_id, _key, lo, hi, _first``: places whose runs (starts in [lo, hi]) are also elsewhere, at an earlier place or not."""
+    found = _matched(shared_picks(docs, id_col, text_col, min_words))
+    every = [found]
+    for step in STEPS:
+        found = _matched(_extended(docs, found.where("_first AND _open"), id_col, text_col, step, min_words))
+        every.append(found)
+    return reduce(DataFrame.unionByName, [f.where("_twice").select("_id", "_key", "lo", "hi", "_first") for f in every])
 
 
-def repeated_words(docs: DataFrame, shared: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def repeated_words(found: DataFrame, min_words: int) -> DataFrame:
     """``_id, _key, spans``: the [start, end) word runs of each document that occur at an earlier place."""
-    # Later places with the same surroundings repeat all of them: two runs of ``min_words`` words cover them.
-    whole = shared.where(~_is_at("first", "at")).select(
-        "_id", "_key", F.explode(F.array(F.col("start"), F.col("end") - min_words)).alias("start"))
-    # First places whose surroundings differ are compared run by run.
-    differ = shared.where("n > 1").where(_is_at("first", "at")).groupBy("_id", "_key").agg(F.collect_set(
-        F.struct("start", (F.col("end") - min_words).alias("last"))).alias("within"))
-    rows = _keyed(docs, id_col, text_col).alias("d").join(differ.alias("w"), _same("d", "w")).select(
-        "d._id", "d._key", "within", _word_hashes(F.col("_text")).alias("_h"))
-    starts = F.array_distinct(F.flatten(F.transform("within", lambda x: F.sequence(x["start"], x["last"]))))
-    runs = let(F.col("_h"), lambda h: F.transform(starts, lambda i: F.struct(
-        i.alias("start"), F.xxhash64(F.slice(h, i + 1, min_words)).alias("run"))))
-    each = materialize(rows.select("_id", "_key", F.inline(runs)), "runs")
-    firsts = each.groupBy("run").agg(F.min(_place("start")).alias("first"), F.max(_place("start")).alias("last")) \
-        .where("first != last").select("run", "first")
-    single = each.join(firsts, "run").where(~_is_at("first", "start")).select("_id", "_key", "start")
+    starts = found.where("NOT _first").select("_id", "_key", F.explode(F.array("lo", "hi")).alias("start"))
 
     def spans(s: Column) -> Column:
         begin = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) + min_words < x, F.lit(True)))
         end = F.filter(s, lambda x, i: F.coalesce(x + min_words < F.get(s, i + 1), F.lit(True)))
         return F.zip_with(begin, end, lambda b, e: F.struct(b.alias("start"), (e + min_words).alias("end")))
 
-    return whole.unionByName(single).groupBy("_id", "_key").agg(F.collect_set("start").alias("s")).select(
+    return starts.groupBy("_id", "_key").agg(F.collect_set("start").alias("s")).select(
         "_id", "_key", let(F.sort_array("s"), spans).alias("spans"))
 
 
@@ -244,10 +346,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` are the word runs that go and ``removed_words`` their words; ``runs``
     and ``removed_lines`` are what of them are repeated runs of whole equal lines.
     """
-    shared = shared_picks(docs, id_col, text_col, min(PICK_WORDS, min_words), min_words)
-    spans = repeated_words(docs, shared, id_col, text_col, min_words)
-    # A repeated run of lines is one of words, so only documents with a shared pick can have any.
-    held = shared.select("_id", "_key").distinct()
+    found = matches(docs, id_col, text_col, min_words)
+    spans = repeated_words(found, min_words)
+    # A repeated run of lines is one of words, so only documents with a match can have any.
+    held = found.select("_id", "_key").distinct()
     rows = docs.select(F.struct(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).alias("_row"),
                        F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_key"))
     some = rows.alias("d").join(held.alias("r"), _same("d", "r"), "left_semi").select("_row.*")
@@ -295,8 +397,7 @@ def _without_words(text: Column, spans: Column) -> Column:
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, in their own columns, without the words of repeated runs."""
-    shared = shared_picks(docs, id_col, text_col, min(PICK_WORDS, min_words), min_words)
-    spans = repeated_words(docs, shared, id_col, text_col, min_words)
+    spans = repeated_words(matches(docs, id_col, text_col, min_words), min_words)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text")) \
         .withColumn("_key", F.xxhash64("_text"))
     out = rows.alias("d").join(spans.alias("r"), _same("d", "r"), "left")
