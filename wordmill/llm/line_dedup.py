@@ -17,8 +17,7 @@ So the first place of a passage keeps it, and every later one loses it whole: a
 repeated run is the union of its runs of ``MIN_WORDS`` words.  Each place is
 compared with one place only, so a passage in a third of all documents costs one
 comparison for each of them.  Fingerprints and extension are numpy over Arrow
-batches: with DataFrame functions alone, which interpret lambdas word by word,
-both took twice the CPU limit (README).
+batches; DataFrame functions interpret lambdas word by word (README has figures).
 
 The report also names the repeated runs of whole equal lines, by the same method
 over line hashes: a gram is the shortest run of lines from a line on with
