@@ -129,3 +129,20 @@ def test_a_failed_step_changes_nothing_that_readers_see(spark, scratch, monkeypa
     # What the failed attempt wrote is gone.
     kept = {s for r in spark.read.parquet(f"{scratch}/commits").select("live").collect() for s in r["live"]}
     assert _segments(scratch) <= kept
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_the_stream_query_reads_a_file_and_a_folder(spark, scratch, files):
+    """Written tables are folders; the test data's are single files."""
+    from wordmill.plans.registry import q_stream_index
+
+    rows = [(k, f"Title {k}\napple word{k} apple", "en", "web", 20) for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(files).write.parquet(f"{scratch}/written")
+    if files == 1:
+        part = next(Path(scratch, "written").glob("part-*.parquet"))
+        shutil.copy(part, f"{scratch}/documents.parquet")
+    else:
+        shutil.copytree(f"{scratch}/written", f"{scratch}/documents.parquet")
+    got = {(r["term"], r["doc_id"], r["tf"], r["df"]) for r in q_stream_index(spark, scratch).collect()}
+    assert got == {x for k in range(7) for x in (("title", k, 1, 7), ("apple", k, 2, 7), (f"word{k}", k, 1, 1))}
