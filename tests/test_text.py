@@ -53,3 +53,30 @@ def test_java_pattern_equals_plain_pattern(spark):
     plain = [r[0] for r in df.select(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN), 0)).collect()]
     fast = [r[0] for r in df.select(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN_JAVA), 0)).collect()]
     assert plain == fast
+
+
+def test_word_count_splits_where_python_does(spark):
+    """At every code point, and, in tasks side by side, no slower than the tokenizer by much."""
+    import time
+
+    from wordmill.functions.text import raw_tokens, whitespace_word_count
+
+    marks = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + m + "b" + m for m in marks] + ["", " ", None, "one 😀  two\u3000three\x1c"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    got = [r.n for r in rows.select("k", whitespace_word_count("t").alias("n")).orderBy("k").collect()]
+    assert got == [len((t or "").split()) for t in texts]
+
+    long = spark.range(0, 800, 1, 8).selectExpr("repeat('quelques mots d’un texte, несколько слов; ', 2000 + id % 2) t")
+
+    def seconds(column):
+        def once():
+            began = time.perf_counter()
+            long.select(column).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - began
+
+        return min(once() for _ in range(3))
+
+    from pyspark.sql import functions as F
+
+    assert seconds(whitespace_word_count("t")) < 4 * seconds(F.size(raw_tokens("t")))
