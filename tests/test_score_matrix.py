@@ -96,3 +96,19 @@ def test_order_free_sum(spark):
     assert sums[0] == sums[1] and sums[0][4] is None and sums[0][5] == 0.0
     for k in range(3):
         assert abs(sums[0][k] - math.fsum(x for j, x in values if j == k and x is not None)) < 1e-9
+
+
+def test_scoring_tasks_grow_with_the_pairs(spark, frames, monkeypatch):
+    """One task sums a bounded number of pairs, all of a document, and the scores stay the same."""
+    from wordmill.operators import retrieval
+
+    docs, queries, *_ = frames
+    index = build_index(docs, min_df=0)
+    want = sorted(map(tuple, candidate_scores(queries, index).collect()))
+    pairs = sum(r["df"] for r in retrieval.query_terms(queries, index).collect())
+    monkeypatch.setattr(retrieval, "HITS_PER_TASK", 64)
+    scored = candidate_scores(queries, index)
+    assert scored.rdd.getNumPartitions() == -(-pairs // 64) > 8
+    assert sorted(map(tuple, scored.collect())) == want
+    placed = scored.withColumn("p", F.spark_partition_id()).groupBy("doc_id").agg(F.countDistinct("p").alias("n"))
+    assert placed.where("n > 1").isEmpty()
