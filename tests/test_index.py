@@ -249,3 +249,25 @@ def test_write_without_keeping_the_token_frame(spark, scratch):
     key = lambda df: sorted(tuple(r) for r in df.select("term", "doc_id", "tf").collect())
     assert key(a.postings) == key(b.postings)
     assert a.corpus_stats.first()["n_docs"] == b.corpus_stats.first()["n_docs"]
+
+
+def test_postings_are_written_in_bounded_chunks(spark, scratch, monkeypatch):
+    """A hot term's bucket lies in several tasks' files, its blocks are cut by count, and the rows are all there."""
+    from pyspark.sql import functions as F
+
+    from wordmill.operators import indexing
+
+    docs = [(1_000 - 3 * k if k else None, f"t{k}", "hot " + " ".join(f"word{j}" for j in range(40) if k % (j + 2) == 0))
+            for k in range(300)]
+    want = rows_of(write_index(corpus(spark, docs), f"{scratch}/a", min_df=20, num_buckets=4).postings,
+                   "term", F.coalesce("doc_id", F.lit(-1)), "tf", "bucket")
+    monkeypatch.setattr(indexing, "POSTINGS_PER_TASK", 64)
+    index = write_index(corpus(spark, docs), f"{scratch}/b", min_df=20, num_buckets=4, block_size=32)
+    held = index.postings.select("*", F.input_file_name().alias("file")).collect()
+    assert sorted((r.term, -1 if r.doc_id is None else r.doc_id, r.tf, r.bucket) for r in held) == want
+    assert len({r.file for r in held if r.term == "hot"}) >= 4
+    assert max(sum(r.file == f for r in held) for f in {r.file for r in held}) < 300
+    hot = sorted((r.block, -1 if r.doc_id is None else r.doc_id) for r in held if r.term == "hot")
+    assert [d for _, d in hot] == sorted(d for _, d in hot) and [b for b, _ in hot] == [k // 32 for k in range(300)]
+    blocks = {(r.term, r.block): r.n for r in index.blocks.collect()}
+    assert blocks["hot", 0] == 32 and blocks["hot", 9] == 12
