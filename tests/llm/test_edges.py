@@ -302,6 +302,25 @@ def test_line_dedup_of_few_words(make, least):
     assert span_words(got) == repeated_places([(d, t or "") for d, t in rows], least)
 
 
+def test_line_dedup_is_native(make, monkeypatch):
+    """No Python on the executors; words said over and over, in stretches and in turns, and whole copies fare as others."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fail(*_, **__):
+        raise AssertionError("Python on the executors")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(DataFrame, name, fail)
+    r = random.Random(8)
+    rows = [(k, " ".join(w for _ in range(6) for w in [r.choice(WORDS[:9])] * r.choice([1, 7, 49, 50, 51, 120])))
+            for k in range(40)]
+    rows += [(100 + k, " ".join(WORDS[k:k + 3] * 40)) for k in range(0, 12, 2)]
+    rows += [(200 + k, rows[k][1]) for k in range(0, 46, 3)] + [(300, prose(200, 5)), (301, prose(200, 5)), (302, "a " * 49)]
+    rows += [(303, "a " * 49), (None, prose(200, 5))]
+    got = line_dedup.line_report(make(rows)).collect()
+    assert span_words(got) == repeated_places(rows)
+    assert all(x.removed_words == len(span_words([x])[x.doc_id]) for x in got)
+
+
 def test_line_dedup_equals_brute_force(spark):
     """Exactly the words of all runs of 50 words that occur at an earlier place go."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -4,9 +4,9 @@ Lines break anywhere, so a text's words in lower case are cut into units at
 content-defined places (a word's hash decides), long lines and short ones alike.
 Then
 
-1. every run of ``MIN_WORDS`` words selects the smallest hash of the units within
-   it (a run with none a gram of words), so places that share a run share a
-   fingerprint; those in one place only drop out,
+1. every run of ``MIN_WORDS`` words selects the smallest hash of the first units
+   within it (a run with none a gram of words), so places that share a run share
+   a fingerprint; those in one place only drop out,
 2. places of one fingerprint are joined and the match extended both ways: to all
    runs that select it, then (where others differ) to parts of ``STEPS[0]`` runs,
    then to single runs, that is word by word into the bounding units,
@@ -16,8 +16,12 @@ Then
 So the first place of a passage keeps it, and every later one loses it whole: a
 repeated run is the union of its runs of ``MIN_WORDS`` words.  Each place is
 compared with one place only, so a passage in a third of all documents costs one
-comparison for each of them.  Fingerprints and extension are numpy over Arrow
-batches; DataFrame functions interpret lambdas word by word (README has figures).
+comparison for each of them.
+
+All of it is DataFrame functions.  Spark interprets lambdas but compiles what
+follows an ``explode``, so only the words' hashes and the cuts are arrays made by
+lambdas; units, runs and parts are rows, and their neighbours are looked up in
+the arrays of their document.
 
 The report also names the repeated runs of whole equal lines, by the same method
 over line hashes: a gram is the shortest run of lines from a line on with
@@ -35,27 +39,37 @@ pass through ``drop_repeated_runs`` untouched; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from wordmill.llm.common import NOT_SPACE, SPACE, let, map_arrow, materialize, text_of, words
-from wordmill.llm.shingles import _STEP, mix, pieces, splitmix, word_hashes
+from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of
 
 GRAM_WORDS = 25
 MIN_WORDS = 50
-CUT_BELOW = np.uint64(2 ** 61)  # one word in 8 cuts
+CUT_BELOW = -2 ** 31 + 2 ** 32 // 6  # one word in 6 cuts
+UNIT_CUTS = 2  # a unit goes from a cut word to the second one after it
+UNITS = 6  # of those within a run, the first so many compete
 BARE_WORDS = 13
 STEPS = (8, 1)
 
 
-def _non_blank(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+def _words_by_line(low: Column) -> Column:
+    """The words of each line that has any; splits at single characters, which need no regular expression, are faster."""
+    plain = F.when(low.rlike("[\\x09\\x0B-\\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    found = F.transform(F.split(plain, "\n"), lambda x: F.split(x, " "))
+    return F.filter(F.transform(found, lambda w: F.when(F.array_contains(w, ""), F.array_remove(w, "")).otherwise(w)),
+                    lambda x: F.size(x) > 0)
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``_id, _key, lh, ln, h`` of rows ``_id, _key, _text``: line hashes, their word counts, word hashes."""
+    low = rows.select("_id", "_key", F.lower("_text").alias("_low"))
+    hashes = let(_words_by_line(F.col("_low")), lambda x: F.struct(
+        F.transform(x, lambda w: F.xxhash64(w)).alias("lh"), F.transform(x, lambda w: F.size(w)).alias("ln"),
+        F.transform(F.flatten(x), lambda w: F.hash(w)).alias("h")))
+    return low.select("_id", "_key", hashes.alias("s")).select("_id", "_key", "s.*")
 
 
 def _span(n: Column, i: Column, least: int) -> Column:
@@ -92,16 +106,11 @@ def _windows(h: Column, n: Column, g: Column, min_words: int) -> Column:
     return F.array_distinct(F.filter(F.concat(begin, end), lambda w: w.isNotNull()))
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str, gram_words: int, min_words: int) -> DataFrame:
-    """``_id, _key, h, n, w``: line hashes, their word counts, and windows of every document."""
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    lined = rows.select("_id", F.xxhash64("_text").alias("_key"), _non_blank(F.col("_text")).alias("_lines"))
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
-    hashed = lined.select("_id", "_key", F.transform("_lines", lambda x: F.xxhash64(normal(x))).alias("h"),
-                          F.transform("_lines", lambda x: F.size(words(x))).alias("n"))
-    grams = let(F.struct("h", "n"), lambda s: let(_grams(s["h"], s["n"], gram_words),
-                                                  lambda g: _windows(s["h"], s["n"], g, min_words)))
-    return hashed.select("_id", "_key", "h", "n", grams.alias("w"))
+def sequences(lined: DataFrame, gram_words: int, min_words: int) -> DataFrame:
+    """``_id, _key, h, n, w``: line hashes, their word counts, and windows of documents ``_id, _key, lh, ln``."""
+    windows = let(F.struct("lh", "ln"), lambda s: let(_grams(s["lh"], s["ln"], gram_words),
+                                                      lambda g: _windows(s["lh"], s["ln"], g, min_words)))
+    return lined.select("_id", "_key", F.col("lh").alias("h"), F.col("ln").alias("n"), windows.alias("w"))
 
 
 def _same(a: str, b: str) -> Column:
@@ -139,112 +148,99 @@ def repeated_runs(seqs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
-_INVERSE = np.uint64(pow(int(_STEP), -1, 2 ** 64))
-
-
-@lru_cache(maxsize=8)
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
+def _words(h: str, begin: Column, end: Column, salt: Column) -> Column:
+    return F.xxhash64(F.slice(h, begin + 1, end - begin), salt.cast("int"))
 
 
-class _Stretches:
-    """Hashes of any stretches of a sequence of word hashes, from its prefix sums times powers of an odd number."""
+def _smallest(ranks: Column, reach: int) -> Column:
+    """The smallest of each ``reach`` ranks from one on, above its place: the leftmost of equals, by minima over 1, 2, 4, ..."""
+    def wider(least: Column, step: int) -> Column:
+        return let(least, lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + step))))
 
-    def __init__(self, h: np.ndarray):
-        n = 1 << int(len(h)).bit_length()
-        self.back = _powers(_INVERSE, n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_STEP, n)[:len(h)])])
+    least, span = F.transform(ranks, lambda x, i: F.shiftleft(x.cast("long"), 32) + i), 1
+    while span < reach:
+        step = min(span, reach - span)
+        least, span = wider(least, step), span + step
+    return least
 
-    def of(self, begin: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        found = mix((self.sums[end] - self.sums[begin]) * self.back[begin])
-        more = (end - begin).astype(np.int64) * 4096 + salt
-        return mix(found ^ splitmix(more.astype(np.uint64))).view(np.int64)
 
+def _bare(w: Column, start: Column, min_words: int) -> Column:
+    """The fingerprints of the runs in ``w``, the words from ``start`` on, that hold no whole unit.
 
-def _smallest(u: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Place of the smallest of ``u[begin:end]``, the leftmost of equals, by minima over stretches of 1, 2, 4, ..."""
-    level = np.frexp((end - begin).astype(float))[1] - 1
-    table, out = np.arange(len(u)), np.empty(len(begin), np.int64)
-    for j in range(int(level.max(initial=0)) + 1):
-        if j:
-            left, right = table[:-(1 << (j - 1))], table[1 << (j - 1):]
-            table = np.where(u[right] < u[left], right, left)
-        at = np.flatnonzero(level == j)
-        left, right = table[begin[at]], table[end[at] - (1 << j)]
-        out[at] = np.where(u[right] < u[left], right, left)
-    return out
-
-
-def _picks(h: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """The fingerprints ``text, at, lo, hi, gram, around`` of texts: runs that start in [lo, hi] select the gram at ``at``.
-
-    A unit goes from one cut word up to and with the next.  A run selects the
-    smallest unit hash within it, or, if it holds no whole unit, the gram of
-    ``BARE_WORDS`` that begins with its smallest word hash; the leftmost of
-    equals.  So every run has a row, and which gram it selects follows from its
-    own words.  ``around`` hashes the words of all runs of a row.
+    A run selects the gram of ``BARE_WORDS`` that begins with its smallest word hash,
+    the leftmost of equals; a word that its next one repeats only if all are such.
+    Where one word fills many runs in a row, the first, the second, the last and
+    every ``min_words``-th stand for all: they touch, and repeat the first.
     """
-    count = np.maximum(np.diff(off) - min_words + 1, 0)
-    text = np.repeat(np.arange(len(count)), count)
-    runs = off[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     size = min(BARE_WORDS, min_words)
-    hashes, cut = _Stretches(h), h < CUT_BELOW
-    before, cuts = np.concatenate([[0], np.cumsum(cut)]), np.flatnonzero(cut)
-    first, last = before[runs], before[runs + min_words] - 1
-    at, end = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
-    whole = last > first
-    if whole.any():
-        units = hashes.of(cuts[:-1], cuts[1:] + 1)
-        k = _smallest(units, first[whole], last[whole])
-        at[whole], end[whole] = cuts[k], cuts[k + 1] + 1
-    bare = np.flatnonzero(~whole)
-    for k in range(0, len(bare), 50_000):
-        some = bare[k:k + 50_000]
-        near = h[runs[some][:, None] + np.arange(min_words - size + 1)]
-        at[some] = runs[some] + near.argmin(axis=1)
-        end[some] = at[some] + size
-    new = np.ones(len(runs) + 1, bool)
-    new[1:-1] = (at[1:] != at[:-1]) | (end[1:] != end[:-1]) | (text[1:] != text[:-1])
-    a, b = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
-    at, lo, hi, base = at[a], runs[a], runs[b], off[text[a]]
-    return (text[a], at - base, lo - base, hi - base, hashes.of(at, end[a]),
-            hashes.of(lo, hi + min_words, at - lo))
-
-
-def _parts(h: np.ndarray, off: np.ndarray, text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray,
-           step: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """Rows of ``_picks`` in parts of at most ``step`` runs, aligned to their gram.
-
-    A part's own gram is made of the words that all its runs have in common, be
-    the part cut short or not.
+    reach, top = min_words - size + 1, 2 ** 31 - 1
+    ranks = F.transform(w, lambda x, i: F.when(x == F.get(w, i + 1), top).otherwise(x)) if size > 1 else w
+
+    def rows(least: Column) -> Column:
+        at = lambda i: F.get(least, i).bitwiseAND(2 ** 32 - 1).cast("int")
+        runs = F.sequence(F.lit(0), F.size(w) - min_words)
+        lo = F.filter(runs, lambda i: F.coalesce(at(i) != at(i - 1), F.lit(True)))
+        each = let(lo, lambda lo: F.transform(lo, lambda i, k: F.struct(
+            i.alias("lo"), (F.coalesce(F.get(lo, k + 1), F.size(w) - min_words + 1) - 1).alias("hi"))))
+        if 0 <= size - 2 <= reach:  # two stretches of equal words that touch fill a run
+            equal = lambda i: F.coalesce(F.get(least, i) >= top << 32, F.lit(False))
+            inner = lambda i: equal(i - 2) & equal(i + size - 1)
+            each = F.filter(each, lambda r: ~inner(r["lo"]) | ((start + r["lo"]) % min_words == 0))
+        return F.transform(each, lambda r: let(at(r["lo"]), lambda a: F.struct(
+            (start + a).alias("at"), (start + r["lo"]).alias("lo"), (start + r["hi"]).alias("hi"),
+            _words(w, a, a + size, F.lit(-1)).alias("gram"),
+            _words(w, r["lo"], r["hi"] + min_words, a - r["lo"]).alias("around"))))
+
+    return let(_smallest(ranks, reach), rows)
+
+
+def picks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """The fingerprints ``_id, _key, at, lo, hi, gram, around``: runs that start in [lo, hi] select the gram at ``at``.
+
+    A unit goes from one cut word up to and with the word after the ``UNIT_CUTS``-th
+    next, as that word makes it a cut, too: the two differ.  A run selects the smallest hash among the first ``UNITS`` units within it, the
+    leftmost of equals.  So every run has a row, and which gram it selects follows
+    from its own words.  ``around`` hashes the words of all runs of a row.
+
+    One more row of each document, where ``gram`` is null, has its ``lines``
+    (``lh, ln, h``), so that the texts are read and cut into words here only.
     """
-    number = (lo - at) // step
-    count = (hi - at) // step - number + 1
-    row = np.repeat(np.arange(len(at)), count)
-    q = number[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    hashes, base, begin = _Stretches(h), off[text[row]], at[row] + q * step
-    lo, hi = np.maximum(lo[row], begin), np.minimum(hi[row], begin + step - 1)
-    return (text[row], at[row], lo, hi, hashes.of(base + begin + step - 1, base + begin + min_words, q & 1023),
-            hashes.of(base + lo, base + hi + min_words, lo - begin))
-
-
-def _prints(df: DataFrame, f: Callable) -> DataFrame:
-    """``_id, _key, at, lo, hi, gram, around`` by ``f(hashes, offsets, further column)`` over rows ``_id, _key, _text``."""
-    schema = StructType([df.schema["_id"], df.schema["_key"], *[StructField(c, IntegerType()) for c in ("at", "lo", "hi")],
-                         StructField("gram", LongType()), StructField("around", LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, some in pieces(batch.column(2)):
-                rest = batch.column(3).slice(k, len(some)) if batch.num_columns > 3 else None
-                text, at, lo, hi, gram, around = f(*word_hashes(some), rest)
-                row = pa.array(text + k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row),
-                     *[pa.array(x.astype(np.int32)) for x in (at, lo, hi)], pa.array(gram), pa.array(around)],
-                    names=schema.names)
-
-    return map_arrow(df, run, schema)
+    hashed = _hashed(_keyed(docs, id_col, text_col))
+    # Of a word said over and over the last cuts only, or all its places would be fingerprints.
+    cuts = F.filter(_places(F.col("h")), lambda i: (F.get(F.col("h"), i) < CUT_BELOW)
+                    & (F.get(F.col("h"), i) != F.get(F.col("h"), i + 1)))
+    cut = hashed.select("*", cuts.alias("cuts"))
+    # Which unit is smaller is a matter of its cut words; what it is, of all its words.
+    ranks = F.transform(F.sequence(F.lit(0), F.size("cuts") - UNIT_CUTS - 1), lambda k: F.xxhash64(
+        *[F.get(F.col("h"), F.get(F.col("cuts"), k + j)) for j in range(UNIT_CUTS + 1)]))
+    ranked = cut.select("*", F.when(F.size("cuts") > UNIT_CUTS, ranks).alias("ranks"))
+    each = ranked.select("*", F.explode(F.sequence(F.lit(-1), F.size("cuts"))).alias("k"))
+    k, n, rank = F.col("k"), F.size("h"), lambda i: F.get(F.col("ranks"), i)
+    begin, end = lambda i: F.get(F.col("cuts"), i), lambda i: F.get(F.col("cuts"), i + UNIT_CUTS) + 1
+    # The nearest units that a run must not have before, or after, the unit to select it.
+    before = reduce(lambda w, j: w.when(rank(k - j) <= rank(k), k - j), range(1, UNITS), F).otherwise(k - UNITS)
+    after = reduce(lambda w, j: w.when(rank(k + j) < rank(k), k + j), range(1, UNITS), F)
+    near = each.select("*", before.alias("before"), after.alias("after"))
+    lo = F.greatest(F.lit(0), end(k) - min_words + 1, begin(F.col("before")) + 1)
+    hi = F.least(n - min_words, begin(k), F.greatest(begin(F.col("after") - UNITS), end(F.col("after")) - min_words))
+    # Runs from the cut word before on that end before this unit does hold none.
+    start, stop = F.when(k == 0, 0).otherwise(begin(k - 1) + 1), F.least(begin(k), end(k) - min_words, n - min_words)
+    # An array of one row, as the optimizer would copy its expressions into the filter, and what it compiles be too long.
+    found = near.select("_id", "_key", "lh", "ln", "h", "k", F.inline(F.array(F.struct(
+        begin(k).alias("at"), end(k).alias("to"), lo.alias("lo"), F.when(rank(k).isNotNull(), hi).alias("hi"),
+        start.alias("start"), stop.alias("stop")))))
+    found = found.where("k = -1 OR lo <= hi OR start <= stop")
+    gram = _words("h", F.col("at"), F.col("to") + 1, F.lit(-1))
+    around = _words("h", F.col("lo"), F.col("hi") + min_words, F.col("at") - F.col("lo"))
+    whole = F.when(F.col("lo") <= F.col("hi"), F.struct("at", "lo", "hi", gram.alias("gram"), around.alias("around")))
+    bare = F.when(F.col("start") <= F.col("stop"),
+                  F.slice("h", F.col("start") + 1, F.col("stop") - F.col("start") + min_words))
+    out = found.select("_id", "_key", F.when(F.col("k") == -1, F.struct("lh", "ln", "h")).alias("lines"), whole.alias("p"),
+                       "start", bare.alias("w"))
+    every = F.when(F.col("w").isNull(), F.array("p")).otherwise(
+        F.concat(F.array("p"), _bare(F.col("w"), F.col("start"), min_words)))
+    return out.select("_id", "_key", "lines", F.explode(every).alias("p")).select("_id", "_key", "lines", "p.*") \
+        .where("lines IS NOT NULL OR gram IS NOT NULL")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -263,59 +259,82 @@ def _is_at(place: str, at: str) -> Column:
         & (F.col(at) == F.col(f"{place}.at"))
 
 
-def shared_picks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """The fingerprints that occur in two places or more: ``_id, _key, at, lo, hi, gram, around``."""
-    rows = _keyed(docs, id_col, text_col).select("_id", "_key", F.lower("_text").alias("_text"))
-    each = materialize(_prints(rows, lambda h, off, _: _picks(h, off, min_words)), "picks")
-    # Stored before the join, so that a hot gram's rows can be split there.
-    often = materialize(each.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "often")
-    return materialize(each.join(often, "gram", "left_semi"), "shared")
-
-
-def _matched(each: DataFrame) -> DataFrame:
-    """The rows that share their gram, with what is known of them.
+def _matched(each: DataFrame, single: bool = False) -> DataFrame:
+    """The rows that share their gram with another text or place of a text, with what is known of them.
 
     ``_twice``: the same surroundings are in two places or more; ``_first``: this
-    place is their first; ``_open``: the gram has other surroundings, too.
+    place is their first; ``_open``: the gram has other surroundings, too, as it
+    never has where rows are ``single`` runs.
     """
-    arounds = materialize(each.groupBy("gram", "around").agg(
-        F.min(_place("lo")).alias("first"), F.max(_place("lo")).alias("last")), "arounds")
+    shared = each.withColumn("_open", F.lit(False))
+    if not single:
+        # Sums of fixed width, and stored before the join, so that a hot gram's rows can be split there.
+        ends = [f(c).alias(f"{c}{k}") for c in ("_key", "at", "around") for k, f in enumerate((F.min, F.max))]
+        grams = each.groupBy("gram").agg(*ends).where("_key0 != _key1 OR at0 != at1")
+        grams = materialize(grams.select("gram", (F.col("around0") != F.col("around1")).alias("_open")), "grams")
+        shared = materialize(each.join(grams, "gram"), "shared")
+    same = Window.partitionBy("gram", "around")
+    placed = shared.select("*", F.min(_place("lo")).over(same).alias("first"), F.max(_place("lo")).over(same).alias("last"))
     # Rows that repeat an id and its text are one place.
-    grams = materialize(arounds.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("first") != F.col("last")).alias("again")).where("n > 1 OR again"), "grams")
-    firsts = arounds.join(grams, "gram").select("gram", "around", "first", (F.col("first") != F.col("last")).alias("_twice"),
-                                                (F.col("n") > 1).alias("_open"))
-    return materialize(each.join(materialize(firsts, "firsts"), ["gram", "around"]).select(
-        "_id", "_key", "at", "lo", "hi", "_twice", "_open", _is_at("first", "lo").alias("_first")), "matched")
-
-
-def _extended(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, step: int, min_words: int) -> DataFrame:
-    """The rows ``open_`` in parts of at most ``step`` runs."""
-    some = open_.groupBy("_id", "_key").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("_w"))
-    rows = _keyed(docs, id_col, text_col).alias("d").join(some.alias("w"), _same("d", "w")).select(
-        "d._id", "d._key", F.lower("_text").alias("_text"), "_w")
+    found = placed.select("_id", "_key", "at", "lo", "hi", (F.col("first") != F.col("last")).alias("_twice"), "_open",
+                          _is_at("first", "lo").alias("_first"))
+    return materialize(found.where("_twice OR _open"), "matched")
 
-    def parts(h: np.ndarray, off: np.ndarray, w: pa.Array) -> tuple[np.ndarray, ...]:
-        text = np.repeat(np.arange(len(w)), w.value_lengths().to_numpy(zero_copy_only=False))
-        at, lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in w.flatten().flatten())
-        return _parts(h, off, text, at, lo, hi, step, min_words)
 
-    return materialize(_prints(rows, parts), "parts")
+def _extended(held: DataFrame, open_: DataFrame, step: int, min_words: int) -> DataFrame:
+    """The rows ``open_`` in parts of at most ``step`` runs, aligned to their gram; ``held`` has the words.
 
-
-def matches(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``_id, _key, lo, hi, _first``: places whose runs (starts in [lo, hi]) are also elsewhere, at an earlier place or not."""
-    found = _matched(shared_picks(docs, id_col, text_col, min_words))
+    A part's own gram is made of the words that all its runs have in common, be
+    the part cut short or not.
+    """
+    places = open_.groupBy("_id", "_key").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("_w"))
+    each = held.alias("d").join(places.alias("w"), _same("d", "w")).select("d._id", "d._key", "h", "_w") \
+        .select("_id", "_key", "h", F.explode("_w").alias("p")).select("_id", "_key", "h", "p.*")
+    number = lambda c: F.floor((F.col(c) - F.col("at")) / step).cast("int")
+    parts = each.select("*", F.explode(F.sequence(number("lo"), number("hi"))).alias("q"))
+    begin = F.col("at") + F.col("q") * step
+    some = parts.select("_id", "_key", "h", "q", "at", begin.alias("begin"), F.greatest("lo", begin).alias("lo"),
+                        F.least(F.col("hi"), begin + step - 1).alias("hi"))
+    gram = _words("h", F.col("begin") + step - 1, F.col("begin") + min_words, F.col("q"))
+    around = _words("h", F.col("lo"), F.col("hi") + min_words, F.col("lo") - F.col("begin"))
+    return materialize(some.select("_id", "_key", "at", "lo", "hi", gram.alias("gram"), around.alias("around")), "parts")
+
+
+def _copies(lined: DataFrame, min_words: int) -> DataFrame:
+    """Texts that are in two documents or more, whole: the first, and every later one."""
+    text = Window.partitionBy("_key")
+    size = F.aggregate("ln", F.lit(0), lambda a, x: a + x)
+    sized = lined.select("_id", "_key", F.lit(0).alias("lo"), (size - min_words).alias("hi")).where("hi >= 0")
+    often = sized.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key")
+    some = materialize(sized.join(often, "_key"), "copies")
+    placed = some.select("*", F.min(_place("lo")).over(text).alias("first"), F.max(_place("lo")).over(text).alias("last"))
+    return placed.where("first != last").select("_id", "_key", "lo", "hi", _is_at("first", "lo").alias("_first"))
+
+
+def matches(each: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_id, _key, lo, hi, _first``: places whose runs (starts in [lo, hi]) are also elsewhere, at an earlier place or not.
+
+    ``each`` are the stored ``picks`` of the documents.  Copies of a whole text
+    need no fingerprints; those shared by copies only stay out of the rest.
+    """
+    lined = each.where("lines IS NOT NULL").select("_id", "_key", "lines.*")
+    found = _matched(each.where("gram IS NOT NULL").drop("lines"))
     every = [found]
+    some = found.where("_first AND _open").select("_id", "_key").distinct()
+    held = materialize(lined.select("_id", "_key", "h").alias("d").join(some.alias("w"), _same("d", "w"), "left_semi"), "words")
     for step in STEPS:
-        found = _matched(_extended(docs, found.where("_first AND _open"), id_col, text_col, step, min_words))
+        parts = _extended(held, found.where("_first AND _open"), min(step, min_words), min_words)
+        found = _matched(parts, step == 1)
         every.append(found)
-    return reduce(DataFrame.unionByName, [f.where("_twice").select("_id", "_key", "lo", "hi", "_first") for f in every])
+    every = [f.where("_twice").select("_id", "_key", "lo", "hi", "_first") for f in every]
+    return reduce(DataFrame.unionByName, every, _copies(lined, min_words))
 
 
 def repeated_words(found: DataFrame, min_words: int) -> DataFrame:
     """``_id, _key, spans``: the [start, end) word runs of each document that occur at an earlier place."""
-    starts = found.where("NOT _first").select("_id", "_key", F.explode(F.array("lo", "hi")).alias("start"))
+    # Starts near enough to each other for their runs to touch.
+    near = F.concat(F.sequence(F.col("lo"), F.col("hi"), F.lit(min_words)), F.array("hi"))
+    starts = found.where("NOT _first").select("_id", "_key", F.explode(near).alias("start"))
 
     def spans(s: Column) -> Column:
         begin = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) + min_words < x, F.lit(True)))
@@ -345,21 +364,20 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``spans`` are the word runs that go and ``removed_words`` their words; ``runs``
     and ``removed_lines`` are what of them are repeated runs of whole equal lines.
     """
-    found = matches(docs, id_col, text_col, min_words)
+    each = materialize(picks(docs, id_col, text_col, min_words), "picks")
+    found = materialize(matches(each, min_words), "matches")
     spans = repeated_words(found, min_words)
+    lined = each.where("lines IS NOT NULL").select("_id", "_key", "lines.*")
     # A repeated run of lines is one of words, so only documents with a match can have any.
     held = found.select("_id", "_key").distinct()
-    rows = docs.select(F.struct(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).alias("_row"),
-                       F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_key"))
-    some = rows.alias("d").join(held.alias("r"), _same("d", "r"), "left_semi").select("_row.*")
-    seqs = materialize(sequences(some, "_id", "_text", gram_words, min_words), "sequences")
+    some = lined.alias("d").join(held.alias("r"), _same("d", "r"), "left_semi")
+    seqs = materialize(sequences(some, gram_words, min_words), "sequences")
     runs = repeated_runs(seqs, min_words).select("_id", "_key", "runs", F.lit(None).alias("spans"))
     gone = runs.unionByName(spans.select("_id", "_key", F.lit(None).alias("runs"), "spans")) \
         .groupBy("_id", "_key").agg(F.first("runs", True).alias("runs"), F.first("spans", True).alias("spans"))
-    text = F.col("_text")
-    counts = _keyed(docs, id_col, text_col).select(
-        "_id", "_key", F.size(_non_blank(text)).cast("long").alias("n_lines"),
-        F.size(words(text)).cast("long").alias("n_words"))
+    counts = lined.select(
+        "_id", "_key", F.size("ln").cast("long").alias("n_lines"),
+        F.aggregate("ln", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"))
     out = counts.alias("s").join(gone.alias("r"), _same("s", "r"), "left")
     lines = F.coalesce(_lines_of(F.col("runs")), F.array().cast("array<int>"))
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -396,7 +414,8 @@ def _without_words(text: Column, spans: Column) -> Column:
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, in their own columns, without the words of repeated runs."""
-    spans = repeated_words(matches(docs, id_col, text_col, min_words), min_words)
+    each = materialize(picks(docs, id_col, text_col, min_words), "picks")
+    spans = repeated_words(matches(each, min_words), min_words)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text")) \
         .withColumn("_key", F.xxhash64("_text"))
     out = rows.alias("d").join(spans.alias("r"), _same("d", "r"), "left")
