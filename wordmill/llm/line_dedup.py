@@ -41,7 +41,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm.common import NOT_SPACE, SPACE, let, materialize, text_of
@@ -259,6 +259,15 @@ def _is_at(place: str, at: str) -> Column:
         & (F.col(at) == F.col(f"{place}.at"))
 
 
+def _placed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``rows`` with the ``first`` and the ``last`` place of their keys.
+
+    A sum and a join, not a window, and the sum stored: rows of a hot key meet in no task.
+    """
+    ends = rows.groupBy(*keys).agg(F.min(_place(at)).alias("first"), F.max(_place(at)).alias("last"))
+    return rows.join(materialize(ends, "ends"), keys)
+
+
 def _matched(each: DataFrame, single: bool = False) -> DataFrame:
     """The rows that share their gram with another text or place of a text, with what is known of them.
 
@@ -273,8 +282,7 @@ def _matched(each: DataFrame, single: bool = False) -> DataFrame:
         grams = each.groupBy("gram").agg(*ends).where("_key0 != _key1 OR at0 != at1")
         grams = materialize(grams.select("gram", (F.col("around0") != F.col("around1")).alias("_open")), "grams")
         shared = materialize(each.join(grams, "gram"), "shared")
-    same = Window.partitionBy("gram", "around")
-    placed = shared.select("*", F.min(_place("lo")).over(same).alias("first"), F.max(_place("lo")).over(same).alias("last"))
+    placed = _placed(shared, ["gram", "around"], "lo")
     # Rows that repeat an id and its text are one place.
     found = placed.select("_id", "_key", "at", "lo", "hi", (F.col("first") != F.col("last")).alias("_twice"), "_open",
                           _is_at("first", "lo").alias("_first"))
@@ -302,13 +310,11 @@ def _extended(held: DataFrame, open_: DataFrame, step: int, min_words: int) -> D
 
 def _copies(lined: DataFrame, min_words: int) -> DataFrame:
     """Texts that are in two documents or more, whole: the first, and every later one."""
-    text = Window.partitionBy("_key")
     size = F.aggregate("ln", F.lit(0), lambda a, x: a + x)
     sized = lined.select("_id", "_key", F.lit(0).alias("lo"), (size - min_words).alias("hi")).where("hi >= 0")
     often = sized.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key")
     some = materialize(sized.join(often, "_key"), "copies")
-    placed = some.select("*", F.min(_place("lo")).over(text).alias("first"), F.max(_place("lo")).over(text).alias("last"))
-    return placed.where("first != last").select("_id", "_key", "lo", "hi", _is_at("first", "lo").alias("_first"))
+    return _placed(some, ["_key"], "lo").where("first != last").select("_id", "_key", "lo", "hi", _is_at("first", "lo").alias("_first"))
 
 
 def matches(each: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
