@@ -260,12 +260,13 @@ def _is_at(place: str, at: str) -> Column:
 
 
 def _placed(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """``rows`` with the ``first`` and the ``last`` place of their keys.
+    """``rows`` with the ``first`` place of their keys, and whether there is another: ``_twice``.
 
     A sum and a join, not a window, and the sum stored: rows of a hot key meet in no task.
     """
     ends = rows.groupBy(*keys).agg(F.min(_place(at)).alias("first"), F.max(_place(at)).alias("last"))
-    return rows.join(materialize(ends, "ends"), keys)
+    known = ends.select(*keys, "first", (F.col("first") != F.col("last")).alias("_twice"))
+    return rows.join(materialize(known, "ends"), keys)
 
 
 def _matched(each: DataFrame, single: bool = False) -> DataFrame:
@@ -284,7 +285,7 @@ def _matched(each: DataFrame, single: bool = False) -> DataFrame:
         shared = materialize(each.join(grams, "gram"), "shared")
     placed = _placed(shared, ["gram", "around"], "lo")
     # Rows that repeat an id and its text are one place.
-    found = placed.select("_id", "_key", "at", "lo", "hi", (F.col("first") != F.col("last")).alias("_twice"), "_open",
+    found = placed.select("_id", "_key", "at", "lo", "hi", "_twice", "_open",
                           _is_at("first", "lo").alias("_first"))
     return materialize(found.where("_twice OR _open"), "matched")
 
@@ -314,7 +315,7 @@ def _copies(lined: DataFrame, min_words: int) -> DataFrame:
     sized = lined.select("_id", "_key", F.lit(0).alias("lo"), (size - min_words).alias("hi")).where("hi >= 0")
     often = sized.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key")
     some = materialize(sized.join(often, "_key"), "copies")
-    return _placed(some, ["_key"], "lo").where("first != last").select("_id", "_key", "lo", "hi", _is_at("first", "lo").alias("_first"))
+    return _placed(some, ["_key"], "lo").where("_twice").select("_id", "_key", "lo", "hi", _is_at("first", "lo").alias("_first"))
 
 
 def matches(each: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
