@@ -271,3 +271,47 @@ def test_postings_are_written_in_bounded_chunks(spark, scratch, monkeypatch):
     assert [d for _, d in hot] == sorted(d for _, d in hot) and [b for b, _ in hot] == [k // 32 for k in range(300)]
     blocks = {(r.term, r.block): r.n for r in index.blocks.collect()}
     assert blocks["hot", 0] == 32 and blocks["hot", 9] == 12
+
+
+def test_a_build_holds_nothing_of_the_corpus_in_memory(spark, scratch, monkeypatch):
+    """No write of a build finds a persisted frame of its own; what is stored meanwhile is gone in the end, also of a failed build."""
+    import os
+
+    import pytest
+    from pyspark.sql import DataFrameWriter
+
+    from wordmill.session import checkpoint_dir
+
+    kept = checkpoint_dir(spark).removeprefix("file:")
+    meanwhile = lambda: {f for f in os.listdir(kept) if f.startswith(("wordmill-counts-", "wordmill-documents-"))}
+    held, there, written = [], set(), DataFrameWriter.parquet
+    persisted = lambda: len(spark.sparkContext._jsc.getPersistentRDDs())
+    before, stored_before = persisted(), meanwhile()
+
+    def watching(self, target, *a, **kw):
+        out = written(self, target, *a, **kw)
+        held.append(persisted())
+        there.update(meanwhile() - stored_before)
+        return out
+
+    ranks = spark.createDataFrame([(1, 2.0), (3, 0.5), (99, 7.0)], "id long, pagerank double")
+    docs = [*DOCS, (1, "again", "apple fig"), (None, "none", "cherry kiwi")]
+    monkeypatch.setattr(DataFrameWriter, "parquet", watching)
+    index = write_index(corpus(spark, docs), f"{scratch}/i", min_df=1, num_buckets=4, pagerank=ranks)
+    assert max(held) <= before and len(there) == 2 and meanwhile() == stored_before
+    got = sorted((r.term, -1 if r.doc_id is None else r.doc_id, r.tf, r.pr) for r in index.postings.collect())
+    of = {1: 2.0, 3: 0.5}
+    texts = [(d, t) for d, _, t in docs if t]
+    want = sorted((w, -1 if d is None else d, t.replace(",", "").replace(";", "").lower().split().count(w), of.get(d, 0.0))
+                  for d, t in texts for w in set(t.replace(",", "").replace(";", "").lower().split()) - {"the", "kiwi"})
+    assert got == want
+
+    def failing(self, target, *a, **kw):
+        if target.startswith(f"{scratch}/i"):
+            raise OSError("no more writes")
+        return written(self, target, *a, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(OSError):
+        write_index(corpus(spark, docs), f"{scratch}/i", min_df=1, num_buckets=4)
+    assert meanwhile() == stored_before
