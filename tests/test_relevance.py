@@ -53,3 +53,30 @@ def test_relevance_json_lines(spark, scratch):
         f.write(json.dumps({"q1": ["1", "2"]}) + "\n" + json.dumps({"q1": ["3"], "q2": []}) + "\n")
     got = sorted(tuple(r) for r in read_relevance_json(spark, path, whole_file=False).collect())
     assert got == [("q1", 1), ("q1", 2), ("q1", 3)]
+
+
+def test_terms_of_passages_are_not_held_in_memory(spark, monkeypatch):
+    """No write while judgements are found finds a persisted frame, and what is stored meanwhile is gone in the end."""
+    import os
+
+    from pyspark.sql import DataFrameWriter
+
+    from wordmill.session import checkpoint_dir
+
+    persisted = lambda: len(spark.sparkContext._jsc.getPersistentRDDs())
+    held, before, written = [], persisted(), DataFrameWriter.parquet
+
+    def watching(self, target, *a, **kw):
+        out = written(self, target, *a, **kw)
+        held.append(persisted())
+        return out
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watching)
+    docs = spark.createDataFrame([(1, "one apple pear plum two"), (1, "an apple pear plum"), (2, "apple plum pear"), (3, None)],
+                                 "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "apple pear plum"), (8, "apple plum"), (9, "nothing of this")],
+                                     "query_id long, passage string")
+    got = passage_qrels(passages, docs)
+    assert sorted(tuple(r) for r in got.collect()) == [(7, 1), (8, 2)]
+    assert held and max(held) <= before
+    assert not [f for f in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if f.startswith("wordmill-passage-terms-")]
